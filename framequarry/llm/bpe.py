@@ -27,8 +27,8 @@ _PIECES = re.compile(f"[ \n]*(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CHUNKS = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
-#: A worker forgets its pieces when it knows so many; pieces longer than LONGEST are not kept.
-MOST_PIECES, LONGEST = 400_000, 64
+#: A worker knows at most twice so many pieces; pieces longer than LONGEST are not kept.
+MOST_PIECES, LONGEST = 500_000, 64
 
 
 def safe_pieces(text: str) -> list[str]:
@@ -44,10 +44,13 @@ def safe_pieces(text: str) -> list[str]:
 
 
 class PieceCoder(dict):
-    """Pieces to their ids as little-endian unsigned 32-bit integers, encoded when first asked for."""
+    """Pieces to their ids as little-endian unsigned 32-bit integers, encoded when first asked for.
+
+    Two generations: once this one is full it becomes the older, whose pieces come back when they are asked for.
+    """
 
     def __init__(self, encode_many):
-        self.encode_many = encode_many
+        self.encode_many, self.older = encode_many, {}
 
     def ids(self, text: str) -> bytes:
         pieces = safe_pieces(text)
@@ -56,8 +59,16 @@ class PieceCoder(dict):
         except KeyError:
             pass
         if len(self) > MOST_PIECES:
+            self.older = dict(self)
             self.clear()
-        new = [p for p in set(pieces) if p not in self]
+        new = []
+        for p in set(pieces):
+            if p not in self:
+                known = self.older.get(p)
+                if known is None:
+                    new.append(p)
+                else:
+                    self[p] = known
         once = {}
         for piece, ids in zip(new, self.encode_many(new), strict=True):
             (self if len(piece) <= LONGEST else once)[piece] = np.asarray(ids, "<u4").tobytes()

@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ppm, tokenfiles
-from .common import held_out, table
+from . import bottomk, bpe, decontaminate, fourier_quality, kneser_ney, ppm, repeats, tagpaths, tokenfiles, topk
+from .common import held_out, stash, table
+
+
+def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +31,21 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
+def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = stash(fourier_quality.features(table(spark, sf_dir, "documents")), "stats")
+    model = fourier_quality.train(feats, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    got = fourier_quality.score(feats, model)
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,5 +59,53 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_ppm, op7_token_files, op8_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op9_bottomk_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bottomk.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    got = kneser_ney.score(docs, model)
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_tag_paths, op2_inverted_index, op3_language_ppm, op4_suffix_repeats, op5_threshold_topk, op6_fourier_quality, op7_token_files, op8_byte_bpe, op9_bottomk_near, op10_kneser_ney)
+}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+#: DuckDB SQL for the same rows where it can be said; the others are tested against brute force and held-out labels.
+ORACLES: dict[str, str] = {
+    "op2_inverted_index": r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, len AS n, array_to_string(list_slice(w, s + 1, s + len), ' ') AS k
+       FROM (SELECT item_id, w, least(10, len(w)) AS len, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS s FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS k
+       FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, s, iw.n AS n, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.n = iw.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+""",
+    "op5_threshold_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+x AS (SELECT vec_id, unnest(e) AS c, unnest(range(1, len(e) + 1)) AS i FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.c * c.c) AS BIGINT) AS score FROM x q JOIN x c ON q.i = c.i WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+""",
+}

@@ -1,7 +1,8 @@
 """Token ids in Arrow files of fixed-size lists.
 
 A data file holds its part of the corpus's token stream, cut into rows of `seq_len` ids (FixedSizeList) and
-as many mask values (1: an id, 0: the padding after a file's last id). Batches have a fixed number of rows, so
+as many mask bits (1: an id, 0: the padding after a file's last id). Ids take 16 bits where the vocabulary
+allows it, else 32. Batches have a fixed number of rows, so
 sequence i of a file is row i % rows of batch i // rows: a memory map gives it without a copy. An index file
 beside it lists the file's documents: doc_id, start (ids of all earlier documents), n_tokens.
 
@@ -28,11 +29,11 @@ from .common import arrow_map, stash, text_slices, work_dir
 
 MANIFEST = "part int, data string, docs string, first_doc bigint, n_docs bigint, n_tokens bigint"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-_coders: dict[str, PieceCoder] = {}
+_coders: dict[str, tuple[PieceCoder, np.dtype]] = {}
 
 
-def tokenizers_coder(path: str) -> PieceCoder:
-    """Of a worker, made once: pieces to ids by the tokenizers library, no special tokens added."""
+def tokenizers_coder(path: str) -> tuple[PieceCoder, np.dtype]:
+    """Of a worker, made once: pieces to ids by the tokenizers library, no special tokens added; the type that holds an id."""
     if path not in _coders:
         import os
 
@@ -41,7 +42,8 @@ def tokenizers_coder(path: str) -> PieceCoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        _coders[path] = PieceCoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        coder = PieceCoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        _coders[path] = coder, np.dtype(np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
     return _coders[path]
 
 
@@ -52,17 +54,16 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 class SequenceWriter:
     """Writes a stream of ids as fixed-size rows; keeps less than one batch."""
 
-    def __init__(self, sink, seq_len: int, rows: int):
-        self.seq_len, self.size = seq_len, seq_len * rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    def __init__(self, sink, seq_len: int, rows: int, id_type: np.dtype):
+        self.seq_len, self.size, self.id_type = seq_len, seq_len * rows, id_type
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(id_type), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.parts: list[np.ndarray] = []
         self.held = 0
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)], schema=self.schema))
+        mask = np.arange(len(ids)) < real
+        self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids.astype(self.id_type), mask)], schema=self.schema))
 
     def add(self, ids: np.ndarray) -> None:
         self.parts.append(ids)
@@ -91,7 +92,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, name, coder = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], tokenizers_coder(tokenizer_path)
+        part, name = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        coder, id_type = tokenizers_coder(tokenizer_path)
         fs, base = _open(folder)
         data, index = (f"{kind}-{part:06d}-{name}.arrow" for kind in ("data", "docs"))
         w = ids_of = None
@@ -102,7 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             if w is None:
                 fs.create_dir(base, recursive=True)
                 sink, sink2 = fs.open_output_stream(f"{base}/{data}"), fs.open_output_stream(f"{base}/{index}")
-                w, ids_of = SequenceWriter(sink, seq_len, rows), pa.ipc.new_file(sink2, _INDEX)
+                w, ids_of = SequenceWriter(sink, seq_len, rows, id_type), pa.ipc.new_file(sink2, _INDEX)
                 first = s.batch.column(0)[0].as_py()
             counts = []
             for t in _empty_safe(s.batch, text_col):
@@ -134,7 +136,7 @@ def with_offsets(manifest: DataFrame) -> DataFrame:
     return manifest.join(F.broadcast(manifest.sparkSession.createDataFrame(offsets, "part int, base bigint")), "part")
 
 
-def read_sequence(data_file: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+def read_sequence(data_file: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Sequence i of a data file and its mask: views into the memory map of a local file."""
     fs, path = _open(data_file)
     source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
@@ -142,7 +144,8 @@ def read_sequence(data_file: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     rows = r.get_batch(0).num_rows
     b = r.get_batch(i // rows)
     k = r.schema.field("ids").type.list_size
-    return tuple(c.flatten().to_numpy()[(i % rows) * k : (i % rows + 1) * k] for c in b.columns)
+    ids, mask = (c.flatten()[(i % rows) * k : (i % rows + 1) * k] for c in b.columns)
+    return ids.to_numpy(), mask
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:
@@ -153,9 +156,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     def stream(reader) -> Iterator[np.ndarray]:
         for i in range(reader.num_record_batches):
-            ids, mask = (c.flatten().to_numpy() for c in reader.get_batch(i).columns)
-            real = int(mask.sum())
-            yield ids[:real]
+            ids, mask = (c.flatten() for c in reader.get_batch(i).columns)
+            yield ids.to_numpy()[: mask.true_count].astype("<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +174,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         while m:
                             if not len(held):
                                 held = next(chunks)
-                            c = zlib.crc32(np.ascontiguousarray(held[:m], "<u4"), c)
+                            c = zlib.crc32(np.ascontiguousarray(held[:m]), c)
                             took = min(m, len(held))
                             held, m = held[took:], m - took
                         crc.append(c)
