@@ -72,8 +72,12 @@ def frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return stash(tokens(rows).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("f")), "frequencies")
 
 
+def _bit(o: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (o % 64).cast("int"))
+
+
 def _phrases(items: DataFrame, freq: DataFrame, length: int, rare: int) -> DataFrame:
-    """item, item_id, words, n (phrase length), windows: array of (s: start, need: offsets of its `rare` rarest terms); only phrases whose terms all occur."""
+    """item, item_id, words, n (phrase length), windows: array of (s: start, need: offsets of its `rare` rarest terms, mask: their bits modulo 64); only phrases whose terms all occur."""
     each = items.select("item", F.posexplode("words").alias("o", "term")).join(_small(freq), "term", "left")
     listed = each.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("f", F.lit(0)).alias("f")))).alias("fs"))
     rows = items.join(listed, "item").withColumn("n", F.least(F.lit(length), F.size("words")))
@@ -81,22 +85,29 @@ def _phrases(items: DataFrame, freq: DataFrame, length: int, rare: int) -> DataF
     starts = F.filter(F.sequence(F.lit(0), F.size("words") - F.col("n")), lambda s: F.forall(window(s), lambda x: x["f"] > 0))
     rarest = lambda s: F.transform(F.slice(F.array_sort(F.transform(window(s), lambda x: F.struct(x["f"].alias("f"), x["o"].alias("o")))), 1, rare), lambda x: x["o"])
     out = rows.withColumn("windows", F.transform(starts, lambda s: F.struct(s.alias("s"), rarest(s).alias("need"))))
+    mask = lambda need: F.aggregate(need, F.lit(0).cast("bigint"), lambda m, o: m.bitwiseOR(_bit(o)))
+    out = out.withColumn("windows", F.transform("windows", lambda w: F.struct(w["s"].alias("s"), w["need"].alias("need"), mask(w["need"]).alias("mask"))))
     return stash(out.where(F.size("windows") > 0).select("item", "item_id", "words", "n", "windows"), "phrases")
 
 
 def phrase_candidates(rows: DataFrame, phrases: DataFrame) -> DataFrame:
-    """d, h, item, shift, starts: places where a phrase's rare terms all stand at their offsets."""
-    needed = phrases.select("item", F.explode(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["need"])))).alias("o"), "words")
-    offsets = stash(needed.select("item", "o", F.element_at("words", F.col("o") + 1).alias("term")), "offsets")
+    """d, h, item, shift, starts: places where a phrase's rare terms all stand at their offsets.
+
+    Postings become places (document, item, position - offset); a place gathers the offsets that agree on it as bits
+    modulo 64, which no two offsets of one window share, so no window whose terms all agree is missed.
+    """
+    least = F.array_min(F.transform("windows", lambda w: F.size(w["need"])))
+    needed = phrases.select("item", least.alias("k"), F.explode(F.array_distinct(F.flatten(F.transform("windows", lambda w: w["need"])))).alias("o"), "words")
+    offsets = stash(needed.select("item", "k", _bit(F.col("o")).alias("bit"), "o", F.element_at("words", F.col("o") + 1).alias("term")), "offsets")
     index = postings(rows, offsets.select("term").distinct())
-    at = index.join(_small(offsets), "term").select("d", "h", "item", (F.col("pos") - F.col("o")).alias("shift"), "o")
-    met = at.groupBy("d", "h", "item", "shift").agg(F.collect_set("o").alias("hits")).where(F.size("hits") > 0)
+    at = index.join(_small(offsets), "term").select("d", "h", "item", (F.col("pos") - F.col("o")).alias("shift"), "bit", "k")
+    met = at.groupBy("d", "h", "item", "shift").agg(F.bit_or("bit").alias("hits"), F.min("k").alias("k")).where(F.bit_count("hits") >= F.col("k"))
     met = met.join(_small(phrases.select("item", "windows")), "item")
-    whole = F.transform(F.filter("windows", lambda w: F.size(F.array_except(w["need"], F.col("hits"))) == 0), lambda w: w["s"])
+    whole = F.transform(F.filter("windows", lambda w: w["mask"].bitwiseAND(F.col("hits")) == w["mask"]), lambda w: w["s"])
     return stash(met.withColumn("starts", whole).where(F.size("starts") > 0).select("d", "h", "item", "shift", "starts"), "candidates")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc id, n_words, matches of every document.
 
     matches: array of (item_id, first: number of the first word, n: words) for every phrase of `length`
@@ -118,7 +129,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, rare: in
     return both.select(F.col("d").alias(id_col), "n_words", F.flatten(F.transform("c", match)).alias("matches"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_hit (words inside any match), items (matching item ids as strings, sorted) of every document."""
     m = phrase_matches(docs, items, length, rare, id_col, text_col, item_col, item_text_col)
     none = F.array().cast("array<string>")

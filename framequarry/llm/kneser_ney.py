@@ -1,16 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
-
-Two bigram models, of toxic and of ordinary documents, are smoothed by absolute discounting. Their unigram
-level interpolates each class's own discounted word counts with a continuation distribution that both share
-(how many different words a word follows, over both classes), so an expression that neither class knows well
-costs both the same and only what a class has really seen more often speaks for it. The log-likelihood
-ratio of a text, over its number of words, is turned into a probability by a logistic curve fitted on rows that
-the models have not counted.
-
-Words are runs of ASCII letters, digits and bytes beyond ASCII, lower-cased in A-Z. Null texts and texts without
-words get the ratio 0, that is the score of a text nothing is known about. Rows are scored one by one;
-repeated rows repeat. Labels that are null, or whose id no document has, are not used. Without labels of both
-classes every score is 0.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Two models, of toxic and of ordinary documents, give each byte's probability after the bytes before it (A-Z
+lower-cased), from strings of up to `order` bytes: absolute discounting, and continuation counts below the
+highest order (how many different bytes a string follows). The lowest orders are counted over both classes
+together. Rare expressions, such as a stem under an ending never seen, back off to the counts of their parts, and where
+neither class knows better, both back off to the same shared counts and the difference is nil. A text's
+log-likelihoods under both models are compared, normalised by its length, and a logistic curve fitted on rows that the
+models have not counted turns the difference into a probability.
+
+Two normalisations enter the curve: the difference per byte, and per square root of bytes (its size in units of the
+chance spread, which stays comparable from short to long texts).
+
+Null and empty texts have the difference 0, and the score of a text nothing is known about. Rows are scored one by
+one; repeated rows repeat. Labels that are null, or whose id no document has, are not used. Without labels of
+both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, HashIndex, _U, arrow_map, mix, span_hashes, text_slices, word_spans
+from .common import HashIndex, _U, arrow_map, text_slices
+from .ppm import _grams
 
-#: The discount of every count, and the counts' worth of belief in the lower order that every history starts with.
-DISCOUNT, STRENGTH = 0.75, 20.0
-_BIGRAM = _U(0x9FB21C651E98DF25)
+#: The discount of every count.
+DISCOUNT = 0.75
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, balanced: bool = False, parts: int = 2) -> DataFrame:
@@ -45,90 +50,108 @@ def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class:
     return chosen.select(F.col(id_col), F.col(label_col).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(parts)).cast("int").alias("part"))
 
 
-def _words(part) -> tuple[np.ndarray, np.ndarray]:
-    start, end, row = word_spans(part.buf, part.offs, ALNUM)
-    return span_hashes(part.buf, start, end, fold=True), row
+def _tail(keys: np.ndarray, n: int) -> np.ndarray:
+    """Strings of n bytes without their first byte."""
+    return (keys & _U((1 << (8 * (n - 1))) - 1)) | (_U(n - 1) << _U(8 * (n - 1)))
 
 
-def _bigrams(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Of each word with the word before it; a row's first word follows the row's start."""
-    before = np.zeros_like(words)
-    if len(words):
-        before[1:] = words[:-1]
-        before[np.r_[True, row[1:] != row[:-1]]] = 0
-    return mix(before * _BIGRAM + words)
+def _head(keys: np.ndarray, n: int) -> np.ndarray:
+    """Strings of n bytes without their last byte."""
+    return ((keys & _U((1 << (8 * n)) - 1)) >> _U(8)) | (_U(n - 1) << _U(8 * (n - 1)))
 
 
 class Model:
-    """Log-likelihood ratios (toxic over ordinary) as sums of table values.
+    """Log-likelihood ratios (toxic over ordinary) of a byte after the bytes before it.
 
-    For a word w after h: log P1(w|h) - log P0(w|h), with
-    Pc(w|h) = (max(nc(hw) - D, 0) + (D * kc(h) + T) * Uc(w)) / (nc(h) + T)
-    Uc(w) = (max(nc(w) - D, 0) + (D * kc + T) * S(w)) / (nc + T)
-    S(w): the shared continuation distribution, with one count more for words never seen.
+    P_n(b | h) = max(c(hb) - D, 0) / c(h.) + D * kinds(h.) / c(h.) * P_{n-1}(b | h without its first byte)
+
+    levels[n - 1] holds, for every string of n bytes that a class has seen, the ratio of its last byte, and the
+    ratio of the two classes' backoff weights after the string as a history; a byte whose string is unknown
+    costs its history's weights and is looked up one byte shorter. A history that is new to a class has weight 1.
     """
 
-    def __init__(self, first: np.ndarray, word: np.ndarray, n: np.ndarray):
-        """first, word: hashes of distinct bigrams; n: counts of the two classes, one column each."""
-        words, at_word = np.unique(word, return_inverse=True)
-        heads, at_head = np.unique(first, return_inverse=True)
-        V = len(words)
-        uni, head, kinds = np.zeros((V, 2)), np.zeros((len(heads), 2)), np.zeros((len(heads), 2))
-        np.add.at(uni, at_word, n)
-        np.add.at(head, at_head, n)
-        np.add.at(kinds, at_head, n > 0)
-        follows = np.bincount(at_word, minlength=V).astype(float)
-        self.unseen = 1 / (follows.sum() + V + 1)
-        shared = (follows + 1) / (follows.sum() + V + 1)
-        total, types = uni.sum(0) + STRENGTH, (uni > 0).sum(0)
-        weight = (DISCOUNT * types + STRENGTH) / total
-        self.weight = weight
-        U = np.maximum(uni - DISCOUNT, 0) / total + weight * shared[:, None]
-        self.words, self.U = HashIndex(words), U.astype(np.float32)
-        back = (DISCOUNT * kinds + STRENGTH) / (head + STRENGTH)
-        self.heads, self.back = HashIndex(heads), back.astype(np.float32)
-        P = np.maximum(n - DISCOUNT, 0) / (head[at_head] + STRENGTH) + back[at_head] * U[at_word]
-        with np.errstate(over="ignore"):
-            keys = mix(first * _BIGRAM + word)
-        self.pairs, self.ratio = HashIndex(keys), (np.log(P[:, 1]) - np.log(P[:, 0])).astype(np.float32)
-        self.slope, self.offset = 1.0, 0.0
-
-    def ratios(self, words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Length-normalised ratio and number of words of each row."""
-        got = self.pairs.find(_bigrams(words, row))
-        r = self.ratio[np.maximum(got, 0)].astype(np.float64) if len(self.ratio) else np.zeros(len(words))
-        miss = np.flatnonzero(got < 0)
-        if len(miss):
-            before = np.zeros(len(words), _U)
-            before[1:] = words[:-1]
-            before[np.r_[True, row[1:] != row[:-1]]] = 0
-            w, h = self.words.find(words[miss]), self.heads.find(before[miss])
-            U = np.where((w >= 0)[:, None], self.U[np.maximum(w, 0)], self.weight * self.unseen)
-            b = np.where((h >= 0)[:, None], self.back[np.maximum(h, 0)], 1.0)
-            r[miss] = np.log(U[:, 1] * b[:, 1]) - np.log(U[:, 0] * b[:, 0])
-        n = np.bincount(row, minlength=rows)
-        return np.bincount(row, r, minlength=rows) / np.maximum(n, 1), n
-
-    def probability(self, ratio: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.offset, -40, 40)))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method with a small ridge; classes count alike."""
-    scale = max(1e-9, float(x.std()))
-    z = np.c_[x / scale, np.ones(len(x))]
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, shared: int):
+        """keys: strings of `order` bytes; n: their counts in the two classes; orders up to `shared` are pooled."""
+        self.order = order
+        counts = [(keys, n.astype(float))]
+        for size in range(order, 1, -1):  # continuation counts: different first bytes
+            k, c = counts[0]
+            tail, place = np.unique(_tail(k, size), return_inverse=True)
+            low = np.zeros((len(tail), 2))
+            np.add.at(low, place, (c > 0).astype(float))
+            counts.insert(0, (tail, low))
+        self.levels = []
+        below = P = None
+        for size, (k, c) in enumerate(counts, 1):
+            if size <= shared:
+                c = np.tile(c.sum(1, keepdims=True), (1, 2))
+            own, place = np.unique(_head(k, size), return_inverse=True)
+            total, kinds = np.zeros((len(own), 2)), np.zeros((len(own), 2))
+            np.add.at(total, place, c)
+            np.add.at(kinds, place, c > 0)
+            weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1e-9), 1.0)
+            lower = np.full((len(k), 2), 1 / 256) if size == 1 else P[below.find(_tail(k, size))]
+            P = np.where(total[place] > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total[place], 1e-9), 0) + weight[place] * lower
+            ratio = np.log(weight[:, 1]) - np.log(weight[:, 0])
+            if size > 1:
+                at = below.find(own)
+                self.levels[-1][2][at[at >= 0]] = ratio[at >= 0]
+            below = HashIndex(k)
+            self.levels.append((below, (np.log(P[:, 1]) - np.log(P[:, 0])).astype(np.float32), np.zeros(len(k), np.float32)))
+        self.curve = np.zeros(3)
+
+    def sums(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The ratio of each row's whole text."""
+        out = np.zeros(len(offs) - 1)
+        if not len(buf):
+            return out
+        buf = _FOLD[buf]
+        r = np.zeros(len(buf))
+        left = np.ones(len(buf), bool)
+        for n in range(self.order, 0, -1):
+            index, ratio, _ = self.levels[n - 1]
+            keys, at = _grams(buf, offs, n)
+            keep = left[at]
+            keys, at = keys[keep], at[keep]
+            got = index.find(keys)
+            hit = got >= 0
+            r[at[hit]] += ratio[got[hit]]
+            left[at[hit]] = False
+            if n > 1 and not hit.all():
+                below, _, away = self.levels[n - 2]
+                c = below.find(_head(keys[~hit], n))
+                known = c >= 0
+                r[at[~hit][known]] += away[c[known]]
+        full = np.flatnonzero(offs[:-1] < offs[1:])
+        out[full] = np.add.reduceat(r, offs[full])
+        return out
+
+    @staticmethod
+    def normalised(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = np.maximum(size, 1)
+        return np.c_[sums / n, sums / np.sqrt(n), np.ones(len(n))]
+
+    def probability(self, sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.normalised(sums, size) @ self.curve, -40, 40)))
+
+
+def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients by Newton's method with a small ridge; classes count alike."""
+    scale = np.maximum(1e-9, np.r_[z[:, :-1].std(0), 1.0])
+    z = z / scale
     w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    b = np.zeros(2)
-    for _ in range(50):
+    b = np.zeros(z.shape[1])
+    ridge = np.diag(np.r_[np.full(len(b) - 1, 1e-2), 1e-3])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (w * (p - y)) + 1e-3 * b)
-        b -= step
+        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
+        b -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0] / scale), float(b[1])
+    return b / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 2500, order: int = 6, shared: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Models of three quarters of the sampled rows, their logistic curve from the rest; classes weigh alike.
 
     per_class bounds the labelled rows that are used, and with them what comes to the driver.
@@ -137,54 +160,47 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "label", "part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text_col, 1 << 19):
-            words, row = _words(part)
+        for part in text_slices(batches, text_col, 1 << 20):
             label, half = (np.asarray(part.batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2))
-            before = np.zeros_like(words)
-            if len(words):
-                before[1:] = words[:-1]
-                before[np.r_[True, row[1:] != row[:-1]]] = 0
+            raw = part.raw()
             for c in (0, 1):
-                m = (label[row] == c) & (half[row] < 3)
-                pair, first, n = np.unique(_bigrams(words, row)[m], return_index=True, return_counts=True)
-                at = np.flatnonzero(m)[first]
-                yield pa.RecordBatch.from_pydict({"first": pa.array(before[at].view(np.int64)), "word": pa.array(words[at].view(np.int64)), "label": pa.array(np.full(len(pair), c, np.int32)), "n": pa.array(n.astype(np.int64))})
-
-    got = arrow_map(rows, count, "first bigint, word bigint, label int, n bigint").groupBy("first", "word").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1")).toArrow()
-    n = np.c_[got["n0"].to_numpy(), got["n1"].to_numpy()].astype(float)
+                texts = [t for t, m in zip(raw, (label == c) & (half < 3), strict=True) if m]
+                offs = np.cumsum([0, *map(len, texts)])
+                k, n = np.unique(_grams(_FOLD[np.frombuffer(b"".join(texts), np.uint8)], offs, order)[0], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k.view(np.int64)), "label": pa.array(np.full(len(k), c, np.int32)), "n": pa.array(n.astype(np.int64))})
+
+    of = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
+    got = arrow_map(rows, count, "k bigint, label int, n bigint").groupBy("k").agg(of(0).alias("n0"), of(1).alias("n1")).toArrow()
+    n = np.c_[got["n0"].to_numpy(), got["n1"].to_numpy()]
     if not len(n) or not n.sum(0).all():
         return None
-    model = Model(got["first"].to_numpy().view(_U), got["word"].to_numpy().view(_U), n)
+    model = Model(got["k"].to_numpy().view(_U), n, order, shared)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_col, 1 << 20):
-            words, row = _words(part)
-            r, _ = held.value.ratios(words, row, len(part))
-            yield pa.RecordBatch.from_pydict({"r": pa.array(r), "label": part.batch.column(1)})
+            yield pa.RecordBatch.from_pydict({"s": pa.array(held.value.sums(part.buf, part.offs)), "size": pa.array(np.diff(part.offs)), "label": part.batch.column(1)})
 
-    seen = arrow_map(rows.where("part = 3"), measure, "r double, label int").toArrow()
-    x, y = seen["r"].to_numpy(), seen["label"].to_numpy().astype(float)
+    seen = arrow_map(rows.where("part = 3"), measure, "s double, size bigint, label int").toArrow()
+    y = seen["label"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.slope, model.offset = _logistic(x, y)
+        model.curve = _logistic(Model.normalised(seen["s"].to_numpy(), seen["size"].to_numpy()), y)
+    else:
+        model.curve = np.array([1.0, 0.0, 0.0])
     return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ratio (mean log-likelihood ratio of a word), n_words, score of every row."""
+    """id_col, ratio (log-likelihood ratio per byte), score of every row."""
     src = docs.select(id_col, text_col)
     held = src.sparkSession.sparkContext.broadcast(model)  # bounded by per_class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for part in text_slices(batches, text_col, 1 << 20):
-            words, row = _words(part)
-            if m is None:
-                r, n = np.zeros(len(part)), np.bincount(row, minlength=len(part))
-                p = np.zeros(len(part))
-            else:
-                r, n = m.ratios(words, row, len(part))
-                p = m.probability(r)
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(r), pa.array(n.astype(np.int64)), pa.array(p)], names=[id_col, "ratio", "n_words", "score"])
-
-    return arrow_map(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ratio double, n_words bigint, score double")
+            size = np.diff(part.offs)
+            s = m.sums(part.buf, part.offs) if m else np.zeros(len(part))
+            p = m.probability(s, size) if m else np.zeros(len(part))
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(s / np.maximum(size, 1)), pa.array(p)], names=[id_col, "ratio", "score"])
+
+    return arrow_map(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ratio double, score double")

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import _U, arrow_map, mix, span_hashes, stash, text_slices
 
 #: Bytes of text in a chunk, bytes of text for each bucket, and suffixes sorted at once.
-CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 24 << 20, 400_000
+CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 16 << 20, 150_000
 SLICE = 1 << 20
 
 
@@ -98,9 +98,8 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
         return np.empty(0, np.int64), np.empty(0, np.int64)
     size = end - start
     wide = int(-(-size.max() // 8) * 8)
-    at = start[:, None] + np.arange(wide)[None, :]
-    inside = np.arange(wide)[None, :] < size[:, None]
-    text = np.where(inside, buf[np.minimum(at, len(buf) - 1)], 0).astype(np.uint8)
+    text = np.lib.stride_tricks.sliding_window_view(np.r_[buf, np.zeros(wide, np.uint8)], wide)[start]
+    text[np.arange(wide, dtype=np.int32)[None, :] >= size[:, None].astype(np.int32)] = 0
     words = text.view(">u8").astype(_U)
     order = np.lexsort([size, *(words[:, j] for j in range(words.shape[1] - 1, -1, -1))])
     t = text[order]
@@ -139,7 +138,7 @@ def left_diverse(left: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     change[1:-1] = np.cumsum(left[1:] != left[:-1])
     change[-1] = change[-2]
     several = np.r_[0, np.cumsum(left < 0)]
-    return (change[last + 0 + 0] != change[first]) | (several[last + 1] > several[first])
+    return (change[last] != change[first]) | (several[last + 1] > several[first])
 
 
 class Bucket:
@@ -153,9 +152,24 @@ class Bucket:
         self.to = np.cumsum(self.size)
         self.at = self.to - self.size
 
+    def _hashes(self) -> np.ndarray:
+        """A hash of each string, a slice of the buffer at a time."""
+        cut = np.unique(np.r_[0, np.searchsorted(self.to, np.arange(SLICE, len(self.buf), SLICE)), len(self.to)])
+        out = np.empty(len(self.to), _U)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            lo, hi = int(self.at[a]), int(self.to[b - 1])
+            out[a:b] = span_hashes(self.buf[lo:hi], self.at[a:b] - lo, self.to[a:b] - lo, fold=False)
+        return out
+
+    def _gathered(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings' bytes end to end, and where each begins."""
+        size = self.size[strings]
+        at = np.cumsum(size) - size
+        return self.buf[np.repeat(self.at[strings] - at, size) + np.arange(int(size.sum()))], at
+
     def scan(self, length: int, groups: bool = False) -> Iterator[tuple]:
         """Spans to remove as arrays (chunk, row, first, end), and with groups also lists of maximal repeats."""
-        text = span_hashes(self.buf, self.at, self.to, fold=False)
+        text = self._hashes()
         order = np.lexsort([self.id, text, self.key])
         key, text, ids = self.key[order], text[order], self.id[order]
         new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]
@@ -187,18 +201,19 @@ class Bucket:
                 continue
             s = np.repeat(pick, suffixes[pick])
             j = np.arange(len(s)) - np.repeat(np.cumsum(suffixes[pick]) - suffixes[pick], suffixes[pick])
-            begin = self.at[rep[s]] + j
-            yield from self._block(length, groups, order, head, count, rep, low, left, s, j, begin)
+            buf, at = self._gathered(rep[pick])
+            begin = np.repeat(at, suffixes[pick]) + j
+            yield from self._block(length, groups, order, head, count, rep, low, left, s, j, buf, begin)
 
-    def _block(self, length, groups, order, head, count, rep, low, left, s, j, begin) -> Iterator[tuple]:
+    def _block(self, length, groups, order, head, count, rep, low, left, s, j, buf, begin) -> Iterator[tuple]:
         # suffixes whose first `length` bytes no other has need no sorting
-        h = span_hashes(self.buf, begin, begin + length, fold=False)
+        h = span_hashes(buf, begin, begin + length, fold=False)
         _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
         some = (n[inverse] > 1) | (groups & (count[s] > 1))
         s, j, begin = s[some], j[some], begin[some]
         if not len(s):
             return
-        sa, lcp = suffix_order(self.buf, begin, self.to[rep[s]])
+        sa, lcp = suffix_order(buf, begin, begin - j + self.size[rep[s]])
         s, j = s[sa], j[sa]
         least = low[s]
         found = intervals(lcp, length)
@@ -246,13 +261,13 @@ class Bucket:
 
 def _pack(key, ids, row, start, size, left, text: bytes) -> bytes:
     n = np.array([len(key)], "<i8").tobytes()
-    return _zip(n + b"".join(x.astype(t).tobytes() for x, t in ((key, "<u8"), (ids, "<i8"), (row, "<i4"), (start, "<i4"), (size, "<i4"), (left, "<i2"))) + text)
+    return _zip(n + b"".join(x.astype(t).tobytes() for x, t in ((key & _U(0xFFFFFFFF), "<u4"), (ids, "<i8"), (row, "<i4"), (start, "<i4"), (size, "<i4"), (left, "<i2"))) + text)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     raw = _unzip(blob)
     n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
-    for t, w in (("<u8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("<i2", 2)):
+    for t, w in (("<u4", 4), ("<i8", 8), ("<i4", 4), ("<i4", 4), ("<i4", 4), ("<i2", 2)):
         x = np.frombuffer(raw, t, n, at)
         out.append(x if w == 8 else x.astype(np.int64))
         at += n * w
@@ -384,7 +399,7 @@ SENT = "bucket int, chunk bigint, blob binary"
 
 
 def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
-    """SENT: strings for the buckets; bucket -1 has spans that the chunk itself has found."""
+    """SENT: strings for the buckets; negative ones, one for each chunk, have spans that the chunk itself has found."""
     notes = shared.select("chunk", "bucket", "keys", F.lit(None).cast("array<int>").alias("rows")).union(copied.select("chunk", F.lit(-1), F.lit(None).cast("binary"), "rows"))
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -418,14 +433,13 @@ def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length
                 low = owner[o][np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = np.zeros(len(o), bool)
                 later[o] = owner[o] > low
-                at = np.cumsum([0, *(len(g[0]) for g in got)])
                 texts = []  # of each slice in turn
                 for g in got:
                     flat = g[9].tobytes()
                     texts.append([flat[x:y] for x, y in zip(g[7].tolist(), g[8].tolist(), strict=True)])
                 texts = [t for x in texts for t in x]
                 if later.any():
-                    rows["bucket"].append(-1)
+                    rows["bucket"].append(-1 - (chunk ^ chunk >> 32) % (1 << 30))
                     rows["chunk"].append(chunk)
                     rows["blob"].append(np.c_[row, start, start + size][later].astype("<i4").tobytes())
                 keep = np.flatnonzero(~later)
@@ -436,16 +450,17 @@ def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length
                     rows["bucket"].append(i)
                     rows["chunk"].append(chunk)
                     rows["blob"].append(_pack(mini[p], owner[p], row[p], start[p], size[p], before[p], b"".join([texts[x] for x in p.tolist()])))
-                del at
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "blob": pa.array(rows["blob"], pa.binary())})
 
-    return stash(chunks.select("chunk", "ids", "sizes", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(send, SENT), "strings")
+    return chunks.select("chunk", "ids", "sizes", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(send, SENT)
 
 
 def _bucket_spans(sent: DataFrame, length: int) -> DataFrame:
-    """chunk, spans: what every bucket's interval tree says to remove."""
+    """chunk, spans: what every bucket's interval tree, and every chunk by itself, says to remove."""
 
-    def scan(table: pa.Table) -> pa.Table:
+    def scan(key, table):
+        if key[0].as_py() < 0:
+            return pa.table({"chunk": table["chunk"], "spans": table["blob"]})
         bucket = Bucket(list(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True)))
         parts = [x[1:] for x in bucket.scan(length) if x[0] == "spans" and len(x[1])]
         if not parts:
@@ -456,7 +471,7 @@ def _bucket_spans(sent: DataFrame, length: int) -> DataFrame:
         cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
         return pa.table({"chunk": pa.array(chunk[cut[:-1]]), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
 
-    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(scan, "chunk bigint, spans binary")
+    return sent.groupBy("bucket").applyInArrow(scan, "chunk bigint, spans binary")
 
 
 def merged(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -476,7 +491,7 @@ def _buckets(chunks: DataFrame) -> int:
     return max(8, -(-chunks.count() * CHUNK_BYTES // BUCKET_BYTES))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (binary), and the columns `keep`, of every row.
 
     Every byte is removed that a string of `length` bytes covers which also starts in a document with a smaller id.
@@ -486,7 +501,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, id_col: str =
     copied = stash(copies(chunks, length), "copies")
     shared = shared_minimisers(chunks, length, k, buckets)
     sent = strings_with(chunks, shared, copied, length, k, buckets)
-    spans = _bucket_spans(sent, length).union(sent.where("bucket = -1").select("chunk", F.col("blob").alias("spans")))
+    spans = _bucket_spans(sent, length)
     notes = spans.select("chunk", "spans", F.lit(None).cast("array<int>").alias("rows")).union(copied.select("chunk", F.lit(None).cast("binary"), "rows"))
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
@@ -533,7 +548,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 26, id_col: str =
     return chunks.select("chunk", "ids", "sizes", "text", "extra").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(apply, schema)
 
 
-def maximal_repeats(docs: DataFrame, length: int = 50, k: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def maximal_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """text (binary), size, occurrences array<struct<id, start>>: left-diverse intervals of the bucket trees.
 
     Repeats within one string of a minimiser (`length` bytes and up to length - k more) are given whole; longer
