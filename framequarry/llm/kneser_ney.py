@@ -34,15 +34,15 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, balanced: bool = False, parts: int = 2) -> DataFrame:
+def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, most: int | None = None, parts: int = 2) -> DataFrame:
     """id_col, label and `part` (below `parts`, by a hash of the id): about per_class rows of each class; with fewer, all.
 
-    Balanced, no class gives more rows than the smallest one has.
+    With `most`, a class may give `most` times as many rows as the smallest one does.
     """
     rows = labels.where(where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {int(r[0]): r[1] for r in rows.groupBy(label_col).count().collect()}
-    if balanced and sizes:
-        per_class = min(per_class, *sizes.values())
+    if most and sizes:
+        per_class = most * min(per_class, *sizes.values())
     rate = F.lit(0.0)
     for k, v in sizes.items():
         rate = F.when(F.col(label_col) == k, F.lit(min(1.0, per_class / v))).otherwise(rate)
@@ -151,12 +151,13 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 2500, order: int = 6, shared: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Models of three quarters of the sampled rows, their logistic curve from the rest; classes weigh alike.
+def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 6000, most: int = 4, order: int = 5, shared: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Models of three quarters of the sampled rows, their logistic curve from the rest; there, classes weigh alike.
 
-    per_class bounds the labelled rows that are used, and with them what comes to the driver.
+    per_class and most bound the labelled rows that are used (a class has per_class rows, or most times as many if it is
+    the commoner one), and with them what comes to the driver.
     """
-    sample = bounded_labels(labels, where, label_col, per_class, id_col, balanced=True, parts=4)
+    sample = bounded_labels(labels, where, label_col, per_class, id_col, most=most, parts=4)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "label", "part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
