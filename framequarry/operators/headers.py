@@ -1,15 +1,16 @@
 """Link, network and transport headers of raw frames as plain columns.
 
-Everything here is column expressions over `frame` and `linktype`, so header-only queries never start a Python worker,
-unused fields are pruned away and predicates on header columns reach down to the scan.
+Everything here is column expressions over `frame` and `linktype`, so header-only queries never start a Python worker
+and unused fields are pruned away. Conditions on stored columns (file, time) belong before with_headers(), where they
+reach the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.bits import be, piece
+from framequarry.functions.bits import hex_number, piece
 
 #: Link types that are understood (fixed values, the public registry's numbers).
 NULL, ETHERNET, RAW, SLL, IPV4, IPV6 = 0, 1, 101, 113, 228, 229
@@ -24,112 +25,118 @@ COLUMNS = [
 ]
 
 
+def _be(off, n: int) -> Column:
+    """n bytes of the frame as a number; callers check that they are there.
+
+    The offset is named once: filters are pushed below these projections, and every repetition multiplies there.
+    """
+    return hex_number(F.hex(F.substring(F.col("frame"), off + 1, F.lit(n))))
+
+
+def _once(c: Column) -> Column:
+    """c, computed in its own projection: the optimiser neither merges it with later ones nor copies it into filters.
+
+    Offsets depend on offsets; copied into every place that names them, they would grow past what can be compiled.
+    """
+    return c + F.spark_partition_id() * 0
+
+
+def _bytes(off, n: int) -> Column:
+    return F.substring(F.col("frame"), off + 1, F.lit(n))
+
+
 def _link(df: DataFrame) -> DataFrame:
     """eth_*, vlan_stack, eth_type (the innermost), l3_off, ip_v."""
     lt, f = F.col("linktype"), F.col("frame")
     eth = (lt == ETHERNET) & (F.length(f) >= 14)
+    head = F.hex(F.substring(f, 13, 4 * MAX_TAGS + 2))
+    df = df.withColumn("_tags", F.when(eth, F.regexp_extract(head, f"^((?:(?:8100|88A8).{{4}}){{0,{MAX_TAGS}}})", 1)))
+    size = F.length("_tags")
+    kind = F.when(eth, hex_number(F.substring(head, size + 1, F.lit(4)))).when(lt == SLL, _be(F.lit(14), 2))
+    l3 = F.when(lt == ETHERNET, 14 + size / 2).when(lt == SLL, 16).when(lt == NULL, 4).when(lt.isin(RAW, IPV4, IPV6), 0)
+    ids = F.transform(F.sequence(F.lit(0), (size / 8 - 1).cast("int")), lambda i: hex_number(F.substring(F.col("_tags"), (i * 8 + 5).cast("int"), F.lit(4))).bitwiseAND(F.lit(0x0FFF)).cast("int"))
     df = df.withColumns(
         {
             "eth_dst": F.when(eth, F.substring(f, 1, 6)),
             "eth_src": F.when(eth, F.substring(f, 7, 6)),
-            "_t0": F.when(eth, be(f, 12, 2)).when(lt == SLL, be(f, 14, 2)),
-            "_o0": F.when(eth, F.lit(14)).when(lt == SLL, F.lit(16)),
+            "eth_type": kind.cast("int"),
+            "vlan_stack": F.when(size > 0, ids).otherwise(F.array().cast("array<int>")),
+            "vlan_id": F.when(size > 0, hex_number(F.substring("_tags", 5, 4)).bitwiseAND(F.lit(0x0FFF)).cast("int")),
+            "l3_off": _once(l3.cast("int")),
         }
     )
-    tags = []
-    for i in range(MAX_TAGS):
-        t, o = F.col(f"_t{i}"), F.col(f"_o{i}")
-        tagged = t.isin(0x8100, 0x88A8) & (o + 4 <= F.length(f))
-        df = df.withColumns(
-            {
-                f"_v{i}": F.when(tagged, be(f, o, 2).bitwiseAND(F.lit(0x0FFF)).cast("int")),
-                f"_t{i + 1}": F.when(tagged, be(f, o + 2, 2)).otherwise(t),
-                f"_o{i + 1}": F.when(tagged, o + 4).otherwise(o),
-            }
-        )
-        tags.append(F.col(f"_v{i}"))
-    kind, at = F.col(f"_t{MAX_TAGS}"), F.col(f"_o{MAX_TAGS}")
-    family = F.least(be(f, 0, 1) + be(f, 1, 1) * 256, be(f, 3, 1) + be(f, 2, 1) * 256)
-    l3 = F.when(lt.isin(ETHERNET, SLL), at).when(lt.isin(RAW, IPV4, IPV6), F.lit(0)).when(lt == NULL, F.lit(4))
-    nibble = F.shiftright(be(f, l3, 1), 4)
-    wants = (
-        F.when(lt.isin(ETHERNET, SLL), F.when(kind == 0x0800, 4).when(kind == 0x86DD, 6))
-        .when(lt == RAW, F.when(nibble.isin(4, 6), nibble))
-        .when(lt == IPV4, 4)
-        .when(lt == IPV6, 6)
-        .when(lt == NULL, F.when(family == 2, 4).when(family.isin(10, 24, 28, 30), 6))
-    )
-    df = df.withColumns({"eth_type": kind.cast("int"), "vlan_stack": F.array_compact(F.array(*tags)), "l3_off": l3.cast("int"), "_want": wants.cast("int")})
-    df = df.withColumn("vlan_id", F.get("vlan_stack", F.lit(0)))
+    typed = lambda t: ~lt.isin(ETHERNET, SLL) | (F.col("eth_type") == t)
     room = F.length(f) - F.col("l3_off")
-    ok4 = (F.col("_want") == 4) & (room >= 20) & (F.shiftright(be(f, F.col("l3_off"), 1), 4) == 4)
-    ok6 = (F.col("_want") == 6) & (room >= 40)
-    df = df.withColumn("ip_v", F.when(ok4, 4).when(ok6, 6))
-    return df.drop("_want", *[f"_{x}{i}" for i in range(MAX_TAGS + 1) for x in "tov"])
+    nibble = F.substring(F.hex(F.substring(f, F.col("l3_off") + 1, F.lit(1))), 1, 1)
+    ip_v = F.when((nibble == "4") & typed(0x0800) & (room >= 20), 4).when((nibble == "6") & typed(0x86DD) & (room >= 40), 6)
+    return df.withColumn("ip_v", _once(ip_v)).drop("_tags")
 
 
 def _network(df: DataFrame) -> DataFrame:
-    f, o, v4, v6 = F.col("frame"), F.col("l3_off"), F.col("ip_v") == 4, F.col("ip_v") == 6
-    both = lambda a, b: F.when(v4, a).when(v6, b)
+    f, o, v = F.col("frame"), F.col("l3_off"), F.col("ip_v")
+    either = lambda a, b: F.when(v == 4, a).when(v == 6, b)
+    at = lambda four, six, n: F.when(v.isNotNull(), _be(o + F.when(v == 4, four).otherwise(six), n))
     df = df.withColumns(
         {
-            "ip_ihl": both(be(f, o, 1).bitwiseAND(F.lit(15)) * 4, F.lit(40)).cast("int"),
-            "ip_dsfield": F.when(v4, be(f, o + 1, 1)).cast("int"),
-            "ip_len": both(be(f, o + 2, 2), be(f, o + 4, 2) + 40).cast("int"),
-            "ip_id": F.when(v4, be(f, o + 4, 2)).cast("int"),
-            "_frag": F.when(v4, be(f, o + 6, 2)),
-            "ip_ttl": both(be(f, o + 8, 1), be(f, o + 7, 1)).cast("int"),
-            "ip_proto": both(be(f, o + 9, 1), be(f, o + 6, 1)).cast("int"),
-            "ip_checksum": F.when(v4, be(f, o + 10, 2)).cast("int"),
-            "ip_src": both(piece(f, o + 12, 4), piece(f, o + 8, 16)),
-            "ip_dst": both(piece(f, o + 16, 4), piece(f, o + 24, 16)),
+            "ip_ihl": either(_be(o, 1).bitwiseAND(F.lit(15)) * 4, F.lit(40)).cast("int"),
+            "ip_dsfield": F.when(v == 4, _be(o + 1, 1)).cast("int"),
+            "ip_len": (at(2, 4, 2) + F.when(v == 6, 40).otherwise(0)).cast("int"),
+            "ip_id": F.when(v == 4, _be(o + 4, 2)).cast("int"),
+            "ip_flags": F.when(v == 4, F.shiftright(_be(o + 6, 1), 5)).cast("int"),
+            "ip_frag": F.when(v == 4, _be(o + 6, 2).bitwiseAND(F.lit(0x1FFF))).cast("int"),
+            "ip_ttl": at(8, 7, 1).cast("int"),
+            "ip_proto": at(9, 6, 1).cast("int"),
+            "ip_checksum": F.when(v == 4, _be(o + 10, 2)).cast("int"),
+            "ip_src": either(_bytes(o + 12, 4), _bytes(o + 8, 16)),
+            "ip_dst": either(_bytes(o + 16, 4), _bytes(o + 24, 16)),
         }
     )
     arp = (F.col("eth_type") == 0x0806) & (F.length(f) >= o + 28)
     return df.withColumns(
         {
-            "ip_flags": F.shiftright("_frag", 13).cast("int"),
-            "ip_frag": F.col("_frag").bitwiseAND(F.lit(0x1FFF)).cast("int"),
-            "l4_off": F.when(F.col("ip_v").isNotNull(), o + F.col("ip_ihl")).cast("int"),
+            "l4_off": _once((o + F.col("ip_ihl")).cast("int")),
             # what the packet says it has, and no more than was captured; 0 (offload) means all
-            "l4_end": F.when(F.col("ip_v").isNotNull(), F.when(F.col("ip_len") <= F.col("ip_ihl"), F.length(f)).otherwise(F.least(F.length(f), o + F.col("ip_len")))).cast("int"),
+            "l4_end": F.when(F.col("ip_len") <= F.col("ip_ihl"), F.length(f)).when(F.col("ip_len").isNotNull(), F.least(F.length(f), o + F.col("ip_len"))).cast("int"),
             "l4_proto": F.col("ip_proto"),
-            "arp_op": F.when(arp, be(f, o + 6, 2)).cast("int"),
-            "arp_src_hw": F.when(arp, piece(f, o + 8, 6)),
-            "arp_src_ip": F.when(arp, piece(f, o + 14, 4)),
-            "arp_dst_hw": F.when(arp, piece(f, o + 18, 6)),
-            "arp_dst_ip": F.when(arp, piece(f, o + 24, 4)),
+            "arp_op": F.when(arp, _be(o + 6, 2)).cast("int"),
+            "arp_src_hw": F.when(arp, _bytes(o + 8, 6)),
+            "arp_src_ip": F.when(arp, _bytes(o + 14, 4)),
+            "arp_dst_hw": F.when(arp, _bytes(o + 18, 6)),
+            "arp_dst_ip": F.when(arp, _bytes(o + 24, 4)),
         }
-    ).drop("_frag")
+    )
 
 
 def _transport(df: DataFrame) -> DataFrame:
+    """A later fragment's bytes are no transport header."""
     f, o, p = F.col("frame"), F.col("l4_off"), F.col("l4_proto")
     room = F.length(f) - o
-    tcp, udp = (p == 6) & (room >= 20), (p == 17) & (room >= 8)
-    icmp = (((p == 1) & (F.col("ip_v") == 4)) | ((p == 58) & (F.col("ip_v") == 6))) & (room >= 4)
-    two = tcp | udp
+    first = F.coalesce("ip_frag", F.lit(0)) == 0
+    kind = F.when((p == 6) & (room >= 20) & first, 6).when((p == 17) & (room >= 8) & first, 17).when(F.when(F.col("ip_v") == 4, p == 1).otherwise(p == 58) & (room >= 4) & first, 1)
+    df = df.withColumn("_l4", _once(kind))
+    k = F.col("_l4")
+    tcp, udp, icmp, two = k == 6, k == 17, k == 1, k > 1
     df = df.withColumns(
         {
-            "sport": F.when(two, be(f, o, 2)).cast("int"),
-            "dport": F.when(two, be(f, o + 2, 2)).cast("int"),
-            "tcp_seq": F.when(tcp, be(f, o + 4, 4)),
-            "tcp_ack": F.when(tcp, be(f, o + 8, 4)),
-            "tcp_hlen": F.when(tcp, F.shiftright(be(f, o + 12, 1), 4) * 4).cast("int"),
-            "tcp_flags": F.when(tcp, be(f, o + 13, 1)).cast("int"),
-            "tcp_win": F.when(tcp, be(f, o + 14, 2)).cast("int"),
-            "tcp_checksum": F.when(tcp, be(f, o + 16, 2)).cast("int"),
-            "tcp_urgent": F.when(tcp, be(f, o + 18, 2)).cast("int"),
-            "udp_len": F.when(udp, be(f, o + 4, 2)).cast("int"),
-            "udp_checksum": F.when(udp, be(f, o + 6, 2)).cast("int"),
-            "icmp_type": F.when(icmp, be(f, o, 1)).cast("int"),
-            "icmp_code": F.when(icmp, be(f, o + 1, 1)).cast("int"),
-            "icmp_checksum": F.when(icmp, be(f, o + 2, 2)).cast("int"),
+            "sport": F.when(two, _be(o, 2)).cast("int"),
+            "dport": F.when(two, _be(o + 2, 2)).cast("int"),
+            "tcp_seq": F.when(tcp, _be(o + 4, 4)),
+            "tcp_ack": F.when(tcp, _be(o + 8, 4)),
+            "tcp_hlen": F.when(tcp, F.shiftright(_be(o + 12, 1), 4) * 4).cast("int"),
+            "tcp_flags": F.when(tcp, _be(o + 13, 1)).cast("int"),
+            "tcp_win": F.when(tcp, _be(o + 14, 2)).cast("int"),
+            "tcp_checksum": F.when(tcp, _be(o + 16, 2)).cast("int"),
+            "tcp_urgent": F.when(tcp, _be(o + 18, 2)).cast("int"),
+            "udp_len": F.when(udp, _be(o + 4, 2)).cast("int"),
+            "udp_checksum": F.when(udp, _be(o + 6, 2)).cast("int"),
+            "icmp_type": F.when(icmp, _be(o, 1)).cast("int"),
+            "icmp_code": F.when(icmp, _be(o + 1, 1)).cast("int"),
+            "icmp_checksum": F.when(icmp, _be(o + 2, 2)).cast("int"),
         }
     )
-    off = F.when(tcp, o + F.greatest(F.lit(20), F.col("tcp_hlen"))).when(udp, o + 8)
+    off = o + F.when(tcp, F.greatest(F.lit(20), F.col("tcp_hlen"))).when(udp, 8)
     df = df.withColumn("pay_off", off.cast("int"))
-    return df.withColumn("pay_len", F.when(F.col("pay_off").isNotNull(), F.greatest(F.lit(0), F.col("l4_end") - F.col("pay_off"))).cast("int"))
+    return df.withColumn("pay_len", F.when(F.col("pay_off").isNotNull(), F.greatest(F.lit(0), F.col("l4_end") - F.col("pay_off"))).cast("int")).drop("_l4")
 
 
 def with_headers(packets: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ def with_headers(packets: DataFrame) -> DataFrame:
     return _transport(_network(_link(packets)))
 
 
-def payload() -> F.Column:
+def payload() -> Column:
     """The transport payload of a row of with_headers()."""
     return F.when(F.col("pay_off").isNotNull(), F.substring("frame", F.col("pay_off") + 1, F.col("pay_len")))
 
@@ -151,7 +158,7 @@ def verified(df: DataFrame) -> DataFrame:
     head = piece("frame", F.col("l3_off"), F.col("ip_ihl"))
     body = piece("frame", F.col("l4_off"), F.col("l4_end") - F.col("l4_off"))
     size = F.col("l4_end") - F.col("l4_off")
-    pseudo = F.concat("ip_src", "ip_dst", to_bytes(F.col("l4_proto"), 4 if False else 2), to_bytes(size, 2))
+    pseudo = F.concat("ip_src", "ip_dst", to_bytes(F.col("l4_proto"), 2), to_bytes(size, 2))
     whole = (F.col("ip_len") + F.col("l3_off") <= F.length("frame")) & (F.coalesce("ip_frag", F.lit(0)) == 0)
     checked = whole & ((F.col("l4_proto") == 6) & F.col("tcp_seq").isNotNull() | (F.col("l4_proto") == 17) & (F.col("udp_checksum") != 0))
     return df.withColumns(

@@ -53,7 +53,8 @@ def event_frames(events: DataFrame) -> DataFrame:
     return df.withColumn("frame", frame).select(
         (e + 1).alias("frame_no"),
         "ts",
-        (F.unix_micros("ts") * 1000).alias("ts_ns"),
+        # the wall clock's microseconds, whatever the session's zone
+        (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") * 1000).alias("ts_ns"),
         F.lit(1).alias("linktype"),
         F.lit(0).cast("bigint").alias("interface_id"),
         F.length("frame").cast("bigint").alias("caplen"),

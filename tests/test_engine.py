@@ -190,7 +190,7 @@ def test_dissect_frames_and_filters(spark):
     assert [(r.proto, r.q) for r in got] == [("DNS", "a.example.com"), ("HTTP", None)]
     ids = lambda e: [r.frame_no for r in display_filter(df, e).collect()]
     assert ids("dns") == [1] and ids('http.request.method == "GET" && tcp') == [2] and ids('dns.qname matches "example\\.com$"') == [1]
-    assert ids("not dns and frame") == [2] and ids("dns.id in {0..5} or tcp.analysis.retransmission") == [1]
+    assert ids("not dns and frame") == [2] and ids("dns.id in {0..5} or tcp.analysis.retransmission == 1") == [1]
     m = match_filters(df, ["dns", "tcp", "udp and not http"]).orderBy("frame_no").collect()
     assert [(r.m0, r.m1, r.m2) for r in m] == [(True, False, True), (False, True, False)]
     assert limit_after(df, "tcp", 5).count() == 1
