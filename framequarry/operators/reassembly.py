@@ -153,10 +153,13 @@ def follow_stream(frames: DataFrame, hold: int | None = None, cap: int | None =
 
 def stream_packets(frames: DataFrame, conversation: int) -> DataFrame:
     """frame_no, ts_ns, seq, ack, len, win, to_server, flags of the conversation whose first frame is `conversation`."""
-    df = _ready(frames).where(F.col("sport").isNotNull()).withColumn("k", conversation_key())
-    first = df.where(F.col("frame_no") == conversation).select(F.col("k").alias("fk"), F.col("ip_src").alias("fip"), F.col("sport").alias("fport"))
-    own = df.join(F.broadcast(first), F.col("k") == F.col("fk"))  # one row
-    return own.select("frame_no", "ts_ns", F.col("tcp_seq").alias("seq"), F.col("tcp_ack").alias("ack"), F.col("pay_len").alias("len"), F.col("tcp_win").alias("win"), ((F.col("ip_src") == F.col("fip")) & (F.col("sport") == F.col("fport"))).alias("to_server"), flag_text().alias("flags"))
+    df = _ready(frames).where(F.col("sport").isNotNull())
+    ends = ["ip_src", "sport", "ip_dst", "dport"]
+    first = df.where(F.col("frame_no") == conversation).select(F.col("l4_proto").alias("_p"), *(F.col(c).alias(f"_{c}") for c in ends))
+    same = F.col("ip_src").eqNullSafe(F.col("_ip_src")) & (F.col("sport") == F.col("_sport")) & (F.col("ip_dst") == F.col("_ip_dst")) & (F.col("dport") == F.col("_dport"))
+    back = F.col("ip_src").eqNullSafe(F.col("_ip_dst")) & (F.col("sport") == F.col("_dport")) & (F.col("ip_dst") == F.col("_ip_src")) & (F.col("dport") == F.col("_sport"))
+    own = df.join(F.broadcast(first), (F.col("l4_proto") == F.col("_p")) & (same | back))  # one row
+    return own.select("frame_no", "ts_ns", F.col("tcp_seq").alias("seq"), F.col("tcp_ack").alias("ack"), F.col("pay_len").alias("len"), F.col("tcp_win").alias("win"), same.alias("to_server"), flag_text().alias("flags"))
 
 
 def half_stream_sizes(frames: DataFrame) -> DataFrame:
