@@ -27,8 +27,8 @@ _PIECES = re.compile(f"[ \n]*(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)|[ \n]+")
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _CHUNKS = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
-#: A worker knows at most twice so many pieces; pieces longer than LONGEST are not kept.
-MOST_PIECES, LONGEST = 500_000, 64
+#: A worker knows at most twice so many pieces (the second number where an encoder is slow); longer ones than LONGEST are not kept.
+MOST_PIECES, MANY_PIECES, LONGEST = 150_000, 500_000, 64
 
 
 def safe_pieces(text: str) -> list[str]:
@@ -49,8 +49,8 @@ class PieceCoder(dict):
     Two generations: once this one is full it becomes the older, whose pieces come back when they are asked for.
     """
 
-    def __init__(self, encode_many):
-        self.encode_many, self.older = encode_many, {}
+    def __init__(self, encode_many, most: int = MOST_PIECES):
+        self.encode_many, self.older, self.most = encode_many, {}, most
 
     def ids(self, text: str) -> bytes:
         pieces = safe_pieces(text)
@@ -58,7 +58,7 @@ class PieceCoder(dict):
             return b"".join(map(self.__getitem__, pieces))
         except KeyError:
             pass
-        if len(self) > MOST_PIECES:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         new = []

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _U, arrow_map, mix, span_hashes, stash, text_slices
+from .common import _U, arrow_map, mix, release, span_hashes, stash, text_slices
 
 #: Bytes of text in a chunk, bytes of text for each bucket, and suffixes sorted at once.
 CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 16 << 20, 150_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _zip(b: bytes) -> bytes:
@@ -379,6 +379,7 @@ def shared_minimisers(chunks: DataFrame, length: int, k: int, buckets: int) -> D
         every = np.sort(np.concatenate(rows))
         shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(r[m] for r, m in zip(rows, many, strict=True))]))
         out = []
+        release()
         for r in rows:
             at = np.searchsorted(shared, r)
             out.append(r[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == r)].tobytes() if len(shared) else b"")
@@ -405,6 +406,7 @@ def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
         rows: dict[str, list] = {"bucket": [], "chunk": [], "blob": []}
+        release()
         if left.num_rows:
             known = [(np.uint64(b) << _U(32)) | np.frombuffer(x, "<u4").astype(_U) for b, x in zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), strict=True) if b >= 0]
             known = np.sort(np.concatenate(known)) if known else np.empty(0, _U)
@@ -461,6 +463,7 @@ def _bucket_spans(sent: DataFrame, length: int) -> DataFrame:
     def scan(key, table):
         if key[0].as_py() < 0:
             return pa.table({"chunk": table["chunk"], "spans": table["blob"]})
+        release()
         bucket = Bucket(list(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True)))
         parts = [x[1:] for x in bucket.scan(length) if x[0] == "spans" and len(x[1])]
         if not parts:
@@ -507,6 +510,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
 
     def apply(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in names}
+        release()
         if left.num_rows:
             ids, size = np.frombuffer(left["ids"][0].as_py(), "<i8"), np.frombuffer(left["sizes"][0].as_py(), "<i4").astype(np.int64)
             text = memoryview(_unzip(left["text"][0].as_py()))

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PieceCoder, _empty_safe
+from .bpe import MANY_PIECES, PieceCoder, _empty_safe
 from .common import arrow_map, stash, text_slices, work_dir
 
 MANIFEST = "part int, data string, docs string, first_doc bigint, n_docs bigint, n_tokens bigint"
@@ -42,7 +42,7 @@ def tokenizers_coder(path: str) -> tuple[PieceCoder, np.dtype]:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        coder = PieceCoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        coder = PieceCoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)], MANY_PIECES)
         _coders[path] = coder, np.dtype(np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
     return _coders[path]
 
