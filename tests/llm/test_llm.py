@@ -454,7 +454,7 @@ def test_pipeline(spark, tmp_path):
     secret = " ".join(words(rng, 12))
     rows = [(i, " ".join(words(rng, 80)), "en" if i % 2 else None, "s", 5) for i in range(40)]
     rows += [(50, "12 !!", "en", "s", 5), (51, None, "en", "s", None), (52, rows[7][1] + " tail", "en", "s", 5)]
-    rows += [(60, f"left {passage} right words", "en", "s", 5), (61, f"other {passage} things entirely", "en", "s", 5), (62, f"x y {secret} z", "en", "s", 5)]
+    rows += [(60, f"{' '.join(words(rng, 15))} {passage} right words", "en", "s", 5), (61, f"{' '.join(words(rng, 15))} {passage} things entirely", "en", "s", 5), (62, f"x y {secret} z", "en", "s", 5)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, secret)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = common.table(spark, str(tmp_path), "documents")
