@@ -421,13 +421,12 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "a.pcapng").write_bytes(w.start() + b"".join(w.packet(f, 1, 1_700_000_000_000_000_000 + i) for i, f in enumerate(items)))
 
     def drained(df, mode):
-        q = df.writeStream.format("memory").queryName(f"q{abs(hash(mode + str(df.columns)))}").outputMode(mode).option("checkpointLocation", f"{tmp_path}/c{abs(hash(str(df.columns)))}").start()
-        q.processAllAvailable()
-        q.stop()
+        q = df.writeStream.format("memory").queryName(f"q{abs(hash(mode + str(df.columns)))}").outputMode(mode).option("checkpointLocation", f"{tmp_path}/c{abs(hash(str(df.columns)))}").trigger(once=True).start()
+        q.awaitTermination(120)  # operators with timeouts would run empty batches for ever
         return spark.table(q.name).collect()
 
     source = lambda: captures.read_capture_stream(spark, f"file://{tmp_path}/in")
-    assert {r.packets for r in drained(flows.conversation_totals(source()), "complete")} == {5, 2} or True
+    assert 5 in {r.packets for r in drained(flows.conversation_totals(source()), "complete")}
     state = drained(flows.tcp_analysis_stream(source()), "append")
     assert sum(r.a_retransmission for r in state) == 1
     whole = drained(flows.defragment_stream(source()), "append")
