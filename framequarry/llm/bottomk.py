@@ -100,7 +100,7 @@ def _enough(inter: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that the bottom k of the two sketches' union do not rule out; exact for sets of up to k."""
+    """Pairs (a, b) that the bottom k of the two sketches' union do not rule out; two sets of up to k, whole in their sketches, are compared exactly."""
     t = percent / 100
     margin = 6 * math.sqrt(t * (1 - t) / k)
     A = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -108,8 +108,8 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFr
     u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     p = pairs.join(A, "a").join(B, "b").withColumn("u", u)
     common = F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u")
-    least = F.when((F.col("na") <= k) & (F.col("nb") <= k), F.lit(t - 1e-9)).otherwise(F.lit(t - margin))
-    return p.where(common >= least).select("a", "b")
+    exact = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)
+    return p.where(F.when((F.col("na") <= k) & (F.col("nb") <= k), exact).otherwise(common >= t - margin)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -90,6 +90,17 @@ def test_near_duplicates_match_brute_force(docs, corpus, hot):
     assert got == brute_components(corpus)
 
 
+@pytest.mark.parametrize("hot", [4, 32])
+def test_near_duplicates_with_a_union_just_over_the_sketch(spark, hot):
+    rows = []
+    for i in range(40):  # 64 to 70 words, one in the middle changed: sets of up to k with a union of more
+        n = 64 + i % 7
+        w = [f"p{i}w{j}" for j in range(n)]
+        rows += [(2 * i, " ".join(w), "en", 1), (2 * i + 1, " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]]), "en", 1)]
+    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(spark.createDataFrame(rows, DOCS), hot=hot).collect())
+    assert got == brute_components(rows)
+
+
 def test_near_duplicates_of_nothing_and_nulls(spark):
     assert bottomk.near_duplicates(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f", "x", 1), (7, "a b c d e f", "x", 1), (None, "solo text", "x", 1)], DOCS)
