@@ -140,22 +140,24 @@ def _stats(column: pa.Array) -> np.ndarray:
 def train(feats: DataFrame, labels: DataFrame, where: Column, label_col: str = "quality", per_class: int = 20000, width: int = 256, gamma: float = 0.03, ridge: float = 1.0, seed: int = 20240501, id_col: str = "doc_id") -> Model | None:
     """per_class bounds the labelled rows: half the sample fits the regression, the other half the calibration.
 
+    A class that is thinned counts by its rows' weights everywhere, so the labels' natural shares hold at any size.
+
     Every partition sums its rows' outer products; the sums of at most `parts` partitions meet on the driver,
     width**2 numbers each.
     """
     parts = 8
     sample = bounded_labels(labels, where, label_col, per_class, id_col)
-    rows = stash(feats.join(F.broadcast(sample), id_col).select("stats", "label", "part").repartition(parts), "quality-sample")
+    rows = stash(feats.join(F.broadcast(sample), id_col).select("stats", "label", "part", "weight").repartition(parts), "quality-sample")
     spark = rows.sparkSession
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, q = 0, np.zeros(N_STATS), np.zeros(N_STATS)
+        n, s, q = 0.0, np.zeros(N_STATS), np.zeros(N_STATS)
         for b in batches:
-            x = _stats(b.column(0))
-            n, s, q = n + len(x), s + x.sum(0), q + (x * x).sum(0)
+            x, w = _stats(b.column(0)), b.column(3).to_numpy()
+            n, s, q = n + float(w.sum()), s + w @ x, q + w @ (x * x)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "s": pa.array([s.tolist()]), "q": pa.array([q.tolist()])})
 
-    got = arrow_map(rows, moments, "n bigint, s array<double>, q array<double>").collect()
+    got = arrow_map(rows, moments, "n double, s array<double>, q array<double>").collect()
     n = sum(r.n for r in got)
     if not n:
         return None
@@ -171,8 +173,9 @@ def train(feats: DataFrame, labels: DataFrame, where: Column, label_col: str = "
             for at in range(0, b.num_rows, 4096):
                 x, y = _stats(b.column(0).slice(at, 4096)), b.column(1).slice(at, 4096).to_numpy().astype(float)
                 z = held.value.cosines(x)
-                A += z.T @ z
-                c += z.T @ y
+                wz = z * b.column(3).slice(at, 4096).to_numpy()[:, None]
+                A += wz.T @ z
+                c += wz.T @ y
         yield pa.RecordBatch.from_pydict({"a": pa.array([A.tobytes()]), "c": pa.array([c.tobytes()])})
 
     got = arrow_map(rows.where("part = 0"), normal, "a binary, c binary").collect()
@@ -183,19 +186,19 @@ def train(feats: DataFrame, labels: DataFrame, where: Column, label_col: str = "
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"x": pa.array(fitted.value.raw(_stats(b.column(0)))), "label": b.column(1)})
+            yield pa.RecordBatch.from_pydict({"x": pa.array(fitted.value.raw(_stats(b.column(0)))), "label": b.column(1), "weight": b.column(3)})
 
     # a bounded sample in full: per_class rows of each class at most
-    seen = arrow_map(rows.where("part = 1"), measure, "x double, label int").toArrow()
-    x, y = seen["x"].to_numpy(), seen["label"].to_numpy().astype(float)
+    seen = arrow_map(rows.where("part = 1"), measure, "x double, label int, weight double").toArrow()
+    x, y, w = seen["x"].to_numpy(), seen["label"].to_numpy().astype(float), seen["weight"].to_numpy()
     if not len(x):
         model.top, model.value = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         return model
     order = np.argsort(x, kind="stable")
     x, first, place = np.unique(x[order], return_index=True, return_inverse=True)
-    k = np.bincount(place).astype(float)
     # the sample holds classes at its own rates; weights undo them
-    model.top, model.value = isotonic(x, np.bincount(place, y[order]) / k, k)
+    k = np.bincount(place, w[order])
+    model.top, model.value = isotonic(x, np.bincount(place, (w * y)[order]) / k, k)
     return model
 
 

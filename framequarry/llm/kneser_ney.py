@@ -18,6 +18,7 @@ both classes every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +36,21 @@ _FOLD[65:91] += 32
 
 
 def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, most: int | None = None, parts: int = 2) -> DataFrame:
-    """id_col, label and `part` (below `parts`, by a hash of the id): about per_class rows of each class; with fewer, all.
+    """id_col, label, `part` (below `parts`, by a hash of the id) and weight: about per_class rows of each class; with fewer, all.
 
-    With `most`, a class may give `most` times as many rows as the smallest one does.
+    The weight is how many rows of its class a row stands for, 1 where all are taken. With `most`, a class may give `most` times as many rows as the smallest one does.
     """
     rows = labels.where(where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {int(r[0]): r[1] for r in rows.groupBy(label_col).count().collect()}
     if most and sizes:
         per_class = most * min(per_class, *sizes.values())
-    rate = F.lit(0.0)
+    limit, weight = F.lit(0), F.lit(1.0)
     for k, v in sizes.items():
-        rate = F.when(F.col(label_col) == k, F.lit(min(1.0, per_class / v))).otherwise(rate)
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("label"), F.col(id_col)), F.lit(1 << 20)) < rate * (1 << 20))
-    return chosen.select(F.col(id_col), F.col(label_col).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(parts)).cast("int").alias("part"))
+        n = math.ceil(min(1.0, per_class / v) * (1 << 20))  # of 2**20 hashes, those that are chosen
+        limit = F.when(F.col(label_col) == k, F.lit(n)).otherwise(limit)
+        weight = F.when(F.col(label_col) == k, F.lit((1 << 20) / n)).otherwise(weight)
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("label"), F.col(id_col)), F.lit(1 << 20)) < limit)
+    return chosen.select(F.col(id_col), F.col(label_col).cast("int").alias("label"), F.pmod(F.xxhash64(F.lit("part"), F.col(id_col)), F.lit(parts)).cast("int").alias("part"), weight.alias("weight"))
 
 
 def _tail(keys: np.ndarray, n: int) -> np.ndarray:

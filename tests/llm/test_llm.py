@@ -398,6 +398,22 @@ def test_quality_held_out(spark):
     assert {r.score for r in fourier_quality.score(feats, fourier_quality.train(feats, labels.limit(0), F.lit(True))).collect()} == {0.0}
 
 
+def test_quality_does_not_change_with_the_sample(spark):
+    rng = np.random.default_rng(4)
+    stats = rng.normal(size=(12000, fourier_quality.N_STATS))
+    y = (rng.random(12000) < 1 / (1 + np.exp(-1.2 * stats[:, 0] - 2))).astype(int)
+    ids = np.arange(12000)
+    feats = spark.createDataFrame(pa.table({"doc_id": ids, "stats": list(stats)}))
+    labels = spark.createDataFrame(pa.table({"doc_id": ids, "quality": pa.array(y, pa.int32())}))
+    scores = []
+    for cap in (20000, 1500):  # all rows; both classes thinned, each at its own rate
+        model = fourier_quality.train(feats, labels, F.lit(True), per_class=cap)
+        scores.append(model.score(stats))
+    assert min(y.sum(), len(y) - y.sum()) > 1500
+    assert abs(scores[0].mean() - y.mean()) < 0.03 and abs(scores[1].mean() - y.mean()) < 0.03
+    assert np.mean((scores[0] >= 0.3) != (scores[1] >= 0.3)) < 0.05
+
+
 def test_toxicity_held_out(spark):
     docs, labels = labelled(spark)
     model = kneser_ney.train(docs, labels, ~common.held_out("doc_id"))
