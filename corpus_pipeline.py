@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
-    got = bottomk.near_duplicates(docs)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    got = bottomk.near_duplicates(docs, words=5, percent=80)
     drop = stash(got.where("id != component").select(F.col("id").alias("doc_id")), "dropped")
     return docs.join(_small(drop), "doc_id", "left_anti").select(COLUMNS)
 

@@ -116,6 +116,15 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{50 + i: 50 for i in range(20)}, 100: 50, 200: 200, 201: 200}
 
 
+def test_near_duplicate_stage_takes_similarity_from_80_percent(spark):
+    import corpus_pipeline
+
+    w = [f"s{j}" for j in range(60)]
+    texts = [w, [*w[:30], "changed", *w[31:]], [*w[:20], "one", *w[21:40], "two", *w[41:]]]  # 51 of 61 shingles, 46 of 66 with the first
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "x", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
 # ---- 4: repeats ----------------------------------------------------------------------------------------
 
 
