@@ -142,8 +142,9 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10, rare: int
 def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text_col: str = "text") -> DataFrame:
     """query_col, id_col, first, last: the places where all of a query's distinct words stand within `distance` words.
 
-    From each posting of the query's rarest word, the nearest posting of every other word to either side is sought
-    among those at most `distance` away; first and last span them. Queries without words match nothing.
+    Around each posting of the query's rarest word, a window slides over the postings at most `distance` away; first and
+    last bound every window that holds that posting and all words and could not start later or end earlier. Each
+    place is given once. Queries without words match nothing.
     """
     rows = keyed(docs, id_col, text_col)
     q = item_words(queries, query_col, query_text_col).select("item", F.col("item_id").alias("q"), F.explode(F.array_distinct("words")).alias("term"))
@@ -155,6 +156,11 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_col
     rarest = index.where("r = 1").select("item", "d", "h", F.col("pos").alias("p0"), F.explode(F.array(F.expr(f"cast(floor(pos / {distance + 1}) - 1 as bigint)"), F.expr(f"cast(floor(pos / {distance + 1}) as bigint)"), F.expr(f"cast(floor(pos / {distance + 1}) + 1 as bigint)"))).alias("cell"))
     near = index.select("item", "q", "d", "h", "term", "pos", F.expr(f"cast(floor(pos / {distance + 1}) as bigint)").alias("cell"))
     met = rarest.join(near, ["item", "d", "h", "cell"]).where(F.abs(F.col("pos") - F.col("p0")) <= distance)
-    nearest = met.groupBy("item", "q", "d", "h", "p0", "term").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("p0")), "pos")).alias("pos"))
-    spans = nearest.groupBy("item", "q", "d", "h", "p0").agg(F.count("*").alias("m"), F.min("pos").alias("first"), F.max("pos").alias("last")).join(_small(sizes), "item")
-    return spans.where((F.col("m") == F.col("k")) & (F.col("last") - F.col("first") <= distance)).select(F.col("q").alias(query_col), F.col("d").alias(id_col), "first", "last")
+    around = met.groupBy("item", "q", "d", "h", "p0").agg(F.collect_set(F.struct("pos", "term")).alias("near"))
+    starts = around.withColumn("first", F.explode(F.filter("near", lambda x: x["pos"] <= F.col("p0"))["pos"]))
+    ahead = starts.withColumn("x", F.explode("near")).where((F.col("x.pos") >= F.col("first")) & (F.col("x.pos") <= F.col("first") + distance))
+    ends = ahead.groupBy("item", "q", "d", "h", "p0", "first", "x.term").agg(F.min("x.pos").alias("pos"))
+    windows = ends.groupBy("item", "q", "d", "h", "p0", "first").agg(F.count("*").alias("m"), F.greatest("p0", F.max("pos")).alias("last")).join(_small(sizes), "item")
+    whole = windows.where((F.col("m") == F.col("k")) & (F.col("last") - F.col("first") <= distance))
+    places = whole.groupBy("item", "q", "d", "h", "p0", "last").agg(F.max("first").alias("first")).select("item", "q", "d", "h", "first", "last").distinct()
+    return places.select(F.col("q").alias(query_col), F.col("d").alias(id_col), "first", "last")

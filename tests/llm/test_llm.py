@@ -236,6 +236,17 @@ def test_proximity(spark):
     assert got == [(9, 1, 0, 4), (9, 2, 0, 2)]
 
 
+def test_proximity_of_repeated_words(spark):
+    rng = np.random.default_rng(6)
+    texts = ["b a x b c", *(" ".join(rng.choice(list("abcxyz"), 25)) for _ in range(12))]
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], DOCS)
+    got = {tuple(r) for r in decontaminate.proximity_matches(docs, spark.createDataFrame([(9, "a b c")], "query_id bigint, text string"), 3).collect()}
+    holds = lambda w, f, e: set("abc") <= set(w[f : e + 1])
+    every = {(9, i, f, e) for i, t in enumerate(texts) for w in [t.split()] for f in range(len(w)) for e in range(f, min(f + 4, len(w))) if holds(w, f, e)}
+    least = {(q, i, f, e) for q, i, f, e in every for w in [texts[i].split()] if not holds(w, f + 1, e) and not holds(w, f, e - 1)}
+    assert (9, 0, 1, 4) in got and least <= got <= every
+
+
 # ---- 5: top k ------------------------------------------------------------------------------------------
 
 
