@@ -6,18 +6,25 @@ member of a class goes on. Its sketch is the `k` smallest hashes.
 1. Inverted lists. Each of a class's `index` smallest hashes is posted. Two sets whose similarity reaches the
    threshold t have an element among the smallest of their union in common but with a chance of
    (1 - t) ** index (10**-13 at 85 %, 10**-11 at 80 %; never missed in sets of up to `index` elements).
-2. Lists of up to `hot` classes yield their pairs, filtered by size and by the similarity that the union of the two
-   sketches estimates, six standard deviations below the threshold.
-3. Longer lists (a passage that many texts share, a text with thousands of edited copies) yield no pairs.
-   Their classes are indexed again by their whole sets, rarest shingles first: classes within the threshold
-   share one of their first |A| - ceil(t |A|) + 1 shingles, at places that leave room for the overlap they need.
-   A passage's shingles are the commonest and stand last. In every such list all members are first compared with
-   one pivot; then only pairs that are not yet connected and have room are compared. So a group of copies costs
-   about its size, not its square, and no link that would connect anything is lost.
-4. Every link is confirmed on the two whole sets; components follow.
+2. In every list each class is first compared with one pivot, the list's smallest id. So a group of copies costs about
+   its size, not its square. Then lists of up to `hot` classes that are not one component yet yield their other pairs.
+3. Longer lists (a passage that many texts share, a text with thousands of edited copies) yield no pairs. Only their
+   classes go on: their whole sketches are posted, and a list is again compared with a pivot, then, if short, in pairs.
+   Two linked sets share nearly t * k values of their sketches, all of which now stand in lists too long for pairs,
+   so a class with fewer such values (`_least_shared`, a chance of 10**-10 by the hypergeometric tail) is done.
+4. The few classes left (templates) are indexed by their whole sets, rarest shingles first: classes within
+   the threshold share one of their first |A| - ceil(t |A|) + 1 shingles, at places that leave room for the overlap
+   they need. Of pairs there, only those that are not connected and have room are compared.
+5. Pairs are filtered by size and by the similarity that the union of the two sketches estimates, six standard
+   deviations below the threshold (exactly, where two whole sets fit their sketches); every link is then confirmed on
+   the two whole sets. Components follow.
+
+Elements are 64-bit hashes without structure that texts could exploit, so two sets of n elements take a false common
+element with a chance of n**2 / 2**64.
 
 Rows with a null id get the component of their set's other rows, if any has an id, and else null. Null and empty
-texts have an empty set and stand alone. Rows with the same id are rows of their own. Extra columns are ignored.
+texts have an empty set and stand alone. Rows with the same id are rows of their own. Repeated rows repeat. An empty table
+gives no rows. Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, arrow_map, mix, sequence_hashes, span_hashes, stash, text_slices, word_spans
+from .common import NOT_SPACE, arrow_map, drop, mix, sequence_hashes, small, span_hashes, stash, text_slices, word_spans
 from .components import connected_components
 
-#: Ids of at most this many documents are broadcast to pick their texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 200_000
+#: A list of ids is broadcast to pick their texts if it is at most so large on disk; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
 
 def shingle_sets(part, words_in: int) -> list[np.ndarray]:
@@ -64,8 +71,8 @@ def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, words: int = 5, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), f1 and f2 (the set's fingerprint), sketch (its k smallest hashes)."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    """id, text_hash (tells rows with one id apart), n (set size), f1 and f2 (the set's fingerprint), sketch (its k smallest hashes)."""
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 1 << 20):
@@ -73,106 +80,157 @@ def signatures(docs: DataFrame, words: int = 5, k: int = 64, id_col: str = "doc_
             u = [x.view(np.uint64) for x in sets]
             f1 = [int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in u]
             f2 = [int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in u]
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _list_array([x[:k] for x in sets])], names=["id", "n", "f1", "f2", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), part.batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _list_array([x[:k] for x in sets])], names=["id", "text_hash", "n", "f1", "f2", "sketch"])
 
-    return arrow_map(src, run, "id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
+    return arrow_map(src, run, "id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, hashes of the classes in `ids`, from their representatives' texts; each id once."""
-    n = ids.count()
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    src = src.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", 1 << 20):
-            sets = shingle_sets(part, words)
-            f1 = [int(x.view(np.uint64).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in sets]
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(f1, pa.int64()), _list_array(sets)], names=["id", "f1", "hashes"])
-
-    got = arrow_map(src, run, "id bigint, f1 bigint, hashes array<bigint>")
-    # an id that several texts bear: keep the one that the class is of
-    return got.join(reps.select("id", "f1", "n"), ["id", "f1"], "left_semi").dropDuplicates(["id"]).select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _enough(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return inter * 100 >= (a + b - inter) * percent
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that the bottom k of the two sketches' union do not rule out; two sets of up to k, whole in their sketches, are compared exactly."""
-    t = percent / 100
-    margin = 6 * math.sqrt(t * (1 - t) / k)
-    A = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    B = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    p = pairs.join(A, "a").join(B, "b").withColumn("u", u)
-    common = F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u")
-    exact = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), percent)
-    return p.where(F.when((F.col("na") <= k) & (F.col("nb") <= k), exact).otherwise(common >= t - margin)).select("a", "b")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = stash(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stash(whole_sets(docs, ids, reps, words, id_col, text_col), "sets")
-    A = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    B = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-    return stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "links")
-
-
 def _sizes_allow(na: Column, nb: Column, percent: int) -> Column:
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+    return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, k: int = 64, index: int = 16, hot: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, component of every row: links are pairs with 100 * |A & B| >= percent * |A | B|."""
+def _least_shared(k: int, percent: int) -> int:
+    """How many of k smallest elements of a union two sets within the threshold share at least, but with a chance of about 10**-10."""
+    t = percent / 100
+    return max(1, math.floor(t * k - 6.4 * math.sqrt(t * (1 - t) * k)))
+
+
+class _Matcher:
+    """The classes of one run, and how pairs of them become links."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str):
+        self.src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        self.reps, self.words, self.percent, self.k = reps, words, percent, k
+        self.links: list[DataFrame] = []
+        self.comps: DataFrame | None = None
+
+    def whole_sets(self, ids: DataFrame) -> DataFrame:
+        """id, n, hashes of the classes in `ids`, from their representatives' texts; each id once."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, "text", 1 << 20):
+                sets = shingle_sets(part, words)
+                f1 = [int(x.view(np.uint64).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in sets]
+                yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(f1, pa.int64()), _list_array(sets)], names=["id", "f1", "hashes"])
+
+        got = arrow_map(self.src.join(small(ids, BROADCAST_BYTES), "id", "left_semi"), run, "id bigint, f1 bigint, hashes array<bigint>")
+        # an id that several texts bear: the one that the class is of
+        own = got.join(self.reps.select("id", "f1", "n"), ["id", "f1"], "left_semi")
+        return own.dropDuplicates(["id"]).select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that the sizes and the bottom k of the two sketches' union do not rule out."""
+        k, t = self.k, self.percent / 100
+        margin = 6 * math.sqrt(t * (1 - t) / k)
+        A = self.reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        B = self.reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
+        p = pairs.join(A, "a").join(B, "b").where(_sizes_allow(F.col("na"), F.col("nb"), self.percent)).withColumn("u", u)
+        common = F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u")
+        exact = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), self.percent)
+        return p.where(F.when((F.col("na") <= k) & (F.col("nb") <= k), exact).otherwise(common >= t - margin)).select("a", "b")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms pairs (a, b) on their whole sets; links grow, and components with them."""
+        pairs = stash(self.estimated(pairs), "pairs")
+        if pairs.isEmpty():
+            drop(pairs)
+            if self.comps is None:
+                self.comps = pairs.sparkSession.createDataFrame([], "id bigint, component bigint")
+            return
+        sets = stash(self.whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        A = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+        B = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+        both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+        self.links.append(stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links"))
+        drop(pairs, sets)
+        links = self.links[0]
+        for more in self.links[1:]:
+            links = links.union(more)
+        old, self.comps = self.comps, stash(connected_components(links).withColumnRenamed("node", "id"), "components")
+        if old is not None and hasattr(old, "_fq_stash"):
+            drop(old)
+
+    def mixed(self, entries: DataFrame) -> DataFrame:
+        """entries (v, id, ...) with their component, of lists v that hold more than one component."""
+        placed = entries.join(self.comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("v")
+        return placed.join(several, "v", "left_semi")
+
+    def star(self, entries: DataFrame) -> DataFrame:
+        """Each class of a list with the list's smallest id."""
+        pivots = entries.groupBy("v").agg(F.min_by(F.struct("id", "n"), "id").alias("p"))
+        near = entries.join(pivots, "v").where((F.col("id") != F.col("p.id")) & _sizes_allow(F.col("n"), F.col("p.n"), self.percent))
+        return near.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+
+    def pairs(self, entries: DataFrame, room: Column | None = None) -> DataFrame:
+        """The pairs of a list's classes that are of different components."""
+        L, R = (entries.select("v", *(F.col(c).alias(c + x) for c in entries.columns if c != "v")) for x in "ab")
+        apart = (F.col("componenta") != F.col("componentb")) & (F.col("ida") < F.col("idb")) & _sizes_allow(F.col("na"), F.col("nb"), self.percent)
+        return L.join(R, "v").where(apart if room is None else apart & room).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """posted (v, id, n) with c, the length of its list; lists of one are left out."""
+    return posted.join(posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "v")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index: int = 16, hot: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, n, component of every row: links are pairs with 100 * |A & B| >= percent * |A | B|."""
     sig = stash(signatures(docs, words, k, id_col, text_col), "signatures")
     classes = stash(sig.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     reps = classes.where(F.col("id").isNotNull())
+    m = _Matcher(docs, reps, words, percent, k, id_col, text_col)
 
     posted = stash(reps.select("id", "n", F.explode(F.slice("sketch", 1, index)).alias("v")), "posted")
-    lists = posted.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    entries = stash(posted.join(lists, "v"), "lists")
-    short = entries.where(F.col("c") <= hot)
-    L, R = (short.select("v", F.col("id").alias(x), F.col("n").alias("n" + x)) for x in "ab")
-    pairs = L.join(R, "v").where((F.col("a") < F.col("b")) & _sizes_allow(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    links = confirmed(estimated(pairs, reps, k, percent), docs, reps, words, percent, id_col, text_col)
-
-    crowded = stash(entries.where(F.col("c") > hot).select("id").distinct(), "crowded")
-    if crowded.limit(1).count():
-        links = links.union(_crowded_links(docs, crowded, reps, links, words, percent, k, id_col, text_col))
-    comps = connected_components(links)
-    label = classes.select("n", "f1", "f2", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
-    return sig.select("id", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-
-
-def _crowded_links(docs: DataFrame, crowded: DataFrame, reps: DataFrame, links: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Links among the classes of long lists (step 3), as far as components need them."""
-    sets = whole_sets(docs, crowded, reps, words, id_col, text_col)
-    each = stash(sets.select("id", "n", F.explode("hashes").alias("v")), "shingles")
-    often = each.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    known = each.join(often, "v")  # shingles of one class only can join nothing; how many precede matters alone
+    entries = stash(_lists(posted), "lists")
+    drop(posted)
+    m.add(m.star(entries))
+    m.add(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c"))))
+    long = stash(m.mixed(entries.where(F.col("c") > hot)).select("id").distinct(), "crowded")
+    drop(entries)
+    if not long.isEmpty():
+        _sketches_of(m, long, index, hot)
+    drop(long)
+    label = classes.select("n", "f1", "f2", "id").join(m.comps, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
+    return sig.select("id", "text_hash", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left").select("id", "text_hash", "n", F.coalesce("component", "id").alias("component"))
+
+
+def _sketches_of(m: _Matcher, ids: DataFrame, index: int, hot: int) -> None:
+    """Step 3: links among the classes `ids` by their whole sketches."""
+    entries = stash(_lists(m.reps.join(ids, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v"))), "sketch-lists")
+    m.add(m.star(entries))
+    m.add(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c"))))
+    held = m.mixed(entries.where(F.col("c") > hot)).groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    need = F.least(F.lit(_least_shared(m.k, m.percent)), F.ceil(F.col("n") * m.percent / 100))
+    left = stash(held.where(F.col("shared") >= need).select("id"), "templates")
+    drop(entries)
+    if not left.isEmpty():
+        _prefixes_of(m, left)
+    drop(left)
+
+
+def _prefixes_of(m: _Matcher, ids: DataFrame) -> None:
+    """Step 4: links among the classes `ids` by the rarest shingles of their whole sets."""
+    percent = m.percent
+    each = stash(m.whole_sets(ids).select("id", "n", F.explode("hashes").alias("v")), "shingles")
+    known = stash(_lists(each), "shared-shingles")  # shingles of one class only can join nothing; how many precede matters alone
+    drop(each)
     single = known.groupBy("id").agg(F.count("*").alias("shared"))
     place = Window.partitionBy("id").orderBy("c", "v")
     ranked = known.withColumn("i", F.row_number().over(place)).join(single, "id").withColumn("i", F.col("i") - 1 + F.col("n") - F.col("shared"))
-    need = F.ceil(F.col("n") * percent / 100)
-    prefix = stash(ranked.where(F.col("i") <= F.col("n") - need).select("v", "id", "n", "i"), "prefix")
-
-    pivots = prefix.groupBy("v").agg(F.min(F.struct("i", "id")).alias("p")).select("v", F.col("p.id").alias("p"))
-    star = prefix.join(pivots, "v").where(F.col("id") != F.col("p")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    first = confirmed(estimated(star, reps, k, percent), docs, reps, words, percent, id_col, text_col)
-
-    comps = connected_components(links.union(first)).withColumnRenamed("node", "id")
-    placed = stash(prefix.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    # lists that are one component by now are done
-    mixed = placed.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("v")
-    placed = placed.join(mixed, "v", "left_semi")
-    L, R = (placed.select("v", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("i").alias("i" + x), F.col("component").alias("c" + x)) for x in "ab")
+    prefix = stash(ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("v", "id", "n", "i"), "prefix")
+    drop(known)
+    m.add(m.star(prefix))
     overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap
-    rest = L.join(R, "v").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_allow(F.col("na"), F.col("nb"), percent) & room).select("a", "b").distinct()
-    second = confirmed(estimated(rest, reps, k, percent), docs, reps, words, percent, id_col, text_col)
-    return first.union(second)
+    m.add(m.pairs(m.mixed(prefix), F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap))
+    drop(prefix)

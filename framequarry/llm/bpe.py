@@ -2,7 +2,8 @@
 
 Long texts are split by a regular expression at boundaries that no match of the vocabulary's pattern can
 cross, so the pieces' ids, joined, are the whole text's ids; pieces that repeat are encoded once.
-A null text is an empty text: no ids, zero tokens. Rows are treated one by one: repeated rows repeat.
+A null text is an empty text: no ids, zero tokens. Rows are treated one by one: repeated rows repeat. A table without
+rows gives none. Ids may be of any type and null. Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import arrow_map, record, text_slices
 
@@ -131,7 +133,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256: encodes each text, decodes its ids and digests both in one pass."""
     src = docs.select(id_col, text_col)
-    out = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    id_type = to_arrow_schema(src.schema).field(0).type
+    out = pa.schema([(id_col, id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, coder = tiktoken_coder(ranks_path, pattern)
@@ -144,4 +147,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 text_hex.append(hashlib.sha256(e.decode_bytes(np.frombuffer(ids, "<u4").tolist())).hexdigest())
             yield record(out, part.batch.column(0), n, ids_hex, text_hex)
 
-    return arrow_map(src, run, f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

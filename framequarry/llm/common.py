@@ -1,11 +1,14 @@
 """What the text operators share: the shared work folder, Arrow text slices, and word and hash arithmetic.
 
-All heavy per-byte work is numpy over slices of a few MB, so a worker's memory does not depend on how
-many rows, or how long a text, a partition holds (one text is the least a slice can be).
+All heavy per-byte work is numpy over slices of a few MB, so a worker's memory does not depend on how many rows a
+partition holds. One text is the least a slice can be; operators work on a longer one in blocks where they can,
+so it costs a small multiple of its own size while it is worked on, and nothing afterwards.
 """
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,26 +23,72 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) sets its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import os
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "framequarry")
+        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below shared_dir."""
-    return f"{shared_dir(spark)}/fq-{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below shared_dir, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/fq-{label}-{uuid.uuid4().hex}"
+    p, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    return path
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fq_stash = path
+    if _scratch:
+        _scratch[-1].append(out)
+    return out
+
+
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables stashed inside are deleted at the end, but for those taken out of the list."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        drop(*_scratch.pop())
+
+
+def drop(*stashes: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again."""
+    for df in stashes:
+        p, fs = _hadoop_path(df.sparkSession, df._fq_stash)
+        fs.delete(p, True)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimiser's size of df: file sizes of what it reads, scaled by its columns; joins can only make it larger."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """df, to be broadcast if it is at most `limit` bytes large; otherwise Spark joins it by a shuffle."""
+    return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,35 +209,53 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed)) | _U(1)
 
 
-_BASE = 0xD1342543DE82EF95
-_BYTES = _odd(256, 7)
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _FOLDED[97:123]
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _LANES = _odd(64, 11)
-_powers: list[np.ndarray] = []
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=_U)
+#: Spans of more bytes than this are digested one by one.
+_LONG = 64
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0][:n], _powers[1][:n]
+def _loads(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as an integer, zeros after the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each span's bytes; with fold, A-Z count as a-z."""
+    """A 64-bit hash of each span's bytes; with fold, A-Z count as a-z.
+
+    Eight bytes at a time go through a mixing chain (long spans through BLAKE2), so no pattern of bytes collides by construction.
+    """
     if not len(start):
         return np.empty(0, _U)
-    power, inverse = _power(len(buf) + 1)
-    total = np.empty(len(buf) + 1, _U)
-    total[0] = 0
-    np.cumsum((_FOLDED if fold else _BYTES)[buf] * power[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(_U))
+    text = FOLD[buf] if fold else np.ascontiguousarray(buf)
+    load = _loads(text)
+    size = end - start
+    h = mix(size.astype(_U) * _LANES[0] + _LANES[1])
+    h = mix(h ^ (load[start] & _MASKS[np.minimum(size, 8)]))
+    at, n = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] ^ (load[start[at] + n] & _MASKS[np.minimum(size[at] - n, 8)]))
+        n += 8
+        at = at[size[at] > n]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def gram_hashes(buf: np.ndarray, start: np.ndarray | None, k: int) -> np.ndarray:
+    """A quick hash of the k bytes from each start on (None: each position that has so many): for dealing and filtering, where a clash costs work but no result."""
+    load = _loads(np.ascontiguousarray(buf))
+    n = len(buf) - k + 1
+    read = (lambda o: load[o : o + n]) if start is None else (lambda o: load[start + o])
+    if k < 8:
+        return mix((read(0) & _MASKS[k]) * _LANES[2])
+    total = read(0) * _LANES[2]
+    for j, o in enumerate([*range(8, k - 7, 8), *([k - 8] if k % 8 else [])], 3):
+        total += read(o) * _LANES[j % 64]
+    return mix(total)
 
 
 def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ when the words there are the phrase. Proximity matches intersect the same postin
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Null and empty texts have none.
 An item without words never matches; items with null ids match but are not listed. Documents are rows: rows with
 the same id and text have the same result, rows with the same id and other texts their own. An empty benchmark
-or corpus gives no hits or no rows.
+or corpus gives no hits or no rows. Columns other than the ids and the texts are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash
+from .common import scratch, small, stash
 
 #: What ends a word, before A-Z are lower-cased (they belong to words then).
 _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Small sides are broadcast up to so many rows; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast if it is at most so large on disk, as its files or the optimiser's bound say; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def _lower(w: Column) -> Column:
@@ -41,8 +41,7 @@ def count_words(raw: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its measured size is within BROADCAST_ROWS."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return small(df, BROADCAST_BYTES)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,7 +57,7 @@ def tokens(rows: DataFrame, *keep: str) -> DataFrame:
 
 def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """The stored index: term, d, h, pos for the given distinct terms."""
-    return stash(tokens(rows, "d", "h").join(_small(terms), "term"), "postings")
+    return stash(tokens(rows, "d", "h").join(_small(stash(terms, "terms")), "term"), "postings")
 
 
 def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -69,7 +68,7 @@ def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """term, f: how often each of the distinct terms occurs."""
-    return stash(tokens(rows).join(_small(terms), "term").groupBy("term").agg(F.count("*").alias("f")), "frequencies")
+    return stash(tokens(rows).join(_small(stash(terms, "terms")), "term").groupBy("term").agg(F.count("*").alias("f")), "frequencies")
 
 
 def _bit(o: Column) -> Column:
@@ -108,35 +107,43 @@ def phrase_candidates(rows: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc id, n_words, matches of every document.
+    """doc id, text_hash, n_words, matches of every document.
 
-    matches: array of (item_id, first: number of the first word, n: words) for every phrase of `length`
-    consecutive item words (a shorter item is one phrase) that the document holds.
+    matches: array of (item_id, n: words, first: numbers of the first words) for every item of whose phrases of
+    `length` consecutive words (a shorter item is one phrase) the document holds any.
     """
     rows = keyed(docs, id_col, text_col)
-    items = item_words(items, item_col, item_text_col)
-    freq = frequencies(rows, items.select(F.explode("words").alias("term")).distinct())
-    phrases = _phrases(items, freq, length, rare)
-    found = phrase_candidates(rows, phrases).join(_small(phrases.select("item", "item_id", "words", "n")), "item")
-    # alike to a document's own words, in one row for each document
-    grouped = stash(found.groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "words", "n", "shift", "starts")).alias("c")), "candidates-by-document")
+    with scratch() as made:
+        items = item_words(items, item_col, item_text_col)
+        freq = frequencies(rows, items.select(F.explode("words").alias("term")).distinct())
+        phrases = _phrases(items, freq, length, rare)
+        places = phrase_candidates(rows, phrases).select("d", "h", "item", F.explode("starts").alias("s"), "shift")
+        # an item's words once for each document, beside the places to compare; then one row for each document
+        by_item = places.groupBy("d", "h", "item").agg(F.collect_list(F.struct((F.col("shift") + F.col("s")).cast("int").alias("p"), F.col("s").cast("int").alias("s"))).alias("at"))
+        found = by_item.join(_small(phrases.select("item", "item_id", "words", "n")), "item")
+        grouped = stash(found.groupBy("d", "h").agg(F.collect_list(F.struct("item_id", "words", "n", "at")).alias("c")), "candidates-by-document")
+        made.remove(grouped)
     both = rows.withColumn("raw", raw_words(F.col("text"))).join(_small(grouped).withColumnRenamed("d", "cd").withColumnRenamed("h", "ch"), F.col("d").eqNullSafe(F.col("cd")) & (F.col("h") == F.col("ch")), "left")
     words = F.transform("raw", _lower)
     lead = F.when(F.element_at("raw", 1) == "", 1).otherwise(0)
-    both = both.select("d", count_words(F.col("raw")).alias("n_words"), F.when(F.col("c").isNotNull(), words).alias("w"), lead.alias("lead"), "c")
-    there = lambda c, s: (c["shift"] + s >= 0) & (F.slice(F.col("w"), F.greatest(F.lit(1), c["shift"] + s + 1), c["n"]) == F.slice(c["words"], s + 1, c["n"]))
-    match = lambda c: F.transform(F.filter(c["starts"], lambda s: there(c, s)), lambda s: F.struct(c["item_id"].alias("item_id"), (c["shift"] + s - F.col("lead")).cast("bigint").alias("first"), c["n"].alias("n")))
-    return both.select(F.col("d").alias(id_col), "n_words", F.flatten(F.transform("c", match)).alias("matches"))
+    both = both.select("d", "h", count_words(F.col("raw")).alias("n_words"), F.when(F.col("c").isNotNull(), words).alias("w"), lead.alias("lead"), "c")
+    there = lambda c, x: (x["p"] >= 0) & (F.slice(F.col("w"), F.greatest(F.lit(1), x["p"] + 1), c["n"]) == F.slice(c["words"], x["s"] + 1, c["n"]))
+    match = lambda c: F.struct(c["item_id"].alias("item_id"), c["n"].alias("n"), F.transform(F.filter(c["at"], lambda x: there(c, x)), lambda x: (x["p"] - F.col("lead")).cast("bigint")).alias("first"))
+    matches = F.filter(F.transform("c", match), lambda m: F.size(m["first"]) > 0)
+    return both.select(F.col("d").alias(id_col), F.col("h").alias("text_hash"), "n_words", matches.alias("matches"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_hit (words inside any match), items (matching item ids as strings, sorted) of every document."""
+def contamination(docs: DataFrame, items: DataFrame, length: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_hash: bool = False) -> DataFrame:
+    """id_col, with keep_hash also text_hash, n_words, n_hit (words inside any match), items (matching item ids as strings, sorted) of every document."""
     m = phrase_matches(docs, items, length, rare, id_col, text_col, item_col, item_text_col)
     none = F.array().cast("array<string>")
-    words = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda x: F.sequence(x["first"], x["first"] + x["n"] - 1)))))
+    # words in the union of the matches' spans, in order: what each adds beyond the end so far
+    spans = F.array_sort(F.flatten(F.transform("matches", lambda m: F.transform(m["first"], lambda x: F.struct(x.alias("a"), (x + m["n"]).alias("b"))))))
+    zero = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
+    words = F.aggregate(spans, zero, lambda t, x: F.struct(F.greatest(t["end"], x["b"]).alias("end"), (t["n"] + F.greatest(F.lit(0).cast("bigint"), x["b"] - F.greatest(t["end"], x["a"]))).alias("n")), lambda t: t["n"])
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
     has = F.size(F.coalesce("matches", F.array())) > 0
-    return m.select(id_col, "n_words", F.when(has, words).otherwise(0).cast("bigint").alias("n_hit"), F.when(has, ids).otherwise(none).alias("items"))
+    return m.select(id_col, *(["text_hash"] if keep_hash else []), "n_words", F.when(has, words).otherwise(0).cast("bigint").alias("n_hit"), F.when(has, ids).otherwise(none).alias("items"))
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, distance: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text_col: str = "text") -> DataFrame:

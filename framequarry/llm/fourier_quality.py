@@ -6,7 +6,9 @@ kernel; ridge regression on the labels is solved from normal equations that ever
 its rows; isotonic regression turns ridge values into probabilities.
 
 Null and empty texts have statistics (all 0) and so a score. Rows are scored one by one; repeated rows repeat.
-Labels that are null, or whose id no document has, are not used. Without any label the score is 0.
+Labels that are null, or whose id no document has, are not used; a label row and a document row of one id that are repeated
+count as often as they meet, conflicting labels once for each. Without any label the score is 0. A table without rows
+gives none. Columns other than the id, the text and the label are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,18 +2,20 @@
 
 Two models, of toxic and of ordinary documents, give each byte's probability after the bytes before it (A-Z
 lower-cased), from strings of up to `order` bytes: absolute discounting, and continuation counts below the
-highest order (how many different bytes a string follows). The lowest orders are counted over both classes
-together. Rare expressions, such as a stem under an ending never seen, back off to the counts of their parts, and where
-neither class knows better, both back off to the same shared counts and the difference is nil. A text's
-log-likelihoods under both models are compared, normalised by its length, and a logistic curve fitted on rows that the
-models have not counted turns the difference into a probability.
+highest order (how many different bytes a string follows). The lowest two orders are shared: their continuation counts
+are taken over every document of the corpus, labelled or not. Rare expressions, such as a stem under an ending never
+seen, back off to the counts of their parts, and where neither class knows better, both back off to the same
+shared counts and the difference is nil. A text's log-likelihoods under both models are compared, normalised by its
+length, and a logistic curve fitted on rows that the models have not counted turns the difference into a probability.
 
 Two normalisations enter the curve: the difference per byte, and per square root of bytes (its size in units of the
 chance spread, which stays comparable from short to long texts).
 
 Null and empty texts have the difference 0, and the score of a text nothing is known about. Rows are scored one by
-one; repeated rows repeat. Labels that are null, or whose id no document has, are not used. Without labels of
-both classes every score is 0.
+one; repeated rows repeat. Labels that are null, or whose id no document has, are not used; a label row and a document
+row of one id that are repeated count as often as they meet, conflicting labels once for each class. Without
+labels of both classes every score is 0. A table without rows gives none. Columns other than the id, the text and the label are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,27 +28,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, _U, arrow_map, text_slices
+from .common import FOLD as _FOLD, HashIndex, _U, arrow_map, drop, stash, text_slices
 from .ppm import _grams
 
 #: The discount of every count.
 DISCOUNT = 0.75
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+#: Bytes of a long text that are worked on at once.
+BLOCK = 1 << 20
 
 
 def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, most: int | None = None, parts: int = 2) -> DataFrame:
     """id_col, label, `part` (below `parts`, by a hash of the id) and weight: about per_class rows of each class; with fewer, all.
 
-    The weight is how many rows of its class a row stands for, 1 where all are taken. With `most`, a class may give `most` times as many rows as the smallest one does.
+    The weight is how many rows of its class a row stands for, 1 where all are taken. With `most`, the smallest class
+    gives per_class rows and another at most `most` times as many as that one does, so the mix of large classes is the same at any size.
     """
     rows = labels.where(where & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {int(r[0]): r[1] for r in rows.groupBy(label_col).count().collect()}
-    if most and sizes:
-        per_class = most * min(per_class, *sizes.values())
+    smallest = min(per_class, *sizes.values()) if sizes else 0
+    take = {k: smallest if most and v == min(sizes.values()) else most * smallest if most else per_class for k, v in sizes.items()}
     limit, weight = F.lit(0), F.lit(1.0)
     for k, v in sizes.items():
-        n = math.ceil(min(1.0, per_class / v) * (1 << 20))  # of 2**20 hashes, those that are chosen
+        n = math.ceil(min(1.0, take[k] / v) * (1 << 20))  # of 2**20 hashes, those that are chosen
         limit = F.when(F.col(label_col) == k, F.lit(n)).otherwise(limit)
         weight = F.when(F.col(label_col) == k, F.lit((1 << 20) / n)).otherwise(weight)
     chosen = rows.where(F.pmod(F.xxhash64(F.lit("label"), F.col(id_col)), F.lit(1 << 20)) < limit)
@@ -63,6 +66,45 @@ def _head(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys & _U((1 << (8 * n)) - 1)) >> _U(8)) | (_U(n - 1) << _U(8 * (n - 1)))
 
 
+def _continuations(corpus: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of strings of one byte and of two: keys, and how many different bytes come before each in the corpus, alike for both classes."""
+    before = corpus.reshape(256, 65536).sum(0)
+    pairs = np.flatnonzero(before)
+    singles = np.bincount(pairs & 255, minlength=256)
+    one = np.flatnonzero(singles)
+    return [(one.astype(_U) | _U(1 << 8), np.tile(singles[one][:, None], (1, 2)).astype(float)), (pairs.astype(_U) | _U(2 << 16), np.tile(before[pairs][:, None], (1, 2)).astype(float))]
+
+
+def corpus_strings(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Which strings of three bytes (A-Z lower-cased) all documents hold: 2**24 flags, of which a task sends what it has seen.
+
+    A text's first two bytes count as after a zero byte, so no string of two bytes is missed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        seen = np.zeros(1 << 24, bool)
+        for part in text_slices(batches, text_col, BLOCK):
+            for a in range(0, max(1, len(part.buf)), BLOCK if len(part) == 1 else 1 << 62):
+                lead = min(a, 2)
+                b = _FOLD[part.buf[a - lead : a + BLOCK] if len(part) == 1 else part.buf].astype(np.int32)
+                first = np.zeros(len(b), bool)  # the first bytes of texts
+                if not a:
+                    first[part.offs[:-1][part.offs[:-1] < part.offs[1:]]] = True
+                i = np.flatnonzero(~first)
+                i = i[i >= (lead or 1)]
+                seen[(np.where(first[i - 1], 0, b[np.maximum(i - 2, 0)]) << 16) | (b[i - 1] << 8) | b[i]] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([zstandard.ZstdCompressor().compress(np.packbits(seen).tobytes())], pa.binary())})
+
+    import zstandard
+
+    out = np.zeros(1 << 21, np.uint8)
+    for r in arrow_map(docs.select(text_col), run, "bits binary").toLocalIterator():  # some 100 KB for each task, merged as they come
+        out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r.bits), np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
 class Model:
     """Log-likelihood ratios (toxic over ordinary) of a byte after the bytes before it.
 
@@ -73,8 +115,8 @@ class Model:
     costs its history's weights and is looked up one byte shorter. A history that is new to a class has weight 1.
     """
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, shared: int):
-        """keys: strings of `order` bytes; n: their counts in the two classes; orders up to `shared` are pooled."""
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int, corpus: np.ndarray):
+        """keys: strings of `order` bytes; n: their counts in the two classes; corpus: the strings of three bytes that the corpus has, as a table of flags."""
         self.order = order
         counts = [(keys, n.astype(float))]
         for size in range(order, 1, -1):  # continuation counts: different first bytes
@@ -83,11 +125,10 @@ class Model:
             low = np.zeros((len(tail), 2))
             np.add.at(low, place, (c > 0).astype(float))
             counts.insert(0, (tail, low))
+        counts[:2] = _continuations(corpus)
         self.levels = []
         below = P = None
         for size, (k, c) in enumerate(counts, 1):
-            if size <= shared:
-                c = np.tile(c.sum(1, keepdims=True), (1, 2))
             own, place = np.unique(_head(k, size), return_inverse=True)
             total, kinds = np.zeros((len(own), 2)), np.zeros((len(own), 2))
             np.add.at(total, place, c)
@@ -106,8 +147,18 @@ class Model:
     def sums(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The ratio of each row's whole text."""
         out = np.zeros(len(offs) - 1)
-        if not len(buf):
+        if len(offs) == 2 and len(buf) > BLOCK:  # one long text, a block at a time, with what precedes the block as history
+            for a in range(0, len(buf), BLOCK):
+                lead = min(a, self.order - 1)
+                out += self._ratios(buf[a - lead : a + BLOCK], np.array([0, min(len(buf), a + BLOCK) - a + lead]))[lead:].sum()
             return out
+        full = np.flatnonzero(offs[:-1] < offs[1:])
+        if len(full):
+            out[full] = np.add.reduceat(self._ratios(buf, offs), offs[full])
+        return out
+
+    def _ratios(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The ratio of each byte."""
         buf = _FOLD[buf]
         r = np.zeros(len(buf))
         left = np.ones(len(buf), bool)
@@ -125,9 +176,7 @@ class Model:
                 c = below.find(_head(keys[~hit], n))
                 known = c >= 0
                 r[at[~hit][known]] += away[c[known]]
-        full = np.flatnonzero(offs[:-1] < offs[1:])
-        out[full] = np.add.reduceat(r, offs[full])
-        return out
+        return r
 
     @staticmethod
     def normalised(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -154,14 +203,14 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b / scale
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 6000, most: int = 4, order: int = 5, shared: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 6000, most: int = 4, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Models of three quarters of the sampled rows, their logistic curve from the rest; there, classes weigh alike.
 
-    per_class and most bound the labelled rows that are used (a class has per_class rows, or most times as many if it is
-    the commoner one), and with them what comes to the driver.
+    per_class and most bound the labelled rows that are used (the rarer class has per_class rows, the commoner most
+    times as many), and with them what comes to the driver. The shared orders are counted over all of docs.
     """
     sample = bounded_labels(labels, where, label_col, per_class, id_col, most=most, parts=4)
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "label", "part")
+    rows = stash(docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "label", "part"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_col, 1 << 20):
@@ -177,8 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
     got = arrow_map(rows, count, "k bigint, label int, n bigint").groupBy("k").agg(of(0).alias("n0"), of(1).alias("n1")).toArrow()
     n = np.c_[got["n0"].to_numpy(), got["n1"].to_numpy()]
     if not len(n) or not n.sum(0).all():
+        drop(rows)
         return None
-    model = Model(got["k"].to_numpy().view(_U), n, order, shared)
+    model = Model(got["k"].to_numpy().view(_U), n, order, corpus_strings(docs, text_col))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
             yield pa.RecordBatch.from_pydict({"s": pa.array(held.value.sums(part.buf, part.offs)), "size": pa.array(np.diff(part.offs)), "label": part.batch.column(1)})
 
     seen = arrow_map(rows.where("part = 3"), measure, "s double, size bigint, label int").toArrow()
+    drop(rows)
     y = seen["label"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = _logistic(Model.normalised(seen["s"].to_numpy(), seen["size"].to_numpy()), y)

@@ -8,26 +8,30 @@ byte string that any language has seen, every language's cost of its last byte a
 escapes included. The language with the shortest code wins.
 
 Nulls and texts without a letter give `und` and score 0. The score is the winner's posterior under equal
-priors, of the code lengths per SCALE_BYTES bytes at most. Rows are judged one by one. Ties go to the first
-language in code point order. Training takes rows with a language and a text; with none at all every text is `und`.
+priors, of the code lengths per SCALE_BYTES bytes at most. Rows are judged one by one; repeated rows repeat. Ties go to the
+first language in code point order. Training takes rows with a language and a text; with none at all every text is `und`. A
+table without rows gives none. Of other columns only those named in `keep` are read, and they come back unchanged.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashIndex, _U, arrow_map, record, text_slices
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode category L: no digits, fractions or numerals.
+_LETTER = regex.compile(r"\p{L}")
 #: Code length differences count as those of a text of this length at most, so that scores of long texts differ.
 SCALE_BYTES = 200
+#: Bytes of a long text that are worked on at once.
+BLOCK = 1 << 20
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +90,19 @@ class Model:
     def code_lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each row under each language."""
         out = np.zeros((len(offs) - 1, len(self.langs)))
+        if len(offs) == 2 and len(buf) > BLOCK:  # one long text, a block at a time, with what precedes the block as context
+            for a in range(0, len(buf), BLOCK):
+                out += self._bits(buf[max(0, a - self.order) : a + BLOCK], np.array([0, min(len(buf), a + BLOCK) - max(0, a - self.order)]))[min(a, self.order) :].sum(0, dtype=np.float64)
+            return out
         if not len(buf):
             return out
+        bits = self._bits(buf, offs)
+        full = np.flatnonzero(offs[:-1] < offs[1:])
+        out[full] = np.add.reduceat(bits, offs[full], axis=0, dtype=np.float64)
+        return out
+
+    def _bits(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Bits of each byte."""
         bits = np.empty((len(buf), len(self.langs)), np.float32)
         left = None  # the bytes not coded yet, and what escapes have cost them
         lost = np.zeros((len(buf), len(self.langs)), np.float32)
@@ -114,9 +129,7 @@ class Model:
         at = np.flatnonzero(left)
         bits[at] = 8 + self.escape0
         bits += lost
-        full = np.flatnonzero(offs[:-1] < offs[1:])
-        out[full] = np.add.reduceat(bits, offs[full], axis=0, dtype=np.float64)
-        return out
+        return bits
 
 
 def train(docs: DataFrame, where: Column, order: int = 3, docs_per_lang: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:

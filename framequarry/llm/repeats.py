@@ -6,17 +6,26 @@ equals), so suffixes are dealt by the minimiser of their first `length` bytes an
 bucket whole. Consecutive suffixes with one minimiser travel as one string.
 
 1. Documents are packed into chunks, a table of compressed blocks that later passes read.
-2. Every chunk posts the distinct minimisers of its documents; those that two documents share are sent back.
+2. Every chunk posts the distinct minimisers of its documents; those that two documents share are sent back. A minimiser
+   that more than HOT chunks have (a common phrase, whatever stands around it) is told apart further, by half a
+   window of the bytes before or after it, so that no bucket grows with it.
 3. Every chunk sends its strings with shared minimisers to their buckets. Of equal strings in a chunk only those
-   of the smallest id travel; the others repeat them for certain.
-4. A bucket collapses equal strings and builds the enhanced suffix array of the rest: suffixes in order with the
-   common prefix of neighbours. A stack scan of the prefixes yields the interval tree; intervals know the
-   smallest document below them and whether bytes to the left differ (a maximal repeat).
+   of the smallest id travel, unless all occurrences are asked for; the others repeat them for certain. A chunk sends a
+   bucket one message at most, and no more messages than it has minimisers, so messages grow with the input.
+4. A bucket collapses equal strings (compared byte by byte), and builds the enhanced suffix array of the rest: suffixes in
+   order with the common prefix of neighbours. A stack scan of the prefixes yields the interval tree. An interval
+   whose occurrences differ in the byte to their left, or begin their strings, is a group of repeats: no longer
+   repeat has all its occurrences. A group gives all of them, and all but those in its smallest document lose the repeat.
+   Intervals that could be extended to the left say nothing that the longer one does not.
 5. Chunks gather the spans to remove and apply them.
 
+A group's text ends with its string, `length` to 2 * length - k bytes after its start; maximal_repeats() joins the groups of one
+longer repeat.
+
 Texts are UTF-8 bytes; null is empty. Documents are compared by id: rows with one id never remove each other's
 bytes, and equal rows have equal results. Rows with a null id are kept whole and remove nothing. Whole copies are
-found by a hash first, so a text with thousands of copies is indexed once.
+found by a 128-bit digest first, so a text with thousands of copies is indexed once. An empty table gives no rows. Columns
+that are not asked for are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-from .common import _U, arrow_map, mix, release, span_hashes, stash, text_slices
+from .common import _U, arrow_map, drop, gram_hashes, mix, release, span_hashes, stash, text_slices
 
 #: Bytes of text in a chunk, bytes of text for each bucket, and suffixes sorted at once.
-CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 16 << 20, 150_000
+CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 8 << 20, 80_000
 SLICE = 1 << 19
+#: A minimiser that so many chunks have is told apart further.
+HOT = 64
 
 
 def _zip(b: bytes) -> bytes:
@@ -53,17 +65,17 @@ def _unzip(b: bytes) -> bytes:
 
 
 class Strings:
-    """The runs of suffixes with one minimiser of a text buffer: start and end of each string, its row, its minimiser's hash."""
+    """The runs of suffixes with one minimiser of a text buffer: start and end of each string, its row, its minimiser's place and hash."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, k: int):
         n = len(buf)
+        self.length, self.k, self.buf = length, k, buf
+        self.start = self.end = self.row = self.place = np.empty(0, np.int64)
+        self.key = np.empty(0, _U)
         if n < length:
-            self.start = self.end = self.row = np.empty(0, np.int64)
-            self.key = np.empty(0, _U)
             return
-        at = np.arange(n - k + 1)
-        h = span_hashes(buf, at, at + k, fold=False)
-        low = (h & _U(0xFFFFFFFF00000000)) | at.astype(_U)
+        h = gram_hashes(buf, None, k)
+        low = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
         w, have = length - k + 1, 1
         while have * 2 <= w:
             low = np.minimum(low[: len(low) - have], low[have:])
@@ -76,12 +88,65 @@ class Strings:
         np.add.at(mark, offs[:-1][fits], 1)
         np.add.at(mark, (offs[1:] - length + 1)[fits], -1)
         idx = np.flatnonzero(np.cumsum(mark[: n - length + 1]))
+        if not len(idx):
+            return
         m = low[idx]
-        new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (idx[1:] != idx[:-1] + 1)]) if len(idx) else np.empty(0, np.int64)
+        new = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (idx[1:] != idx[:-1] + 1)])
         self.start = idx[new]
-        self.end = idx[np.r_[new[1:], len(idx)] - 1] + length if len(new) else self.start
+        self.end = idx[np.r_[new[1:], len(idx)] - 1] + length
         self.row = np.searchsorted(offs, self.start, "right") - 1
-        self.key = mix(h[(m[new] & _U(0xFFFFFFFF)).astype(np.int64)])
+        self.place = (m[new] & _U(0xFFFFFFFF)).astype(np.int64)
+        self.key = mix(h[self.place])
+
+    def take(self, which: np.ndarray) -> Strings:
+        for name in ("start", "end", "row", "place", "key"):
+            setattr(self, name, getattr(self, name)[which])
+        return self
+
+    def told_apart(self, hot: np.ndarray) -> Strings:
+        """The strings that `hot` marks in two: suffixes with `part` bytes or more before their minimiser, whose key takes
+        those in, and the others, all of which hold `part` bytes after it. Equal suffixes stay together."""
+        part = (self.length - self.k + 1) // 2
+        if not part or not hot.any():
+            return self
+        rest = np.flatnonzero(~hot)
+        at = np.flatnonzero(hot)
+        last = self.end[at] - self.length  # the last suffix's start
+        cut = self.place[at] - part  # the last start with `part` bytes before the minimiser
+        early, late = at[self.start[at] <= cut], at[last > cut]
+        before = mix(self.key[early] ^ gram_hashes(self.buf, self.place[early] - part, part))
+        after = mix((self.key[late] + _U(1)) ^ gram_hashes(self.buf, self.place[late] + self.k, part))
+        end = np.minimum(self.end[early], self.place[early] - part + self.length)
+        start = np.maximum(self.start[late], self.place[late] - part + 1)
+        self.start, self.end = np.r_[self.start[rest], self.start[early], start], np.r_[self.end[rest], end, self.end[late]]
+        self.key = np.r_[self.key[rest], before, after]
+        which = np.r_[rest, early, late]
+        self.row, self.place = self.row[which], self.place[which]
+        return self
+
+
+def equal_strings(h: np.ndarray, at: np.ndarray, size: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """A number for each string, the same for equal ones: hashes propose, bytes decide."""
+    order = np.lexsort([size, h])
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1])]
+    of = np.cumsum(new) - 1
+    head = order[np.flatnonzero(new)][of]
+    again = np.flatnonzero(head != order)
+    differs = np.zeros(len(order), bool)
+    step = max(1, SLICE // max(1, int(size.max())))
+    for i in range(0, len(again), step):
+        p = again[i : i + step]
+        n = size[order[p]]
+        j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = buf[np.repeat(at[order[p]], n) + j] == buf[np.repeat(at[head[p]], n) + j]
+        differs[p] = ~np.logical_and.reduceat(same, np.cumsum(n) - n)
+    out = np.empty(len(order), np.int64)
+    out[order] = of
+    if differs.any():  # two strings with one hash: name those by their bytes
+        names: dict[bytes, int] = {}
+        for i in order[np.isin(of, of[differs])].tolist():
+            out[i] = names.setdefault(buf[at[i] : at[i] + size[i]].tobytes(), len(order) + len(names))
+    return out
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -100,35 +165,40 @@ def suffix_order(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     wide = int(-(-size.max() // 8) * 8)
     text = np.lib.stride_tricks.sliding_window_view(np.r_[buf, np.zeros(wide, np.uint8)], wide)[start]
     text[np.arange(wide, dtype=np.int32)[None, :] >= size[:, None].astype(np.int32)] = 0
-    words = text.view(">u8").astype(_U)
-    order = np.lexsort([size, *(words[:, j] for j in range(words.shape[1] - 1, -1, -1))])
-    t = text[order]
-    differ = t[1:] != t[:-1]
-    same = np.where(differ.any(1), differ.argmax(1), wide)
+    order = np.lexsort([size, *(text[:, 8 * j : 8 * j + 8].copy().view(">u8")[:, 0].astype(_U) for j in range(wide // 8 - 1, -1, -1))])
     lcp = np.zeros(n, np.int64)
-    lcp[1:] = np.minimum(same, np.minimum(size[order][1:], size[order][:-1]))
+    for i in range(1, n, 1 << 14):  # a block of neighbours at a time
+        o = order[i - 1 : i + (1 << 14)]
+        differ = text[o[1:]] != text[o[:-1]]
+        same = np.where(differ.any(1), differ.argmax(1), wide)
+        lcp[i : i + (1 << 14)] = np.minimum(same, np.minimum(size[o[1:]], size[o[:-1]]))
     return order, lcp
 
 
-def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(first, last, depth) of every common-prefix interval of depth `least` or more: the stack scan.
+def intervals(lcp: np.ndarray, least: int, value: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """(first, last, depth, smallest value) of every common-prefix interval of depth `least` or more: the stack scan.
 
     lcp[i] belongs to suffixes i - 1 and i. Children come before their parents.
     """
-    out: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int]] = []
-    start = 0
-    values = lcp.tolist()
-    for i in range(1, len(values) + 1):
-        v = values[i] if i < len(values) else 0
-        if v < least:
-            v = 0
-        start = i - 1
-        while stack and stack[-1][0] > v:
-            depth, start = stack.pop()
-            out.append((start, i - 1, depth))
-        if v and (not stack or stack[-1][0] < v):
-            stack.append((v, start))
+    out: list[tuple[int, int, int, int]] = []
+    stack: list[list[int]] = []  # depth, first, smallest value so far
+    depths = np.where(lcp < least, 0, lcp).tolist()
+    values = value.tolist() if value is not None else [0] * len(depths)
+    depths.append(0)
+    for i in range(1, len(depths)):
+        d = depths[i]
+        start, low = i - 1, values[i - 1]
+        while stack and stack[-1][0] > d:
+            depth, first, least_here = stack.pop()
+            if least_here < low:
+                low = least_here
+            start = first
+            out.append((first, i - 1, depth, low))
+        if d:
+            if not stack or stack[-1][0] < d:
+                stack.append([d, start, low])
+            elif low < stack[-1][2]:
+                stack[-1][2] = low
     return out
 
 
@@ -144,8 +214,8 @@ def left_diverse(left: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
 class Bucket:
     """The strings of one bucket: owner id, chunk, row, start, the byte before (256: none) and their text."""
 
-    def __init__(self, blobs: list[tuple[int, bytes]]):
-        parts = [(chunk, *_unpack(b)) for chunk, b in blobs]
+    def __init__(self, sent: pa.Table):
+        parts = [(chunk, *_unpack(b.as_buffer())) for chunk, b in zip(sent["chunk"].to_pylist(), sent["blob"], strict=True)]
         self.chunk = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
         self.key, self.id, self.row, self.start, self.size, self.left = (np.concatenate([p[j] for p in parts]) for j in range(1, 7))
         self.buf = np.concatenate([p[7] for p in parts])
@@ -167,93 +237,98 @@ class Bucket:
         at = np.cumsum(size) - size
         return self.buf[np.repeat(self.at[strings] - at, size) + np.arange(int(size.sum()))], at
 
-    def scan(self, length: int, groups: bool = False) -> Iterator[tuple]:
-        """Spans to remove as arrays (chunk, row, first, end), and with groups also lists of maximal repeats."""
-        text = self._hashes()
-        order = np.lexsort([self.id, text, self.key])
-        key, text, ids = self.key[order], text[order], self.id[order]
-        new = np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]
-        of = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        low = ids[head]
-        later = ids > low[of]
-        o = order[later]
-        yield "spans", self.chunk[o], self.row[o], self.start[o], self.start[o] + self.size[o]
-        # distinct strings, by minimiser; one alone has no other to be compared with
-        rep = order[head]
-        count = np.diff(np.r_[head, len(order)])
-        lefts = self.left[order]
-        several = np.minimum.reduceat(lefts, head) != np.maximum.reduceat(lefts, head)
-        left = np.where(several, -1, lefts[head])
-        skey = key[head]
-        first = np.flatnonzero(np.r_[True, skey[1:] != skey[:-1]])
-        kinds = np.diff(np.r_[first, len(skey)])
-        take = np.repeat((kinds > 1) | groups, kinds)
-        suffixes = np.where(take, self.size[rep] - length + 1, 0)
-        # blocks of whole minimisers
+    def scan(self, length: int) -> Iterator[Groups]:
+        """The bucket's groups of repeats, a block of whole minimisers at a time."""
+        text = equal_strings(self._hashes(), self.at, self.size, self.buf)
+        self.order = np.lexsort([self.id, text, self.key])
+        key, text, ids = self.key[self.order], text[self.order], self.id[self.order]
+        self.head = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])])
+        self.count = np.diff(np.r_[self.head, len(self.order)])
+        self.low, self.rep = ids[self.head], self.order[self.head]
+        lefts = self.left[self.order]
+        several = np.minimum.reduceat(lefts, self.head) != np.maximum.reduceat(lefts, self.head)
+        left = np.where(several | (lefts[self.head] == 256), -1, lefts[self.head])
+        key = key[self.head]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        kinds = np.diff(np.r_[first, len(key)])
+        # a string that no other shares its minimiser with is compared with none
+        suffixes = np.where(np.repeat(kinds > 1, kinds) | (self.count > 1), self.size[self.rep] - length + 1, 0)
         total = np.cumsum(np.add.reduceat(suffixes, first))
         cut = np.searchsorted(total, np.arange(SORT_AT_ONCE, total[-1] + SORT_AT_ONCE, SORT_AT_ONCE), "left") + 1
         bounds = np.unique(np.r_[0, np.minimum(cut, len(first))])
-        edges = np.r_[first, len(skey)]
+        edges = np.r_[first, len(key)]
         for a, b in zip(edges[bounds[:-1]].tolist(), edges[bounds[1:]].tolist(), strict=True):
             pick = np.flatnonzero(suffixes[a:b]) + a
-            if not len(pick):
-                continue
-            s = np.repeat(pick, suffixes[pick])
-            j = np.arange(len(s)) - np.repeat(np.cumsum(suffixes[pick]) - suffixes[pick], suffixes[pick])
-            buf, at = self._gathered(rep[pick])
-            begin = np.repeat(at, suffixes[pick]) + j
-            yield from self._block(length, groups, order, head, count, rep, low, left, s, j, buf, begin)
-
-    def _block(self, length, groups, order, head, count, rep, low, left, s, j, buf, begin) -> Iterator[tuple]:
-        # suffixes whose first `length` bytes no other has need no sorting
-        h = span_hashes(buf, begin, begin + length, fold=False)
-        _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-        some = (n[inverse] > 1) | (groups & (count[s] > 1))
+            if len(pick):
+                yield Groups(self, pick, suffixes[pick], left, length)
+
+
+class Groups:
+    """The groups of repeats among some of a bucket's strings: the tree's intervals that cannot be extended to the left.
+
+    s and j: the suffixes in order, by string and offset. first, last, depth, smallest: each group's suffixes, its
+    repeat's length and its smallest document. A suffix stands for its string's every owner.
+    """
+
+    def __init__(self, bucket: Bucket, pick: np.ndarray, suffixes: np.ndarray, left: np.ndarray, length: int):
+        self.bucket = bucket
+        s = np.repeat(pick, suffixes)
+        j = np.arange(len(s)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
+        buf, at = bucket._gathered(bucket.rep[pick])
+        begin = np.repeat(at, suffixes) + j
+        # suffixes whose first `length` bytes no other has need no sorting; of equal strings the first suffix stands for the rest
+        _, inverse, n = np.unique(gram_hashes(buf, begin, length), return_inverse=True, return_counts=True)
+        some = (n[inverse] > 1) | (bucket.count[s] > 1) & (j == 0)
         s, j, begin = s[some], j[some], begin[some]
-        if not len(s):
-            return
-        sa, lcp = suffix_order(buf, begin, begin - j + self.size[rep[s]])
+        sa, lcp = suffix_order(buf, begin, begin - j + bucket.size[bucket.rep[s]])
         s, j = s[sa], j[sa]
-        least = low[s]
-        found = intervals(lcp, length)
-        if found:
-            a, b, depth = (np.array(x) for x in zip(*found, strict=True))
-            # an interval's smallest document; parents come last and are wider, so the outermost decides in the end
-            smallest = np.full(len(s), np.iinfo(np.int64).max)
-            outer = np.flatnonzero(np.r_[True, lcp[1:] < length])
-            per = np.minimum.reduceat(least, outer)
-            smallest = per[np.cumsum(np.r_[True, lcp[1:] < length]) - 1]
-            lost = np.flatnonzero(smallest < least)
-            if len(lost):
-                yield from self._lost(length, order, head, count, s[lost], j[lost])
-        if groups:
-            before = np.where(j > 0, self.buf[np.maximum(self.at[rep[s]] + j - 1, 0)].astype(np.int64), left[s])
-            if found:
-                keep = left_diverse(before, a, b)
-                for x, y, d in zip(a[keep].tolist(), b[keep].tolist(), depth[keep].tolist(), strict=True):
-                    yield "group", d, self._occurrences(order, head, count, s[x : y + 1], j[x : y + 1]), self.buf[self.at[rep[s[x]]] + j[x] :][:d].tobytes()
-            # strings that equal ones repeat whole are leaves with several occurrences
-            inner = np.maximum(lcp, np.r_[lcp[1:], 0])
-            full = self.size[rep[s]] - j
-            for x in np.flatnonzero((count[s] > 1) & (before < 0) & (full > inner)).tolist():
-                yield "group", int(full[x]), self._occurrences(order, head, count, s[x : x + 1], j[x : x + 1]), self.buf[self.at[rep[s[x]]] + j[x] :][: full[x]].tobytes()
-
-    def _occurrences(self, order, head, count, s, j) -> list[tuple[int, int]]:
-        return [(int(self.id[o]), int(self.start[o] + k)) for g, k in zip(s.tolist(), j.tolist(), strict=True) for o in order[head[g] : head[g] + count[g]].tolist()]
-
-    def _lost(self, length, order, head, count, s, j) -> Iterator[tuple]:
-        """Spans of the suffixes (string s, offset j), for the strings' smallest owners; later owners lose all anyway."""
-        by = np.lexsort([j, s])
-        s, j = s[by], j[by]
-        new = np.r_[True, (s[1:] != s[:-1]) | (j[1:] != j[:-1] + 1)]
-        a = np.flatnonzero(new)
-        b = np.r_[a[1:], len(s)] - 1
-        st, j0, j1 = s[a], j[a], j[b] + length
-        many = count[st]
-        o = order[np.repeat(head[st], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        j0, j1 = np.repeat(j0, many), np.repeat(j1, many)
-        yield "spans", self.chunk[o], self.row[o], self.start[o] + j0, self.start[o] + j1
+        self.s, self.j, self.buf, self.begin = s, j, buf, begin[sa]
+        before = np.where(j > 0, buf[np.maximum(self.begin - 1, 0)].astype(np.int64), left[s])
+        found = np.array(intervals(lcp, length, bucket.low[s]), np.int64).reshape(-1, 4)
+        # the occurrences of one suffix, where they are several and none outside has as much in common
+        full = bucket.size[bucket.rep[s]] - j
+        leaf = np.flatnonzero((bucket.count[s] > 1) & (full > np.maximum(lcp, np.r_[lcp[1:], 0]))) if len(s) else np.empty(0, np.int64)
+        self.first, self.last = np.r_[leaf, found[:, 0]], np.r_[leaf, found[:, 1]]
+        self.depth, self.smallest = np.r_[full[leaf], found[:, 2]], np.r_[bucket.low[s[leaf]], found[:, 3]]
+        if len(self.first):
+            # equal windows have equal minimisers, so all of a group begin their strings or none
+            keep = left_diverse(before, self.first, self.last) | (j[self.first] == 0)
+            self.first, self.last, self.depth, self.smallest = (x[keep] for x in (self.first, self.last, self.depth, self.smallest))
+
+    def _owners(self, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings that own the suffixes, and which suffix each is for."""
+        many = self.bucket.count[self.s[suffix]]
+        which = np.repeat(np.arange(len(suffix)), many)
+        return self.bucket.order[np.repeat(self.bucket.head[self.s[suffix]], many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)], which
+
+    def lost(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """chunk, row, first, end: what documents lose, being in a group with a smaller one; of nested groups the longest tells."""
+        size = np.zeros(len(self.s), np.int64)  # what a suffix's smallest owner loses
+        rest = np.zeros(len(self.s), np.int64)  # what its other owners lose
+        least = self.bucket.low[self.s]
+        wide = self.last > self.first
+        # parents come after their children: going back, longer repeats overwrite shorter ones
+        for a, b, d, low in zip(*(x[wide][::-1].tolist() for x in (self.first, self.last, self.depth, self.smallest)), strict=True):
+            part = size[a : b + 1]
+            part[least[a : b + 1] > low] = d
+            part = rest[a : b + 1]
+            np.maximum(part, d, out=part)
+        leaf = self.first[~wide]
+        rest[leaf] = np.maximum(rest[leaf], self.depth[~wide])
+        at = np.flatnonzero(np.maximum(size, rest * (self.bucket.count[self.s] > 1)))
+        owner, which = self._owners(at)
+        at = at[which]
+        n = np.where(self.bucket.id[owner] > least[at], np.maximum(rest[at], size[at]), size[at])
+        owner, at, n = owner[n > 0], at[n > 0], n[n > 0]
+        begin = self.bucket.start[owner] + self.j[at]
+        return self.bucket.chunk[owner], self.bucket.row[owner], begin, begin + n
+
+    def rows(self) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
+        """Length, text and occurrences (id, start) of each group that two documents or places are in."""
+        for a, b, d in zip(self.first.tolist(), self.last.tolist(), self.depth.tolist(), strict=True):
+            owner, which = self._owners(np.arange(a, b + 1))
+            at = self.bucket.start[owner] + self.j[a + which]
+            yield d, self.buf[self.begin[a] :][:d].tobytes(), list(zip(self.bucket.id[owner].tolist(), at.tolist(), strict=True))
 
 
 # ---- blocks ----------------------------------------------------------------------------------------
@@ -328,10 +403,10 @@ def copies(chunks: DataFrame, length: int) -> DataFrame:
     return rows.join(first, ["h1", "h2"]).where("id > low").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
 
 
-def _texts(sizes: bytes, text: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of a chunk: number of the first row, bytes, offsets."""
+def _texts(sizes: bytes, text: bytes, whole: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of a chunk (its compressed text, or its bytes): number of the first row, bytes, offsets."""
     size = np.frombuffer(sizes, "<i4").astype(np.int64)
-    buf = np.frombuffer(_unzip(text), np.uint8)
+    buf = np.frombuffer(_unzip(text), np.uint8) if whole is None else whole
     offs = np.r_[0, np.cumsum(size)]
     at = 0
     while at < len(size):
@@ -346,8 +421,8 @@ def _split(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def shared_minimisers(chunks: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
-    """chunk, bucket, keys: per chunk, the minimisers (32 bits within the bucket) that another document has too."""
+def shared_minimisers(chunks: DataFrame, length: int, k: int, buckets: int, hot: int = HOT) -> DataFrame:
+    """chunk, bucket, keys, hot: per chunk, the minimisers (32 bits within the bucket) that another document has too, and as bits which of them more than `hot` chunks have."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,7 +437,7 @@ def shared_minimisers(chunks: DataFrame, length: int, k: int, buckets: int) -> D
                 key = key[new]
                 order, edge = _split(_bucket(key, buckets), buckets)
                 low = (key & _U(0xFFFFFFFF)).astype("<u4")[order]
-                many = many[order].astype(np.uint8)
+                many = many[order]
                 full = np.flatnonzero(np.diff(edge))
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -374,19 +449,27 @@ def shared_minimisers(chunks: DataFrame, length: int, k: int, buckets: int) -> D
                 )
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x, "<u4") for x in table["keys"].to_pylist()]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(r)).astype(bool) for m, r in zip(table["many"].to_pylist(), rows, strict=True)]
-        every = np.sort(np.concatenate(rows))
-        shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(r[m] for r, m in zip(rows, many, strict=True))]))
-        out = []
+        keys = table["keys"]
+        every = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in keys]))
+        new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        every, chunks_with = every[new], np.diff(np.r_[new, len(every)])
+        shared = chunks_with > 1
+        for x, m in zip(keys, table["many"], strict=True):
+            r = np.frombuffer(x.as_buffer(), "<u4")
+            shared[np.searchsorted(every, r[np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=len(r)).astype(bool)])] = True
+        often = chunks_with > hot
+        out, bits = [], []
+        for x in keys:
+            r = np.frombuffer(x.as_buffer(), "<u4")
+            at = np.searchsorted(every, r)
+            at, r = at[shared[at]], r[shared[at]]
+            out.append(r.tobytes())
+            bits.append(np.packbits(often[at]).tobytes())
         release()
-        for r in rows:
-            at = np.searchsorted(shared, r)
-            out.append(r[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == r)].tobytes() if len(shared) else b"")
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "keys": pa.array(out, pa.binary())})
+        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "keys": pa.array(out, pa.binary()), "hot": pa.array(bits, pa.binary())})
 
     posted = arrow_map(chunks.select("chunk", "sizes", "text"), post, "bucket int, chunk bigint, keys binary, many binary")
-    return posted.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket int, keys binary").where("length(keys) > 0")
+    return posted.groupBy("bucket").applyInArrow(meet, "chunk bigint, bucket int, keys binary, hot binary").where("length(keys) > 0")
 
 
 def _distinct(key: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -399,79 +482,87 @@ def _distinct(key: np.ndarray, row: np.ndarray) -> np.ndarray:
 SENT = "bucket int, chunk bigint, blob binary"
 
 
-def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
-    """SENT: strings for the buckets; negative ones, one for each chunk, have spans that the chunk itself has found."""
-    notes = shared.select("chunk", "bucket", "keys", F.lit(None).cast("array<int>").alias("rows")).union(copied.select("chunk", F.lit(-1), F.lit(None).cast("binary"), "rows"))
+def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length: int, k: int, buckets: int, every: bool = False) -> DataFrame:
+    """SENT: strings for the buckets; negative ones, one for each chunk, have spans that the chunk itself has found. With `every`, equal strings of a chunk all travel."""
+    notes = shared.select("chunk", "bucket", "keys", "hot", F.lit(None).cast("array<int>").alias("rows")).union(copied.select("chunk", F.lit(-1), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "rows"))
+
+    def known_of(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, hot = [], []
+        for b, x, h in zip(notes["bucket"].to_pylist(), notes["keys"], notes["hot"], strict=True):
+            if b >= 0:
+                keys.append((np.uint64(b) << _U(32)) | np.frombuffer(x.as_buffer(), "<u4").astype(_U))
+                hot.append(np.unpackbits(np.frombuffer(h.as_buffer(), np.uint8), count=len(keys[-1])).astype(bool))
+        if not keys:
+            return np.empty(0, _U), np.empty(0, bool)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return key[order], np.concatenate(hot)[order]
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
         rows: dict[str, list] = {"bucket": [], "chunk": [], "blob": []}
-        release()
-        if left.num_rows:
-            known = [(np.uint64(b) << _U(32)) | np.frombuffer(x, "<u4").astype(_U) for b, x in zip(right["bucket"].to_pylist(), right["keys"].to_pylist(), strict=True) if b >= 0]
-            known = np.sort(np.concatenate(known)) if known else np.empty(0, _U)
-            copy = {x for y in right["rows"].to_pylist() if y for x in y}
+        known, hot = known_of(right) if left.num_rows else (np.empty(0, _U), None)
+        if len(known):
             ids = np.frombuffer(left["ids"][0].as_py(), "<i8")
-            out = np.zeros(len(ids), bool)
-            out[list(copy)] = True
-            out |= _null_ids(ids)
+            out = _null_ids(ids)
+            out[[x for y in right["rows"].to_pylist() if y for x in y]] = True
+            sizes, raw = left["sizes"][0].as_py(), left["text"][0].as_py()
+            whole = np.frombuffer(_unzip(raw), np.uint8)
+            begin = np.r_[0, np.cumsum(np.frombuffer(sizes, "<i4").astype(np.int64))]
             got = []
-            for first, buf, offs in _texts(left["sizes"][0].as_py(), left["text"][0].as_py()) if len(known) else ():
+            for first, buf, offs in _texts(sizes, raw, whole):
                 s = Strings(buf, offs, length, k)
-                b = _bucket(s.key, buckets)
-                mark = (b.astype(_U) << _U(32)) | (s.key & _U(0xFFFFFFFF))
-                at = np.searchsorted(known, mark)
-                take = np.flatnonzero((known[np.minimum(at, len(known) - 1)] == mark) & ~out[s.row + first])
-                if not len(take):
-                    continue
-                start, end, row = s.start[take], s.end[take], s.row[take]
-                before = np.where(start > offs[row], buf[np.maximum(start - 1, 0)].astype(np.int64), 256)
-                got.append((b[take], s.key[take], row + first, start - offs[row], end - start, before, span_hashes(buf, start, end, fold=False), start, end, buf))
+                mark = (_bucket(s.key, buckets).astype(_U) << _U(32)) | (s.key & _U(0xFFFFFFFF))
+                at = np.minimum(np.searchsorted(known, mark), len(known) - 1)
+                take = np.flatnonzero((known[at] == mark) & ~out[s.row + first])
+                if len(take):
+                    s = s.take(take).told_apart(hot[at[take]])
+                    got.append((s.key, s.row + first, s.start + begin[first], s.end - s.start, span_hashes(buf, s.start, s.end, fold=False)))
             if got:
-                b, mini, row, start, size, before, h = (np.concatenate([g[i] for g in got]) for i in range(7))
-                owner = ids[row]
-                o = np.lexsort([owner, h])
-                new = np.r_[True, h[o][1:] != h[o][:-1]]
-                low = owner[o][np.flatnonzero(new)][np.cumsum(new) - 1]
-                later = np.zeros(len(o), bool)
-                later[o] = owner[o] > low
-                texts = []  # of each slice in turn
-                for g in got:
-                    flat = g[9].tobytes()
-                    texts.append([flat[x:y] for x, y in zip(g[7].tolist(), g[8].tolist(), strict=True)])
-                texts = [t for x in texts for t in x]
-                if later.any():
-                    rows["bucket"].append(-1 - (chunk ^ chunk >> 32) % (1 << 30))
-                    rows["chunk"].append(chunk)
-                    rows["blob"].append(np.c_[row, start, start + size][later].astype("<i4").tobytes())
+                mini, row, at, size, h = (np.concatenate([g[i] for g in got]) for i in range(5))
+                del got
+                owner, start = ids[row], at - begin[row]
+                before = np.where(start > 0, whole[np.maximum(at - 1, 0)].astype(np.int16), np.int16(256))
+                later = np.zeros(len(row), bool)
+                if not every:
+                    text = equal_strings(h, at, size, whole)
+                    o = np.lexsort([owner, text])
+                    new = np.r_[True, text[o][1:] != text[o][:-1]]
+                    later[o] = owner[o] > owner[o][np.flatnonzero(new)][np.cumsum(new) - 1]
+                    if later.any():
+                        rows["bucket"].append(-1 - (chunk ^ chunk >> 32) % (1 << 30))
+                        rows["chunk"].append(chunk)
+                        rows["blob"].append(np.c_[row, start, start + size][later].astype("<i4").tobytes())
                 keep = np.flatnonzero(~later)
-                order, edge = _split(b[keep], buckets)
+                order, edge = _split(_bucket(mini[keep], buckets), buckets)
                 keep = keep[order]
                 for i in np.flatnonzero(np.diff(edge)).tolist():
                     p = keep[edge[i] : edge[i + 1]]
+                    n = size[p]
+                    text = whole[np.repeat(at[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                     rows["bucket"].append(i)
                     rows["chunk"].append(chunk)
-                    rows["blob"].append(_pack(mini[p], owner[p], row[p], start[p], size[p], before[p], b"".join([texts[x] for x in p.tolist()])))
+                    rows["blob"].append(_pack(mini[p], owner[p], row[p], start[p], n, before[p], text.tobytes()))
+        release()
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "blob": pa.array(rows["blob"], pa.binary())})
 
     return chunks.select("chunk", "ids", "sizes", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(send, SENT)
 
 
 def _bucket_spans(sent: DataFrame, length: int) -> DataFrame:
-    """chunk, spans: what every bucket's interval tree, and every chunk by itself, says to remove."""
+    """chunk, spans: what every bucket's groups of repeats, and every chunk by itself, say to remove."""
 
     def scan(key, table):
         if key[0].as_py() < 0:
             return pa.table({"chunk": table["chunk"], "spans": table["blob"]})
-        release()
-        bucket = Bucket(list(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True)))
-        parts = [x[1:] for x in bucket.scan(length) if x[0] == "spans" and len(x[1])]
-        if not parts:
-            return pa.table({"chunk": pa.array([], pa.int64()), "spans": pa.array([], pa.binary())})
-        chunk, row, a, b = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        bucket = Bucket(table)
+        parts = [g.lost() for g in bucket.scan(length)]
+        del bucket
+        chunk, row, a, b = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
         o = np.argsort(chunk, kind="stable")
         chunk, spans = chunk[o], np.c_[row, a, b][o].astype("<i4")
-        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True])
+        cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(chunk) else np.zeros(1, np.int64)
+        release()
         return pa.table({"chunk": pa.array(chunk[cut[:-1]]), "spans": pa.array([spans[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(scan, "chunk bigint, spans binary")
@@ -497,7 +588,8 @@ def _buckets(chunks: DataFrame) -> int:
 def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256, with_text also kept (binary), and the columns `keep`, of every row.
 
-    Every byte is removed that a string of `length` bytes covers which also starts in a document with a smaller id.
+    Every byte is removed that a string of `length` bytes covers which also starts in a document with a smaller id: the
+    occurrences, in later documents, of the tree's groups of repeats.
     """
     chunks = chunked(docs, id_col, text_col, keep)
     buckets = _buckets(chunks)
@@ -553,22 +645,39 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
 
 
 def maximal_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text (binary), size, occurrences array<struct<id, start>>: left-diverse intervals of the bucket trees.
+    """size, occurrences array<struct<id, start>> (in order), text (binary): the maximal repeats of `length` bytes and more with all their occurrences.
 
-    Repeats within one string of a minimiser (`length` bytes and up to length - k more) are given whole; longer
-    ones as overlapping groups, each at most that long. Occurrences inside whole copies of a document are those of its
-    first copy. Repeats need two documents.
+    Groups of the bucket trees whose occurrences stand at the same distances from each other are parts of one repeat and
+    are joined where they overlap. Where a part of a repeat occurs more often than the whole, the repeat is given in
+    pieces around it, and the part as a repeat of its own. Occurrences inside whole copies of a document are
+    those of its first copy. Rows with a null id give none. The text is that of the first part of up to `length` bytes and
+    more; size and the first occurrence give the whole.
     """
     chunks = chunked(docs, id_col, text_col)
     buckets = _buckets(chunks)
     shared = shared_minimisers(chunks, length, k, buckets)
     copied = stash(copies(chunks, length), "copies")
-    sent = strings_with(chunks, shared, copied, length, k, buckets)
+    sent = strings_with(chunks, shared, copied, length, k, buckets, every=True)
+    place = pa.struct([("id", pa.int64()), ("start", pa.int64())])
 
     def scan(table: pa.Table) -> pa.Table:
-        bucket = Bucket(list(zip(table["chunk"].to_pylist(), table["blob"].to_pylist(), strict=True)))
-        rows = [x[1:] for x in bucket.scan(length, groups=True) if x[0] == "group"]
-        kind = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int64())]))
-        return pa.table({"text": pa.array([r[2] for r in rows], pa.binary()), "size": pa.array([r[0] for r in rows], pa.int64()), "occurrences": pa.array([[{"id": i, "start": p} for i, p in r[1]] for r in rows], kind)})
-
-    return sent.where("bucket >= 0").groupBy("bucket").applyInArrow(scan, "text binary, size bigint, occurrences array<struct<id: bigint, start: bigint>>")
+        rows = [r for g in Bucket(table).scan(length) for r in g.rows()]
+        out: dict[str, list] = {"size": [], "occurrences": [], "text": [], "first": [], "shape": []}
+        for d, text, found in rows:
+            found.sort()
+            i0, p0 = found[0]
+            # the same documents at the same distances: one shape, whatever the part of the repeat
+            shape = hashlib.blake2b(np.array([x for i, p in found for x in (i, p - p0)], "<i8").tobytes(), digest_size=16).digest()
+            for name, v in zip(out, (d, [{"id": i, "start": p} for i, p in found], text, i0, shape), strict=True):
+                out[name].append(v)
+        release()
+        types = (pa.int64(), pa.list_(place), pa.binary(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types, strict=True)})
+
+    groups = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(scan, "size bigint, occurrences array<struct<id: bigint, start: bigint>>, text binary, first bigint, shape binary")
+    start = F.element_at("occurrences", 1)["start"]
+    alike = Window.partitionBy("first", "shape").orderBy("at", F.desc("size"))
+    reach = F.max(F.col("at") + F.col("size")).over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    # parts of one repeat overlap by length - 1 bytes at least: their windows follow each other
+    run = groups.withColumn("at", start).withColumn("new", F.when(F.col("at") > reach - length + 1, 1).when(reach.isNull(), 1).otherwise(0)).withColumn("run", F.sum("new").over(alike))
+    return run.groupBy("first", "shape", "run").agg((F.max(F.col("at") + F.col("size")) - F.min("at")).alias("size"), F.min_by("occurrences", "at").alias("occurrences"), F.min_by("text", "at").alias("text")).select("size", "occurrences", "text")

@@ -8,8 +8,10 @@ beside it lists the file's documents: doc_id, start (ids of all earlier document
 
 Files follow ascending doc_id: the documents are dealt by ranges of it, each partition writes one pair of files,
 under a name of its attempt, and the manifest, a committed table, names the files that count; what an attempt
-that died has written is never read. Null texts are empty; a document always ends with `end_id`.
-Documents with a null id come first; rows with the same id follow each other.
+that died has written is never read. There is a pair for about FILE_BYTES of input, so files do not grow with the corpus.
+Null texts are empty; a document always ends with `end_id`. Documents with a null id come first; rows with the same id
+follow each other. A table without rows gives no files. Columns other than the id and the text are not read, whatever their names.
+A text that holds an added token's string (`<|endoftext|>`) gets that token's id there, as the library gives it.
 """
 
 from __future__ import annotations
@@ -25,15 +27,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MANY_PIECES, PieceCoder, _empty_safe
-from .common import arrow_map, stash, text_slices, work_dir
+from .common import arrow_map, plan_bytes, stash, text_slices, work_dir
 
 MANIFEST = "part int, data string, docs string, first_doc bigint, n_docs bigint, n_tokens bigint"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-_coders: dict[str, tuple[PieceCoder, np.dtype]] = {}
+_coders: dict[str, tuple[_Coder, np.dtype]] = {}
+#: Bytes of input for each pair of files, as the optimiser knows them; small tables are dealt to all shuffle partitions, down to the second number.
+FILE_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 
 
-def tokenizers_coder(path: str) -> tuple[PieceCoder, np.dtype]:
-    """Of a worker, made once: pieces to ids by the tokenizers library, no special tokens added; the type that holds an id."""
+class _Coder:
+    """Texts to ids: in known pieces, or, where the text of an added token stands in them, whole by the library, which looks for those first."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.folds = any(t.normalized for t in tokenizer.get_added_tokens_decoder().values()) and tokenizer.normalizer is not None
+        self.pieces = PieceCoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], MANY_PIECES)
+
+    def ids(self, text: str) -> bytes:
+        if self.folds or any(a in text for a in self.added):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.pieces.ids(text)
+
+
+def tokenizers_coder(path: str) -> tuple[_Coder, np.dtype]:
+    """Of a worker, made once: texts to ids by the tokenizers library, no special tokens added; the type that holds an id."""
     if path not in _coders:
         import os
 
@@ -41,8 +60,7 @@ def tokenizers_coder(path: str) -> tuple[PieceCoder, np.dtype]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        coder = PieceCoder(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)], MANY_PIECES)
+        coder = _Coder(t)
         _coders[path] = coder, np.dtype(np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
     return _coders[path]
 
@@ -87,7 +105,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     """Writes the files and returns the manifest (MANIFEST), read from its table; part ascends with doc_id."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = plan_bytes(docs.select(id_col, text_col))
+    n = partitions or max(1, -(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

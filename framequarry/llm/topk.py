@@ -10,7 +10,13 @@ merged. Rounds double in depth, and a round's vectors are scored together.
 Queries meet candidate blocks by an equi-join on the block of queries, so the work is that of a stated query set
 against all rows, in blocks of bounded size. Vectors that are null, or hold null or non-finite components, take no part,
 and a query meets candidates of its own length only. An id's own vectors are no candidates for it; vectors of one id
-are distinct candidates, and the results of queries with one id are ranked together. Ties go to the smaller id.
+are distinct candidates, and the results of queries with one id are ranked together. Ties go to the smaller id. Repeated
+rows repeat as candidates. A table without rows gives none. Columns other than the id and the vector are not read, whatever
+their names. Components beyond a 64-bit integer's range saturate.
+
+Where vectors have many dimensions of like spread, as random embeddings of 64 do, the bound stays above the kth score
+until most of a block has been met, and the algorithm does little less than a scan; its gain is in skewed or few
+dimensions.
 """
 
 from __future__ import annotations
@@ -30,20 +36,25 @@ BLOCK, QUERIES = 4096, 512
 
 
 class SortedLists:
-    """A block's vectors with every dimension's order; exact while scores stay below 2**53."""
+    """A block's vectors with every dimension's order. Scores are exact: in doubles where no sum can reach 2**53, else in 64-bit integers (modulo 2**64 beyond those)."""
 
     def __init__(self, ids: np.ndarray, X: np.ndarray):
         o = np.argsort(ids, kind="stable")
         self.ids, self.X = ids[o], X[o].astype(np.float64)
+        self.whole = X[o].astype(np.int64)
+        self.most = float(np.abs(self.X).max(initial=0)) * X.shape[1]
         self.order = np.argsort(self.X, axis=0, kind="stable").T.astype(np.int32)  # a list for each dimension
         self.value = np.take_along_axis(self.X, self.order.T, axis=0).T.copy()
 
     def search(self, q: np.ndarray, own: int, k: int, depth: int = 32) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and scores of the k best, best first, and how deep the lists were read."""
         n, dims = self.X.shape
+        exact = self.most * float(np.abs(q).max(initial=0)) < 1 << 53
+        X, q, kind_of = (self.X, q.astype(np.float64), np.float64) if exact else (self.whole, q.astype(np.int64), np.int64)
+        never = -np.inf if exact else np.iinfo(np.int64).min
         up, used = q < 0, q != 0
         seen = np.zeros(n, bool)
-        scores = np.full(n, -np.inf)
+        scores = np.full(n, never, kind_of)
         d = 0
         while True:
             depth = min(depth, n)
@@ -54,13 +65,14 @@ class SortedLists:
                 new[:] = True
             new &= ~seen
             at = np.flatnonzero(new)
-            scores[at] = self.X[at] @ q
-            scores[at[self.ids[at] == own]] = -np.inf
+            scores[at] = X[at] @ q
+            scores[at[self.ids[at] == own]] = never
             seen |= new
             d = depth
             edge = np.where(up, self.value[:, d - 1], self.value[:, n - d])
-            bound = float(edge[used] @ q[used])
-            best = np.flatnonzero(scores > -np.inf)
+            # beyond 2**53 a double's bound may fall short of the sum: its rounding is added
+            bound = float(edge[used] @ q[used].astype(np.float64)) + (0 if exact else 1e-12 * float(np.abs(edge[used]) @ np.abs(q[used].astype(np.float64))))
+            best = np.flatnonzero(scores > never)
             if len(best) > k:
                 kth = np.partition(scores[best], len(best) - k)[len(best) - k]
                 best = best[scores[best] >= kth]
@@ -127,7 +139,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: s
                 if (ids, xs) != last:
                     last, lists = (ids, xs), SortedLists(np.frombuffer(ids, "<i8"), _matrix(xs, dims))
                 q_of, v_of, s_of = [], [], []
-                for own, q in zip(np.frombuffer(qids, "<i8").tolist(), _matrix(qxs, dims).astype(np.float64), strict=True):
+                for own, q in zip(np.frombuffer(qids, "<i8").tolist(), _matrix(qxs, dims), strict=True):
                     best, scores, _ = lists.search(q, own, k)
                     q_of.append(np.full(len(best), own))
                     v_of.append(lists.ids[best])

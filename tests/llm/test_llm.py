@@ -1,6 +1,7 @@
 """The text operators against brute force, round trips and held-out labels, and on odd input."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import re
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 from framequarry.llm import bottomk, bpe, common, decontaminate, fourier_quality, kneser_ney, ppm, repeats, tagpaths, tokenfiles, topk
 
-tokenizers_home = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as tokenizers_home
+except ImportError:
+    tokenizers_home = None
+with_tokenizers = pytest.mark.skipif(tokenizers_home is None, reason="no vocabulary files here")
 
 DOCS = "doc_id bigint, text string, lang string, extra int"
 
@@ -86,7 +91,7 @@ def brute_components(corpus, percent=85, k=5):
 
 @pytest.mark.parametrize("hot", [4, 32, 1000])
 def test_near_duplicates_match_brute_force(docs, corpus, hot):
-    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(docs, hot=hot).collect())
+    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(docs, percent=85, hot=hot).collect())
     assert got == brute_components(corpus)
 
 
@@ -97,7 +102,7 @@ def test_near_duplicates_with_a_union_just_over_the_sketch(spark, hot):
         n = 64 + i % 7
         w = [f"p{i}w{j}" for j in range(n)]
         rows += [(2 * i, " ".join(w), "en", 1), (2 * i + 1, " ".join([*w[: n // 2], "changed", *w[n // 2 + 1 :]]), "en", 1)]
-    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(spark.createDataFrame(rows, DOCS), hot=hot).collect())
+    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(spark.createDataFrame(rows, DOCS), percent=85, hot=hot).collect())
     assert got == brute_components(rows)
 
 
@@ -147,9 +152,11 @@ def brute_repeats(corpus, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("length", "chunk"), [(50, 1 << 22), (50, 3000), (12, 3000)])
-def test_repeats_match_brute_force(docs, corpus, monkeypatch, length, chunk):
+@pytest.mark.parametrize(("length", "chunk", "hot"), [(50, 1 << 22, 64), (50, 3000, 64), (50, 3000, 2), (12, 3000, 64), (12, 3000, 1)])
+def test_repeats_match_brute_force(docs, corpus, monkeypatch, length, chunk, hot):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    here = repeats.__dict__.copy()
+    monkeypatch.setattr(repeats, "shared_minimisers", functools.partial(here["shared_minimisers"], hot=hot))
     got = repeats.remove_repeats(docs, length, k=max(4, length // 2))
     assert sorted(tuple(r) for r in got.collect()) == brute_repeats(corpus, length)
 
@@ -176,17 +183,43 @@ def test_interval_tree():
     assert suffixes == sorted(suffixes)
     want = [0] + [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in itertools.pairwise(suffixes)]
     assert lcp.tolist() == want
-    for a, b, depth in repeats.intervals(lcp, 1):
-        assert min(lcp[a + 1 : b + 1]) == depth
+    value = np.random.default_rng(1).permutation(13)
+    found = repeats.intervals(lcp, 1, value)
+    assert len(found) == len(set(found)) > 3
+    for a, b, depth, low in found:
+        assert min(lcp[a + 1 : b + 1]) == depth and low == min(value[a : b + 1])
         assert (a == 0 or lcp[a] < depth) and (b == len(lcp) - 1 or lcp[b + 1] < depth)
 
 
-def test_maximal_repeats(spark):
-    p = "the quick brown fox jumps over the lazy dog again and again"
-    rows = spark.createDataFrame([(1, f"aa {p} bb", "x", 1), (2, f"cc {p} dd", "x", 1), (3, f"ee {p[:55]}", "x", 1)], DOCS)
-    got = repeats.maximal_repeats(rows, 40, k=20).collect()
-    assert got and any({o.id for o in r.occurrences} == {1, 2, 3} for r in got)
-    assert all(bytes(r.text).decode() in {1: f"aa {p} bb", 2: f"cc {p} dd", 3: f"ee {p[:55]}"}[o.id][o.start :] for r in got for o in r.occurrences)
+@pytest.mark.parametrize(("chunk", "hot"), [(1 << 22, 64), (400, 64), (400, 1)])
+def test_maximal_repeats(spark, monkeypatch, chunk, hot):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(repeats, "shared_minimisers", functools.partial(repeats.shared_minimisers, hot=hot))
+    rng = np.random.default_rng(8)
+    p, q = " ".join(words(rng, 60)), " ".join(words(rng, 9))
+    texts = [f"aa {p} bb", f"cc {p} dd {q}", f"ee {p[:55]}", f"{q} mid {p[40:200]} {q}", *(" ".join(words(rng, 30)) for _ in range(8)), f"x{q}y{q}z"]
+    r = " ".join(words(rng, 50))
+    texts += [f"one {r} up", f"two!{r}, down"]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = repeats.maximal_repeats(docs, 20, k=8).collect()
+    where = lambda w: sorted((i, m.start()) for i, t in enumerate(texts) for m in re.finditer(f"(?={re.escape(w)})", t))
+    groups = {}
+    for r in got:
+        o = [(x.id, x.start) for x in r.occurrences]
+        w = texts[o[0][0]][o[0][1] : o[0][1] + r.size]
+        assert o == where(w) and len(o) > 1 and w not in groups and w.startswith(bytes(r.text).decode())
+        groups[w] = o
+    around = lambda o, d: {texts[i][s + d : s + d + 1] if s + d >= 0 else f"start{i}" for i, s in o}
+    windows = {t[s : s + 20] for t in texts for s in range(len(t) - 19)}
+    for w in windows:
+        o = where(w)
+        if len(o) > 1:  # each repeated window is part of a repeat with the same occurrences
+            assert any(len(g) == len(o) and w in v for v, g in groups.items())
+    for w, o in groups.items():  # nothing more on either side, unless what follows or precedes occurs elsewhere too
+        left, right = around(o, -1), around(o, len(w))
+        assert len(left) > 1 or len(where((left.pop() + w)[:20])) > len(o)
+        assert len(right) > 1 or right == {""} or len(where((w + right.pop())[-20:])) > len(o)
+    assert groups[r] == [(13, 4), (14, 4)]
 
 
 # ---- 2: decontamination --------------------------------------------------------------------------------
@@ -285,6 +318,7 @@ def odd_docs(spark, corpus):
     return spark.createDataFrame([*corpus, *((1000 + i, t, None, 1) for i, t in enumerate(ODD))], DOCS).repartition(3)
 
 
+@with_tokenizers
 def test_bpe_is_the_library_and_round_trips(spark, corpus):
     import tiktoken
 
@@ -299,6 +333,7 @@ def test_bpe_is_the_library_and_round_trips(spark, corpus):
     assert bpe.round_trip(empty(spark), path, tokenizers_home.PATTERN).count() == 0
 
 
+@with_tokenizers
 def test_pieces_are_safe():
     import regex
 
@@ -308,12 +343,13 @@ def test_pieces_are_safe():
             assert [m for x in bpe.safe_pieces(t) for m in p.findall(x)] == p.findall(t)
 
 
+@with_tokenizers
 def test_token_files(spark, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     path = tokenizers_home.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    assert 50256 in t.encode("x <|endoftext|> y", add_special_tokens=False).ids
     df = odd_docs(spark, corpus)
     manifest = tokenfiles.write_token_files(df, path, f"file://{tmp_path}/tok", seq_len=64, rows=8, partitions=3)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfiles.read_documents(manifest).collect())
@@ -493,6 +529,7 @@ def test_hash_index_finds_all():
     assert (common.HashIndex(keys[:0]).find(keys) == -1).all()
 
 
+@with_tokenizers
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
