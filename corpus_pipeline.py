@@ -2,6 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of `documents`.
+
+A null text has no language and goes in the first stage, as do empty texts and those without a letter; later stages take nulls
+too (no words, no bytes, no ids). Rows are judged by id and text, so repeated rows share a fate and another text under a
+dropped row's id stays. Empty tables give empty tables. Columns beside those of `documents` are dropped.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequarry.llm import bottomk, bpe, decontaminate, ppm, repeats
-from framequarry.llm.common import held_out, stash, table
+from framequarry.llm.common import held_out, small, stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,15 +27,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
+
+    Rows go by their id and text: another text that bears a dropped row's id stays. Rows without an id stay.
+    """
     got = bottomk.near_duplicates(docs, words=5, percent=80)
-    drop = stash(got.where("id != component").select(F.col("id").alias("doc_id")), "dropped")
-    return docs.join(_small(drop), "doc_id", "left_anti").select(COLUMNS)
+    return _without(docs, got.where("id != component").select(F.col("id").alias("doc_id"), "text_hash"), "dropped")
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """Ids to be broadcast if there are at most so many (8 bytes each); more are joined by a shuffle."""
-    return F.broadcast(ids) if ids.count() <= bottomk.BROADCAST_IDS else ids
+def _without(docs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """docs without the rows (doc_id, text_hash), which are broadcast if their table is small, and else joined by a shuffle."""
+    gone = stash(rows.distinct().select(F.col("doc_id").alias("gone_id"), "text_hash"), label)
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (bottomk.text_hash(F.col("text")) == F.col("text_hash"))
+    return docs.select(COLUMNS).join(small(gone, bottomk.BROADCAST_BYTES), same, "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +58,9 @@ def _valid(kept: Column) -> Column:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's words go."""
-    got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    drop = stash(got.where("n_hit > 0").select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(drop), "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold a benchmark item's words go, by their id and text; rows without an id are judged by their text alone."""
+    got = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep_hash=True)
+    return _without(docs, got.where("n_hit > 0").select("doc_id", "text_hash"), "contaminated")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
