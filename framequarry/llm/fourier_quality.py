@@ -94,22 +94,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, stats array<double>")
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over rising x: block ends and their rising means."""
-    top: list[float] = []
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pool adjacent violators over rising x: where blocks begin and end, and their rising means."""
+    begin: list[float] = []
+    end: list[float] = []
     mean: list[float] = []
     weight: list[float] = []
     for a, b, c in zip(x.tolist(), y.tolist(), w.tolist(), strict=True):
-        top.append(a)
+        begin.append(a)
+        end.append(a)
         mean.append(b)
         weight.append(c)
         while len(mean) > 1 and mean[-2] >= mean[-1]:
-            m, k = mean.pop(), weight.pop()
-            a = top.pop()
+            m, k, to = mean.pop(), weight.pop(), end.pop()
+            begin.pop()
             mean[-1] = (mean[-1] * weight[-1] + m * k) / (weight[-1] + k)
             weight[-1] += k
-            top[-1] = a
-    return np.array(top), np.array(mean)
+            end[-1] = to
+    return np.array(begin), np.array(end), np.array(mean)
 
 
 class Model:
@@ -121,7 +123,7 @@ class Model:
         self.W = rng.normal(0, np.sqrt(2 * gamma), (len(mean), width))
         self.b = rng.uniform(0, 2 * np.pi, width)
         self.beta: np.ndarray | None = None
-        self.top = self.value = np.empty(0)
+        self.at = self.value = np.empty(0)
 
     def cosines(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.scale, -6, 6)
@@ -131,8 +133,8 @@ class Model:
         return self.cosines(stats) @ self.beta
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        """Between the calibration's blocks, values are interpolated."""
-        return np.clip(np.interp(self.raw(stats), self.top, self.value), 0, 1)
+        """A calibration block's value inside it, interpolated between blocks."""
+        return np.clip(np.interp(self.raw(stats), self.at, self.value), 0, 1)
 
 
 def _stats(column: pa.Array) -> np.ndarray:
@@ -194,13 +196,14 @@ def train(feats: DataFrame, labels: DataFrame, where: Column, label_col: str = "
     seen = arrow_map(rows.where("part = 1"), measure, "x double, label int, weight double").toArrow()
     x, y, w = seen["x"].to_numpy(), seen["label"].to_numpy().astype(float), seen["weight"].to_numpy()
     if not len(x):
-        model.top, model.value = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        model.at = model.value = np.array([0.0, 1.0])
         return model
     order = np.argsort(x, kind="stable")
     x, first, place = np.unique(x[order], return_index=True, return_inverse=True)
     # the sample holds classes at its own rates; weights undo them
     k = np.bincount(place, w[order])
-    model.top, model.value = isotonic(x, np.bincount(place, (w * y)[order]) / k, k)
+    begin, end, mean = isotonic(x, np.bincount(place, (w * y)[order]) / k, k)
+    model.at, model.value = np.c_[begin, end].ravel(), np.repeat(mean, 2)
     return model
 
 

@@ -4,19 +4,25 @@ Every text node has a root-to-leaf tag path. Per path, text length and punctuati
 a path's ratios are those sums over its number of nodes, and its score their product, widened by how much
 the lengths and punctuation counts of its nodes vary (running prose varies, menus do not). Scores are smoothed
 along the page with a Gaussian, so a short paragraph amid long ones keeps their score; the fused score of a node
-is the geometric mean of its own and its smoothed score, and nodes over a share of the page's standard
-deviation are content. The element that holds most of the content's length is the article: its blocks, short
-headings and paragraphs included, are returned without the parts that markup names as something else.
+is the geometric mean of its own and its smoothed score. Nodes whose fused score reaches SHARE of the page's mean,
+weighted by length, are content, wherever on the page they stand.
+
+Markup only lowers scores: of parts whose tag, class, id or role names them as something else (unless they hold most of
+the page's prose, as a form or a wrapper with a telling name may), and of what stands outside of article and main
+elements that hold most of it. Navigation, scripts, styles and form controls are no text of an article at all.
+Headings and short blocks that stand between content, or in the element that holds nearly all of it, go with it, unless
+they were lowered; three links in a row as list items are a menu even there.
 
 A null or empty page, or one without content, gives an empty text. Every row gives one row; repeated
-rows repeat. Broken markup is read as browsers read it in the main cases: unclosed paragraphs end at the
-next block, unclosed elements at their parent's end, comments, scripts and tags cut off at the page's end.
+rows repeat; a table without rows gives none. Columns other than the id, the url and the page are not read, whatever their
+names. Broken markup is read as browsers read it in the main cases: unclosed paragraphs end at the next block, unclosed
+elements at their parent's end, comments, scripts and tags cut off at the page's end. Time and memory are linear
+in the page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -34,12 +40,21 @@ _IMPLIED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozen
 _SCOPE = frozenset("html body article section main div ul ol dl table tbody thead tfoot nav aside form footer header td th".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never article text.
-_NEVER = frozenset("head title nav footer aside form button select option textarea input iframe object svg canvas audio video dialog menu noscript template label fieldset datalist map".split())
-#: Words of class, id or role that name a part which is not the article.
+_NEVER = frozenset("head title nav aside footer menu dialog button select option textarea input iframe object svg canvas audio video noscript template label fieldset legend datalist map".split())
+#: Elements that are something else unless they hold most of the page.
+_OTHER = frozenset("form header".split())
+#: Words of class, id or role that name a part which is not the article, and those that name readers' comments.
 _NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner navigation nav navbar navbox menu breadcrumb breadcrumbs header masthead footer colophon contentinfo sidebar complementary aside related recommended share sharing social comment comments reply replies respond discussion disqus feedback reader cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register search searchbox form widget pagination pager toolbar toc copyright legal disclaimer hidden skip".split()
+    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner navigation nav navbar navbox menu breadcrumb breadcrumbs header masthead footer colophon contentinfo sidebar complementary aside related recommended share sharing social cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register search searchbox form widget pagination pager toolbar toc copyright legal disclaimer hidden skip".split()
 )
+_COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus feedback".split())
+#: First and last words that make a name tell of a page's state or layout instead of a part (`has-sidebar`, `search-page`).
+_BEFORE = frozenset("has no with without not is can".split())
+_AFTER = frozenset("fixed mode page layout width free ready enabled disabled open active".split())
 _MAIN = frozenset(["article", "main"])
+_ROOTS = frozenset(["", "html", "body"])
+#: Elements that can hold a whole article.
+_HOLDERS = _MAIN | frozenset("div section form table tbody tr td center".split())
 
 _RAW = "script|style|noscript|template|svg|iframe|textarea|title"
 _TOKEN = re.compile(
@@ -50,204 +65,215 @@ _TOKEN = re.compile(
     re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[,.;:!?，。；：！？、…]")
 
-#: How wide the smoothing is, in text nodes, the share of the standard deviation a content node's score
-#: exceeds, and the share of the content's length its container holds.
-RADIUS, SHARE, HOLDS = 2, 0.25, 0.6
-
-
-class _Element:
-    __slots__ = ("block", "drop", "link", "parent", "path", "tag", "weight")
+#: How wide the smoothing is, in text nodes; the share of the page's mean score that content reaches; the share of the
+#: prose that protects a part from its name; the share of the content that its container holds; what lowered scores keep.
+RADIUS, SHARE, MOST, HOLDS, LOWERED, OUTSIDE = 2, 0.5, 0.5, 0.8, 0.1, 0.25
 
-    def __init__(self, tag: str, parent: _Element | None, attr: str, block: int):
-        self.tag, self.parent, self.block, self.weight = tag, parent, block, 0.0
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.link = tag == "a" or bool(parent and parent.link)
-        self.drop = bool(parent and parent.drop) or tag in _NEVER
-        if attr and not self.drop:
-            self.drop = _names_other(attr)
-        if tag == "header" and not self.drop:
-            p = parent
-            while p and p.tag not in _MAIN:
-                p = p.parent
-            self.drop = p is None
 
-
-def _names_other(attr: str) -> bool:
+def _names(attr: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, name it as something else, or as readers' comments."""
+    hides = other = comments = False
     for m in _NAMES.finditer(attr):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif any(w in _NAMED for w in _WORDS.findall(value)):
-            return True
-    return False
-
-
-def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
-    """(element, number of the block, text with references decoded) of each text node outside scripts, in order."""
-    nodes: list[tuple[_Element, int, str]] = []
-    top = _Element("", None, "", 0)
-    top.path = ""
-    here, block, at = top, 0, 0
-
-    def text(s: str) -> None:
-        if s and not s.isspace():
-            nodes.append((here, block, html.unescape(s) if "&" in s else s))
-        elif s:
-            nodes.append((here, block, " "))
-
-    def close(names: frozenset[str], stop: frozenset[str]) -> bool:
-        """Ends the nearest open element of the names, unless one of stop is nearer."""
-        nonlocal here
-        e = here
-        while e.parent is not None:
-            if e.tag in names:
-                here = e.parent
-                return True
-            if e.tag in stop:
-                return False
-            e = e.parent
-        return False
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"]:
-            if close(frozenset([tag]), frozenset() if tag in _SCOPE else _SCOPE) and tag in _BLOCK:
-                block += 1
-            continue
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
+            hides = True
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                if not words or words[0] in _BEFORE or words[-1] in _AFTER:
+                    continue
+                other |= not _NAMED.isdisjoint(words)
+                comments |= not _COMMENTS.isdisjoint(words)
+    return hides, other, comments
+
+
+class Page:
+    """A page's elements, in parallel lists by number (0: above all), and its text nodes: element, block, text."""
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.path, self.flags = [""], [-1], [0], [0]
+        self.nodes: list[tuple[int, int, str]] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._open = [0]  # the open elements
+        self._at: dict[str, list[int]] = {}  # where each tag stands among them
+        self.block = at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                self._text(page[at : m.start()])
+            at = m.end()
+            if m["tag"] is not None:
+                self._element(m["tag"].lower(), bool(m["end"]), m["attr"])
+        self._text(page[at:])
+
+    def _text(self, s: str) -> None:
+        if s:
+            self.nodes.append((self._open[-1], self.block, " " if s.isspace() else html.unescape(s) if "&" in s else s))
+
+    def _close(self, names: frozenset[str], stop: frozenset[str]) -> bool:
+        """Ends the nearest open element of the names, and all in it, unless one of stop is nearer."""
+        last = lambda tags: max((self._at[t][-1] for t in tags if self._at.get(t)), default=0)
+        place = last(names)
+        if not place or last(stop) > place:
+            return False
+        while len(self._open) > place:
+            self._at[self.tag[self._open.pop()]].pop()
+        return True
+
+    def _element(self, tag: str, end: bool, attr: str) -> None:
+        if end:
+            if self._close(frozenset([tag]), frozenset() if tag in _SCOPE else _SCOPE) and tag in _BLOCK:
+                self.block += 1
+            return
         if tag in _BLOCK:
-            block += 1
+            self.block += 1
+            if tag != "html" and self._at.get("head"):
+                self._close(frozenset(["head"]), frozenset())
             if tag in _CLOSES_P:
-                close(frozenset("p"), _SCOPE - {"p"})
+                self._close(frozenset("p"), _SCOPE)
         if tag in _IMPLIED:
-            close(_IMPLIED[tag], _SCOPE - _IMPLIED[tag])
+            self._close(_IMPLIED[tag], _SCOPE - _IMPLIED[tag])
         if tag == "br":
-            nodes.append((here, block, " "))
-        if tag not in _VOID and not m["attr"].endswith("/"):
-            here = _Element(tag, here, m["attr"], block)
-    text(page[at:])
-    return nodes
-
-
-def _deviation(sums: list[float]) -> float:
-    n, s, q = sums
-    return math.sqrt(max(0.0, q / n - (s / n) ** 2))
-
-
-def path_scores(nodes: list[tuple[_Element, int, str]]) -> np.ndarray:
-    """The fused score of each node: its path's ratios and their smoothed neighbours."""
-    stats: dict[str, list[float]] = {}
-    lengths, marks = [], []
-    for e, _, s in nodes:
-        n, p = len(s.strip()), len(_PUNCT.findall(s))
-        if e.link or e.drop:
-            n = p = 0
-        lengths.append(n)
-        marks.append(p)
-        x = stats.setdefault(e.path, [0, 0, 0, 0, 0])
-        if n:
-            x[0] += 1
-            x[1] += n
-            x[2] += n * n
-            x[3] += p
-            x[4] += p * p
-    score = {}
-    for path, (k, n, n2, p, p2) in stats.items():
-        score[path] = (n / k) * (1 + p / k) * (1 + _deviation([k, n, n2])) * (1 + _deviation([k, p, p2])) if k else 0.0
-    own = np.log1p(np.array([score[e.path] if n else 0.0 for (e, _, _), n in zip(nodes, lengths, strict=True)]))
+            self.nodes.append((self._open[-1], self.block, " "))
+        if tag in _VOID or attr.endswith("/"):
+            return
+        up = self._open[-1]
+        flags = self.flags[up] & INHERITED
+        hides, other, comments = _names(attr) if attr and tag not in _ROOTS else (False, False, False)
+        flags |= LINK * (tag == "a") | ITEM * (tag == "li") | INSIDE * (tag in _MAIN) | NEVER * (tag in _NEVER)
+        flags |= NAMED * (hides or other or tag in _OTHER and not (tag == "header" and flags & INSIDE)) | COMMENTS * comments | HEADING * (tag in _HEADING)
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.path.append(self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
+        self.flags.append(flags)
+        self._at.setdefault(tag, []).append(len(self._open))
+        self._open.append(len(self.tag) - 1)
+
+
+#: Flags of elements; the first five hold for all that stands in them.
+LINK, ITEM, INSIDE, NEVER, HEADING, NAMED, COMMENTS = (1 << i for i in range(7))
+INHERITED = LINK | ITEM | INSIDE | NEVER | HEADING
+
+
+def _sums(page: Page, weights: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For every element, the weights of the nodes in it; elements come after those they stand in."""
+    total = np.bincount(of, weights, minlength=len(page.tag)).tolist()
+    for i in range(len(total) - 1, 0, -1):
+        total[page.parent[i]] += total[i]
+    return np.array(total)
+
+
+def path_scores(page: Page, size: np.ndarray, marks: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The fused score of each node: its path's ratios and their smoothed neighbours. size and marks are 0 for what is no prose."""
+    path = np.array(page.path)[of]
+    n = len(page._paths) + 1
+    has = size > 0
+    k = np.maximum(1, np.bincount(path, has, minlength=n))
+    mean = lambda x: np.bincount(path, x, minlength=n) / k
+    spread = lambda x: np.sqrt(np.maximum(0, mean(x.astype(float) ** 2) - mean(x) ** 2))
+    score = np.log1p(mean(size) * (1 + mean(marks)) * (1 + spread(size)) * (1 + spread(marks)))
+    own = np.where(has, score[path], 0.0)
     kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / (RADIUS / 2)) ** 2)
     smooth = np.convolve(own, kernel / kernel.sum())[RADIUS : RADIUS + len(own)]
     return np.sqrt(own * smooth)
 
 
+def _lowered(page: Page, prose: np.ndarray) -> np.ndarray:
+    """Elements that are, or stand in, something else by their name: those that hold less than MOST of the prose; comments also if prose is left beside them."""
+    total = prose[0]
+    main = np.array([t in _MAIN or t == "h1" for t in page.tag], float)
+    for i in range(len(main) - 1, 0, -1):
+        main[page.parent[i]] += main[i]
+    out = [False] * len(page.tag)
+    for i in range(1, len(out)):
+        f = page.flags[i]
+        if out[page.parent[i]]:
+            out[i] = True
+        elif f & COMMENTS and (prose[i] < MOST * total or prose[i] < total and main[i] <= (page.tag[i] in _MAIN)):
+            out[i] = True
+        elif f & NAMED:
+            out[i] = prose[i] < MOST * total or not total
+    return np.array(out)
+
+
 def extract_main_text(page: str | None) -> str:
     """The page's main text: blocks joined by a line feed."""
-    nodes = text_nodes(page) if page else []
-    if not nodes:
+    p = Page(page) if page else None
+    if p is None or not p.nodes:
         return ""
-    fused = path_scores(nodes)
-    limit = max(1e-9, SHARE * float(fused.std()))
-    total, leaves = 0.0, []
-    for (e, _, s), f in zip(nodes, fused.tolist(), strict=True):
-        if f >= limit and not e.drop:
-            n = len(s.strip())
-            total += n
-            leaves.append((e, n))
-    if not total:
+    of = np.array([e for e, _, _ in p.nodes])
+    flags = np.array(p.flags)[of]
+    length = np.array([len(s.strip()) for _, _, s in p.nodes])
+    plain = np.where(flags & (LINK | NEVER), 0, length)
+    marks = np.array([len(_PUNCT.findall(s)) if n else 0 for (_, _, s), n in zip(p.nodes, plain.tolist(), strict=True)])
+    lowered = _lowered(p, _sums(p, plain, of))[of]
+    prose = np.where(lowered, 0, plain)
+    fused = path_scores(p, prose, np.where(lowered, 0, marks), of)
+    fused[lowered] *= LOWERED
+    inside = (flags & INSIDE) > 0
+    if prose[inside].sum() >= HOLDS * prose.sum() > 0:
+        fused[~inside] *= OUTSIDE
+    if not prose.any():
         return ""
-    for e, n in leaves:
-        while e is not None:
-            e.weight += n
-            e = e.parent
-    # the deepest element with most of the content; an article or main element with content comes first
-    best, depth = None, -1
-    marked = [e for e in {id(x): x for leaf, _ in leaves for x in _chain(leaf)}.values()]
-    main = [e for e in marked if e.tag in _MAIN and e.weight >= total * 0.3]
-    if main:
-        inside = max(main, key=lambda e: e.weight)
-    else:
-        for e in marked:
-            d = e.path.count("/")
-            if e.weight >= HOLDS * total and d > depth and e.tag not in ("p", "b", "i", "em", "strong", "span", "a", "li", "td", *_HEADING):
-                best, depth = e, d
-        inside = best
-    keep: dict[int, list[str]] = {}
-    linked: dict[int, list[int]] = {}
-    for e, block, s in nodes:
-        if e.drop or inside is not None and not _within(e, inside):
-            continue
-        keep.setdefault(block, []).append(s)
-        x = linked.setdefault(block, [0, 0])
-        x[e.link] += len(s.strip())
-    out = []
-    run = _menus(nodes, keep, linked)
-    for block, parts in keep.items():
-        text = _SPACE.sub(" ", "".join(parts)).strip()
-        if text and block not in run:
-            out.append(text)
-    return "\n".join(out)
-
-
-def _chain(e: _Element | None) -> Iterator[_Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
-def _within(e: _Element | None, top: _Element) -> bool:
-    while e is not None:
-        if e is top:
-            return True
-        e = e.parent
-    return False
-
-
-def _menus(nodes: list, keep: dict[int, list[str]], linked: dict[int, list[int]]) -> set[int]:
-    """Blocks of list items that are links only, three or more in a row: menus inside the article."""
-    items = {b for e, b, _ in nodes if b in keep and any(x.tag == "li" for x in _chain(e))}
-    only = [b for b in keep if b in items and linked[b][1] and not linked[b][0]]
-    out: set[int] = set()
+    content = (fused >= max(1e-9, SHARE * float((fused * prose).sum() / prose.sum()))) & (prose > 0)
+    core = _container(p, _sums(p, np.where(content, prose, 0), of), {b for (_, b, _), c in zip(p.nodes, content.tolist(), strict=True) if c})
+    in_core = [False] * len(p.tag)
+    for i in range(len(p.tag)):
+        in_core[i] = i == core and p.tag[i] not in _ROOTS or i > 0 and in_core[p.parent[i]]
+    return "\n".join(_blocks(p, of, flags, length, content, lowered | ((flags & NEVER) > 0), np.array(in_core)[of]))
+
+
+def _container(p: Page, held: np.ndarray, blocks: set[int]) -> int:
+    """The innermost element that holds nearly all content, and is more than a paragraph; an article or main element around it comes first."""
+    core, inner = 0, 0
+    for i in range(1, len(held)):  # an element comes after the one it stands in, so the last that holds so much is innermost
+        if held[i] >= HOLDS * held[0] and p.parent[i] == inner:
+            inner = i
+            if p.tag[i] in _HOLDERS:
+                core = i
+    if len(blocks) == 1 and p.tag[p.parent[core]] not in _ROOTS:  # one long block: what it stands in
+        core = max(0, p.parent[core])
+    e = core
+    while e > 0:
+        if p.tag[e] in _MAIN:
+            core = e
+        e = p.parent[e]
+    return core
+
+
+def _blocks(p: Page, of: np.ndarray, flags: np.ndarray, length: np.ndarray, content: np.ndarray, out: np.ndarray, in_core: np.ndarray) -> list[str]:
+    """The texts of the blocks with content, and of those that go with them."""
+    block = np.array([b for _, b, _ in p.nodes])
+    n = int(block.max()) + 1
+    per = lambda w: np.bincount(block, w, minlength=n)
+    link = (flags & LINK) > 0
+    plain, linked = per(np.where(out | link, 0, length)), per(np.where(out | ~link, 0, length))
+    chosen, core = per(content) > 0, per(in_core & ~out) > 0
+    heading = per(np.array([(f & HEADING) > 0 for f in p.flags])[of] & ~out) > 0
+    kept = np.flatnonzero(chosen)
+    first, last = int(kept[0]), int(kept[-1])
+    between = (np.arange(n) > first) & (np.arange(n) < last) & (plain > 0)
+    keep = chosen | core | between
+    there = np.flatnonzero(plain + linked > 0)
+    i = int(np.searchsorted(there, first)) - 1
+    while i >= 0 and heading[there[i]]:  # headings right above
+        keep[there[i]] = True
+        i -= 1
+    item = per(((flags & ITEM) > 0) & ~out) > 0
     run: list[int] = []
-    order = {b: i for i, b in enumerate(b for b in keep if sum(linked[b]))}
-    for b in only:
-        if run and order[b] != order[run[-1]] + 1:
-            run = []
-        run.append(b)
+    for b in there.tolist():  # menus
+        run = [*run, b] if item[b] and not plain[b] else []
         if len(run) >= 3:
-            out.update(run)
-    return out
+            keep[run[-3:]] = False
+    parts: dict[int, list[str]] = {}
+    for (_, b, s), no in zip(p.nodes, out.tolist(), strict=True):
+        if keep[b] and not no:
+            parts.setdefault(b, []).append(s)
+    texts = (_SPACE.sub(" ", "".join(x)).strip() for _, x in sorted(parts.items()))
+    return [t for t in texts if t]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

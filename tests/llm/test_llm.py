@@ -5,6 +5,7 @@ import functools
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -198,8 +199,8 @@ def test_maximal_repeats(spark, monkeypatch, chunk, hot):
     rng = np.random.default_rng(8)
     p, q = " ".join(words(rng, 60)), " ".join(words(rng, 9))
     texts = [f"aa {p} bb", f"cc {p} dd {q}", f"ee {p[:55]}", f"{q} mid {p[40:200]} {q}", *(" ".join(words(rng, 30)) for _ in range(8)), f"x{q}y{q}z"]
-    r = " ".join(words(rng, 50))
-    texts += [f"one {r} up", f"two!{r}, down"]
+    once = " ".join(words(rng, 50))
+    texts += [f"one {once} up", f"two!{once}, down"]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
     got = repeats.maximal_repeats(docs, 20, k=8).collect()
     where = lambda w: sorted((i, m.start()) for i, t in enumerate(texts) for m in re.finditer(f"(?={re.escape(w)})", t))
@@ -219,7 +220,7 @@ def test_maximal_repeats(spark, monkeypatch, chunk, hot):
         left, right = around(o, -1), around(o, len(w))
         assert len(left) > 1 or len(where((left.pop() + w)[:20])) > len(o)
         assert len(right) > 1 or right == {""} or len(where((w + right.pop())[-20:])) > len(o)
-    assert groups[r] == [(13, 4), (14, 4)]
+    assert groups[once] == [(13, 4), (14, 4)]
 
 
 # ---- 2: decontamination --------------------------------------------------------------------------------
@@ -481,8 +482,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_isotonic():
-    top, value = fourier_quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.0]), np.ones(6))
-    assert np.all(np.diff(value) > 0) and value[0] == 0 and top[-1] == 5
+    begin, end, value = fourier_quality.isotonic(np.arange(6.0), np.array([0, 1, 0, 1, 1, 0.0]), np.ones(6))
+    assert begin.tolist() == [0, 1, 3] and end.tolist() == [0, 2, 5] and np.allclose(value, [0, 1 / 2, 2 / 3])
 
 
 # ---- 1: pages -------------------------------------------------------------------------------------------
@@ -506,9 +507,160 @@ def test_pages(spark):
     assert tagpaths.extract(df.limit(0)).count() == 0
 
 
-def test_long_page(spark):
+ARTICLE = "<h1>A title of it</h1><p>The first paragraph, which is long enough; it has marks. And more, of it.</p><p>The second one, also with words, and marks: many. So it goes on, and on.</p><p>Tiny.</p>"
+ARTICLE_TEXT = "A title of it\nThe first paragraph, which is long enough; it has marks. And more, of it.\nThe second one, also with words, and marks: many. So it goes on, and on.\nTiny."
+COMMENT = "<div id=comments><article class=comment-body><p>" + "I think, as a reader, that it is so; and more. " * 20 + "</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [("<body class='has-sidebar'>", ""), ("<body class='page header-fixed'>", ""), ("<html class='no-cookie'>", ""), ("<body class='reader-mode'>", ""), ("<body id='search-page'>", "")]
+    + [("<article class='post has-related'>", "</article>"), ("<form id=all class=form>", "</form>"), ("<div class=sidebar-layout>", "</div>"), ("<html><head><title>x</title><body>", "")]
+    + [("<div id=w><div class=content>", "</div><div class=sidebar><p>Side, text. Here, too.</p></div></div>"), ("<div id=c>", "</div><div class=cookie-notice>We use these, so. Accept, please.</div>"), ("<main>", "</main><div>Subscribe now, please. Or else.</div>"), ("<article>", "</article>" + COMMENT)],
+)
+def test_names_only_lower_scores(before, after):
+    menu = "<nav><ul><li><a href=a>Home</a><li><a href=b>Other</a></ul></nav>"
+    assert tagpaths.extract_main_text(before + menu + ARTICLE + after + "<footer>&copy; us, now.</footer>") == ARTICLE_TEXT
+
+
+def test_pages_of_several_parts():
+    one, two = "Some words, of one. And more, of it, here. " * 9, "Other words, of two. And so on. " * 4
+    for parts in (f"<article><h2>One</h2><p>{one}</p></article><article><h2>Two</h2><p>{two}</p></article>", f"<div><div><h2>One</h2><p>{one}</div><div><h2>Two</h2><p>{two}</div></div>", f"<main><section><h2>One</h2>{one}</section><section><h2>Two</h2>{two}</section></main>"):
+        assert tagpaths.extract_main_text(f"<body><div class=menu>Not, this.</div>{parts}") == f"One\n{one.strip()}\nTwo\n{two.strip()}"
+
+
+def test_path_scores_match_brute_force():
+    p = tagpaths.Page("<div><h1>Title, of</h1><p>One, two. Three</p><ul><li>a<li>b, c</ul><p>Four five six, seven; eight</p></div><p>Other. Text")
+    of = np.array([e for e, _, _ in p.nodes])
+    size = np.array([len(s.strip()) for _, _, s in p.nodes])
+    marks = np.array([len(re.findall("[,.;:!?]", s)) for _, _, s in p.nodes])
+
+    def path(e):
+        return () if e < 0 else (*path(p.parent[e]), p.tag[e])
+
+    score = []
+    for e, n in zip(of, size, strict=True):
+        same = [i for i in range(len(of)) if path(of[i]) == path(e) and size[i]]
+        score.append(np.log1p(np.mean(size[same]) * (1 + np.mean(marks[same])) * (1 + np.std(size[same])) * (1 + np.std(marks[same]))) if n else 0.0)
+    weight = [np.exp(-0.5 * d**2) for d in (-2, -1, 0, 1, 2)]
+    smooth = [sum(w / sum(weight) * score[i + d] for w, d in zip(weight, (-2, -1, 0, 1, 2), strict=True) if 0 <= i + d < len(score)) for i in range(len(score))]
+    assert np.allclose(tagpaths.path_scores(p, size, marks, of), np.sqrt(np.array(score) * smooth))
+
+
+def test_long_and_deep_pages():
     html = "<article>" + "<p>Some words, again. " * 20000 + "</article>" + "<" * 1000
     assert len(tagpaths.extract_main_text(html).split("\n")) == 20000
+    began = time.perf_counter()
+    assert tagpaths.extract_main_text("<article>" + "<b>" * 100_000 + "<p>Some, words." * 20_000).count("\n") == 19_999
+    assert tagpaths.extract_main_text("<div>Some, words." * 100_000).count("\n") == 99_999
+    assert time.perf_counter() - began < 60
+
+
+# ---- exactness ------------------------------------------------------------------------------------------
+
+
+def test_hashes_do_not_clash_by_construction():
+    word = b"a"
+    while len(word) < 2048:
+        word += bytes(195 - c for c in word)  # the Thue-Morse word over a and b
+    other = bytes(195 - c for c in word)
+    for n in (64, 2048):
+        buf = np.frombuffer(word[:n] + other[:n], np.uint8)
+        a, b = common.span_hashes(buf, np.array([0, n]), np.array([n, 2 * n]), fold=False)
+        assert a != b
+
+
+def test_equal_strings_are_told_by_bytes():
+    buf = np.frombuffer(b"abcabdabcxyabd", np.uint8)
+    at, size = np.array([0, 3, 6, 9, 11]), np.array([3, 3, 3, 2, 3])
+    got = repeats.equal_strings(np.zeros(5, np.uint64), at, size, buf)  # all hashes alike
+    assert got[0] == got[2] and got[1] == got[4] and len(set(got)) == 3
+
+
+def test_letters_are_category_l():
+    assert not any(ppm._LETTER.search(t) for t in ("½ ² Ⅷ 12 _ !", "", "①"))
+    assert all(ppm._LETTER.search(t) for t in ("a", "京", "ª", "½é"))
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(12)
+    text = " ".join(words(rng, 400, 50)).encode()
+    counts = [[dict(collections.Counter(int.from_bytes(bytes([n]) + text[i : i + n], "big") for i in range(len(text) - n + 1)))] for n in (1, 2, 3)]
+    m = ppm.Model(["a"], counts)
+    buf, offs = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    seen = np.zeros(1 << 24, bool)
+    for i in range(1, len(text)):
+        seen[(text[i - 2] << 16 if i > 1 else 0) | text[i - 1] << 8 | text[i]] = True
+    k, n = np.unique(ppm._grams(buf, offs, 5)[0], return_counts=True)
+    kn = kneser_ney.Model(k, np.c_[n % 3, n], 5, seen)
+    whole = m.code_lengths(buf, offs), kn.sums(buf, offs)
+    for module in (ppm, kneser_ney):
+        monkeypatch.setattr(module, "BLOCK", 97)
+    assert np.allclose(m.code_lengths(buf, offs), whole[0], rtol=1e-5) and np.allclose(kn.sums(buf, offs), whole[1])
+
+
+def test_topk_of_large_integers():
+    big = 1 << 31
+    X = np.array([[big, 1], [big, 2], [big, 3], [-big, 5]], np.int64)
+    best, scores, _ = topk.SortedLists(np.arange(4), X).search(np.array([big, 1]), -1, 3)
+    assert best.tolist() == [2, 1, 0] and scores.tolist() == [big * big + 3, big * big + 2, big * big + 1]
+
+
+def test_kneser_ney_matches_brute_force(spark):
+    docs = ["Ab abc\u00e9", "abcab", "", None, "x", "xyxyx abc"]
+    df = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(docs)], DOCS).repartition(2)
+    seen = kneser_ney.corpus_strings(df)
+    texts = [lower(t).encode() for t in docs]
+    want = {((t[i - 2] if i > 1 else 0), t[i - 1], t[i]) for t in texts for i in range(1, len(t))}
+    assert {(int(x) >> 16, int(x) >> 8 & 255, int(x) & 255) for x in np.flatnonzero(seen)} == want
+    classes = [[texts[0], texts[1]], [texts[5]]]
+    counts = [collections.Counter(t[i : i + 3] for t in c for i in range(len(t) - 2)) for c in classes]
+    keys = sorted(set().union(*counts))
+    m = kneser_ney.Model(np.array([int.from_bytes(b"\3" + k, "big") for k in keys], np.uint64), np.array([[c[k] for c in counts] for k in keys]), 3, seen)
+    D = kneser_ney.DISCOUNT
+    pairs = {(b, c) for _, b, c in want}
+
+    def p(cls, h, b):  # the probability of byte b after the bytes h
+        if len(h) == 2:
+            follow = {k[2]: n for k, n in counts[cls].items() if k[:2] == h}
+        elif len(h) == 1:
+            follow = {c: len({a for a, x, y in want if (x, y) == (h[0], c)}) for x, c in pairs if x == h[0]}
+        else:
+            follow = {c: len({x for x, y in pairs if y == c}) for _, c in pairs}
+        lower_p = p(cls, h[1:], b) if h else 1 / 256
+        total = sum(follow.values())
+        return max(follow.get(b, 0) - D, 0) / total + D * len(follow) / total * lower_p if total else lower_p
+
+    for probe in (b"abcab xy", b"xyabc", b"\xc3\xa9abq"):
+        got = m.sums(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))[0]
+        assert np.isclose(got, sum(np.log(p(1, probe[max(0, i - 2) : i], probe[i]) / p(0, probe[max(0, i - 2) : i], probe[i])) for i in range(len(probe))), atol=1e-5)
+
+
+def test_fourier_features_and_normal_equations(spark):
+    rng = np.random.default_rng(14)
+    stats = rng.normal(size=(400, fourier_quality.N_STATS))
+    wide = fourier_quality.Model(np.zeros(fourier_quality.N_STATS), np.ones(fourier_quality.N_STATS), 20000, 0.03, 1)
+    z = wide.cosines(stats[:20])[:, :-1]
+    gap = ((stats[:20, None] - stats[None, :20]) ** 2).sum(2)
+    assert np.abs(z @ z.T - np.exp(-0.03 * gap)).max() < 0.05  # the Gaussian kernel
+    ids = np.arange(400)
+    y = (stats[:, 0] + rng.normal(size=400) > 0).astype(np.int32)
+    feats = spark.createDataFrame(pa.table({"doc_id": ids, "stats": list(stats)}))
+    labels = spark.createDataFrame(pa.table({"doc_id": ids, "quality": pa.array(y)}))
+    m = fourier_quality.train(feats, labels, F.lit(True), width=32)
+    part = {r.doc_id: r.part for r in kneser_ney.bounded_labels(labels, F.lit(True), "quality", 20000, "doc_id").collect()}
+    fit = np.array([part[i] == 0 for i in ids])
+    z = m.cosines(stats[fit])
+    assert np.allclose(m.mean, stats.mean(0)) and np.allclose(m.beta, np.linalg.solve(z.T @ z + np.eye(33), z.T @ y[fit]))
+    raw = m.raw(stats[~fit])
+    assert (np.diff(m.score(stats[~fit])[np.argsort(raw)]) >= 0).all() and np.isclose(m.score(stats[~fit]).mean(), y[~fit].mean())
+
+
+def test_class_mix_is_the_same_at_any_size(spark):
+    labels = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 == 0).cast("int").alias("toxic"))
+    for cap, toxic in ((100, 100), (500, 500), (6000, 1000)):
+        n = {r.label: r["count"] for r in kneser_ney.bounded_labels(labels, F.lit(True), "toxic", cap, "doc_id", most=4).groupBy("label").count().collect()}
+        assert abs(n[1] - toxic) < 0.25 * toxic and abs(n[0] - 4 * toxic) < 0.25 * 4 * toxic
 
 
 # ---- helpers and the pipeline ----------------------------------------------------------------------------
