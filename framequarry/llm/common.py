@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 1 << 21
+#: Bytes that Spark hands a Python worker at once; its own default, 64 MB, stays with the JVM as buffers outside the heap.
+BATCH_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -50,10 +52,10 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fq_stash = path
     if _scratch:
@@ -153,6 +155,15 @@ def release() -> None:
         pass
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes per Arrow batch to BATCH_BYTES where they are more. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m")
+    size = int(now.rstrip("bkmgBKMG") or 0) << {"k": 10, "m": 20, "g": 30}.get(now[-1].lower(), 0)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -160,6 +171,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         finally:
             release()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
