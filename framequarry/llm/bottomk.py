@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, arrow_map, drop, mix, sequence_hashes, small, span_hashes, stash, text_slices, word_spans
+from .common import NOT_SPACE, arrow_map, drop, is_small, mix, sequence_hashes, small, span_hashes, stash, text_slices, word_spans
 from .components import connected_components
 
 #: A list of ids is broadcast to pick their texts if it is at most so large on disk; larger ones are joined by a shuffle.
@@ -124,15 +124,18 @@ class _Matcher:
 
         got = arrow_map(self.src.join(small(ids, BROADCAST_BYTES), "id", "left_semi"), run, "id bigint, f1 bigint, hashes array<bigint>")
         # an id that several texts bear: the one that the class is of
-        own = got.join(self.reps.select("id", "f1", "n"), ["id", "f1"], "left_semi")
-        return own.dropDuplicates(["id"]).select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+        own = self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "f1")
+        got = got.join(F.broadcast(own) if is_small(ids, BROADCAST_BYTES) else own, ["id", "f1"], "left_semi")
+        return got.dropDuplicates(["id"]).select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the sizes and the bottom k of the two sketches' union do not rule out."""
         k, t = self.k, self.percent / 100
         margin = 6 * math.sqrt(t * (1 - t) / k)
-        A = self.reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        B = self.reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        reps = self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi")  # only what the pairs need is shuffled
+        A = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        B = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         p = pairs.join(A, "a").join(B, "b").where(_sizes_allow(F.col("na"), F.col("nb"), self.percent)).withColumn("u", u)
         common = F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u")
@@ -141,7 +144,9 @@ class _Matcher:
 
     def add(self, pairs: DataFrame) -> None:
         """Confirms pairs (a, b) on their whole sets; links grow, and components with them."""
-        pairs = stash(self.estimated(pairs), "pairs")
+        candidates = stash(pairs, "candidates")
+        pairs = stash(self.estimated(candidates), "pairs")
+        drop(candidates)
         if pairs.isEmpty():
             drop(pairs)
             if self.comps is None:

@@ -88,9 +88,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_small(df: DataFrame, limit: int) -> bool:
+    return plan_bytes(df) <= limit
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df, to be broadcast if it is at most `limit` bytes large; otherwise Spark joins it by a shuffle."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -153,6 +153,24 @@ def brute_repeats(corpus, length):
     return sorted(out)
 
 
+def brute_kept(corpus, length):
+    """The texts that are left, by id (ids are unique here)."""
+    first = {}
+    for i, t, *_ in corpus:
+        b = t.encode()
+        for p in range(len(b) - length + 1):
+            first[b[p : p + length]] = min(first.get(b[p : p + length], 1 << 60), i)
+    out = {}
+    for i, t, *_ in corpus:
+        b = t.encode()
+        m = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                m[p : p + length] = b"\1" * length
+        out[i] = bytes(x for x, y in zip(b, m, strict=True) if not y).decode()
+    return out
+
+
 @pytest.mark.parametrize(("length", "chunk", "hot"), [(50, 1 << 22, 64), (50, 3000, 64), (50, 3000, 2), (12, 3000, 64), (12, 3000, 1)])
 def test_repeats_match_brute_force(docs, corpus, monkeypatch, length, chunk, hot):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
@@ -705,6 +723,33 @@ def test_pipeline(spark, tmp_path):
     assert first == {r[0] for r in rows} - {50, 51}
     assert near == first - {52}
     assert cut == near and clean == cut - {62} and last == clean
-    r = docs.where("doc_id = 60").first()
-    assert r.n_tokens == len(r.ids)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last)
+    # every stage by brute force on what the one before it kept
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=tokenizers_home.PATTERN, mergeable_ranks=bpe.load_ranks(tokenizers_home.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    kept = [r for r in rows if r[0] in first]
+    low = {i: c for i, _, c in brute_components(kept, percent=80)}
+    kept = [r for r in kept if low[r[0]] == r[0]]
+    texts = brute_kept(kept, 50)
+    item = WORD.findall(secret)
+    windows = [item[i : i + 10] for i in range(len(item) - 9)]
+    whole = lambda t: any(WORD.findall(lower(t))[i : i + 10] in windows for i in range(len(t.split())))
+    want = {i: tuple(e.encode_ordinary(t)) for i, t in texts.items() if not whole(t)}
+    assert {r.doc_id: tuple(r.ids) for r in docs.collect()} == want and all(r.n_tokens == len(r.ids) for r in docs.collect())
+    assert {r.doc_id: tuple(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, text_hash string"
+    for stage in ("near_duplicates", "repeated_passages", "decontaminated"):
+        spark.createDataFrame([(1, "some secret words of it")], "item_id bigint, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        run = lambda rows: sorted(((r.doc_id, r.text) for r in getattr(corpus_pipeline, stage)(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()), key=str)  # noqa: B023, E731
+        assert run([]) == []
+        t, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+        # a copy under an id that another text bears too: only the copy goes
+        rows = [(1, t, "en", "s", 1, "x"), (2, t, "en", "s", 1, "x"), (2, other, None, None, None, None), (None, other + " more", "en", "s", 1, "x"), (4, None, "en", "s", None, "x"), (5, "", "en", "s", 0, "x")]
+        kept = sorted(((i, x) for i, x, *_ in rows if not (stage == "near_duplicates" and (i, x) == (2, t))), key=str)
+        assert run(rows) == kept
+    assert run([(7, "with some secret words of it inside", "en", "s", 1, "x"), (7, "clean", "en", "s", 1, "x"), (None, "some secret words of it", "en", "s", 1, "x")]) == [(7, "clean")]
