@@ -9,13 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.dissect.engine import dissect
+from framequarry.dissect.engine import default_registry, dissect
 from framequarry.functions.community import community_id
 from framequarry.operators.headers import COLUMNS, verified, with_headers
 from framequarry.operators.tcp_state import tcp_analysis_full
-from framequarry.plans.filters import STATE_FLAGS, And, Compare, Exists, Not, Or, compile_filter, conjuncts, parse
+from framequarry.plans.filters import STATE_FLAGS, Aliases, And, Compare, Exists, Not, Or, compile_filter, conjuncts, parse
 
 _CHEAP = frozenset(["headers"])
+#: Fields that are columns of a capture, not of its frames' headers.
+_STORED = frozenset(["frame.number", "frame.len", "frame.cap_len"])
+
+
+def with_spellings(aliases: Aliases | None, registry=None) -> Aliases:
+    """The caller's aliases before those that come with the registry's decoders."""
+    out = Aliases()
+    for name, to in (registry or default_registry()).aliases:
+        out.add(name, to)
+    for own in (aliases,) if aliases else ():
+        out.expressions.update(own.expressions)
+        out.fields.update(own.fields)
+    return out
 
 
 def field_names(node: object) -> set[str]:
@@ -45,8 +58,7 @@ def display_filter(frames: DataFrame, expr: str, dialect: str = "display", regis
     options: aliases, providers, symbols, compat, as for the filter's binder. TCP state is built from all frames, as
     packets that a filter drops still moved it; so nothing is filtered before that.
     """
-    if registry is None and dialect == "display":
-        options.setdefault("aliases", None)
+    options["aliases"] = with_spellings(options.get("aliases"), registry)
     node = parse(expr, dialect, options.get("aliases"))
     options["fields_column"] = "d.fields"
     parts = [compile_filter(n, dialect, **options) for n in conjuncts(node)]
@@ -54,6 +66,13 @@ def display_filter(frames: DataFrame, expr: str, dialect: str = "display", regis
     df = frames if "l4_off" in columns else with_headers(frames)
     needs = set().union(*(p.needs for p in parts)) | ({"fields"} if keep_tree else set())
     if "state" not in needs:
+        stored = [p for p in parts if p.needs <= _CHEAP and field_names(p.node) <= _STORED]
+        if stored and df is not frames:  # conditions on stored columns stay below the headers, where they reach the scan
+            df = frames
+            for p in stored:
+                df = df.where(p.column)
+            df = with_headers(df)
+            parts = [p for p in parts if not any(p is q for q in stored)]
         for p in parts:
             if p.needs <= _CHEAP:
                 df = df.where(p.column)
@@ -72,7 +91,8 @@ def match_filters(frames: DataFrame, exprs: list[str], dialect: str = "display",
 
     A filter that does not parse raises FilterSyntaxError.
     """
-    nodes = [parse(e, dialect, options.get("aliases")) for e in exprs]
+    options["aliases"] = with_spellings(options.get("aliases"), registry)
+    nodes = [parse(e, dialect, options["aliases"]) for e in exprs]
     options["fields_column"] = "d.fields"
     got = [compile_filter(n, dialect, **options) for n in nodes]
     df = frames if "l4_off" in frames.columns else with_headers(frames)

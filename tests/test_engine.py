@@ -70,20 +70,26 @@ def test_checksums(spark):
 
 # ---- decoders ------------------------------------------------------------------------------------------
 
-#: Decoder, payload, and what its fields must be (fixed values).
+#: Decoder, payload, and what its fields must be (fixed values; frames of the public sample captures, cut to their headers).
 SAMPLES = [
-    ("BFD", "20440521000000010000000000 0f4240000f424000000000".replace(" ", ""), {"bfd.detect_mult": 5, "bfd.my_discriminator": 1, "bfd.desired_min_tx": 1000000}),
+    ("BFD", "20440521000000010000000000 0f4240000f424000000000".replace(" ", ""), {"bfd.detect_mult": 5, "bfd.my_discriminator": 1, "bfd.desired_min_tx_interval": 1000000}),
     ("OSPF", "0201002cc0a8aa0800000001273b000000000000000000 00".replace(" ", ""), {"ospf.version": 2, "ospf.type": 1}),
-    ("IGMP", "1164ee9b00000000", {"igmp.type": 0x11, "igmp.max_resp": 100}),
+    ("IGMP", "1164ee9b00000000", {"igmp.type": 0x11, "igmp.max_resp_time": 100}),
     ("CDP", "01b4dff0", {"cdp.version": 1, "cdp.ttl": 180}),
-    ("DCCP", "80041389050008db0100", {"dccp.sport": 32772, "dccp.dport": 5001}),
+    ("DCCP", "80041389050008db0100", {"dccp.source_port": 32772, "dccp.dest_port": 5001}),
     ("DHCPv6", "01123456", {"dhcpv6.msg_type": 1}),
     ("BGP", "ff" * 16 + "001304", {"bgp.length": 19, "bgp.type": 4}),
     ("TFTP", "00040007", {"tftp.opcode": 4, "tftp.block": 7}),
     ("TFTP", "0003000148656c6c6f", {"tftp.block": 1}),
-    ("MQTT", "300700036162630102", {"mqtt.msg_type": 3, "mqtt.topic": "abc"}),
+    ("MQTT", "300700036162630102", {"mqtt.packet_type": 3, "mqtt.topic_name": "abc"}),
     ("RADIUS", "01050014" + "00" * 16, {"radius.code": 1, "radius.identifier": 5}),
     ("STUN", "000100002112a442" + "00" * 12, {"stun.message_type": 1}),
+    ("SNMP", "308181020100" + "0406" + b"public".hex() + "a274" + "020400010203" + "020100" + "020105" + "3066" + "3064" + "06082b06010201010100" + "0458" + "41" * 88, {"snmp.community": "public", "snmp.request_id": 0x10203, "snmp.error_index": 5, "snmp.pdu": 0xA2}),
+    ("LDAP", "3084000000100201056384000000070400aabbccddee", {"ldap.message_id": 5, "ldap.protocol_op": 0x63}),
+    ("KRB5", "6a81823081 7fa103020105a20302010a".replace(" ", "") + "00" * 119, {"krb5.pvno": 5, "krb5.msg_type": 10}),
+    ("NTP", "240206e9" + "00" * 8 + "4c4f434c" + "00" * 32, {"ntp.vn": 4, "ntp.mode": 4, "ntp.stratum": 2, "ntp.li_vn_mode": 0x24}),
+    ("QUIC", "c000000001" + "0411223344" + "00" + "4a4b", {"quic.header_form": 1, "quic.version": 1, "quic.destination_connection_id_length": 4}),
+    ("MPLS", "00010140", {"mpls.label": 16, "mpls.bottom_of_stack": 1, "mpls.ttl": 64}),
     ("RTP", "80600001000000020000000 3aa".replace(" ", ""), {"rtp.version": 2, "rtp.payload_type": 96, "rtp.ssrc": 3}),
 ]
 
@@ -111,7 +117,7 @@ def test_dns_http_tls_dhcp():
     t, f = tree(P.tcp_frame("10.0.0.1", "10.0.0.2", 5000, 9443, P.tls_client_hello("my.host") + P.tls_application_data(b"zz")))
     assert t.proto == "TLS" and f["tls.server_name"].s == "my.host" and sum(n.abbrev == "tls.record" for n in t.nodes) == 2
     t, f = tree(P.udp_frame("0.0.0.0", "255.255.255.255", 68, 67, P.dhcp_offer(9, "02:00:00:00:00:09", "10.0.0.9", "10.0.0.1")))
-    assert f["dhcp.msg_type"].u == 2 and f["dhcp.yiaddr"].s == "10.0.0.9" and f["dhcp.lease_time"].u == 86400
+    assert f["dhcp.message_type"].u == 2 and f["dhcp.yiaddr"].s == "10.0.0.9" and f["dhcp.lease_time"].u == 86400
 
 
 def test_plain_payload_arp_icmp_and_fragments():
@@ -190,6 +196,7 @@ def test_dissect_frames_and_filters(spark):
     assert [(r.proto, r.q) for r in got] == [("DNS", "a.example.com"), ("HTTP", None)]
     ids = lambda e: [r.frame_no for r in display_filter(df, e).collect()]
     assert ids("dns") == [1] and ids('http.request.method == "GET" && tcp') == [2] and ids('dns.qname matches "example\\.com$"') == [1]
+    assert ids("dns.questions == 1") == [1] and ids('host.name contains "example"') == [1] and ids("frame.number > 1 and tcp") == [2]  # other spellings, stored columns
     assert ids("not dns and frame") == [2] and ids("dns.id in {0..5} or tcp.analysis.retransmission == 1") == [1]
     m = match_filters(df, ["dns", "tcp", "udp and not http"]).orderBy("frame_no").collect()
     assert [(r.m0, r.m1, r.m2) for r in m] == [(True, False, True), (False, True, False)]
@@ -246,6 +253,34 @@ def test_export_replace_comment(spark):
     assert captures.snapped(df, 2).first().caplen == 2
 
 
+def test_remote_desktop_sessions():
+    from framequarry.build import rdp
+
+    d = rdp.Desktop(user="bob", password="pw", channels=["cliprdr"])
+    steps = [*rdp.login(d), *rdp.typing(d, "Hi 2"), *rdp.pointing(d, [(5, 6), (7, 8)]), *rdp.copying(d, "text"), *rdp.logout(d)]
+    for up, m in steps:  # every message is a packet of its length, and its inner lengths agree
+        assert m[:2] == b"\3\0" and int.from_bytes(m[2:4], "big") == len(m)
+        if m[4:7] == b"\x02\xf0\x80" and m[7] in (0x64, 0x68):
+            n, at = (m[13], 14) if m[13] < 128 else (int.from_bytes(m[13:15], "big") & 0x7FFF, 15)
+            assert (m[7] == 0x64) == up and n == len(m) - at
+            if m[10:12] == (1003).to_bytes(2, "big") and m[at : at + 2] != b"\x40\0":
+                assert int.from_bytes(m[at : at + 2], "little") == n
+    initial = rdp.mcs_connect_initial(d)
+    at = initial.index(b"Duca") + 4
+    assert int.from_bytes(initial[at : at + 2], "big") & 0x7FFF == len(initial) - at - 2
+    kinds, at = [], at + 2
+    while at < len(initial):  # the client's blocks follow each other to the end
+        kind, size = struct.unpack_from("<HH", initial, at)
+        kinds.append(kind)
+        at += size
+    assert kinds == [0xC001, 0xC004, 0xC002, 0xC003] and at == len(initial)
+    assert sum(m[7] == 0x38 for _, m in steps[4:] if len(m) == 12) == 3 and rdp._utf16("text") in steps[-3][1]
+    assert len(rdp.typing(d, "Hi 2")) == 4 + 2 + 2 + 2 and steps[-1][1].endswith(b"\x21\x80")
+    f = rdp.session("10.0.0.1", "10.0.0.2", d, "a", [(1, 2)], "c")
+    t, found = tree(f[3])
+    assert t.proto == "RDP" and found["rdp.cookie"].s == "Cookie: mstshash=bob"
+
+
 # ---- TCP state -----------------------------------------------------------------------------------------
 
 A, S, F_, R = 16, 2, 1, 4
@@ -414,9 +449,10 @@ def test_streams(spark, tmp_path):
     s = TcpSession("10.0.0.1", "10.0.0.2", 4000, 80)
     body = bytes(range(200))
     pieces = [P.ethernet(P.ipv4(body[104:], "9.9.9.9", "10.0.0.2", 17, ident=4, offset=104)), P.ethernet(P.ipv4(body[:104], "9.9.9.9", "10.0.0.2", 17, ident=4, flags=1))]
-    again = s.frame(True, "PA", b"zz")
     w = formats.Writer()
-    items = [*s.handshake(), again, again, *pieces]
+    shake = s.handshake()
+    again = s.frame(True, "PA", b"zz")
+    items = [*shake, again, again, *pieces]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pcapng").write_bytes(w.start() + b"".join(w.packet(f, 1, 1_700_000_000_000_000_000 + i) for i, f in enumerate(items)))
 
@@ -433,6 +469,5 @@ def test_streams(spark, tmp_path):
     assert any(bytes(r.packet)[20:] == body for r in whole)
     seen = []
     q = flows.capture_loop(spark, f"file://{tmp_path}/in", lambda b, n: seen.extend(r.frame_no for r in b.collect()), "tcp", count=3, checkpoint=f"{tmp_path}/loop")
-    q.processAllAvailable()
-    q.stop()
+    assert q.awaitTermination(120)  # it ends by itself
     assert seen == [1, 2, 3]
