@@ -1,7 +1,8 @@
 """Fixed analyses of captures: conversations, endpoints, hierarchy, TCP windows, series, summaries, counts.
 
 Inputs are frames (frame_no, ts_ns, linktype, frame, ...); whatever has no header columns yet gets them. All of it is
-groupBy with partial sums and minima, or windows per direction; nothing is collected.
+groupBy with partial sums and minima, or windows per direction; nothing is collected. Frames with a column `file` are
+those of several captures: conversations, streams and times are those of one file (captures.merged() makes one capture of them).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from framequarry.functions.bits import ip_text
 from framequarry.functions.community import community_id
-from framequarry.operators.headers import with_headers
+from framequarry.operators.headers import capture_columns, with_headers
 
 #: Names of transport protocols (fixed values, the public registry's).
 PROTO_NAMES = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 33: "DCCP", 41: "IPv6", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 88: "EIGRP", 89: "OSPF", 103: "PIM", 112: "VRRP", 115: "L2TP", 132: "SCTP"}
@@ -53,7 +54,7 @@ def tcp_analysis(frames: DataFrame, padding: bool = False) -> DataFrame:
     direction may move 2 GiB. With `padding`, bytes after the IP length count as data.
     """
     df = _ready(frames)
-    direction = ["ip_src", "sport", "ip_dst", "dport"]
+    direction = [*capture_columns(df), "ip_src", "sport", "ip_dst", "dport"]
     order = Window.partitionBy(*direction, "l4_proto").orderBy("frame_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     tcp = F.col("tcp_seq").isNotNull()
@@ -79,7 +80,7 @@ def tcp_analysis(frames: DataFrame, padding: bool = False) -> DataFrame:
 
 
 def conversations(frames: DataFrame, analysis: bool = True) -> DataFrame:
-    """One row for each conversation: id (its first frame), proto, addr_a, port_a, addr_b, port_b (a sent first), packets, bytes, retransmissions, dup_acks, out_of_order.
+    """One row for each conversation: file (if frames has it), id (its first frame), proto, addr_a, port_a, addr_b, port_b (a sent first), packets, bytes, retransmissions, dup_acks, out_of_order.
 
     Frames with IP addresses and ports count; bytes are captured bytes.
     """
@@ -89,9 +90,10 @@ def conversations(frames: DataFrame, analysis: bool = True) -> DataFrame:
     else:
         df = df.withColumns({c: F.lit(False) for c in ("retransmission", "out_of_order", "dup_ack")})
     start = F.min_by(F.struct("ip_src", "sport", "ip_dst", "dport"), "frame_no")
+    own = capture_columns(df)
     got = (
         df.withColumn("k", conversation_key())
-        .groupBy("k")
+        .groupBy("k", *own)
         .agg(
             F.min("frame_no").alias("id"),
             start.alias("s"),
@@ -100,7 +102,7 @@ def conversations(frames: DataFrame, analysis: bool = True) -> DataFrame:
             *[F.count_if(F.col(c)).alias(n) for c, n in (("retransmission", "retransmissions"), ("dup_ack", "dup_acks"), ("out_of_order", "out_of_order"))],
         )
     )
-    return got.select("id", proto_name("k.proto").alias("proto"), ip_text("s.ip_src").alias("addr_a"), F.col("s.sport").alias("port_a"), ip_text("s.ip_dst").alias("addr_b"), F.col("s.dport").alias("port_b"), "packets", "bytes", "retransmissions", "dup_acks", "out_of_order")
+    return got.select(*own, "id", proto_name("k.proto").alias("proto"), ip_text("s.ip_src").alias("addr_a"), F.col("s.sport").alias("port_a"), ip_text("s.ip_dst").alias("addr_b"), F.col("s.dport").alias("port_b"), "packets", "bytes", "retransmissions", "dup_acks", "out_of_order")
 
 
 def endpoints(frames: DataFrame) -> DataFrame:
@@ -147,8 +149,9 @@ def io_graph(frames: DataFrame, series: dict[str, Column], width: str = "1 secon
 def session_flows(frames: DataFrame, gap: str = "60 seconds", ts_col: str = "ts") -> DataFrame:
     """Conversations cut where nothing is sent for `gap`: addresses, ports, protocol, first and last time, packets, bytes."""
     df = _ready(frames).where(F.col("sport").isNotNull()).withColumn("k", conversation_key())
-    got = df.groupBy("k", F.session_window(ts_col, gap).alias("w")).agg(F.count("*").alias("packets"), F.sum(F.length("frame").cast("bigint")).alias("bytes"), F.max(ts_col).alias("last"))
-    return got.select(ip_text("k.lo.ip").alias("addr_lo"), F.col("k.lo.port").alias("port_lo"), ip_text("k.hi.ip").alias("addr_hi"), F.col("k.hi.port").alias("port_hi"), proto_name("k.proto").alias("proto"), F.col("w.start").alias("first"), "last", "packets", "bytes")
+    own = capture_columns(df)
+    got = df.groupBy("k", *own, F.session_window(ts_col, gap).alias("w")).agg(F.count("*").alias("packets"), F.sum(F.length("frame").cast("bigint")).alias("bytes"), F.max(ts_col).alias("last"))
+    return got.select(*own, ip_text("k.lo.ip").alias("addr_lo"), F.col("k.lo.port").alias("port_lo"), ip_text("k.hi.ip").alias("addr_hi"), F.col("k.hi.port").alias("port_hi"), proto_name("k.proto").alias("proto"), F.col("w.start").alias("first"), "last", "packets", "bytes")
 
 
 def flag_text(flags: Column | str = "tcp_flags") -> Column:
@@ -165,19 +168,37 @@ def summaries(frames: DataFrame) -> DataFrame:
     arp = F.when(F.col("arp_op") == 1, F.concat(F.lit("Who has "), ip_text("arp_dst_ip"), F.lit("? Tell "), ip_text("arp_src_ip"))).otherwise(F.concat(ip_text("arp_src_ip"), F.lit(" is at "), F.lower(F.hex("arp_src_hw"))))
     info = F.when(F.col("tcp_seq").isNotNull(), tcp).when(F.col("udp_len").isNotNull(), F.concat(ports, F.lit(" Len="), (F.col("udp_len") - 8).cast("string"))).when(F.col("icmp_type").isNotNull(), F.concat(F.lit("Type="), F.col("icmp_type").cast("string"), F.lit(" Code="), F.col("icmp_code").cast("string"))).when(F.col("arp_op").isNotNull(), arp)
     proto = F.when(F.col("arp_op").isNotNull(), "ARP").when(F.col("ip_v").isNotNull(), proto_name("l4_proto")).otherwise("Ethernet")
-    return df.select("frame_no", F.coalesce(ip_text("ip_src"), ip_text("arp_src_ip")).alias("src"), F.coalesce(ip_text("ip_dst"), ip_text("arp_dst_ip")).alias("dst"), proto.alias("proto"), F.length("frame").alias("length"), F.coalesce(info, F.lit("")).alias("info"))
+    return df.select(*capture_columns(df), "frame_no", F.coalesce(ip_text("ip_src"), ip_text("arp_src_ip")).alias("src"), F.coalesce(ip_text("ip_dst"), ip_text("arp_dst_ip")).alias("dst"), proto.alias("proto"), F.length("frame").alias("length"), F.coalesce(info, F.lit("")).alias("info"))
 
 
-def relative_time(frames: DataFrame, by: str | None = None) -> DataFrame:
-    """frames with rel_ns: time since the first frame with a time; frames without one repeat the time before.
+#: Frames that relative_time() looks through at once for the time before.
+TIME_BLOCK = 1 << 16
 
-    The base is one minimum, joined as a single row; `by` (a file column) starts anew for each of its values.
+
+def relative_time(frames: DataFrame) -> DataFrame:
+    """frames with rel_ns: time since their file's first frame with a time; frames without one repeat the time before.
+
+    The base is one minimum for each file, joined as a small table. Frames with a time need nothing else; for the others the
+    last time is looked up within blocks of TIME_BLOCK frames, and from block to block over one row for each.
     """
-    df = frames.withColumn("_g", F.col(by) if by else F.lit(0))
-    base = df.where("ts_ns <> 0").groupBy("_g").agg(F.min_by("ts_ns", "frame_no").alias("_base"))
-    last = Window.partitionBy("_g").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
-    timed = df.join(F.broadcast(base), "_g", "left")
-    return timed.withColumn("rel_ns", F.coalesce(F.last(F.when(F.col("ts_ns") != 0, F.col("ts_ns") - F.col("_base")), ignorenulls=True).over(last), F.lit(0))).drop("_g", "_base")
+    own = capture_columns(frames)
+    key = [f"_{c}" for c in (*own, "k")]
+    df = frames.withColumns({"_k": F.lit(0), **{f"_{c}": F.col(c) for c in own}})
+    timed, other = F.col("ts_ns") != 0, F.coalesce(F.col("ts_ns") == 0, F.lit(True))
+    base = df.where(timed).groupBy(*key).agg(F.min_by("ts_ns", "frame_no").alias("_base"))
+    done = df.where(timed).join(base, key, "left").withColumn("rel_ns", F.coalesce(F.col("ts_ns") - F.col("_base"), F.lit(0).cast("bigint")))
+    cells = df.select(*key, "frame_no", F.when(timed, F.col("ts_ns")).alias("_t"), F.floor(F.col("frame_no") / TIME_BLOCK).alias("_cell"))
+    last = F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("frame_no")))
+    blocks = cells.groupBy(*key, "_cell").agg(last.alias("_last"))
+    before = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*key, "_cell", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    gaps = cells.where(F.col("_t").isNull()).select(*key, "_cell").distinct()
+    within = Window.partitionBy(*key, "_cell").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    # only blocks that have a frame without a time
+    looked = cells.join(gaps, [*key, "_cell"], "left_semi").withColumn("_seen", F.last("_t", ignorenulls=True).over(within)).where(F.col("_t").isNull())
+    found = looked.join(carried, [*key, "_cell"], "left").select(*key, "frame_no", F.coalesce("_seen", "_carried").alias("_seen"))
+    rest = df.where(other).join(found, [*key, "frame_no"], "left").join(base, key, "left").withColumn("rel_ns", F.coalesce(F.col("_seen") - F.col("_base"), F.lit(0).cast("bigint")))
+    return done.select(*frames.columns, "rel_ns").union(rest.select(*frames.columns, "rel_ns"))
 
 
 def start_time(frames: DataFrame) -> DataFrame:

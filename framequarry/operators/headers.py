@@ -25,6 +25,11 @@ COLUMNS = [
 ]
 
 
+def capture_columns(df: DataFrame) -> list[str]:
+    """The columns that tell captures apart: frame numbers and conversations are those of one file."""
+    return [c for c in ("file",) if c in df.columns]
+
+
 def _be(off, n: int) -> Column:
     """n bytes of the frame as a number; callers check that they are there.
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framequarry.operators.headers import capture_columns
 from framequarry.operators.reassembly import follow_segments
 
 OBJECTS = "conv string, proto string, frame bigint, hostname string, content_type string, filename string, len bigint, complete boolean, data binary"
@@ -156,9 +157,11 @@ def smb_objects(client: bytes, server: bytes) -> list[Carved]:
 def extract_objects(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
     """OBJECTS: every file that a conversation carried; frame is the one that brought its last byte.
 
-    Segments arrive sorted by conversation, so one conversation at a time is in memory, `cap` bytes a direction.
+    Segments arrive sorted by conversation, so one conversation at a time is in memory, `cap` bytes a direction. With a
+    column file in frames, the objects have it too.
     """
-    seg = follow_segments(frames, hold, cap).repartition("conv").sortWithinPartitions("conv", "frame_no")
+    seg = follow_segments(frames, hold, cap)  # its rows come conversation by conversation already
+    own = capture_columns(seg)
     schema = pa.schema([("conv", pa.string()), ("proto", pa.string()), ("frame", pa.int64()), ("hostname", pa.string()), ("content_type", pa.string()), ("filename", pa.string()), ("len", pa.int64()), ("complete", pa.bool_()), ("data", pa.binary())])
 
     def carve(conv: str, parts: list[tuple[int, bool, bytes]]) -> list[tuple]:
@@ -182,19 +185,20 @@ def extract_objects(frames: DataFrame, hold: int | None = None, cap: int | None
         conv, parts = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            rows = carve(conv, parts) if parts else []
+            rows = carve(conv[-1], parts) if parts else []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([f] * len(rows), pa.string()) for f in conv[:-1]), *columns], names=[*own, *schema.names])
 
         for b in batches:
-            for k, no, _, up, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *k, no, _, up, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != conv:
                     yield from done()
                     conv, parts = k, []
                 parts.append((no, up, data))
         yield from done()
 
-    return seg.mapInArrow(run, OBJECTS)
+    return seg.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), OBJECTS]))
 
 
 def smb_requests_answered(fields: DataFrame) -> DataFrame:

@@ -5,37 +5,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framequarry.functions.bits import checksum_of, ip_text, to_bytes
 from framequarry.operators.analytics import conversation_key, flag_text
-from framequarry.operators.headers import payload, with_headers
+from framequarry.operators.headers import capture_columns, payload, with_headers
 
 
 def _ready(df: DataFrame) -> DataFrame:
     return df if "l4_off" in df.columns else with_headers(df)
 
 
-def defragment(frames: DataFrame) -> DataFrame:
-    """frame_no (of the last piece needed), packet (the whole IPv4 packet, no link header), fragments.
+def defragment(frames: DataFrame, idle: float = 30.0) -> DataFrame:
+    """file (if frames has it), frame_no (of the last piece needed), packet (the whole IPv4 packet, no link header), fragments.
 
-    Packets that are not fragments pass. Fragments meet by source, destination, protocol and identification; of
-    bytes sent twice the earlier frame's count; a packet is complete with its first and last piece and all
+    Packets that are not fragments pass. Fragments meet by source, destination, protocol and identification. An
+    identification may come again: a packet ends with the piece that completes it, and pieces after that, or after
+    `idle` seconds without one (if frames have times), are of the next. Of bytes sent twice the earlier frame's count; a packet is complete with its first and last piece and all
     bytes between. Its header is the first fragment's, with length, flags and checksum made right. All of it is
     aggregates over a packet's pieces, 64 KiB at most, so nothing here needs Python.
     """
     df = _ready(frames).where(F.col("ip_v") == 4)
+    own = capture_columns(df)
     whole = F.substring("frame", F.col("l3_off") + 1, F.least(F.length("frame") - F.col("l3_off"), F.greatest(F.col("ip_len"), F.col("ip_ihl"))))
     more, off = F.col("ip_flags").bitwiseAND(F.lit(1)) != 0, F.col("ip_frag") * 8
-    one = df.where(~more & (off == 0)).select("frame_no", whole.alias("packet"), F.lit(1).cast("bigint").alias("fragments"))
+    one = df.where(~more & (off == 0)).select(*own, "frame_no", whole.alias("packet"), F.lit(1).cast("bigint").alias("fragments"))
     body = F.substring("frame", F.col("l4_off") + 1, F.greatest(F.lit(0), F.col("l4_end") - F.col("l4_off")))
-    key = ["ip_src", "ip_dst", "ip_proto", "ip_id"]
-    parts = df.where(more | (off > 0)).select(*key, "frame_no", off.alias("off"), more.alias("more"), body.alias("body"), F.when(off == 0, F.substring("frame", F.col("l3_off") + 1, F.col("ip_ihl"))).alias("head"))
+    ident = [*own, "ip_src", "ip_dst", "ip_proto", "ip_id"]
+    ts = F.col("ts_ns") if "ts_ns" in df.columns else F.lit(0)
+    parts = df.where(more | (off > 0)).select(*ident, "frame_no", ts.alias("ts"), off.alias("off"), more.alias("more"), body.alias("body"), F.when(off == 0, F.substring("frame", F.col("l3_off") + 1, F.col("ip_ihl"))).alias("head"))
+    parts = parts.withColumn("end", F.col("off") + F.length("body"))
+    # where packets of one identification end: after a pause, and after the piece that completes one
+    order = Window.partitionBy(*ident).orderBy("frame_no")
+    pause = F.coalesce(F.col("ts") - F.lag("ts").over(order) > int(idle * 1e9), F.lit(False))
+    runs = parts.withColumn("run", F.sum(pause.cast("int")).over(order))
+    places = F.array_sort(F.collect_list(F.struct("frame_no", "off", "end", "more")))
+    spans = runs.groupBy(*ident, "run").agg(places.alias("p")).select(*ident, "run", _completions("p").alias("ends"))
+    numbered = runs.join(spans, [*ident, "run"]).withColumn("packet_no", F.size(F.filter("ends", lambda e: e < F.col("frame_no")))).drop("ends", "ts")
+    key = [*ident, "run", "packet_no"]
     # byte ranges that earlier frames have not given: the pieces sorted by offset, each cut at what came before
     w = Window.partitionBy(*key).orderBy("off", "frame_no").rowsBetween(Window.unboundedPreceding, -1)
-    cut = parts.withColumn("end", F.col("off") + F.length("body")).withColumn("have", F.coalesce(F.max("end").over(w), F.lit(0)))
+    cut = numbered.withColumn("have", F.coalesce(F.max("end").over(w), F.lit(0)))
     fresh = cut.withColumn("gap", F.col("off") > F.col("have")).withColumn("piece", F.when(F.col("end") > F.col("have"), F.substring("body", F.greatest(F.lit(1), F.col("have") - F.col("off") + 1), F.length("body"))).otherwise(F.lit(b"")))
     got = fresh.groupBy(*key).agg(
         F.max("frame_no").alias("frame_no"),
@@ -53,7 +65,25 @@ def defragment(frames: DataFrame) -> DataFrame:
     plain = F.concat(F.substring("head", 1, 2), to_bytes(total, 2), F.substring("head", 5, 2), F.lit(b"\0\0"), F.substring("head", 9, 2), F.lit(b"\0\0"), F.substring("head", 13, 48))
     done = done.withColumn("plain", plain).withColumn("data", data)
     packet = F.concat(F.substring("plain", 1, 10), to_bytes(checksum_of("plain"), 2), F.substring("plain", 13, 48), "data")
-    return one.union(done.select("frame_no", packet.alias("packet"), "fragments"))
+    return one.union(done.select(*own, "frame_no", packet.alias("packet"), "fragments"))
+
+
+def _completions(places: str) -> Column:
+    """Of pieces (frame_no, off, end, more) in order, the frames after which a packet has its first and last piece and all bytes between.
+
+    State: the pieces of the packet so far, its end (-1: not known), and the frames found.
+    """
+    zero = F.struct(F.array().cast("array<struct<off: int, end: int>>").alias("have"), F.lit(-1).alias("size"), F.array().cast("array<bigint>").alias("found"))
+
+    def step(s: Column, p: Column) -> Column:
+        have = F.concat(s["have"], F.array(F.struct(p["off"].cast("int").alias("off"), p["end"].cast("int").alias("end"))))
+        size = F.when(~p["more"], p["end"].cast("int")).otherwise(s["size"])
+        reach = F.aggregate(F.array_sort(have), F.lit(0), lambda r, x: F.when(x["off"] <= r, F.greatest(r, x["end"])).otherwise(r))
+        whole = (size >= 0) & (reach >= size)
+        empty = F.array().cast("array<struct<off: int, end: int>>")
+        return F.struct(F.when(whole, empty).otherwise(have).alias("have"), F.when(whole, F.lit(-1)).otherwise(size).alias("size"), F.when(whole, F.concat(s["found"], F.array(p["frame_no"]))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(places, zero, step, lambda s: s["found"])
 
 
 _MOD, _HALF = 1 << 32, 1 << 31
@@ -109,24 +139,29 @@ class HalfStream:
 def _stream_rows(frames: DataFrame) -> DataFrame:
     df = _ready(frames).where(F.col("sport").isNotNull()).withColumn("k", conversation_key())
     return df.select(
+        *capture_columns(df),
         F.concat(F.hex("k.lo.ip"), F.lit("/"), F.col("k.lo.port").cast("string"), F.lit("/"), F.hex("k.hi.ip"), F.lit("/"), F.col("k.hi.port").cast("string"), F.lit("/"), F.col("k.proto").cast("string")).alias("conv"),
         "frame_no", "ts_ns", "ip_src", "sport", "tcp_seq", "tcp_flags", payload().alias("data"),
     )
 
 
 def follow_segments(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
-    """conv, frame_no, ts_ns, to_server, data: each conversation's delivered bytes in the order in which they became available.
+    """file (if frames has it), conv, frame_no, ts_ns, to_server, data: each conversation's delivered bytes in the order in which they became available.
 
     The sender of the first frame is the client. TCP bytes come in sequence order, UDP payloads as they were sent.
     Rows are sorted by conversation and frame and read in batches; what waits for a gap is all that is kept.
     """
-    dealt = _stream_rows(frames).repartition("conv").sortWithinPartitions("conv", "frame_no")
+    rows = _stream_rows(frames)
+    own = capture_columns(rows)
+    dealt = rows.repartition(*own, "conv").sortWithinPartitions(*own, "conv", "frame_no")
+    names = [*own, "conv", "frame_no", "ts_ns", "to_server", "data"]
+    types = [*(pa.string() for _ in own), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, client, halves = None, None, {}
         for b in batches:
             out: list[tuple] = []
-            for k, no, ts, ip, port, seq, flags, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *k, no, ts, ip, port, seq, flags, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != conv:
                     conv, client, halves = k, (ip, port), {}
                 up = (ip, port) == client
@@ -136,24 +171,30 @@ def follow_segments(frames: DataFrame, hold: int | None = None, cap: int | None
                     half = halves.setdefault(up, HalfStream(hold, cap))
                     got = half.add(seq, data or b"", bool(flags & 2))
                 if got:
-                    out.append((k, no, ts, up, got))
-            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["conv", "frame_no", "ts_ns", "to_server", "data"])
+                    out.append((*k, no, ts, up, got))
+            columns = list(zip(*out, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, "conv string, frame_no bigint, ts_ns bigint, to_server boolean, data binary")
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), "conv string, frame_no bigint, ts_ns bigint, to_server boolean, data binary"]))
 
 
 def follow_stream(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
-    """One row for each conversation: conv, client (bytes sent by the first sender), server."""
+    """One row for each conversation: file (if frames has it), conv, client (bytes sent by the first sender), server.
+
+    A row holds a whole conversation, so `cap` must bound what a direction delivers where conversations may be huge;
+    follow_segments() has no such bound, its rows are segments.
+    """
     seg = follow_segments(frames, hold, cap)
-    joined = lambda up: F.aggregate(F.transform(F.array_sort(F.filter("s", lambda x: x["to_server"] == up)), lambda x: x["data"]), F.lit(b""), lambda a, x: F.concat(a, x))
-    got = seg.groupBy("conv").agg(F.collect_list(F.struct("frame_no", "to_server", "data")).alias("s"))
-    return got.select("conv", joined(True).alias("client"), joined(False).alias("server"))
+    side = lambda up: F.expr(f"listagg(data) WITHIN GROUP (ORDER BY frame_no) FILTER (WHERE {'to_server' if up else 'NOT to_server'})")
+    empty = F.lit(b"")
+    return seg.groupBy(*capture_columns(seg), "conv").agg(F.coalesce(side(True), empty).alias("client"), F.coalesce(side(False), empty).alias("server"))
 
 
-def stream_packets(frames: DataFrame, conversation: int) -> DataFrame:
-    """frame_no, ts_ns, seq, ack, len, win, to_server, flags of the conversation whose first frame is `conversation`."""
+def stream_packets(frames: DataFrame, conversation: int, file: str | None = None) -> DataFrame:
+    """frame_no, ts_ns, seq, ack, len, win, to_server, flags of the conversation whose first frame is `conversation`; of several captures, name the file."""
     df = _ready(frames).where(F.col("sport").isNotNull())
+    if file is not None:
+        df = df.where(F.col("file") == file)
     ends = ["ip_src", "sport", "ip_dst", "dport"]
     first = df.where(F.col("frame_no") == conversation).select(F.col("l4_proto").alias("_p"), *(F.col(c).alias(f"_{c}") for c in ends))
     same = F.col("ip_src").eqNullSafe(F.col("_ip_src")) & (F.col("sport") == F.col("_sport")) & (F.col("ip_dst") == F.col("_ip_dst")) & (F.col("dport") == F.col("_dport"))
@@ -163,8 +204,9 @@ def stream_packets(frames: DataFrame, conversation: int) -> DataFrame:
 
 
 def half_stream_sizes(frames: DataFrame) -> DataFrame:
-    """conv, to_server, bytes delivered in order."""
-    return follow_segments(frames).groupBy("conv", "to_server").agg(F.sum(F.length("data").cast("bigint")).alias("bytes"))
+    """file (if frames has it), conv, to_server, bytes delivered in order."""
+    seg = follow_segments(frames)
+    return seg.groupBy(*capture_columns(seg), "conv", "to_server").agg(F.sum(F.length("data").cast("bigint")).alias("bytes"))
 
 
 def ends_text(frames: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.operators.headers import with_headers
+from framequarry.operators.headers import capture_columns, with_headers
 from framequarry.plans.filters import STATE_FLAGS
 
 _MOD, _HALF = 1 << 32, 1 << 31
@@ -32,7 +32,7 @@ class Side:
     dups: int = 0
     zero: bool = False
     probe: bool = False  # a window probe awaits its answer
-    keep: bool = False  # a keep-alive awaits its answer
+    keep: bool = False  # the other side's keep-alive awaits an answer
 
     def closed(self) -> None:
         """A reset: everything but the last acknowledgement is forgotten."""
@@ -69,10 +69,10 @@ def advance(me: Side, other: Side, flags: int, seq: int, ack: int, win: int, siz
         other.probe, answered = False, True
     if not fin and size <= 1 and known and other.acked >= 0 and seq == (other.acked - 1) % _MOD:
         out["keep_alive"] = 1
-        me.keep = True
-    if bare and other.keep:
+        other.keep = True
+    if bare and me.keep:
         out["keep_alive_ack"] = 1
-        other.keep, answered = False, True
+        me.keep, answered = False, True
     if has_ack:
         further = me.acked < 0 or serial(ack, me.acked) > 0
         if bare and not answered:
@@ -89,7 +89,7 @@ def advance(me: Side, other: Side, flags: int, seq: int, ack: int, win: int, siz
         if further:
             me.acked = ack
         me.window = win
-    if (size or fin) and known and "keep_alive" not in out and "zero_window_probe" not in out:
+    if (size or fin) and known:
         end = (seq + size + (1 if fin else 0)) % _MOD
         ahead = serial(seq, me.top)
         if ahead < 0:
@@ -112,7 +112,13 @@ def advance(me: Side, other: Side, flags: int, seq: int, ack: int, win: int, siz
 
 
 _COLUMNS = [f"a_{k}" for k in STATE_FLAGS]
-_NEEDED = ["frame_no", "ip_src", "ip_dst", "sport", "dport", "tcp_flags", "tcp_seq", "tcp_ack", "tcp_win", "pay_len"]
+_NEEDED = ["ip_src", "ip_dst", "sport", "dport", "tcp_flags", "tcp_seq", "tcp_ack", "tcp_win"]
+
+
+def _sent() -> F.Column:
+    """Bytes of data that a segment has by its IP length, captured or not; where that says nothing, those that were captured."""
+    told = F.col("l3_off") + F.col("ip_len") - F.col("pay_off")
+    return F.when(F.col("ip_len") > F.col("ip_ihl"), F.greatest(F.lit(0), told)).otherwise(F.col("pay_len")).alias("pay_len")
 
 
 def _key() -> F.Column:
@@ -121,43 +127,50 @@ def _key() -> F.Column:
 
 
 def flags_by_frame(frames: DataFrame) -> DataFrame:
-    """frame_no and a column a_<flag> for each of STATE_FLAGS, of every TCP frame.
+    """file (if frames has it), frame_no and a column a_<flag> for each of STATE_FLAGS, of every TCP frame.
 
-    Only the ten numbers that matter are shuffled, sorted within a conversation, and read in batches with a state of a
+    A conversation is one of one file, in frame order. Only the ten numbers that matter are shuffled, sorted within a conversation, and read in batches with a state of a
     few numbers per conversation: a conversation of any length needs no more memory than a batch.
     """
     df = frames if "l4_off" in frames.columns else with_headers(frames)
-    slim = df.where(F.col("tcp_seq").isNotNull()).select(_key().alias("k"), *_NEEDED)
-    dealt = slim.repartition("k").sortWithinPartitions("k", "frame_no")
+    own = capture_columns(df)
+    slim = df.where(F.col("tcp_seq").isNotNull()).select(_key().alias("k"), "frame_no", *_NEEDED, _sent(), *own)
+    dealt = slim.repartition(*own, "k").sortWithinPartitions(*own, "k", "frame_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides = None, {}
         for b in batches:
             rows = [c.to_pylist() for c in b.columns]
             out: list[list[int]] = [[] for _ in STATE_FLAGS]
-            for k, _, src, dst, sp, dp, flags, seq, ack, win, size in zip(*rows, strict=True):
-                if k != key:
-                    key, sides = k, {}
+            for k, _, src, dst, sp, dp, flags, seq, ack, win, size, *file in zip(*rows, strict=True):
+                if (k, file) != key:
+                    key, sides = (k, file), {}
                 me, other = sides.setdefault((src, sp), Side()), sides.setdefault((dst, dp), Side())
                 got = advance(me, other, flags, seq, ack, win, size)
                 for i, f in enumerate(STATE_FLAGS):
                     out[i].append(got.get(f, 0))
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x, pa.int64()) for x in out)], names=["frame_no", *_COLUMNS])
+            yield pa.RecordBatch.from_arrays([*b.columns[11:], b.column(1), *(pa.array(x, pa.int64()) for x in out)], names=[*own, "frame_no", *_COLUMNS])
 
-    return dealt.mapInArrow(run, "frame_no bigint, " + ", ".join(f"{c} bigint" for c in _COLUMNS))
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in own), "frame_no bigint", *(f"{c} bigint" for c in _COLUMNS)]))
 
 
 def tcp_analysis_full(frames: DataFrame) -> DataFrame:
-    """frames with a_<flag> columns (0 for what is not TCP)."""
-    return frames.join(flags_by_frame(frames), "frame_no", "left").fillna(0, _COLUMNS)
+    """frames with a_<flag> columns (0 for what is not TCP). Where the frames themselves are not wanted, flags_by_frame() spares the join."""
+    own = capture_columns(frames)
+    flags = flags_by_frame(frames).withColumnsRenamed({c: f"_{c}" for c in (*own, "frame_no")})
+    same = F.col("frame_no") == F.col("_frame_no")
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return frames.join(flags, same, "left").drop("_frame_no", *(f"_{c}" for c in own)).fillna(0, _COLUMNS)
 
 
 def stateful_analysis(frames: DataFrame, idle: str = "1 hour") -> DataFrame:
-    """The same flags in a stream: frame_no and the a_<flag> columns; a conversation's state ends after `idle` without packets."""
+    """The same flags in a stream: file (if frames has it), frame_no and the a_<flag> columns; a conversation's state ends after `idle` without packets."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     df = frames if "l4_off" in frames.columns else with_headers(frames)
-    slim = df.where(F.col("tcp_seq").isNotNull()).select(_key().alias("k"), *_NEEDED)
+    own = capture_columns(df)
+    slim = df.where(F.col("tcp_seq").isNotNull()).select(_key().alias("k"), "frame_no", *_NEEDED, _sent(), *own)
     ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     fields = list(Side.__dataclass_fields__)
     state_schema = "ends string, " + ", ".join(f"{x}_{f} bigint" for x in "ab" for f in fields)
@@ -177,12 +190,13 @@ def stateful_analysis(frames: DataFrame, idle: str = "1 hour") -> DataFrame:
         for r in rows.itertuples(index=False):
             here, there = f"{bytes(r.ip_src).hex()}/{r.sport}", f"{bytes(r.ip_dst).hex()}/{r.dport}"
             got = advance(sides.setdefault(here, Side()), sides.setdefault(there, Side()), r.tcp_flags, r.tcp_seq, r.tcp_ack, r.tcp_win, r.pay_len)
-            out.append([r.frame_no, *(got.get(f, 0) for f in STATE_FLAGS)])
+            out.append([*key[1:], r.frame_no, *(got.get(f, 0) for f in STATE_FLAGS)])
         pairs = list(sides.items())[:2]
         while len(pairs) < 2:
             pairs.append((pairs[0][0], pairs[0][1]))
         state.update(("|".join(e for e, _ in pairs), *(int(getattr(s, f)) for _, s in pairs for f in fields)))
         state.setTimeoutDuration(ms)
-        yield pd.DataFrame(out, columns=["frame_no", *_COLUMNS])
+        yield pd.DataFrame(out, columns=[*own, "frame_no", *_COLUMNS])
 
-    return slim.groupBy("k").applyInPandasWithState(run, "frame_no bigint, " + ", ".join(f"{c} bigint" for c in _COLUMNS), state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    schema = ", ".join([*(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in own), "frame_no bigint", *(f"{c} bigint" for c in _COLUMNS)])
+    return slim.groupBy("k", *own).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)

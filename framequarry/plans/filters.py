@@ -285,6 +285,8 @@ class _Parser:
         closing = {"{": "}", "(": ")"}.get(self.cur.kind)
         if closing:
             self.step()
+        elif self.dialect == "display":
+            raise FilterSyntaxError("expected '{' after in")
         out = None
         while self.cur.kind in ("word", "string"):
             v = self.step().text

@@ -16,7 +16,7 @@ from framequarry.dissect import engine as dissect
 from framequarry.functions.bits import ip_text, printable_line
 from framequarry.operators import analytics, objects, reassembly, select, tcp_state
 from framequarry.operators.headers import payload, verified, with_headers
-from framequarry.plans.filters import Aliases, compile_filter
+from framequarry.plans.filters import STATE_FLAGS, Aliases, compile_filter
 from framequarry.sources import captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +72,10 @@ _filter_query("filter_eq", "tcp.dstport == 443", "NOT udp AND dport = 443")
 _filter_query("filter_cidr", "ip.src == 10.0.0.64/26 and tcp", "NOT udp AND src // 64 = 167772160 // 64 + 1")
 _filter_query("filter_in_range", "tcp.port in {1..100, 8080}", "NOT udp AND (sport = 8080 OR dport = 8080 OR ((sport >= 1 OR dport >= 1) AND (sport <= 100 OR dport <= 100)))")
 _filter_query("filter_slice", "ip[9] == 17 and udp[4:2] > 12", "udp AND n + 8 > 12", "capture")
-_filter_query("filter_negative_slice", 'frame[-2:2] == 0x7274', "pay LIKE '%rt'", "capture")
+_filter_query("filter_negative_slice", 'frame[-2:2] == 0x6f72', "pay LIKE '%or'", "capture")
 _filter_query("filter_mask", "tcp.flags & 0x08 != 0", "NOT udp AND pay <> ''", "capture")
 _filter_query("filter_len", "len(tcp.payload) > 4 or len(udp.payload) == 0", "(NOT udp AND n > 4) OR (udp AND n = 0)", "capture")
-_filter_query("filter_contains", "tcp contains cart", "NOT udp AND contains(pay, 'cart')", "capture")
+_filter_query("filter_contains", "tcp contains click", "NOT udp AND contains(pay, 'click')", "capture")
 _filter_query("filter_any_not_equal", "tcp.port != 80 and not udp", "NOT udp")
 _filter_query("filter_not_any", "not tcp.port == 80 and not (udp.port == 80)", "sport <> 80 AND dport <> 80")
 _filter_query("filter_address_slice", "ip.src[0:2] == c0:a8 and ip.dst[3] == 05", "src // 65536 = 49320 AND dst % 256 = 5")
@@ -227,14 +227,14 @@ def payload_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- dissection ----------------------------------------------------------------------------------------
 
 
-@query(EVENT_SQL + f"SELECT frame_no, CASE WHEN udp THEN 'UDP' ELSE 'TCP' END AS proto, {_ip_sql('src')} AS src, CAST(ttl AS VARCHAR) AS ttl, CAST(CASE WHEN udp THEN NULL ELSE seq END AS VARCHAR) AS seq, CAST(CASE WHEN n > 0 THEN n END AS VARCHAR) AS data_len FROM g WHERE sport NOT IN (22, 53, 80, 443, 8080) AND dport NOT IN (22, 53, 80, 443, 8080) OR (NOT udp AND (sport IN (22, 443) OR dport IN (22, 443)) AND n = 0)")
+_PORTS = "((sport IN (80, 8080) OR dport IN (80, 8080)) OR (NOT udp AND (sport = 22 OR dport = 22)))"
+
+
+@query(EVENT_SQL + f"SELECT frame_no, CASE WHEN udp THEN 'UDP' ELSE 'TCP' END AS proto, {_ip_sql('src')} AS src, CAST(ttl AS VARCHAR) AS ttl, CAST(CASE WHEN udp THEN NULL ELSE seq END AS VARCHAR) AS seq, CAST(CASE WHEN n > 0 THEN n END AS VARCHAR) AS data_len FROM g WHERE {_PORTS}")
 def dissected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields out of the tree, of frames without an application layer."""
+    """Fields out of the tree, of frames whose payload no decoder of their port takes; the filter, too, reads the tree."""
     d = dissect.dissect(event_frames(spark, sf_dir))
-    rows = d.where(compile_filter("not (tcp.port in {22, 53, 80, 443, 8080} or udp.port in {22, 53, 80, 443, 8080}) or tcp.port in {22, 443} and tcp.len == 0", fields_column="d.fields").column) if False else d
-    plain = F.exists("d.fields", lambda x: (x["abbrev"] == "tcp.srcport") | (x["abbrev"] == "tcp.dstport") | (x["abbrev"] == "udp.srcport") | (x["abbrev"] == "udp.dstport")) & ~F.exists("d.fields", lambda x: x["abbrev"].isin("tcp.srcport", "tcp.dstport", "udp.srcport", "udp.dstport") & x["u"].isin(22, 53, 80, 443, 8080))
-    empty = F.exists("d.fields", lambda x: x["abbrev"].isin("tcp.srcport", "tcp.dstport") & x["u"].isin(22, 443)) & ~F.exists("d.fields", lambda x: (x["depth"] == 0) & ~x["abbrev"].isin("frame", "eth", "ip", "tcp", "communityid"))
-    rows = rows.where(plain | empty)
+    rows = select.display_filter(d, "(tcp.port in {22, 80, 8080} or udp.port in {80, 8080}) and not http", keep_tree=True)
     return rows.select("frame_no", "d.proto", "d.src", dissect.field_column("ip.ttl").alias("ttl"), dissect.field_column("tcp.seq").alias("seq"), dissect.field_column("data.len").alias("data_len"))
 
 
@@ -269,9 +269,9 @@ def http_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("hostname", "content_type", "filename", "len", "complete", F.sha2("data", 256).alias("digest"))
 
 
-@query("SELECT item_id, CAST(28 + strlen(coalesce(text, '')) AS INTEGER) AS size, sha256(coalesce(text, '')) AS digest FROM benchmark")
+@query("SELECT item_id, CAST(28 + strlen(coalesce(text, '')) AS INTEGER) AS size, sha256(coalesce(text, '')) AS digest FROM benchmark, range(2)")
 def defragmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as datagrams in fragments, the last first, put together again."""
+    """Texts as datagrams in fragments, the last first, each sent twice under one identification, put together again."""
     got = reassembly.defragment(synth.fragment_frames(table(spark, sf_dir, "benchmark")))
     df = with_headers(got.select("frame_no", F.col("packet").alias("frame"), F.lit(228).alias("linktype")))
     key = F.conv(F.hex("ip_src"), 16, 10).cast("bigint") - 167772160
@@ -289,11 +289,53 @@ def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassembly.stream_packets(df, 1).select("frame_no", "seq", "len").join(ends, "frame_no")
 
 
-@query()
+@query(
+    EVENT_SQL
+    + """, t AS (SELECT *, n = 0 AND ack <= max(ack) OVER (PARTITION BY src, dst, sport, dport ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dup FROM g WHERE NOT udp),
+r AS (SELECT *, sum(CASE WHEN dup THEN 0 ELSE 1 END) OVER (PARTITION BY src, dst, sport, dport ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS run FROM t),
+a AS (SELECT frame_no, sum(CASE WHEN dup THEN 1 ELSE 0 END) OVER (PARTITION BY src, dst, sport, dport, run ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS k, dup FROM r)
+SELECT g.frame_no, CAST(coalesce(dup, false) AS BIGINT) AS a_duplicate_ack, CAST(CASE WHEN dup THEN k ELSE 0 END AS BIGINT) AS a_duplicate_ack_num, CAST(0 AS BIGINT) AS a_retransmission, CAST(0 AS BIGINT) AS a_bytes_in_flight, CAST(0 AS BIGINT) AS a_window_update
+FROM g LEFT JOIN a ON g.frame_no = a.frame_no"""
+)
 def tcp_analysis_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stateful flags; the tests hold them against scripted exchanges."""
+    """Stateful flags of connections whose SYN was not captured: sequence numbers tell nothing, acknowledgements do."""
     got = tcp_state.tcp_analysis_full(event_frames(spark, sf_dir))
-    return got.select("frame_no", *[c for c in got.columns if c.startswith("a_")])
+    return got.select("frame_no", "a_duplicate_ack", "a_duplicate_ack_num", "a_retransmission", "a_bytes_in_flight", "a_window_update")
+
+
+#: What each step of synth.EXCHANGE earns, worked out by hand: step, flag, value.
+_EARNED = """(4, 'retransmission', 1), (6, 'retransmission', 1), (6, 'spurious_retransmission', 1), (7, 'lost_segment', 1), (8, 'retransmission', 1), (9, 'out_of_order', 1),
+(10, 'duplicate_ack', 1), (10, 'duplicate_ack_num', 1), (11, 'duplicate_ack', 1), (11, 'duplicate_ack_num', 2), (12, 'duplicate_ack', 1), (12, 'duplicate_ack_num', 3), (13, 'retransmission', 1), (13, 'fast_retransmission', 1),
+(14, 'zero_window', 1), (15, 'zero_window_probe', 1), (16, 'zero_window', 1), (16, 'zero_window_probe_ack', 1), (17, 'window_update', 1), (19, 'keep_alive', 1), (19, 'duplicate_ack', 1), (19, 'duplicate_ack_num', 1),
+(20, 'keep_alive_ack', 1), (23, 'retransmission', 1), (3, 'bytes_in_flight', 100), (4, 'bytes_in_flight', 100), (7, 'bytes_in_flight', 150), (8, 'bytes_in_flight', 150), (9, 'bytes_in_flight', 200), (13, 'bytes_in_flight', 200),
+(15, 'bytes_in_flight', 1), (21, 'bytes_in_flight', 1), (23, 'bytes_in_flight', 1)"""
+
+
+@query(
+    f"""WITH e(step, flag, value) AS (VALUES {_EARNED}), s AS (SELECT unnest(range(25)) AS step),
+p AS (SELECT s.step, {", ".join(f"CAST(coalesce(max(CASE WHEN flag = '{k}' THEN value END), 0) AS BIGINT) AS a_{k}" for k in STATE_FLAGS)} FROM s LEFT JOIN e ON s.step = e.step GROUP BY s.step)
+SELECT 'capture-' || CAST(c_custkey % 2 AS VARCHAR) AS file, CAST(c_custkey // 2 * 32 + step + 1 AS BIGINT) AS frame_no, p.* EXCLUDE (step) FROM customer, p"""
+)
+def tcp_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stateful flags of a scripted connection for every customer, in two files that share frame numbers and addresses."""
+    got = tcp_state.tcp_analysis_full(synth.exchange_frames(table(spark, sf_dir, "customer")))
+    return got.select("file", "frame_no", *[c for c in got.columns if c.startswith("a_")])
+
+
+@query(
+    f"""SELECT 'capture-' || CAST(c_custkey % 2 AS VARCHAR) AS file, CAST(c_custkey // 2 * 32 + 1 AS BIGINT) AS id, {_ip_sql('(167772160 + c_custkey // 2)')} AS addr_a, CAST(25 AS BIGINT) AS packets,
+  CAST(25 * 54 + 711 AS BIGINT) AS bytes FROM customer"""
+)
+def two_file_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of two files, of which one's addresses and numbers are the other's."""
+    got = analytics.conversations(synth.exchange_frames(table(spark, sf_dir, "customer")))
+    return got.select("file", "id", "addr_a", "packets", "bytes")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY c_custkey // 2 * 32 + step, c_custkey % 2) AS BIGINT) AS frame_no, 'capture-' || CAST(c_custkey % 2 AS VARCHAR) AS file_of, CAST(c_custkey // 2 * 32 + step + 1 AS BIGINT) AS no_in_file FROM customer, (SELECT unnest(range(25)) AS step)")
+def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files as one capture, in the order of time."""
+    return captures.merged(synth.exchange_frames(table(spark, sf_dir, "customer"))).select("frame_no", "file_of", "no_in_file")
 
 
 # ---- captures ------------------------------------------------------------------------------------------

@@ -13,8 +13,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from framequarry.sources import formats
@@ -80,15 +81,41 @@ def read_capture_stream(spark: SparkSession, folder: str, max_files: int = 16) -
     return packets_of(files)
 
 
-def read_hex(spark: SparkSession, rows: DataFrame, text_col: str, linktype: int = 1) -> DataFrame:
-    """frame and linktype of hex dumps in a text column."""
+def read_hex(spark: SparkSession, rows: DataFrame, text_col: str, linktype: int = 1, dumps: bool = True) -> DataFrame:
+    """frame and linktype of hex dumps in a text column. Plain hex stays in the JVM; dumps with offsets go through Python."""
+    plain = F.regexp_replace(F.col(text_col), r"[\s:]", "")
+    if not dumps:
+        return rows.withColumn("frame", F.unhex(F.when(plain.rlike("^([0-9A-Fa-f]{2})*$"), plain))).withColumn("linktype", F.lit(linktype))
     f = F.udf(lambda t: None if t is None else formats.hex_text(t), "binary", useArrow=True)
     return rows.withColumn("frame", f(F.col(text_col))).withColumn("linktype", F.lit(linktype))
 
 
-def nth_packet(frames: DataFrame, n: int) -> DataFrame:
-    """The n-th packet of every file, from 1."""
-    return frames.where(F.col("frame_no") == n)
+def nth_packet(frames: DataFrame, n: int, file: str | None = None) -> DataFrame:
+    """The n-th packet, from 1, of a file, or of every file."""
+    return frames.where(_nth(n, file))
+
+
+def _nth(n: int, file: str | None) -> Column:
+    return (F.col("frame_no") == n) if file is None else (F.col("frame_no") == n) & (F.col("file") == file)
+
+
+def merged(frames: DataFrame) -> DataFrame:
+    """The frames of several files as one capture: numbered from 1 by time, then file and number; the columns are file_of and no_in_file instead of file.
+
+    Numbers are counted within seconds, seconds within hours and hours, so only a row for each hour meets in one place.
+    """
+    second = F.floor(F.col("ts_ns") / 1_000_000_000)
+    df = frames.withColumn("_s", second).withColumn("_h", F.floor(F.col("_s") / 3600))
+    counts = df.groupBy("_h", "_s").agg(F.count("*").alias("_n"))
+    hours = counts.groupBy("_h").agg(F.sum("_n").alias("_hn"))
+    earlier = lambda *by: Window.partitionBy(*by).orderBy
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("_h0", F.coalesce(F.sum("_hn").over(before(earlier(F.lit(0))("_h"))), F.lit(0)))
+    seconds = counts.withColumn("_s0", F.coalesce(F.sum("_n").over(before(earlier("_h")("_s"))), F.lit(0))).join(hours, "_h").select("_s", (F.col("_s0") + F.col("_h0")).alias("_first"))
+    place = F.row_number().over(earlier("_s")("ts_ns", "file", "frame_no"))
+    out = df.join(seconds, "_s").withColumn("_no", F.col("_first") + place)
+    names = {"file": "file_of", "frame_no": "no_in_file"}
+    return out.select(F.col("_no").alias("frame_no"), *(F.col(c).alias(names.get(c, c)) for c in frames.columns))
 
 
 # ---- writing --------------------------------------------------------------------------------------------
@@ -115,14 +142,15 @@ def capture_files(frames: DataFrame, order_by: str = "frame_no") -> DataFrame:
 
 
 def export_capture(frames: DataFrame, picks: DataFrame, pick_col: str = "frame_no") -> DataFrame:
-    """content of one capture with the picked frames in the order in which `picks` lists them (its column `ordinal`); unknown picks are skipped."""
-    chosen = frames.join(picks.select(F.col(pick_col).alias("frame_no"), "ordinal"), "frame_no")
+    """content of one capture with the picked frames in the order in which `picks` lists them (its column `ordinal`, with `file` where both have it); unknown picks are skipped."""
+    own = [c for c in ("file",) if c in frames.columns and c in picks.columns]
+    chosen = frames.join(picks.select(F.col(pick_col).alias("frame_no"), "ordinal", *own), ["frame_no", *own])
     return capture_files(chosen.coalesce(1), "ordinal")
 
 
-def replace_packet(frames: DataFrame, n: int, frame: bytes) -> DataFrame:
-    """frames with the n-th packet's bytes replaced."""
-    hit = F.col("frame_no") == n
+def replace_packet(frames: DataFrame, n: int, frame: bytes, file: str | None = None) -> DataFrame:
+    """frames with the bytes of the n-th packet (of a file, or of each) replaced."""
+    hit = _nth(n, file)
     new = F.lit(frame)
     out = frames.withColumn("frame", F.when(hit, new).otherwise(F.col("frame")))
     for c in ("caplen", "origlen"):
@@ -131,8 +159,8 @@ def replace_packet(frames: DataFrame, n: int, frame: bytes) -> DataFrame:
     return out
 
 
-def set_comment(frames: DataFrame, n: int, comment: str | None) -> DataFrame:
-    return frames.withColumn("comment", F.when(F.col("frame_no") == n, F.lit(comment)).otherwise(F.col("comment")))
+def set_comment(frames: DataFrame, n: int, comment: str | None, file: str | None = None) -> DataFrame:
+    return frames.withColumn("comment", F.when(_nth(n, file), F.lit(comment)).otherwise(F.col("comment")))
 
 
 def commented(frames: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ has a watermark or a timeout: late frames are dropped after `late`, quiet conver
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -118,11 +120,12 @@ def defragment_stream(frames: DataFrame, idle: str = "30 seconds") -> DataFrame:
 def capture_loop(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], expr: str = "", count: int | None = None, snaplen: int = 0, checkpoint: str | None = None):
     """Follows a folder of capture files: each batch of frames that the filter passes goes to handle(frames, batch number).
 
-    Returns the query; query.stop() breaks the loop. With count, it stops by itself after so many passed frames.
+    Returns the query; query.stop() breaks the loop. With count, the loop ends by itself once so many frames have passed:
+    the batch that reaches it is the last to be handled, and the query stops when it is done.
     """
     frames = captures.snapped(captures.read_capture_stream(spark, folder), snaplen)
     passed = filter_stream(frames, expr) if expr else frames
-    seen = [0]
+    seen, enough = [0], threading.Event()
 
     def each(batch: DataFrame, n: int) -> None:
         if count is not None:
@@ -133,11 +136,22 @@ def capture_loop(spark: SparkSession, folder: str, handle: Callable[[DataFrame,
             seen[0] += batch.count()
         handle(batch, n)
         batch.unpersist()
+        if count is not None and seen[0] >= count:
+            enough.set()
+
+    def ended(query) -> None:
+        enough.wait()
+        while query.isActive and query.status["isTriggerActive"]:  # the last batch commits first
+            time.sleep(0.05)
+        query.stop()
 
     w = passed.writeStream.foreachBatch(each)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    return w.start()
+    query = w.start()
+    if count is not None:
+        threading.Thread(target=ended, args=(query,), daemon=True).start()
+    return query
 
 
 def capture_to_file(frames: DataFrame, path: str, checkpoint: str):

@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framequarry.functions.bits import checksum_of, to_bytes
+from framequarry.functions.bits import to_bytes
 
 
 def _x(h: str) -> Column:
     return F.unhex(F.lit(h))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: a table in few files would be worked on by few tasks; one in many stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
+def _checksum(*words: Column) -> Column:
+    """RFC 1071's checksum of 16-bit words, given as numbers (sums of them may be folded in)."""
+    total = sum(words[1:], words[0])
+    folded = F.shiftright(total, 16) + total.bitwiseAND(F.lit(0xFFFF))
+    folded = F.shiftright(folded, 16) + folded.bitwiseAND(F.lit(0xFFFF))
+    return folded.bitwiseXOR(F.lit(0xFFFF)).cast("int")
+
+
+def _halves(x: Column) -> Column:
+    """The sum of a 32-bit number's two words."""
+    return F.shiftright(x, 16) + x.bitwiseAND(F.lit(0xFFFF))
+
+
 def event_frames(events: DataFrame) -> DataFrame:
     """One Ethernet/IPv4 frame for each row of `events`: frame_no, ts, ts_ns, linktype, interface_id, caplen, origlen, frame.
 
@@ -20,7 +39,7 @@ def event_frames(events: DataFrame) -> DataFrame:
     type, or empty if e % 5 = 4; every 11th TCP sequence number steps back; every 97th header checksum is wrong.
     """
     e, u = F.col("event_id"), F.col("user_id")
-    df = events.select("event_id", "user_id", "event_type", "ts")
+    df = spread(events.select("event_id", "user_id", "event_type", "ts"))
     client, cport = F.lit(167772160) + u, F.lit(1024) + u % 50000
     server = F.lit(3232235520) + u % 16 + 1
     port = F.element_at(F.array(*[F.lit(p) for p in (80, 443, 22, 53, 8080)]), (u % 5 + 1).cast("int"))
@@ -44,10 +63,11 @@ def event_frames(events: DataFrame) -> DataFrame:
     tcp = F.concat(ports, to_bytes(seq, 4), to_bytes(ack, 4), _x("50"), F.when(size == 0, _x("10")).otherwise(_x("18")), _x("200000000000"), F.col("_pay"))
     dgram = F.concat(ports, to_bytes(size + 8, 2), _x("0000"), F.col("_pay"))
     df = df.withColumn("_l4", F.when(F.col("_udp"), dgram).otherwise(tcp))
-    first = F.concat(_x("4500"), to_bytes(F.length("_l4") + 20, 2), to_bytes(e % 65536, 2), _x("0000"), to_bytes(F.lit(64) - e % 3, 1), F.when(F.col("_udp"), _x("11")).otherwise(_x("06")))
+    proto, ttl = F.when(F.col("_udp"), 17).otherwise(6), F.lit(64) - e % 3
+    first = F.concat(_x("4500"), to_bytes(F.length("_l4") + 20, 2), to_bytes(e % 65536, 2), _x("0000"), to_bytes(ttl, 1), to_bytes(proto, 1))
     addresses = F.concat(to_bytes(F.col("_src"), 4), to_bytes(F.col("_dst"), 4))
     df = df.withColumns({"_h1": first, "_h2": addresses})
-    good = checksum_of(F.concat("_h1", _x("0000"), "_h2"))
+    good = _checksum(F.lit(0x4500).cast("bigint"), F.length("_l4") + 20, e % 65536, ttl * 256 + proto, _halves(F.col("_src")), _halves(F.col("_dst")))
     check = F.when(e % 97 == 0, good.bitwiseXOR(F.lit(1))).otherwise(good)
     frame = F.concat(_x("020000000001"), _x("0200"), to_bytes(F.col("_src"), 4), _x("0800"), "_h1", to_bytes(check, 2), "_h2", "_l4")
     return df.withColumn("frame", frame).select(
@@ -72,7 +92,8 @@ def _tcp_ip(src: Column, dst: Column, sport: Column, dport: Column, seq: Column,
 def _ip_frame(src: Column, dst: Column, proto: int, body: Column, ident: Column, fragment: Column) -> Column:
     first = F.concat(_x("4500"), to_bytes(F.length(body) + 20, 2), to_bytes(ident, 2), to_bytes(fragment, 2), _x(f"40{proto:02x}"))
     ends = F.concat(to_bytes(src, 4), to_bytes(dst, 4))
-    return F.concat(_x("020000000001020000000002"), _x("0800"), first, to_bytes(checksum_of(F.concat(first, _x("0000"), ends)), 2), ends, body)
+    check = _checksum(F.lit(0x4500).cast("bigint"), F.length(body) + 20, ident, fragment, F.lit(0x4000 + proto), _halves(src), _halves(dst))
+    return F.concat(_x("020000000001020000000002"), _x("0800"), first, to_bytes(check, 2), ends, body)
 
 
 def _numbered(df: DataFrame, key: str, part: str, stride: int) -> DataFrame:
@@ -96,7 +117,7 @@ def page_frames(pages: DataFrame, mss: int = 1400) -> DataFrame:
     ask = F.concat(F.lit("GET "), F.when(target == "", "/").otherwise(target), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")).cast("binary")
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     answer = F.concat(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary"), body)
-    rows = pages.select("page_id", ask.alias("ask"), answer.alias("answer"))
+    rows = spread(pages.select("page_id", "url", "html")).select("page_id", ask.alias("ask"), answer.alias("answer"))
     c, s = F.lit(167772160) + F.col("page_id"), F.lit(3232235521)
     up = rows.select("page_id", F.lit(0).alias("part"), _tcp_ip(c, s, F.lit(40000), F.lit(80), F.lit(1000), F.lit(5000), "18", F.col("ask")).alias("frame"))
     cut = rows.select("page_id", "ask", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("answer") - 1) / mss).cast("int")), lambda i: F.substring("answer", i * mss + 1, F.lit(mss)))).alias("i", "piece"))
@@ -108,6 +129,7 @@ def text_frames(docs: DataFrame, mss: int = 1400) -> DataFrame:
     """Every document's bytes as one TCP stream in segments, each second pair of segments swapped and every fifth sent twice."""
     stride = 1 << 20
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = spread(docs.select("doc_id", "text"))
     cut = docs.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(body) - 1) / mss)).cast("int")), lambda i: F.substring(body, i * mss + 1, F.lit(mss)))).alias("i", "piece"))
     c, s = F.lit(167772160) + F.col("doc_id"), F.lit(3232235521)
     frame = _tcp_ip(c, s, F.lit(41000), F.lit(9999), F.lit(1) + F.col("i") * mss, F.lit(1), "18", F.col("piece"))
@@ -118,8 +140,33 @@ def text_frames(docs: DataFrame, mss: int = 1400) -> DataFrame:
     return _numbered(syn.union(once).union(twice), "doc_id", "part", stride)
 
 
+#: A scripted connection: from the client?, TCP flags, sequence and acknowledgement numbers, window, bytes of data.
+EXCHANGE = [
+    (True, 2, 1000, 0, 8192, 0), (False, 18, 5000, 1001, 8192, 0), (True, 16, 1001, 5001, 8192, 0),
+    (True, 24, 1001, 5001, 8192, 100), (True, 24, 1001, 5001, 8192, 100), (False, 16, 5001, 1101, 8192, 0), (True, 24, 1001, 5001, 8192, 100),
+    (True, 24, 1201, 5001, 8192, 50), (True, 24, 1101, 5001, 8192, 100), (True, 24, 1151, 5001, 8192, 150),
+    (False, 16, 5001, 1101, 8192, 0), (False, 16, 5001, 1101, 8192, 0), (False, 16, 5001, 1101, 8192, 0), (True, 24, 1101, 5001, 8192, 100),
+    (False, 16, 5001, 1301, 0, 0), (True, 24, 1301, 5001, 8192, 1), (False, 16, 5001, 1301, 0, 0), (False, 16, 5001, 1301, 8192, 0), (False, 16, 5001, 1302, 8192, 0),
+    (True, 16, 1301, 5001, 8192, 0), (False, 16, 5001, 1302, 8192, 0), (True, 17, 1302, 5001, 8192, 0), (False, 4, 5001, 0, 0, 0), (True, 17, 1302, 5001, 8192, 0), (False, 24, 5001, 1303, 8192, 10),
+]
+
+
+def exchange_frames(customers: DataFrame) -> DataFrame:
+    """EXCHANGE for every customer, in two files: those with an even key and those with an odd one, which share frame numbers, addresses and ports."""
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("up", "flags", "seq", "ack", "win", "size"), s, strict=True)]) for s in EXCHANGE])
+    c, no = F.col("c_custkey"), F.floor(F.col("c_custkey") / 2)
+    each = customers.select(c, no.alias("n"), F.posexplode(steps).alias("step", "s")).select("c_custkey", "n", "step", "s.*")
+    client, server = F.lit(167772160) + F.col("n"), F.lit(3232235521)
+    flags = F.lower(F.lpad(F.hex("flags"), 2, "0"))
+    ports = F.when(F.col("up"), F.concat(to_bytes(F.lit(50000), 2), to_bytes(F.lit(7), 2))).otherwise(F.concat(to_bytes(F.lit(7), 2), to_bytes(F.lit(50000), 2)))
+    l4 = F.concat(ports, to_bytes(F.col("seq"), 4), to_bytes(F.col("ack"), 4), F.unhex(F.concat(F.lit("50"), flags)), to_bytes(F.col("win"), 2), _x("00000000"), F.expr("cast(repeat('x', size) as binary)"))
+    frame = _ip_frame(F.when(F.col("up"), client).otherwise(server), F.when(F.col("up"), server).otherwise(client), 6, l4, F.lit(0), F.lit(0))
+    rows = each.withColumns({"frame": frame, "file": F.concat(F.lit("capture-"), (F.col("c_custkey") % 2).cast("string")), "frame_no": (F.col("n") * 32 + F.col("step") + 1).cast("bigint")})
+    return rows.select("file", "frame_no", (F.col("frame_no") * 1000).alias("ts_ns"), F.lit(1).alias("linktype"), F.lit(0).cast("bigint").alias("interface_id"), F.length("frame").cast("bigint").alias("caplen"), F.length("frame").cast("bigint").alias("origlen"), "frame")
+
+
 def fragment_frames(items: DataFrame, size: int = 40) -> DataFrame:
-    """Every item's text as one UDP datagram in IP fragments of size bytes (a multiple of 8), the last one sent first."""
+    """Every item's text as one UDP datagram in IP fragments of size bytes (a multiple of 8), the last one sent first; then all of it again under the same identification."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     dgram = F.concat(_x("9c40270f"), to_bytes(F.length(body) + 8, 2), _x("0000"), body)
     n = F.floor((F.length("d") - 1) / size).cast("int")
@@ -127,13 +174,16 @@ def fragment_frames(items: DataFrame, size: int = 40) -> DataFrame:
     field = F.when(F.col("i") < F.col("n"), 0x2000).otherwise(0) + F.col("i") * (size // 8)
     frame = _ip_frame(F.lit(167772160) + F.col("item_id"), F.lit(3232235521), 17, F.col("piece"), F.col("item_id") % 65536, field)
     part = F.when(F.col("i") == F.col("n"), 0).otherwise(F.col("i") + 1)
-    return _numbered(cut.select("item_id", part.alias("part"), frame.alias("frame")), "item_id", "part", 1 << 16)
+    once = cut.select("item_id", part.alias("part"), frame.alias("frame"))
+    again = once.withColumn("part", F.col("part") + (1 << 14))
+    return _numbered(once.union(again), "item_id", "part", 1 << 16)
 
 
 def dns_frames(pages: DataFrame) -> DataFrame:
     """A DNS query for every page's host."""
     labels = F.split(url_host("url"), r"\.")
     name = F.concat(F.aggregate(F.transform(labels, lambda x: F.concat(to_bytes(F.length(x), 1), x.cast("binary"))), F.lit(b""), lambda a, x: F.concat(a, x)), _x("00"))
+    pages = spread(pages.select("page_id", "url"))
     message = F.concat(to_bytes(F.col("page_id") % 65536, 2), _x("01000001000000000000"), name, _x("00010001"))
     dgram = F.concat(_x("d4310035"), to_bytes(F.length(message) + 8, 2), _x("0000"), message)
     rows = pages.select("page_id", F.lit(0).alias("part"), _ip_frame(F.lit(167772160) + F.col("page_id"), F.lit(134744072), 17, dgram, F.lit(7), F.lit(0)).alias("frame"))
