@@ -156,8 +156,12 @@ class _Matcher:
         A = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
         B = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
         both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-        self.links.append(stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links"))
+        new = stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links")
         drop(pairs, sets)
+        if new.isEmpty() and self.comps is not None:
+            drop(new)
+            return
+        self.links.append(new)
         links = self.links[0]
         for more in self.links[1:]:
             links = links.union(more)

@@ -30,7 +30,7 @@ _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     
 _CHUNKS = re.compile("[ \n]*[^ \n]+|[ \n]+")
 
 #: A worker knows at most twice so many pieces (the second number where an encoder is slow); longer ones than LONGEST are not kept.
-MOST_PIECES, MANY_PIECES, LONGEST = 150_000, 500_000, 64
+MOST_PIECES, MANY_PIECES, LONGEST = 80_000, 500_000, 64
 
 
 def safe_pieces(text: str) -> list[str]:

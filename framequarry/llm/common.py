@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 1 << 21
 #: Bytes that Spark hands a Python worker at once; its own default, 64 MB, stays with the JVM as buffers outside the heap.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -52,10 +52,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
+
+    Without a codec: what is stored is hashes and numbers, or compressed already, and codecs keep buffers outside the heap.
+    """
     path = work_dir(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", "none").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fq_stash = path
     if _scratch:

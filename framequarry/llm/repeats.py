@@ -43,8 +43,8 @@ from pyspark.sql.window import Window
 from .common import _U, arrow_map, drop, gram_hashes, mix, release, span_hashes, stash, text_slices
 
 #: Bytes of text in a chunk, bytes of text for each bucket, and suffixes sorted at once.
-CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 4 << 20, 8 << 20, 80_000
-SLICE = 1 << 19
+CHUNK_BYTES, BUCKET_BYTES, SORT_AT_ONCE = 2 << 20, 4 << 20, 40_000
+SLICE = 1 << 18
 #: A minimiser that so many chunks have is told apart further.
 HOT = 64
 
@@ -380,7 +380,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
             )
             number += 1
 
-    return stash(arrow_map(src, run, "chunk bigint, ids binary, sizes binary, digests binary, text binary, extra binary"), "chunks", "none")  # its columns are compressed already
+    return stash(arrow_map(src, run, "chunk bigint, ids binary, sizes binary, digests binary, text binary, extra binary"), "chunks")
 
 
 def _null_ids(ids: np.ndarray) -> np.ndarray:
