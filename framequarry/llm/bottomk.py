@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     drop(entries)
     if not long.isEmpty():
         _sketches_of(m, long, index, hot)
-    drop(long)
+    drop(long, *m.links)
     label = classes.select("n", "f1", "f2", "id").join(m.comps, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
     return sig.select("id", "text_hash", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left").select("id", "text_hash", "n", F.coalesce("component", "id").alias("component"))
 

@@ -45,11 +45,14 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below shared_dir, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/fq-{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below shared_dir."""
+    return f"{shared_dir(spark)}/fq-{label}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends, if nobody has deleted it before."""
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
-    return path
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -59,6 +62,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, label)
     df.write.option("compression", "none").parquet(path)
+    delete_at_end(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fq_stash = path
     if _scratch:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, arrow_map, class_table, span_hashes, stash, text_slices, word_spans
+from .common import NOT_SPACE, arrow_map, class_table, scratch, span_hashes, stash, text_slices, word_spans
 from .kneser_ney import bounded_labels
 
 _KINDS = [
@@ -149,8 +149,12 @@ def train(feats: DataFrame, labels: DataFrame, where: Column, label_col: str = "
     Every partition sums its rows' outer products; the sums of at most `parts` partitions meet on the driver,
     width**2 numbers each.
     """
+    with scratch():
+        return _fitted(feats, bounded_labels(labels, where, label_col, per_class, id_col), width, gamma, ridge, seed, id_col)
+
+
+def _fitted(feats: DataFrame, sample: DataFrame, width: int, gamma: float, ridge: float, seed: int, id_col: str) -> Model | None:
     parts = 8
-    sample = bounded_labels(labels, where, label_col, per_class, id_col)
     rows = stash(feats.join(F.broadcast(sample), id_col).select("stats", "label", "part", "weight").repartition(parts), "quality-sample")
     spark = rows.sparkSession
 

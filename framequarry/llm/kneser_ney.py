@@ -33,8 +33,8 @@ from .ppm import _grams
 
 #: The discount of every count.
 DISCOUNT = 0.75
-#: Bytes of a long text that are worked on at once.
-BLOCK = 1 << 20
+#: Bytes of a long text that are worked on at once, and of a bitmap as Spark's bitmap functions have them.
+BLOCK, _BITMAP = 1 << 20, 4096
 
 
 def bounded_labels(labels: DataFrame, where: Column, label_col: str, per_class: int, id_col: str, most: int | None = None, parts: int = 2) -> DataFrame:
@@ -76,14 +76,12 @@ def _continuations(corpus: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def corpus_strings(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Which strings of three bytes (A-Z lower-cased) all documents hold: 2**24 flags, of which a task sends what it has seen.
+    """Which strings of three bytes (A-Z lower-cased) all documents hold: 2**24 flags, in bitmaps of 4 KB that tasks send and Spark joins.
 
     A text's first two bytes count as after a zero byte, so no string of two bytes is missed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         seen = np.zeros(1 << 24, bool)
         for part in text_slices(batches, text_col, BLOCK):
             for a in range(0, max(1, len(part.buf)), BLOCK if len(part) == 1 else 1 << 62):
@@ -95,13 +93,14 @@ def corpus_strings(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 i = np.flatnonzero(~first)
                 i = i[i >= (lead or 1)]
                 seen[(np.where(first[i - 1], 0, b[np.maximum(i - 2, 0)]) << 16) | (b[i - 1] << 8) | b[i]] = True
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([zstandard.ZstdCompressor().compress(np.packbits(seen).tobytes())], pa.binary())})
-
-    import zstandard
-
-    out = np.zeros(1 << 21, np.uint8)
-    for r in arrow_map(docs.select(text_col), run, "bits binary").toLocalIterator():  # some 100 KB for each task, merged as they come
-        out |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r.bits), np.uint8)
+        bits = np.packbits(seen).reshape(-1, _BITMAP)
+        some = np.flatnonzero(bits.any(1))
+        yield pa.RecordBatch.from_pydict({"k": pa.array(some.astype(np.int32)), "bits": pa.array([bits[k].tobytes() for k in some], pa.binary())})
+
+    got = arrow_map(docs.select(text_col), run, "k int, bits binary").groupBy("k").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect()  # 512 rows at most
+    out = np.zeros((512, _BITMAP), np.uint8)
+    for r in got:
+        out[r.k] = np.frombuffer(r.bits, np.uint8)
     return np.unpackbits(out).astype(bool)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MANY_PIECES, PieceCoder, _empty_safe
-from .common import arrow_map, plan_bytes, stash, text_slices, work_dir
+from .common import arrow_map, delete_at_end, plan_bytes, stash, text_slices, work_dir
 
 MANIFEST = "part int, data string, docs string, first_doc bigint, n_docs bigint, n_tokens bigint"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -104,6 +104,7 @@ class SequenceWriter:
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, seq_len: int = 2048, rows: int = 64, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files and returns the manifest (MANIFEST), read from its table; part ascends with doc_id."""
     spark = docs.sparkSession
+    own = folder is None  # a folder of the caller's stays
     folder = folder or work_dir(spark, "tokens")
     size = plan_bytes(docs.select(id_col, text_col))
     n = partitions or max(1, -(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
@@ -142,7 +143,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [f"{folder}/{data}"], "docs": [f"{folder}/{index}"], "first_doc": pa.array([first], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     src = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    return stash(arrow_map(src, run, MANIFEST), "manifest")
+    manifest = stash(arrow_map(src, run, MANIFEST), "manifest")
+    if own:
+        delete_at_end(spark, folder)
+    return manifest
 
 
 def with_offsets(manifest: DataFrame) -> DataFrame:

@@ -59,13 +59,13 @@ class SortedLists:
         while True:
             depth = min(depth, n)
             new = np.zeros(n, bool)
-            for lists, kind in ((self.order[up], 0), (self.order[used & ~up], 1)):
-                new[(lists[:, d:depth] if kind == 0 else lists[:, n - depth : n - d]).ravel()] = True
+            new[self.order[:, d:depth][up].ravel()] = True
+            new[self.order[:, n - depth : n - d][used & ~up].ravel()] = True
             if not used.any():
                 new[:] = True
             new &= ~seen
             at = np.flatnonzero(new)
-            scores[at] = X[at] @ q
+            scores[at] = (X @ q)[at] if 4 * len(at) > n else X[at] @ q  # many rows cost more to gather than to multiply
             scores[at[self.ids[at] == own]] = never
             seen |= new
             d = depth
