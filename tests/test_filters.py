@@ -195,3 +195,14 @@ def test_header_filters_need_no_python(spark):
     df = spark.createDataFrame([(1, bytearray.fromhex(FRAMES["syn"].replace(" ", "")))], "frame_no int, frame binary").withColumns({"linktype": F.lit(1), "origlen": F.lit(54)})
     plan = display_filter(df, "tcp.dstport == 80 and ip.src == 192.168.0.0/16")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_sample_aliases():
+    from framequarry.plans.samples import sample_aliases
+
+    a = sample_aliases()
+    assert len(a.expressions) > 10
+    for name, to in a.expressions.items():
+        word = " cafe" if "$1" in to else ""
+        assert validate_filter(f"not ({name}{word}) or udp", "display", a) is None
+        assert parse(name + word, "display", a) == parse(to.replace("$1", "cafe"))
