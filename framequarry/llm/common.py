@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 21
 #: Bytes that Spark hands a Python worker at once; its own default, 64 MB, stays with the JVM as buffers outside the heap.
 BATCH_BYTES = 2 << 20
+#: A shuffled side whose partitions are all so small is hashed in a join.
+HASHED_BYTES = 64 << 20
 _U = np.uint64
 
 
@@ -166,13 +168,22 @@ def release() -> None:
         pass
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's bytes per Arrow batch to BATCH_BYTES where they are more. No result depends on it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "64m")
-    size = int(now.rstrip("bkmgBKMG") or 0) << {"k": 10, "m": 20, "g": 30}.get(now[-1].lower(), 0)
-    if size <= 0 or size > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+def _size(spark: SparkSession, name: str, default: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, default))
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Session settings that keep executors small; no result depends on them.
+
+    Arrow batches have BATCH_BYTES at most. A join whose measured partitions are all within the session's advisory size (HASHED_BYTES
+    at most) on one side is hashed instead of sorted, which spares each task the pages that sorts take even for a few rows.
+    """
+    batch, hashed = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    limit = min(HASHED_BYTES, _size(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    if not 0 < _size(spark, batch, "64m") <= BATCH_BYTES:
+        spark.conf.set(batch, str(BATCH_BYTES))
+    if _size(spark, hashed, "0") < limit:
+        spark.conf.set(hashed, str(limit))
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -182,7 +193,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         finally:
             release()
 
-    bounded_batches(df.sparkSession)
+    bounded_memory(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
