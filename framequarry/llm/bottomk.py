@@ -43,6 +43,8 @@ from .components import connected_components
 
 #: A list of ids is broadcast to pick their texts if it is at most so large on disk; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
+#: So are sketches, and whole sets, that pairs are compared by.
+SKETCH_BYTES = 8 << 20
 
 
 def shingle_sets(part, words_in: int) -> list[np.ndarray]:
@@ -110,7 +112,9 @@ class _Matcher:
         self.src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         self.reps, self.words, self.percent, self.k = reps, words, percent, k
         self.links: list[DataFrame] = []
-        self.comps: DataFrame | None = None
+        self.joined = 0
+        self.spent: list[DataFrame] = []
+        self.comps = docs.sparkSession.createDataFrame([], "id bigint, component bigint")
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
         """id, n, hashes of the classes in `ids`, from their representatives' texts; each id once."""
@@ -133,7 +137,10 @@ class _Matcher:
         k, t = self.k, self.percent / 100
         margin = 6 * math.sqrt(t * (1 - t) / k)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        reps = self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi")  # only what the pairs need is shuffled
+        # only what the pairs need is shuffled, or broadcast if it is small
+        need = stash(self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "n", "sketch"), "sketches")
+        self.spent.append(need)
+        reps = small(need, SKETCH_BYTES)
         A = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         B = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
@@ -143,31 +150,34 @@ class _Matcher:
         return p.where(F.when((F.col("na") <= k) & (F.col("nb") <= k), exact).otherwise(common >= t - margin)).select("a", "b")
 
     def add(self, pairs: DataFrame) -> None:
-        """Confirms pairs (a, b) on their whole sets; links grow, and components with them."""
+        """Confirms pairs (a, b) on their whole sets; links grow."""
         candidates = stash(pairs, "candidates")
         pairs = stash(self.estimated(candidates), "pairs")
-        drop(candidates)
-        if pairs.isEmpty():
-            drop(pairs)
-            if self.comps is None:
-                self.comps = pairs.sparkSession.createDataFrame([], "id bigint, component bigint")
-            return
-        sets = stash(self.whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
-        A = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-        B = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-        both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-        new = stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links")
-        drop(pairs, sets)
-        if new.isEmpty() and self.comps is not None:
-            drop(new)
-            return
-        self.links.append(new)
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.union(more)
-        old, self.comps = self.comps, stash(connected_components(links).withColumnRenamed("node", "id"), "components")
-        if old is not None and hasattr(old, "_fq_stash"):
-            drop(old)
+        if not pairs.isEmpty():
+            sets = stash(self.whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+            these = small(sets, SKETCH_BYTES)
+            A = these.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+            B = these.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+            both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
+            new = stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links")
+            drop(sets)
+            if new.isEmpty():
+                drop(new)
+            else:
+                self.links.append(new)
+        drop(candidates, pairs, *self.spent)
+        self.spent = []
+
+    def join_links(self) -> None:
+        """Brings the components up to date with the links, if there are new ones."""
+        if len(self.links) > self.joined:
+            links = self.links[0]
+            for more in self.links[1:]:
+                links = links.union(more)
+            old, self.comps = self.comps, stash(connected_components(links).withColumnRenamed("node", "id"), "components")
+            if hasattr(old, "_fq_stash"):
+                drop(old)
+        self.joined = len(self.links)
 
     def mixed(self, entries: DataFrame) -> DataFrame:
         """entries (v, id, ...) with their component, of lists v that hold more than one component."""
@@ -204,11 +214,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     entries = stash(_lists(posted), "lists")
     drop(posted)
     m.add(m.star(entries))
+    m.join_links()
     m.add(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c"))))
     long = stash(m.mixed(entries.where(F.col("c") > hot)).select("id").distinct(), "crowded")
     drop(entries)
     if not long.isEmpty():
         _sketches_of(m, long, index, hot)
+    m.join_links()
     drop(long, *m.links)
     label = classes.select("n", "f1", "f2", "id").join(m.comps, "id", "left").select("n", "f1", "f2", F.coalesce("component", "id").alias("component"))
     return sig.select("id", "text_hash", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left").select("id", "text_hash", "n", F.coalesce("component", "id").alias("component"))
@@ -217,8 +229,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 def _sketches_of(m: _Matcher, ids: DataFrame, index: int, hot: int) -> None:
     """Step 3: links among the classes `ids` by their whole sketches."""
     entries = stash(_lists(m.reps.join(ids, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v"))), "sketch-lists")
-    m.add(m.star(entries))
-    m.add(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c"))))
+    m.add(m.star(entries).union(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c")))).distinct())
+    m.join_links()
     held = m.mixed(entries.where(F.col("c") > hot)).groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     need = F.least(F.lit(_least_shared(m.k, m.percent)), F.ceil(F.col("n") * m.percent / 100))
     left = stash(held.where(F.col("shared") >= need).select("id"), "templates")
@@ -240,6 +252,7 @@ def _prefixes_of(m: _Matcher, ids: DataFrame) -> None:
     prefix = stash(ranked.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("v", "id", "n", "i"), "prefix")
     drop(known)
     m.add(m.star(prefix))
+    m.join_links()
     overlap = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     m.add(m.pairs(m.mixed(prefix), F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap))
     drop(prefix)

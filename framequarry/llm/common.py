@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
@@ -72,6 +72,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stash_measured(df: DataFrame, label: str, measures: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """stash(), and aggregates of the rows, observed as they are written."""
+    seen = Observation()
+    return stash(df.observe(seen, *(c.alias(k) for k, c in measures.items())), label), seen.get
+
+
 _scratch: list[list[DataFrame]] = []
 
 

@@ -5,34 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, stash
+from .common import drop, is_small, stash_measured
 
+#: Edges of at most so many bytes on disk have their minima broadcast instead of joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 
-def _mins(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+
+def _mins(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """a, m: the smallest b of each a; `around` bounds its size."""
+    m = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return F.broadcast(m) if is_small(around, BROADCAST_BYTES) else m
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node it reaches) of every node of an edge.
 
     Null ends and loops are ignored; edges may repeat and go either way. No edge gives no row. Each step
-    reduces by partial minima, joins them back and cuts its lineage, so a hub is only a skewed join.
+    reduces by partial minima, joins them back and cuts its lineage, so a hub is only a skewed join; it ends when the
+    edges' number and checksum, observed as they are written, stay the same.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = stash(e.select(F.least(a, b).alias("b"), F.greatest(a, b).alias("a")).distinct(), "edges")
+    mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("a", "b"))}
+    e, now = stash_measured(e.select(F.least(a, b).alias("b"), F.greatest(a, b).alias("a")).distinct(), "edges", mark)
     before = None
-    while True:
-        mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark.n == 0 or before == mark:
-            break
-        before = mark
+    while now["n"] and now != before:
+        before = now
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = _mins(both).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        m = _mins(both, e).select("a", F.least("a", "m").alias("m"))
+        large = both.where(F.col("b") > F.col("a")).join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         low = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        m = _mins(low)
-        small = low.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
-        old, e = e, stash(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+        m = _mins(low, e)
+        star = low.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
+        old = e
+        e, now = stash_measured(star.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", mark)
         drop(old)
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
