@@ -23,6 +23,8 @@ SLICE_BYTES = 1 << 21
 BATCH_BYTES = 2 << 20
 #: A shuffled side whose partitions are all so small is hashed in a join.
 HASHED_BYTES = 64 << 20
+#: Bytes read for each task that writes a work table.
+FILE_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -61,9 +63,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
 
     Without a codec: what is stored is hashes and numbers, or compressed already, and codecs keep buffers outside the heap.
+    A table made from little is written by a task for each core and each FILE_BYTES that it reads, not as many empty files.
     """
     path = work_dir(df.sparkSession, label)
-    df.write.option("compression", "none").parquet(path)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-read_bytes(df) // FILE_BYTES))
+    df.coalesce(min(tasks, (1 << 31) - 1)).write.option("compression", "none").parquet(path)
     delete_at_end(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fq_stash = path
@@ -103,6 +107,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def read_bytes(df: DataFrame) -> int:
+    """What df reads, all columns: the sizes of the tables at its leaves."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        total += int(leaves.next().stats().sizeInBytes())
+    return total
+
+
 def is_small(df: DataFrame, limit: int) -> bool:
     return plan_bytes(df) <= limit
 
