@@ -59,15 +59,17 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, by_partition: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
 
     Without a codec: what is stored is hashes and numbers, or compressed already, and codecs keep buffers outside the heap.
-    A table made from little is written by a task for each core and each FILE_BYTES that it reads, not as many empty files.
+    A table made from little is written by a task for each core and each FILE_BYTES that it reads, not as many empty files;
+    with by_partition every partition keeps a task of its own, whose number df's functions may use.
     """
     path = work_dir(df.sparkSession, label)
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-read_bytes(df) // FILE_BYTES))
-    df.coalesce(min(tasks, (1 << 31) - 1)).write.option("compression", "none").parquet(path)
+    out = df if by_partition else df.coalesce(min(tasks, (1 << 31) - 1))
+    out.write.option("compression", "none").parquet(path)
     delete_at_end(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._fq_stash = path

@@ -380,7 +380,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
             )
             number += 1
 
-    return stash(arrow_map(src, run, "chunk bigint, ids binary, sizes binary, digests binary, text binary, extra binary"), "chunks")
+    return stash(arrow_map(src, run, "chunk bigint, ids binary, sizes binary, digests binary, text binary, extra binary"), "chunks", by_partition=True)
 
 
 def _null_ids(ids: np.ndarray) -> np.ndarray:
