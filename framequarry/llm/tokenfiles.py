@@ -106,8 +106,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     spark = docs.sparkSession
     own = folder is None  # a folder of the caller's stays
     folder = folder or work_dir(spark, "tokens")
-    size = plan_bytes(docs.select(id_col, text_col))
-    n = partitions or max(1, -(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
+    size, usual = plan_bytes(docs.select(id_col, text_col)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = size < 1 << 60  # Spark takes rows that are in no table for endlessly many
+    n = partitions or (max(1, -(-size // FILE_BYTES), min(usual, -(-size // LEAST_BYTES))) if known else usual)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
