@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import MANY_PIECES, PieceCoder, _empty_safe
-from .common import arrow_map, delete_at_end, plan_bytes, stash, text_slices, work_dir
+from .common import arrow_map, delete_at_end, read_bytes, stash, text_slices, work_dir
 
 MANIFEST = "part int, data string, docs string, first_doc bigint, n_docs bigint, n_tokens bigint"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _coders: dict[str, tuple[_Coder, np.dtype]] = {}
-#: Bytes of input for each pair of files, as the optimiser knows them; small tables are dealt to all shuffle partitions, down to the second number.
+#: Bytes of the tables read for each pair of files; small tables are dealt to all shuffle partitions, down to the second number.
 FILE_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 
 
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     spark = docs.sparkSession
     own = folder is None  # a folder of the caller's stays
     folder = folder or work_dir(spark, "tokens")
-    size, usual = plan_bytes(docs.select(id_col, text_col)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size, usual = read_bytes(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = size < 1 << 60  # Spark takes rows that are in no table for endlessly many
     n = partitions or (max(1, -(-size // FILE_BYTES), min(usual, -(-size // LEAST_BYTES))) if known else usual)
 
