@@ -38,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, arrow_map, drop, is_small, mix, sequence_hashes, small, span_hashes, stash, text_slices, word_spans
+from .common import NOT_SPACE, arrow_map, drop, is_small, mix, scratch, sequence_hashes, small, span_hashes, stash, stash_measured, text_slices, word_spans
 from .components import connected_components
 
 #: A list of ids is broadcast to pick their texts if it is at most so large on disk; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 4 << 20
 #: So are sketches, and whole sets, that pairs are compared by.
 SKETCH_BYTES = 8 << 20
+#: How many elements a set of up to k may seem to lack because others agree with them in their upper 32 bits.
+EQUAL_HALVES = 2
 
 
 def shingle_sets(part, words_in: int) -> list[np.ndarray]:
@@ -87,6 +89,12 @@ def signatures(docs: DataFrame, words: int = 5, k: int = 64, id_col: str = "doc_
     return arrow_map(src, run, "id bigint, text_hash bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
+def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """stash(), and the number of rows."""
+    df, seen = stash_measured(df, label, {"rows": F.count(F.lit(1))})
+    return df, seen["rows"]
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -117,7 +125,7 @@ class _Matcher:
         self.comps = docs.sparkSession.createDataFrame([], "id bigint, component bigint")
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
-        """id, n, hashes of the classes in `ids`, from their representatives' texts; each id once."""
+        """id, n, hashes of the classes in `ids`, from their representatives' texts; an id as often as its row repeats."""
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +138,29 @@ class _Matcher:
         # an id that several texts bear: the one that the class is of
         own = self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "f1")
         got = got.join(F.broadcast(own) if is_small(ids, BROADCAST_BYTES) else own, ["id", "f1"], "left_semi")
-        return got.dropDuplicates(["id"]).select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+        return got.select("id", F.size("hashes").cast("bigint").alias("n"), "hashes")
+
+    def stored_sets(self, pairs: DataFrame) -> DataFrame:
+        """The whole sets of the pairs' classes, stored, each id once; they are only shuffled for that if rows repeat."""
+        ids, n = _counted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets, rows = _counted(self.whole_sets(ids), "sets")
+        if rows > n:
+            several, sets = sets, stash(sets.dropDuplicates(["id"]), "sets")
+            drop(several)
+        drop(ids)
+        return sets
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the sizes and the bottom k of the two sketches' union do not rule out."""
+        """Pairs (a, b) that the sizes and the bottom k of the two sketches' union do not rule out.
+
+        The hashes' upper 32 bits do for that, in order: hashes that agree in them by chance only raise what two sketches seem to share,
+        or lower it by one where both are shared. Of whole sets EQUAL_HALVES such cases are allowed for, beyond which a chance of 10**-19 is.
+        """
         k, t = self.k, self.percent / 100
         margin = 6 * math.sqrt(t * (1 - t) / k)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         # only what the pairs need is shuffled, or broadcast if it is small
-        need = stash(self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "n", "sketch"), "sketches")
+        need = stash(self.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "n", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch")), "sketches")
         self.spent.append(need)
         reps = small(need, SKETCH_BYTES)
         A = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -146,25 +168,27 @@ class _Matcher:
         u = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
         p = pairs.join(A, "a").join(B, "b").where(_sizes_allow(F.col("na"), F.col("nb"), self.percent)).withColumn("u", u)
         common = F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))) / F.size("u")
-        exact = _enough(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"), self.percent)
+        exact = _enough(F.size(F.array_intersect("sa", "sb")) + EQUAL_HALVES, F.col("na"), F.col("nb"), self.percent)
         return p.where(F.when((F.col("na") <= k) & (F.col("nb") <= k), exact).otherwise(common >= t - margin)).select("a", "b")
 
     def add(self, pairs: DataFrame) -> None:
         """Confirms pairs (a, b) on their whole sets; links grow."""
-        candidates = stash(pairs, "candidates")
-        pairs = stash(self.estimated(candidates), "pairs")
-        if not pairs.isEmpty():
-            sets = stash(self.whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        candidates, n = _counted(pairs, "candidates")
+        if not n:
+            return drop(candidates)
+        pairs, n = _counted(self.estimated(candidates), "pairs")
+        if n:
+            sets = self.stored_sets(pairs)
             these = small(sets, SKETCH_BYTES)
             A = these.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
             B = these.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
             both = pairs.join(A, "a").join(B, "b").withColumn("i", F.size(F.array_intersect("ha", "hb")))
-            new = stash(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links")
+            new, n = _counted(both.where(_enough(F.col("i"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "links")
             drop(sets)
-            if new.isEmpty():
-                drop(new)
-            else:
+            if n:
                 self.links.append(new)
+            else:
+                drop(new)
         drop(candidates, pairs, *self.spent)
         self.spent = []
 
@@ -204,7 +228,17 @@ def _lists(posted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = 64, index: int = 16, hot: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, n, component of every row: links are pairs with 100 * |A & B| >= percent * |A | B|."""
+    """id, text_hash, n, component of every row: links are pairs with 100 * |A & B| >= percent * |A | B|.
+
+    The result is a work table; those that led to it, sketches and all, are deleted.
+    """
+    with scratch() as made:
+        got = stash(_components(docs, words, percent, k, index, hot, id_col, text_col), "near-duplicates")
+        made.remove(got)
+    return got
+
+
+def _components(docs: DataFrame, words: int, percent: int, k: int, index: int, hot: int, id_col: str, text_col: str) -> DataFrame:
     sig = stash(signatures(docs, words, k, id_col, text_col), "signatures")
     classes = stash(sig.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     reps = classes.where(F.col("id").isNotNull())
@@ -216,9 +250,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     m.add(m.star(entries))
     m.join_links()
     m.add(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c"))))
-    long = stash(m.mixed(entries.where(F.col("c") > hot)).select("id").distinct(), "crowded")
+    long, n = _counted(m.mixed(entries.where(F.col("c") > hot)).select("id").distinct(), "crowded")
     drop(entries)
-    if not long.isEmpty():
+    if n:
         _sketches_of(m, long, index, hot)
     m.join_links()
     drop(long, *m.links)
@@ -228,14 +262,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
 def _sketches_of(m: _Matcher, ids: DataFrame, index: int, hot: int) -> None:
     """Step 3: links among the classes `ids` by their whole sketches."""
-    entries = stash(_lists(m.reps.join(ids, "id", "left_semi").select("id", "n", F.explode("sketch").alias("v"))), "sketch-lists")
+    these = m.reps.join(small(ids, BROADCAST_BYTES), "id", "left_semi").select("id", "n", "sketch")
+    if not is_small(ids, BROADCAST_BYTES):  # shuffled once, not for each use
+        these = stash(these, "crowded-sketches")
+    entries = stash(_lists(these.select("id", "n", F.explode("sketch").alias("v"))), "sketch-lists")
+    if hasattr(these, "_fq_stash"):
+        drop(these)
     m.add(m.star(entries).union(m.pairs(m.mixed(entries.where(F.col("c") <= hot).drop("c")))).distinct())
     m.join_links()
     held = m.mixed(entries.where(F.col("c") > hot)).groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     need = F.least(F.lit(_least_shared(m.k, m.percent)), F.ceil(F.col("n") * m.percent / 100))
-    left = stash(held.where(F.col("shared") >= need).select("id"), "templates")
+    left, n = _counted(held.where(F.col("shared") >= need).select("id"), "templates")
     drop(entries)
-    if not left.isEmpty():
+    if n:
         _prefixes_of(m, left)
     drop(left)
 
@@ -243,7 +282,7 @@ def _sketches_of(m: _Matcher, ids: DataFrame, index: int, hot: int) -> None:
 def _prefixes_of(m: _Matcher, ids: DataFrame) -> None:
     """Step 4: links among the classes `ids` by the rarest shingles of their whole sets."""
     percent = m.percent
-    each = stash(m.whole_sets(ids).select("id", "n", F.explode("hashes").alias("v")), "shingles")
+    each = stash(m.whole_sets(ids).dropDuplicates(["id"]).select("id", "n", F.explode("hashes").alias("v")), "shingles")
     known = stash(_lists(each), "shared-shingles")  # shingles of one class only can join nothing; how many precede matters alone
     drop(each)
     single = known.groupBy("id").agg(F.count("*").alias("shared"))

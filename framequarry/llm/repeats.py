@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
@@ -383,6 +383,11 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] =
     return stash(arrow_map(src, run, "chunk bigint, ids binary, sizes binary, digests binary, text binary, extra binary"), "chunks", by_partition=True)
 
 
+def _by_chunk(chunks: DataFrame) -> GroupedData:
+    """The chunks for a cogroup: always the same columns, so that Spark shuffles the texts once for all cogroups of one query."""
+    return chunks.select("chunk", "ids", "sizes", "text", "extra").groupBy("chunk")
+
+
 def _null_ids(ids: np.ndarray) -> np.ndarray:
     return ids == np.iinfo(np.int64).min
 
@@ -546,7 +551,7 @@ def strings_with(chunks: DataFrame, shared: DataFrame, copied: DataFrame, length
         release()
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "chunk": pa.array(rows["chunk"], pa.int64()), "blob": pa.array(rows["blob"], pa.binary())})
 
-    return chunks.select("chunk", "ids", "sizes", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(send, SENT)
+    return _by_chunk(chunks).cogroup(notes.groupBy("chunk")).applyInArrow(send, SENT)
 
 
 def _bucket_spans(sent: DataFrame, length: int) -> DataFrame:
@@ -641,7 +646,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str =
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     extra_schema = to_arrow_schema(docs.select(*keep).schema) if keep else None
-    return chunks.select("chunk", "ids", "sizes", "text", "extra").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(apply, schema)
+    return _by_chunk(chunks).cogroup(notes.groupBy("chunk")).applyInArrow(apply, schema)
 
 
 def maximal_repeats(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

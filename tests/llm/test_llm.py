@@ -122,6 +122,68 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, **{50 + i: 50 for i in range(20)}, 100: 50, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("one_task", [0, 5, 1 << 18])
+def test_components_by_steps_and_by_one_task(spark, monkeypatch, one_task):
+    from framequarry.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (130, 2))] + [(i + 1, i) for i in range(1000, 1030)] + [(None, 3), (4, 4)]
+    low = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in low:
+        for a, b in edges:
+            if a in low and b in low:
+                low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    assert {r.node: r.component for r in components.connected_components(df).collect()} == low
+    assert components.connected_components(df.where("a is null")).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    from framequarry.llm.components import connected_components
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(60)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        assert {r.component for r in connected_components(edges).collect()} == {0}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("limit", [0, 4 << 20])
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(bottomk, "BROADCAST_BYTES", limit)  # 0: joined by shuffles
+    monkeypatch.setattr(bottomk, "SKETCH_BYTES", limit)
+    rng = np.random.default_rng(8)
+    base, rows = words(rng, 100), []
+    for i in range(25):  # edited copies of one text, beyond `hot`, most rows thrice
+        w = list(base)
+        for at in rng.integers(0, 100, i % 4):
+            w[at] = f"e{i}"
+        rows += [(i, " ".join(w), "en", 1)] * (3 if i % 5 else 1)
+    rows += [(7, "another text under an id that is taken already", "en", 1)] * 2 + [(40, None, "en", 1)]
+    got = sorted((r.id, r.n, r.component) for r in bottomk.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), percent=85, hot=4).collect())
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_leave_one_work_table(spark, docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "work_dir", lambda s, label, f=common.work_dir: made.append(f(s, label)) or made[-1])
+    got = bottomk.near_duplicates(docs, percent=85)
+    there = [p for p in made if (h := common._hadoop_path(spark, p))[1].exists(h[0])]
+    assert there == [got._fq_stash]
+    common.drop(got)
+
+
+def test_sketches_whose_upper_halves_agree_by_chance(spark):
+    a = [1, 2, 3, *(i << 32 for i in range(1, 17)), 90 << 32]
+    b = [*a[:-1], 91 << 32]  # 19 of 21 in common, of which three agree in their upper 32 bits
+    reps = spark.createDataFrame([(1, 20, 1, a), (2, 20, 2, b)], "id bigint, n bigint, f1 bigint, sketch array<bigint>")
+    m = bottomk._Matcher(empty(spark), reps, 5, 85, 64, "doc_id", "text")
+    assert [tuple(r) for r in m.estimated(spark.createDataFrame([(1, 2)], "a bigint, b bigint")).collect()] == [(1, 2)]
+
+
 def test_near_duplicate_stage_takes_similarity_from_80_percent(spark):
     import corpus_pipeline
 
@@ -186,6 +248,12 @@ def test_repeats_keep_columns_and_text(docs, corpus):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeats_shuffle_texts_once(docs, corpus):
+    got = repeats.remove_repeats(docs, with_text=True, keep=("extra",))
+    assert len(got.collect()) == len(corpus)
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeats_of_nothing_and_nulls(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
     t = "z" * 80
