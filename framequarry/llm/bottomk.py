@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     The result is a work table; those that led to it, sketches and all, are deleted.
     """
     with scratch() as made:
-        got = stash(_components(docs, words, percent, k, index, hot, id_col, text_col), "near-duplicates")
+        # by partition: hashed joins give their memory back when a task ends, so one task must not run many of them
+        got = stash(_components(docs, words, percent, k, index, hot, id_col, text_col), "near-duplicates", by_partition=True)
         made.remove(got)
     return got
 

@@ -176,6 +176,19 @@ def test_near_duplicates_leave_one_work_table(spark, docs, monkeypatch):
     common.drop(got)
 
 
+def test_near_duplicates_keep_a_task_for_each_partition_of_the_last_join(spark, docs):
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = bottomk.near_duplicates(docs, percent=85)
+        assert len(got.inputFiles()) > 2 * spark.sparkContext.defaultParallelism  # one task's hashed joins would add up
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_sketches_whose_upper_halves_agree_by_chance(spark):
     a = [1, 2, 3, *(i << 32 for i in range(1, 17)), 90 << 32]
     b = [*a[:-1], 91 << 32]  # 19 of 21 in common, of which three agree in their upper 32 bits
