@@ -144,7 +144,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": [f"{folder}/{data}"], "docs": [f"{folder}/{index}"], "first_doc": pa.array([first], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
     src = docs.select(F.col(id_col).cast("bigint").alias(id_col), text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first())
-    manifest = stash(arrow_map(src, run, MANIFEST), "manifest", by_partition=True)
+    # A row for each pair of files, so one task can write them. Without Hadoop's native library every file that a JVM writes starts
+    # processes, which until they run their program count as the whole JVM again: not beside the workers that encode.
+    manifest = stash(arrow_map(src, run, MANIFEST).repartition(1), "manifest")
     if own:
         delete_at_end(spark, folder)
     return manifest

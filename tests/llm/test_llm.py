@@ -474,6 +474,16 @@ def test_token_files(spark, corpus, tmp_path):
     assert tokenfiles.read_documents(tokenfiles.write_token_files(empty(spark), path)).count() == 0
 
 
+@with_tokenizers
+def test_tasks_that_write_token_files_write_no_table(spark, corpus):
+    df = odd_docs(spark, corpus)
+    manifest = tokenfiles.write_token_files(df, tokenizers_home.path("byte_bpe_50k.json"), partitions=5)
+    rows = manifest.collect()
+    assert len(rows) == 5 and sorted(r.part for r in rows) == list(range(5)) and len(manifest.inputFiles()) == 1
+    assert sum(r.n_docs for r in rows) == df.count() == tokenfiles.read_documents(manifest).count()
+    assert [r.first_doc for r in sorted(rows)] == sorted(r.first_doc for r in rows)
+
+
 # ---- 3: languages --------------------------------------------------------------------------------------
 
 LANGS = {"en": "the and of to in that it is was for on are with as his they be at", "de": "der und die das nicht von sie ist des sich mit dem dass er es ein", "es": "el la de que y en un ser se no haber por con su para como"}
