@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, bpe, decontaminate, fourier_quality, kneser_ney, ppm, repeats, tagpaths, tokenfiles, topk
+from . import alignment, bottomk, bpe, decontaminate, fourier_quality, hardneg, kneser_ney, ppm, repeats, tagpaths, tokenfiles, topk, warc
 from .common import held_out, stash, table
 
 
@@ -71,9 +71,25 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), revisit_from=0)
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 100 == 0, positives=5, negatives=5, percent=80, scale=256)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tag_paths, op2_inverted_index, op3_language_ppm, op4_suffix_repeats, op5_threshold_topk, op6_fourier_quality, op7_token_files, op8_byte_bpe, op9_bottomk_near, op10_kneser_ney)
+    for f in (op1_tag_paths, op2_inverted_index, op3_language_ppm, op4_suffix_repeats, op5_threshold_topk, op6_fourier_quality, op7_token_files, op8_byte_bpe, op9_bottomk_near, op10_kneser_ney, op11_warc_dictionary, op12_token_alignment, op13_hard_negatives)
 }
 
 
@@ -133,5 +149,24 @@ x AS (SELECT vec_id, unnest(e) AS c, unnest(range(1, len(e) + 1)) AS i FROM v),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.c * c.c) AS BIGINT) AS score FROM x q JOIN x c ON q.i = c.i WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
+""",
+    # base 32: every five hex digits are four letters
+    "op11_warc_dictionary": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+b AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, 5 * i + 1, 5) AS BIGINT)) AS v FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM b
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+x AS (SELECT vec_id, label, unnest(e) AS c, unnest(range(1, len(e) + 1)) AS i FROM v),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, any_value(a.label) = any_value(r.label) AS same, CAST(sum(a.c * r.c) AS BIGINT) AS score FROM x a JOIN x r ON a.i = r.i WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id GROUP BY 1, 2),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS "rank"
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM n WHERE "rank" <= 5
 """,
 }
