@@ -237,6 +237,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_from: in
     folder = folder or work_dir(spark, "archives")
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = _rows(pages, id_col, url_col, html_col)
+    if rows.select("page_id").isEmpty():
+        return spark.createDataFrame([], MANIFEST)
     seen = Observation()
     digests = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").cast("bigint").alias("n"))
     digests = digests.observe(seen, F.sum("n").alias("total"))
@@ -272,7 +274,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_from: in
                 if w is None:
                     fs.create_dir(base, recursive=True)
                     name, n = f"pages-{part:06d}-{n:04d}-{uuid.uuid4().hex[:12]}.warc.zst", n + 1
-                    w = ArchiveWriter(fs.open_output_stream(f"{base}/{name}"), dictionary, level, date)
+                    # by its name pyarrow would compress the whole file once more
+                    w = ArchiveWriter(fs.open_output_stream(f"{base}/{name}", compression=None), dictionary, level, date)
                 w.add(page_record(page, url, payload, date, leader, again))
         if w is not None:
             close()
@@ -313,7 +316,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             for file in b.column(0).to_pylist():
                 fs, path = _open(file)
                 held, weight = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for offset, size, data in archive_records(stream):
                         got = row(file, offset, size, data)
                         if got is not None:

@@ -21,4 +21,4 @@ def test_against_sql(spark, name):
 def test_all_are_registered():
     import __spark_entry__ as e
 
-    assert set(QUERIES) <= set(e.queries()) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
+    assert set(QUERIES) <= set(e.queries()) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
