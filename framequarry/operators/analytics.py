@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from framequarry.functions.bits import ip_text
 from framequarry.functions.community import community_id
@@ -45,38 +45,75 @@ def _after(a: Column, b: Column) -> Column:
     return F.pmod(a - b + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
-def tcp_analysis(frames: DataFrame, padding: bool = False) -> DataFrame:
+#: Frames of a capture whose part of a direction is gone through by one task.
+FLOW_BLOCK = 1 << 22
+
+
+def unwrapped(seq: Column, order: WindowSpec) -> Column:
+    """Sequence numbers as distances from the first of the window: the signed steps from frame to frame, summed. No distance is too far."""
+    return F.sum(F.coalesce(_after(seq, F.lag(seq).over(order)), F.lit(0).cast("bigint"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def tcp_analysis(frames: DataFrame, padding: bool = False, block: int = FLOW_BLOCK) -> DataFrame:
     """frames with retransmission, out_of_order, dup_ack (booleans, false for what is not TCP).
 
     Per direction and in frame order: data whose end was seen, or that starts before the highest end, is a
     retransmission; data that starts beyond it is out of order; an ACK without data, SYN or FIN whose number equals that of
-    the direction's previous ACK is a duplicate. Sequence numbers are unwrapped from the direction's first, so a
-    direction may move 2 GiB. With `padding`, bytes after the IP length count as data.
+    the direction's previous ACK is a duplicate. Sequence numbers are unwrapped from frame to frame, so a direction
+    may carry any number of bytes. With `padding`, bytes after the IP length count as data.
+
+    A direction is gone through in blocks of `block` frame numbers, so one huge flow is the work of many tasks. Each block sums up where its
+    sequence numbers begin, end and reach, and its last ACK; of these few rows a window makes what a block must know of all earlier ones.
     """
     df = _ready(frames)
-    direction = [*capture_columns(df), "ip_src", "sport", "ip_dst", "dport"]
-    order = Window.partitionBy(*direction, "l4_proto").orderBy("frame_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    own = capture_columns(df)
     tcp = F.col("tcp_seq").isNotNull()
     size = F.greatest(F.lit(0), F.length("frame") - F.col("pay_off")) if padding else F.col("pay_len")
     flag = lambda bit: F.col("tcp_flags").bitwiseAND(F.lit(bit)) != 0
     syn, fin, ack = flag(2), flag(1), flag(16)
-    df = df.withColumn("_len", F.when(tcp, size))
-    df = df.withColumn("_seq", F.when(tcp, _after(F.col("tcp_seq"), F.first("tcp_seq").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))))
-    df = df.withColumn("_end", F.col("_seq") + F.col("_len") + F.when(syn | fin, 1).otherwise(0))
-    df = df.withColumns(
-        {
-            "_max": F.max("_end").over(before),
-            "_prev": F.last(F.when(ack, F.col("tcp_ack")), ignorenulls=True).over(before),
-        }
+    # captures by a text that is never null: joins on it need no other shuffle than the windows
+    files = {f"_{c}": F.coalesce(F.concat(F.lit("/"), c), F.lit("")) for c in own}
+    key = [*files, "ip_src", "sport", "ip_dst", "dport", "l4_proto"]
+    cell = F.floor(F.col("frame_no") / block)
+    order = Window.partitionBy(*key, "_cell").orderBy("frame_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """_seq and _end from the first sequence number of the block."""
+        rows = rows.withColumns({**files, "_cell": cell, "_len": F.when(tcp, size)})
+        rows = rows.withColumn("_seq", F.when(tcp, unwrapped(F.col("tcp_seq"), order)))
+        return rows.withColumn("_end", F.col("_seq") + F.col("_len") + F.when(syn | fin, 1).otherwise(0))
+
+    acked = F.when(ack, F.col("frame_no"))
+    blocks = placed(df.where(tcp)).groupBy(*key, "_cell").agg(
+        F.min_by("tcp_seq", "frame_no").alias("_first"),
+        F.max_by(F.struct("tcp_seq", "_seq"), "frame_no").alias("_last"),
+        F.max("_end").alias("_most"),
+        F.max_by("tcp_ack", acked).alias("_ack"),
     )
-    data = (F.col("_len") > 0) & F.col("_max").isNotNull()
-    again = data & ((F.col("_end") <= F.col("_max")) | (F.col("_seq") < F.col("_max")))
-    out = data & (F.col("_seq") > F.col("_max"))
-    dup = ack & (F.col("_len") == 0) & ~syn & ~fin & (F.col("_prev") == F.col("tcp_ack"))
+    blocks = _carried(blocks, key).select(*key, "_cell", "_before", "_acked")
+    df = placed(df)
+    df = df.withColumns({"_max": F.max("_end").over(before), "_prev": F.last(F.when(ack, F.col("tcp_ack")), ignorenulls=True).over(before)})
+    df = df.join(blocks, [*key, "_cell"], "left").select(*df.columns, "_before", "_acked")
+    most, prev = F.greatest("_max", "_before"), F.coalesce("_prev", "_acked")
+    data = (F.col("_len") > 0) & most.isNotNull()
+    again = data & ((F.col("_end") <= most) | (F.col("_seq") < most))
+    out = data & (F.col("_seq") > most)
+    dup = ack & (F.col("_len") == 0) & ~syn & ~fin & (prev == F.col("tcp_ack"))
     no = F.lit(False)
     df = df.withColumns({"retransmission": F.coalesce(again, no), "out_of_order": F.coalesce(out, no), "dup_ack": F.coalesce(dup, no)})
-    return df.drop("_len", "_seq", "_end", "_max", "_prev")
+    return df.drop("_cell", "_len", "_seq", "_end", "_max", "_prev", "_before", "_acked", *files)
+
+
+def _carried(blocks: DataFrame, key: list[str]) -> DataFrame:
+    """Of a direction's blocks in order: _before, the highest end of all earlier ones, from this one's first sequence number; _acked, their last ACK."""
+    order = Window.partitionBy(*key).orderBy("_cell")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    jump = F.lag("_last._seq").over(order) + _after(F.col("_first"), F.lag("_last.tcp_seq").over(order))
+    rows = blocks.withColumn("_jump", F.coalesce(jump, F.lit(0).cast("bigint")))
+    rows = rows.withColumn("_base", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_top", F.max(F.col("_base") + F.col("_most")).over(earlier))
+    return rows.withColumns({"_before": F.col("_top") - F.col("_base"), "_acked": F.last("_ack", ignorenulls=True).over(earlier)})
 
 
 def conversations(frames: DataFrame, analysis: bool = True) -> DataFrame:

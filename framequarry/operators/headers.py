@@ -15,8 +15,8 @@ from framequarry.functions.bits import hex_number, piece
 #: Link types that are understood (fixed values, the public registry's numbers).
 NULL, ETHERNET, RAW, SLL, IPV4, IPV6 = 0, 1, 101, 113, 228, 229
 
-#: Nested tags that are followed.
-MAX_TAGS = 4
+#: Nested tags that are looked for first; a frame that has so many is looked through for more.
+FEW_TAGS = 4
 
 COLUMNS = [
     "eth_dst", "eth_src", "eth_type", "vlan_stack", "vlan_id", "l3_off", "ip_v", "ip_ihl", "ip_dsfield", "ip_len", "ip_id", "ip_flags", "ip_frag", "ip_ttl", "ip_proto", "ip_checksum", "ip_src", "ip_dst",
@@ -54,10 +54,13 @@ def _link(df: DataFrame) -> DataFrame:
     """eth_*, vlan_stack, eth_type (the innermost), l3_off, ip_v."""
     lt, f = F.col("linktype"), F.col("frame")
     eth = (lt == ETHERNET) & (F.length(f) >= 14)
-    head = F.hex(F.substring(f, 13, 4 * MAX_TAGS + 2))
-    df = df.withColumn("_tags", F.when(eth, F.regexp_extract(head, f"^((?:(?:8100|88A8).{{4}}){{0,{MAX_TAGS}}})", 1)))
+    # possessive and without a branch, so a run of any length is matched in a loop; hex of whole frames only where all the first tags are taken
+    run = "^((?:(?=8100|88A8).{8})*+)"
+    few = F.regexp_extract(F.hex(F.substring(f, 13, 4 * FEW_TAGS)), run, 1)
+    df = df.withColumn("_tags", F.when(eth, few))
+    df = df.withColumn("_tags", F.when(F.length("_tags") == 8 * FEW_TAGS, F.regexp_extract(F.hex(F.substring(f, 13, 1 << 30)), run, 1)).otherwise(F.col("_tags")))
     size = F.length("_tags")
-    kind = F.when(eth, hex_number(F.substring(head, size + 1, F.lit(4)))).when(lt == SLL, _be(F.lit(14), 2))
+    kind = F.when(eth, hex_number(F.hex(F.substring(f, (13 + size / 2).cast("int"), F.lit(2))))).when(lt == SLL, _be(F.lit(14), 2))
     l3 = F.when(lt == ETHERNET, 14 + size / 2).when(lt == SLL, 16).when(lt == NULL, 4).when(lt.isin(RAW, IPV4, IPV6), 0)
     ids = F.transform(F.sequence(F.lit(0), (size / 8 - 1).cast("int")), lambda i: hex_number(F.substring(F.col("_tags"), (i * 8 + 5).cast("int"), F.lit(4))).bitwiseAND(F.lit(0x0FFF)).cast("int"))
     df = df.withColumns(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,12 +92,70 @@ def _completions(places: str) -> Column:
 _MOD, _HALF = 1 << 32, 1 << 31
 
 
+def _step(seq: int, other: int) -> int:
+    """seq - other in 32-bit serial arithmetic, signed."""
+    return (seq - other + _HALF) % _MOD - _HALF
+
+
+class GapIndex:
+    """Which bytes of one direction have been seen, as offsets from its first: disjoint ranges, joined where they touch, so there is one more
+    than there are gaps. Every byte is the first frame's that has it. No data is kept."""
+
+    def __init__(self) -> None:
+        self.base: int | None = None  # the sequence number of offset 0
+        self.stream = 0  # a SYN with another number begins the next one
+        self._clear()
+
+    def _clear(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.seq, self.off = self.base, 0  # the place that offsets are unwrapped from
+
+    def add(self, seq: int, size: int, syn: bool) -> tuple[int, list[tuple[int, int]]]:
+        """The offset of this segment's first byte, and the ranges of offsets that it is the first to bring."""
+        if syn:
+            seq = (seq + 1) % _MOD
+            if seq != self.base:
+                self.stream += self.base is not None
+                self.base = seq
+                self._clear()
+        elif self.base is None and size:
+            self.base = seq
+            self._clear()
+        if not size:
+            return 0, []
+        low = self.off + _step(seq, self.seq)
+        high = low + size
+        if high > self.off:
+            self.seq, self.off = (seq + size) % _MOD, high
+        return low, self._fresh(max(0, low), high)
+
+    def _fresh(self, low: int, high: int) -> list[tuple[int, int]]:
+        if low >= high:
+            return []
+        i = bisect_left(self.ends, low)  # the first range that ends at or after low
+        j = bisect_right(self.starts, high)  # those before it begin at or before high
+        out, at = [], low
+        for k in range(i, j):
+            if self.starts[k] > at:
+                out.append((at, self.starts[k]))
+            at = max(at, self.ends[k])
+        if at < high:
+            out.append((at, high))
+        if i < j:
+            low, high = min(low, self.starts[i]), max(high, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [low], [high]
+        return out
+
+
 class HalfStream:
-    """One direction's bytes in order. `hold` segments ahead of the gap wait at most (None: all), `cap` bytes are delivered."""
+    """One direction's bytes in order, for callers that take them as they come. `hold` segments ahead of the gap wait at most (None: all), `cap` bytes are delivered."""
 
     def __init__(self, hold: int | None = None, cap: int | None = None):
         self.next: int | None = None
         self.waiting: dict[int, bytes] = {}
+        self.order: list[tuple[int, int]] = []  # a heap of (bytes delivered before, number) of what waits
+        self.done = 0
         self.hold, self.cap, self.size = hold, cap, 0
 
     def add(self, seq: int, data: bytes, syn: bool) -> bytes:
@@ -102,37 +163,38 @@ class HalfStream:
         if syn:
             self.next = (seq + 1) % _MOD
             seq = self.next
+            self.order = [(self.done + _step(s, self.next), s) for s in self.waiting]
+            heapq.heapify(self.order)
         elif self.next is None:
             if not data:
                 return b""
             self.next = seq
-        out = self._take(seq, data) if data else b""
-        moved = True
-        while moved and self.waiting:
-            moved = False
-            for s in sorted(self.waiting, key=lambda s: (s - self.next + _HALF) % _MOD):
-                if (s - self.next + _HALF) % _MOD - _HALF > 0:
-                    break
-                out += self._take(s, self.waiting.pop(s))
-                moved = True
+        parts = [self._take(seq, data)] if data else []
+        while self.order and self.order[0][0] <= self.done:
+            _, s = heapq.heappop(self.order)
+            if s in self.waiting:
+                parts.append(self._take(s, self.waiting.pop(s)))
+        out = b"".join(parts)
         if self.cap is not None:
             out = out[: max(0, self.cap - self.size)]
         self.size += len(out)
         return out
 
     def _take(self, seq: int, data: bytes) -> bytes:
-        ahead = (seq - self.next + _HALF) % _MOD - _HALF
+        ahead = _step(seq, self.next)
         if ahead > 0:
             if seq not in self.waiting:
                 if self.hold is not None and len(self.waiting) >= self.hold:
-                    far = max(self.waiting, key=lambda s: (s - self.next + _HALF) % _MOD)
-                    if (far - self.next) % _MOD <= ahead:
+                    far = max(self.waiting, key=lambda s: _step(s, self.next))
+                    if _step(far, self.next) <= ahead:
                         return b""
                     del self.waiting[far]
                 self.waiting[seq] = data
+                heapq.heappush(self.order, (self.done + ahead, seq))
             return b""
         fresh = data[-ahead:] if ahead else data
         self.next = (self.next + len(fresh)) % _MOD
+        self.done += len(fresh)
         return fresh
 
 
@@ -145,15 +207,111 @@ def _stream_rows(frames: DataFrame) -> DataFrame:
     )
 
 
+_SEGMENTS = "conv string, frame_no bigint, ts_ns bigint, to_server boolean, data binary"
+
+
 def follow_segments(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
     """file (if frames has it), conv, frame_no, ts_ns, to_server, data: each conversation's delivered bytes in the order in which they became available.
 
-    The sender of the first frame is the client. TCP bytes come in sequence order, UDP payloads as they were sent.
-    Rows are sorted by conversation and frame and read in batches; what waits for a gap is all that is kept.
+    The sender of the first frame is the client. TCP bytes come in sequence order, UDP payloads as they were sent. A byte is
+    that of the first frame that has it, and is delivered by the frame after which it and all before it have been seen; a SYN with another
+    number begins another stream. What lies beyond a gap that is never filled is not delivered (missing_bytes() lists such gaps).
+
+    One shuffle, by conversation. Rows sorted by frame go through an index of gaps, which keeps ranges and no data; sorted by
+    offset, a running maximum of frame numbers says when each piece is delivered; then they are sorted by that. The sorts
+    spill, so no task's memory grows behind a lost segment. With `hold`, so many segments wait in memory at most, and those beyond are dropped.
     """
+    if hold is not None:
+        return _held_segments(frames, hold, cap)
+    own = capture_columns(frames)
+    pieces = _pieces(frames).sortWithinPartitions(*own, "conv", "to_server", "stream", "off")
+    return _delivered(pieces, own, cap).sortWithinPartitions(*own, "conv", "frame_no", "to_server", "stream", "off").select(*own, "conv", "frame_no", "ts_ns", "to_server", "data")
+
+
+def _own_fields(own: list[str]) -> list[str]:
+    return [f"`{c}` string" for c in own]
+
+
+def _by_conversation(frames: DataFrame) -> tuple[DataFrame, list[str]]:
     rows = _stream_rows(frames)
     own = capture_columns(rows)
-    dealt = rows.repartition(*own, "conv").sortWithinPartitions(*own, "conv", "frame_no")
+    return rows.repartition(*own, "conv").sortWithinPartitions(*own, "conv", "frame_no"), own
+
+
+def _pieces(frames: DataFrame) -> DataFrame:
+    """conv, to_server, stream, off, frame_no, ts_ns, data: bytes not seen before, by their offset in the stream; UDP payloads follow each other."""
+    dealt, own = _by_conversation(frames)
+    names = [*own, "conv", "to_server", "stream", "off", "frame_no", "ts_ns", "data"]
+    types = [*(pa.string() for _ in own), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, client, halves, sent = None, None, {}, {}
+        for b in batches:
+            out: list[tuple] = []
+            for *k, no, ts, ip, port, seq, flags, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != conv:
+                    conv, client, halves, sent = k, (ip, port), {}, {}
+                up = (ip, port) == client
+                if seq is None:
+                    if data:
+                        out.append((*k, up, 0, sent.get(up, 0), no, ts, data))
+                        sent[up] = sent.get(up, 0) + len(data)
+                    continue
+                gaps = halves.get(up)
+                if gaps is None:
+                    gaps = halves[up] = GapIndex()
+                first, fresh = gaps.add(seq, len(data or b""), bool(flags & 2))
+                out += [(*k, up, gaps.stream, low, no, ts, data[low - first : high - first]) for low, high in fresh]
+            columns = list(zip(*out, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return dealt.mapInArrow(run, ", ".join([*_own_fields(own), "conv string, to_server boolean, stream int, off bigint, frame_no bigint, ts_ns bigint, data binary"]))
+
+
+def _delivered(pieces: DataFrame, own: list[str], cap: int | None) -> DataFrame:
+    """Of pieces sorted by direction, stream and offset those before the first gap, cut at `cap` bytes of a direction; frame_no and ts_ns are of the frame that delivers them."""
+    spec = [*_own_fields(own), "conv string, to_server boolean, stream int, off bigint, frame_no bigint, ts_ns bigint, data binary"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, stream, reach, last, given = None, None, 0, (0, 0), 0
+        for b in batches:
+            keep, nos, times, datas = [], [], [], []
+            data = b.column("data")
+            sizes = pc.binary_length(data).to_pylist()
+            for i, (*k, up, s, off, no, ts) in enumerate(zip(*(c.to_pylist() for c in b.drop_columns("data").columns), strict=True)):
+                if (k, up) != side:
+                    side, stream, reach, last, given = (k, up), s, 0, (0, 0), 0
+                elif s != stream:
+                    stream, reach, last = s, 0, (0, 0)
+                if off != reach:
+                    continue  # the first gap, or beyond it: reach stays
+                reach, last = off + sizes[i], max(last, (no, ts or 0))
+                n = sizes[i] if cap is None else min(sizes[i], cap - given)
+                if n > 0:
+                    given += n
+                    keep.append(i)
+                    nos.append(last[0])
+                    times.append(last[1])
+                    datas.append(data[i] if n == sizes[i] else pa.scalar(data[i].as_py()[:n], pa.binary()))
+            got = b.take(pa.array(keep, pa.int64()))
+            columns = {"frame_no": pa.array(nos, pa.int64()), "ts_ns": pa.array(times, pa.int64()), "data": got.column("data") if cap is None else pa.array([d.as_py() for d in datas], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(n, got.column(n)) for n in got.schema.names], names=got.schema.names)
+
+    return pieces.mapInArrow(run, ", ".join(spec))
+
+
+def missing_bytes(frames: DataFrame) -> DataFrame:
+    """file (if frames has it), conv, to_server, stream, low, high: ranges of a direction's offsets that no frame has brought, before the last byte seen."""
+    own = capture_columns(frames)
+    order = Window.partitionBy(*own, "conv", "to_server", "stream").orderBy("off")
+    end = F.col("off") + F.length("data")
+    seen = _pieces(frames).withColumn("low", F.coalesce(F.lag(end).over(order), F.lit(0).cast("bigint")))
+    return seen.where("low < off").select(*own, "conv", "to_server", "stream", "low", F.col("off").alias("high"))
+
+
+def _held_segments(frames: DataFrame, hold: int, cap: int | None) -> DataFrame:
+    """follow_segments() with a bound on the segments that wait."""
+    dealt, own = _by_conversation(frames)
     names = [*own, "conv", "frame_no", "ts_ns", "to_server", "data"]
     types = [*(pa.string() for _ in own), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
@@ -175,7 +333,7 @@ def follow_segments(frames: DataFrame, hold: int | None = None, cap: int | None
             columns = list(zip(*out, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), "conv string, frame_no bigint, ts_ns bigint, to_server boolean, data binary"]))
+    return dealt.mapInArrow(run, ", ".join([*_own_fields(own), _SEGMENTS]))
 
 
 def follow_stream(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
@@ -184,10 +342,14 @@ def follow_stream(frames: DataFrame, hold: int | None = None, cap: int | None =
     A row holds a whole conversation, so `cap` must bound what a direction delivers where conversations may be huge;
     follow_segments() has no such bound, its rows are segments.
     """
-    seg = follow_segments(frames, hold, cap)
-    side = lambda up: F.expr(f"listagg(data) WITHIN GROUP (ORDER BY frame_no) FILTER (WHERE {'to_server' if up else 'NOT to_server'})")
+    own = capture_columns(frames)
+    if hold is None:
+        seg, order = _delivered(_pieces(frames).sortWithinPartitions(*own, "conv", "to_server", "stream", "off"), own, cap), "struct(stream, off)"
+    else:
+        seg, order = _held_segments(frames, hold, cap), "frame_no"
+    side = lambda up: F.expr(f"listagg(data) WITHIN GROUP (ORDER BY {order}) FILTER (WHERE {'to_server' if up else 'NOT to_server'})")
     empty = F.lit(b"")
-    return seg.groupBy(*capture_columns(seg), "conv").agg(F.coalesce(side(True), empty).alias("client"), F.coalesce(side(False), empty).alias("server"))
+    return seg.groupBy(*own, "conv").agg(F.coalesce(side(True), empty).alias("client"), F.coalesce(side(False), empty).alias("server"))
 
 
 def stream_packets(frames: DataFrame, conversation: int, file: str | None = None) -> DataFrame:

@@ -346,3 +346,88 @@ def capture_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames written as capture files, one for each partition, and read back from their bytes."""
     files = captures.capture_files(event_frames(spark, sf_dir)).withColumn("path", F.lit("memory"))
     return with_headers(captures.packets_of(files)).select("ts_ns", "origlen", "l4_proto", "sport", "pay_len")
+
+
+# ---- large captures, long flows, lost segments -----------------------------------------------------------
+
+
+@query(
+    EVENT_SQL
+    + """SELECT CAST(t AS INTEGER) AS pass, frame_no, CAST(CASE e % 4 WHEN 0 THEN 1 WHEN 1 THEN 101 WHEN 2 THEN 0 ELSE 113 END AS INTEGER) AS linktype, CAST(epoch_us(ts) * 1000 + e % 1000 AS BIGINT) AS ts_ns,
+  CAST(sport AS INTEGER) AS sport, CAST(n AS INTEGER) AS pay_len FROM g, range(3) r(t)"""
+)
+def split_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two capture files with four interfaces, read in ranges of three sizes that end inside blocks."""
+    frames = synth.linked_frames(table(spark, sf_dir, "events"))
+    manifest = captures.export_captures(frames, frames.select("frame_no", F.col("frame_no").alias("ordinal")), parts=2)
+    files = manifest.select("file", (F.col("first") - 1).alias("earlier"))
+    names = [r.file for r in files.collect()]  # two
+    size = spark.read.format("binaryFile").load(names).agg(F.max("length")).first()[0]
+    out = None
+    for i, parts in enumerate((5, 11, 29)):
+        got = with_headers(captures.read_capture(spark, names, range_bytes=max(61, size // parts | 1)))
+        got = got.join(F.broadcast(files), F.regexp_replace(got["file"], "^file:/+", "/") == F.regexp_replace(files["file"], "^file:/+", "/"))
+        got = got.select(F.lit(i).alias("pass"), (F.col("frame_no") + F.col("earlier")).alias("frame_no"), "linktype", "ts_ns", "sport", "pay_len")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(EVENT_SQL + "SELECT row_number() OVER (ORDER BY e DESC) AS frame_no, CAST(epoch_us(ts) * 1000 AS BIGINT) AS ts_ns, CAST(flen AS BIGINT) AS origlen, CAST(sport AS INTEGER) AS sport FROM g WHERE e % 3 = 1")
+def ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of every third frame, last first, exported as several captures and read back as one."""
+    frames = event_frames(spark, sf_dir)
+    picks = table(spark, sf_dir, "events").where("event_id % 3 = 1").select((F.col("event_id") + 1).alias("frame_no"), (-F.col("event_id")).alias("ordinal"))
+    got = captures.read_export(captures.export_captures(frames, picks, parts=5))
+    return with_headers(got).select("frame_no", "ts_ns", "origlen", "sport")
+
+
+@query(
+    """
+WITH f AS (SELECT event_id AS e, event_id // 4 AS g, CASE WHEN event_id % 4 = 3 AND event_id // 4 % 5 = 0 THEN 0 ELSE 10 END AS n FROM events),
+s AS (SELECT e, g % 3 AS flow, n, 1000 + g * 24000044 + least(e % 4, 2) * 10 AS seq, g // 12 AS ack FROM f),
+t AS (SELECT *, max(seq + n) OVER w AS mx, lag(ack) OVER (PARTITION BY flow ORDER BY e) AS pa FROM s WINDOW w AS (PARTITION BY flow ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT e + 1 AS frame_no, coalesce(n > 0 AND (seq + n <= mx OR seq < mx), false) AS retransmission, coalesce(n > 0 AND seq > mx, false) AS out_of_order, coalesce(n = 0 AND pa = ack, false) AS dup_ack FROM t"""
+)
+def long_flow_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three flows of more than 5 GiB each, gone through in blocks of 100 frames."""
+    got = analytics.tcp_analysis(synth.long_flow_frames(table(spark, sf_dir, "events")), block=100)
+    return got.select("frame_no", "retransmission", "out_of_order", "dup_ack")
+
+
+@query(
+    EVENT_SQL
+    + """SELECT frame_no, CAST(CASE WHEN e % 14 > 0 THEN e % 100 END AS INTEGER) AS vlan_id, array_to_string(list_transform(range(0, e % 14), lambda i: i * 100 + e % 100), ',') AS stack, 4 AS ip_v, CAST(sport AS INTEGER) AS sport,
+  CAST(n AS INTEGER) AS pay_len FROM g"""
+)
+def vlan_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames behind 0 to 13 nested VLAN tags."""
+    got = with_headers(synth.tagged_frames(table(spark, sf_dir, "events")))
+    return got.select("frame_no", "vlan_id", F.array_join("vlan_stack", ",").alias("stack"), "ip_v", "sport", "pay_len")
+
+
+#: Documents' bytes, their segments, and which of them synth.lossy_text_frames() leaves out.
+_LOSSY_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, h, n, greatest(0, (n - 1) // 1400) AS last FROM d WHERE n > 0),
+lost AS (SELECT doc_id, n, last, i FROM (SELECT doc_id, n, last, unnest(range(last + 1)) AS i FROM s) WHERE (doc_id * 31 + i) % 17 = 13)
+"""
+
+
+@query(
+    _LOSSY_SQL
+    + """, f AS (SELECT s.doc_id, h, least(n, coalesce(1400 * (SELECT min(i) FROM lost WHERE lost.doc_id = s.doc_id), n)) AS bytes FROM s)
+SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, sha256(unhex(substr(h, 1, 2 * bytes))) AS digest FROM f WHERE bytes > 0"""
+)
+def lossy_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as TCP streams with lost segments: what comes before the first of them."""
+    got = reassembly.follow_stream(synth.lossy_text_frames(table(spark, sf_dir, "documents")))
+    key = F.conv(F.split_part("conv", F.lit("/"), F.lit(1)), 16, 10).cast("bigint") - 167772160
+    return got.where(F.length("client") > 0).select(key.alias("doc_id"), F.length("client").cast("bigint").alias("bytes"), F.sha2("client", 256).alias("digest"))
+
+
+@query(_LOSSY_SQL + "SELECT doc_id, CAST(1400 * i AS BIGINT) AS low, CAST(1400 * (i + 1) AS BIGINT) AS high FROM lost WHERE i < last")
+def missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of those streams."""
+    got = reassembly.missing_bytes(synth.lossy_text_frames(table(spark, sf_dir, "documents")))
+    key = F.conv(F.split_part("conv", F.lit("/"), F.lit(1)), 16, 10).cast("bigint") - 167772160
+    return got.select(key.alias("doc_id"), "low", "high")

@@ -1,24 +1,27 @@
 """Captures as Spark sources and sinks.
 
 Files are listed and read by Spark's own binary reader, so any store that Spark reaches will do, and become rows in
-Arrow batches, one task for a few files. `register(spark)` adds the data source "capture" for spark.read, for
-spark.write and as a stream's sink; read_capture_stream() follows a folder that capture files are dropped into.
+Arrow batches, one task for a few files; with `range_bytes`, large files are read in ranges by many tasks (sources.ranges). `register(spark)` adds
+the data source "capture" for spark.read, for spark.write and as a stream's sink; read_capture_stream() follows a folder that capture files are dropped into.
 """
 
 from __future__ import annotations
 
-import os
+import fnmatch
+import posixpath
 import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from framequarry.sources import formats
+from framequarry.shared import file_system, stored, work_dir
+from framequarry.sources import formats, ranges
 
 PACKETS = "file string, frame_no bigint, section int, interface_id bigint, linktype int, ts_ns bigint, ts timestamp, caplen bigint, origlen bigint, frame binary, comment string, custom boolean, pen bigint"
 BLOCKS = "file string, block_no bigint, block_type bigint, block_len bigint, body binary"
@@ -58,11 +61,22 @@ def packets_of(files: DataFrame, path_col: str = "path", content_col: str = "con
     return files.select(F.col(path_col).cast("string"), content_col).mapInArrow(run, PACKETS)
 
 
-def read_capture(spark: SparkSession, path: str | list[str], compat: bool = False) -> DataFrame:
-    """The packets of all capture files at a path (a file, a folder, a pattern), numbered within their file."""
+def read_capture(spark: SparkSession, path: str | list[str], compat: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """The packets of all capture files at a path (a file, a folder, a pattern), numbered within their file.
+
+    Without range_bytes a file is read whole by one task, from any store that Spark reaches, up to 2 GB. With it, files are indexed in
+    ranges of so many bytes and then read by a task for each range (two passes), whatever their size; scan_captures() reads a kept index.
+    """
+    if range_bytes:
+        return scan_captures(ranges.index_captures(spark, path, range_bytes), compat)
     return packets_of(spark.read.format("binaryFile").load(path), compat=compat)
 
 
+def scan_captures(index: DataFrame, compat: bool = False) -> DataFrame:
+    """The packets of an index of ranges (ranges.index_captures), or of those of its ranges that the caller leaves in."""
+    return ranges.scan(index, lambda file, packets: _batches(_row(file, p) for p in packets), PACKETS, compat)
+
+
 def capture_blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The blocks of next-generation captures, whatever their type."""
 
@@ -121,33 +135,91 @@ def merged(frames: DataFrame) -> DataFrame:
 # ---- writing --------------------------------------------------------------------------------------------
 
 
+#: What a written packet is made from, as far as frames have it.
+_WRITTEN = ("frame", "linktype", "ts_ns", "origlen", "comment", "interface_id")
+
+
+def _written(w: formats.Writer, v: dict) -> bytes:
+    linktype = v.get("linktype")  # 0 is one
+    return w.packet(bytes(v["frame"]), 1 if linktype is None else linktype, v.get("ts_ns") or 0, v.get("origlen"), v.get("comment"), v.get("interface_id") or 0)
+
+
 def capture_files(frames: DataFrame, order_by: str = "frame_no") -> DataFrame:
     """content: one whole capture for each partition of frames, its packets in order."""
-    have = frames.columns
-    cols = [c for c in ("frame", "linktype", "ts_ns", "origlen", "comment", "interface_id") if c in have]
-    src = frames.sortWithinPartitions(order_by).select(*cols)
+    src = frames.sortWithinPartitions(order_by).select(*(c for c in _WRITTEN if c in frames.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = formats.Writer()
         parts = [w.start()]
         for b in batches:
-            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                v = dict(zip(cols, values, strict=True))
-                if v["frame"] is not None:
-                    parts.append(w.packet(v["frame"], v.get("linktype") or 1, v.get("ts_ns") or 0, v.get("origlen"), v.get("comment"), v.get("interface_id") or 0))
+            parts += [_written(w, v) for v in b.to_pylist() if v["frame"] is not None]
         if len(parts) > 1:
             yield pa.RecordBatch.from_pydict({"content": pa.array([b"".join(parts)], pa.binary())})
 
     return src.mapInArrow(run, "content binary")
 
 
+MANIFEST = "part int, file string, first bigint, last bigint, n_frames bigint"
+
+
+def export_captures(frames: DataFrame, picks: DataFrame, folder: str | None = None, parts: int | None = None, pick_col: str = "frame_no") -> DataFrame:
+    """Writes the picked frames in the order in which `picks` lists them (its column `ordinal`, with `file` where both have it) and returns the manifest.
+
+    The list is dealt into ranges of ordinals; each becomes a capture with an interface table of its own, written by one task. The manifest, a
+    committed table, names the captures that count, in order: part, file, its first and last ordinal, its frames. Unknown picks
+    are skipped, a frame listed twice is written twice, equal ordinals follow frame numbers. read_export() reads it as one capture.
+    """
+    spark = frames.sparkSession
+    folder = folder or work_dir(spark, "export")
+    own = [c for c in ("file",) if c in frames.columns and c in picks.columns]
+    chosen = frames.join(picks.select(F.col(pick_col).alias("frame_no"), F.col("ordinal").cast("bigint").alias("ordinal"), *own), ["frame_no", *own])
+    cols = ["ordinal", *(c for c in _WRITTEN if c in frames.columns)]
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chosen.repartitionByRange(n, "ordinal").sortWithinPartitions("ordinal", "frame_no").select(*cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, w, frames_written, first, last, sink = TaskContext.get().partitionId(), formats.Writer(), 0, None, None, None
+        fs, base = file_system(folder)
+        name = f"part-{part:05d}-{uuid.uuid4().hex[:12]}.pcapng"  # of this attempt
+        for b in batches:
+            for v in b.to_pylist():
+                if sink is None:
+                    fs.create_dir(base, recursive=True)
+                    sink, first = fs.open_output_stream(f"{base}/{name}"), v["ordinal"]
+                    sink.write(w.start())
+                if v["frame"] is not None:
+                    sink.write(_written(w, v))
+                    frames_written += 1
+                last = v["ordinal"]
+        if sink is not None:
+            sink.close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64()), "n_frames": pa.array([frames_written], pa.int64())})
+
+    return stored(dealt.mapInArrow(run, MANIFEST), "manifest")
+
+
 def export_capture(frames: DataFrame, picks: DataFrame, pick_col: str = "frame_no") -> DataFrame:
-    """content of one capture with the picked frames in the order in which `picks` lists them (its column `ordinal`, with `file` where both have it); unknown picks are skipped."""
+    """content: one capture of the picked frames as a value, for lists that fit in one; export_captures() writes any list."""
     own = [c for c in ("file",) if c in frames.columns and c in picks.columns]
     chosen = frames.join(picks.select(F.col(pick_col).alias("frame_no"), "ordinal", *own), ["frame_no", *own])
     return capture_files(chosen.coalesce(1), "ordinal")
 
 
+def read_export(manifest: DataFrame) -> DataFrame:
+    """The packets of exported captures as one capture: numbered from 1 in the order of the manifest."""
+    before = F.coalesce(F.sum("n_frames").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from _batches((row[0], row[1] + r["before"], *row[2:]) for row in (_row(r["file"], p) for p in ranges.file_packets(r["file"])))
+
+    files = manifest.select("file", before.cast("bigint").alias("before"))
+    return files.repartition(max(1, manifest.count())).mapInArrow(run, PACKETS)
+
+
 def replace_packet(frames: DataFrame, n: int, frame: bytes, file: str | None = None) -> DataFrame:
     """frames with the bytes of the n-th packet (of a file, or of each) replaced."""
     hit = _nth(n, file)
@@ -187,17 +259,20 @@ class _Reader(DataSourceReader):
         self.path, self.compat = options.get("path", ""), options.get("compat", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-
-        top = self.path.removeprefix("file://")
-        if os.path.isdir(top):
-            return [_File(os.path.join(d, f)) for d, _, names in sorted(os.walk(top)) for f in sorted(names) if not f.startswith((".", "_"))]
-        return [_File(p) for p in sorted(glob.glob(top))]
+        fs, top = file_system(self.path.rstrip("/"))
+        where = top if "*" not in top else top[: top.index("*")].rpartition("/")[0]
+        info = fs.get_file_info(where)
+        if info.type == pafs.FileType.File:
+            return [_File(self.path)]
+        if info.type != pafs.FileType.Directory:
+            return []
+        files = [i.path for i in fs.get_file_info(pafs.FileSelector(where, recursive=True)) if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_"))]
+        scheme = self.path[: len(self.path.rstrip("/")) - len(top)]
+        return [_File(scheme + f) for f in sorted(files) if where == top or fnmatch.fnmatchcase(f, top)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        yield from _batches(_row(partition.path, p) for p in formats.packets(data, self.compat))
+        """A window of the file is held at a time, so its size does not matter."""
+        yield from _batches(_row(partition.path, p) for p in ranges.file_packets(partition.path, self.compat))
 
 
 class _Written(WriterCommitMessage):
@@ -209,44 +284,47 @@ class _Writer(DataSourceWriter):
     """A file for each task under a temporary name, renamed when the whole job commits."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"].rstrip("/")
         self.names = schema.names
         self.overwrite = overwrite
 
     def write(self, rows: Iterator) -> _Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        fs, top = file_system(self.path)
+        fs.create_dir(top, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.pcapng"
-        temporary = os.path.join(self.path, f".{name}.tmp")
+        temporary = posixpath.join(top, f".{name}.tmp")
         w = formats.Writer()
-        with open(temporary, "wb") as f:
+        with fs.open_output_stream(temporary) as f:
             f.write(w.start())
             for r in rows:
                 v = dict(zip(self.names, r, strict=True))
                 if v.get("frame") is not None:
-                    f.write(w.packet(bytes(v["frame"]), v.get("linktype") or 1, v.get("ts_ns") if v.get("ts_ns") is not None else time.time_ns(), v.get("origlen"), v.get("comment"), v.get("interface_id") or 0))
-        return _Written(temporary, os.path.join(self.path, name))
+                    f.write(_written(w, v if v.get("ts_ns") is not None else {**v, "ts_ns": time.time_ns()}))
+        return _Written(temporary, posixpath.join(top, name))
 
     def commit(self, messages: list) -> None:
+        fs, top = file_system(self.path)
         new = {m.final for m in messages if m}
         if self.overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith(".pcapng") and os.path.join(self.path, f) not in new:
-                    os.remove(os.path.join(self.path, f))
+            for i in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)):
+                if i.path.endswith(".pcapng") and i.path not in new:
+                    fs.delete_file(i.path)
         for m in messages:
             if m:
-                os.replace(m.temporary, m.final)
+                fs.move(m.temporary, m.final)
 
     def abort(self, messages: list) -> None:
+        fs, _ = file_system(self.path)
         for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m and fs.get_file_info(m.temporary).type == pafs.FileType.File:
+                fs.delete_file(m.temporary)
 
 
 class CaptureSource(DataSource):
-    """spark.read.format("capture").load(path); df.write.format("capture").mode(...).save(path). For shared file systems
-    that every executor mounts; read_capture() reads any store."""
+    """spark.read.format("capture").load(path); df.write.format("capture").mode(...).save(path). For stores that pyarrow's file
+    systems reach (local, HDFS, S3, GCS); read_capture() reads any store."""
 
     @classmethod
     def name(cls) -> str:

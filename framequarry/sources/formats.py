@@ -78,7 +78,7 @@ def options(body: bytes, order: str) -> list[tuple[int, bytes]]:
     return out
 
 
-def _interface(b: Block) -> Interface:
+def interface_of(b: Block) -> Interface:
     linktype, _, snaplen = struct.unpack_from(b.order + "HHI", b.body)
     i = Interface(linktype, snaplen)
     for code, v in options(b.body[8:], b.order):
@@ -93,6 +93,37 @@ def _comment(body: bytes, order: str) -> str | None:
     return next((v.decode("utf-8", "replace") for c, v in options(body, order) if c == OPT_COMMENT), None)
 
 
+def packet_of(b: Block, interfaces: list[Interface], number: int, compat: bool = False) -> Packet | None:
+    """The packet that a block holds, as number `number`; None for other blocks."""
+    if b.kind == EPB and len(b.body) >= 20:
+        iface, hi, lo, cap, orig = struct.unpack_from(b.order + "IIIII", b.body)
+        cap = min(cap, len(b.body) - 20)
+        frame, rest = b.body[20 : 20 + cap], b.body[20 + cap + -cap % 4 :]
+        comment = _comment(rest, b.order)
+    elif b.kind == PB and len(b.body) >= 20:
+        iface, _, hi, lo, cap, orig = struct.unpack_from(b.order + "HHIIII", b.body)
+        cap = min(cap, len(b.body) - 20)
+        frame, comment = b.body[20 : 20 + cap], _comment(b.body[20 + cap + -cap % 4 :], b.order)
+    elif b.kind == SPB and len(b.body) >= 4:
+        iface, hi, lo, comment = 0, 0, 0, None
+        orig = struct.unpack_from(b.order + "I", b.body)[0]
+        limit = interfaces[0].snaplen if interfaces and interfaces[0].snaplen else orig
+        frame = b.body[4 : 4 + min(orig, limit, len(b.body) - 4)]
+    elif b.kind in (CB, CB_NOCOPY) and len(b.body) >= 4:
+        return Packet(number, b.section, 0, 0xFFFF, 0, len(b.body) - 4, len(b.body) - 4, b.body[4:], None, True, struct.unpack_from(b.order + "I", b.body)[0])
+    else:
+        return None
+    i = interfaces[iface] if iface < len(interfaces) else Interface(1, 0)
+    ticks = hi << 32 | lo
+    per, add = (1_000_000, 0) if compat else (i.ticks, i.offset)
+    return Packet(number, b.section, iface, i.linktype, ticks * 1_000_000_000 // per + add * 1_000_000_000 if ticks else 0, len(frame), orig, frame, comment)
+
+
+def is_packet(kind: int, body: int) -> bool:
+    """Whether a block of a type and of so many bytes of body holds a packet."""
+    return kind in (EPB, PB) and body >= 20 or kind in (SPB, CB, CB_NOCOPY) and body >= 4
+
+
 def packets(data: bytes, compat: bool = False) -> Iterator[Packet]:
     """The packets of either format, numbered from 1. With compat, every timestamp is read as microseconds."""
     if data[:4] in MAGICS:
@@ -104,33 +135,12 @@ def packets(data: bytes, compat: bool = False) -> Iterator[Packet]:
         if b.section != section:
             section, interfaces = b.section, []
         if b.kind == IDB and len(b.body) >= 8:
-            interfaces.append(_interface(b))
+            interfaces.append(interface_of(b))
             continue
-        if b.kind == EPB and len(b.body) >= 20:
-            iface, hi, lo, cap, orig = struct.unpack_from(b.order + "IIIII", b.body)
-            cap = min(cap, len(b.body) - 20)
-            frame, rest = b.body[20 : 20 + cap], b.body[20 + cap + -cap % 4 :]
-            comment = _comment(rest, b.order)
-        elif b.kind == PB and len(b.body) >= 20:
-            iface, _, hi, lo, cap, orig = struct.unpack_from(b.order + "HHIIII", b.body)
-            cap = min(cap, len(b.body) - 20)
-            frame, comment = b.body[20 : 20 + cap], _comment(b.body[20 + cap + -cap % 4 :], b.order)
-        elif b.kind == SPB and len(b.body) >= 4:
-            iface, hi, lo, comment = 0, 0, 0, None
-            orig = struct.unpack_from(b.order + "I", b.body)[0]
-            limit = interfaces[0].snaplen if interfaces and interfaces[0].snaplen else orig
-            frame = b.body[4 : 4 + min(orig, limit, len(b.body) - 4)]
-        elif b.kind in (CB, CB_NOCOPY) and len(b.body) >= 4:
+        p = packet_of(b, interfaces, number + 1, compat)
+        if p is not None:
             number += 1
-            yield Packet(number, section, 0, 0xFFFF, 0, len(b.body) - 4, len(b.body) - 4, b.body[4:], None, True, struct.unpack_from(b.order + "I", b.body)[0])
-            continue
-        else:
-            continue
-        number += 1
-        i = interfaces[iface] if iface < len(interfaces) else Interface(1, 0)
-        ticks = hi << 32 | lo
-        per, add = (1_000_000, 0) if compat else (i.ticks, i.offset)
-        yield Packet(number, section, iface, i.linktype, ticks * 1_000_000_000 // per + add * 1_000_000_000 if ticks else 0, len(frame), orig, frame, comment)
+            yield p
 
 
 def _classic(data: bytes) -> Iterator[Packet]:

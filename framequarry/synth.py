@@ -188,3 +188,52 @@ def dns_frames(pages: DataFrame) -> DataFrame:
     dgram = F.concat(_x("d4310035"), to_bytes(F.length(message) + 8, 2), _x("0000"), message)
     rows = pages.select("page_id", F.lit(0).alias("part"), _ip_frame(F.lit(167772160) + F.col("page_id"), F.lit(134744072), 17, dgram, F.lit(7), F.lit(0)).alias("frame"))
     return _numbered(rows, "page_id", "part", 1)
+
+
+def tagged_frames(events: DataFrame) -> DataFrame:
+    """event_frames() behind event_id % 14 VLAN tags: the i-th has type 88A8 if i is even, else 8100, and the id 100 * i + event_id % 100."""
+    df = event_frames(events)
+    e = F.col("frame_no") - 1
+    tags = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.concat(F.when(i % 2 == 0, _x("88A8")).otherwise(_x("8100")), to_bytes(i * 100 + e % 100, 2)))
+    run = F.aggregate(F.slice(tags, F.lit(1), (e % 14).cast("int")), F.lit(b""), lambda a, t: F.concat(a, t))
+    frame = F.concat(F.substring("frame", 1, 12), run, F.substring("frame", 13, 1 << 30))
+    return df.withColumn("frame", frame).withColumns({"caplen": F.length("frame").cast("bigint"), "origlen": F.length("frame").cast("bigint")})
+
+
+def linked_frames(events: DataFrame) -> DataFrame:
+    """event_frames() from four interfaces by event_id % 4: Ethernet, raw IP, BSD loopback and Linux cooked, with times in nanoseconds."""
+    df = event_frames(events)
+    e = F.col("frame_no") - 1
+    kind = (e % 4).cast("int")
+    packet = F.substring("frame", 15, 1 << 30)
+    frame = F.when(kind == 0, F.col("frame")).when(kind == 1, packet).when(kind == 2, F.concat(_x("00000002"), packet)).otherwise(F.concat(_x("0000000100060200000000010000"), _x("0800"), packet))
+    linktype = F.element_at(F.array(*[F.lit(x) for x in (1, 101, 0, 113)]), kind + 1)
+    out = df.withColumns({"frame": frame, "linktype": linktype, "interface_id": (e % 4).cast("bigint"), "ts_ns": F.col("ts_ns") + e % 1000})
+    return out.withColumns({"caplen": F.length("frame").cast("bigint"), "origlen": F.length("frame").cast("bigint")})
+
+
+def long_flow_frames(events: DataFrame) -> DataFrame:
+    """A frame for every event in three TCP flows that soon carry more than 5 GiB.
+
+    With e = event_id and g = e // 4: flow g % 3, and four frames of ten bytes each: two that follow each other, the third after them, and the third again
+    (if g % 5 is 0, an ACK without data instead, whose number changes every twelve groups). Between groups 24,000,044 numbers are left out.
+    """
+    e = F.col("event_id")
+    g = F.floor(e / 4)
+    part = F.least(e % 4, F.lit(2))
+    bare = (e % 4 == 3) & (g % 5 == 0)
+    seq = F.lit(1000) + g * 24000044 + part * 10
+    l4 = F.concat(to_bytes(F.lit(40000) + g % 3, 2), to_bytes(F.lit(9), 2), to_bytes(seq, 4), to_bytes(F.floor(g / 12), 4), _x("5010200000000000"), F.when(bare, _x("")).otherwise(F.lit(b"0123456789")))
+    rows = spread(events.select("event_id")).select("event_id", F.lit(0).alias("part"), _ip_frame(F.lit(167772161), F.lit(3232235521), 6, l4, F.lit(1), F.lit(0)).alias("frame"))
+    return _numbered(rows, "event_id", "part", 1)
+
+
+def lossy_text_frames(docs: DataFrame, mss: int = 1400, every: int = 17) -> DataFrame:
+    """text_frames() without the segments i of document d for which 31 * d + i is 13 modulo `every`, and without second copies."""
+    stride = 1 << 20
+    kept = text_frames(docs, mss)
+    n = F.col("frame_no") - 1
+    doc, part = F.floor(n / stride), n % stride
+    place = F.floor((part - 1) / 3)  # swapped pairs go back to their segment
+    i = F.when(place % 4 == 2, place + 1).when(place % 4 == 3, place - 1).otherwise(place)
+    return kept.where((part == 0) | (((part - 1) % 3 == 0) & (F.pmod(doc * 31 + i, F.lit(every)) != 13)))
