@@ -1,8 +1,7 @@
-"""Files carried by HTTP and SMB2, out of followed streams."""
+"""Files carried by HTTP and SMB2, out of delivered bytes."""
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,14 +9,17 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framequarry.operators.headers import capture_columns
-from framequarry.operators.reassembly import follow_segments
+from framequarry.operators.messages import Done, HttpCarver, Part, SmbFramer, safe_name
+from framequarry.operators.reassembly import delivered_pieces, follow_segments
+from framequarry.shared import stored
 
 OBJECTS = "conv string, proto string, frame bigint, hostname string, content_type string, filename string, len bigint, complete boolean, data binary"
 
-#: Requests that a stream's responses are matched with.
-MOST_REQUESTS = 100_000
+#: Files of more bytes are no single value: their rows have no data; smb_parts() has all of it.
+LARGEST_VALUE = 1 << 30
 
 
 @dataclass
@@ -31,78 +33,6 @@ class Carved:
     complete: bool
 
 
-def header(head: bytes, name: str) -> str:
-    """A header's value, trimmed; names compare without case."""
-    m = re.search(rb"(?im)^" + re.escape(name.encode()) + rb"[ \t]*:[ \t]*(.*?)[ \t]*\r?$", head)
-    return m[1].decode("latin-1") if m else ""
-
-
-def safe_name(s: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]", "_", s)[:128]
-
-
-def dechunked(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """The body of chunks from `at`, where it ends with its trailers, and whether the last chunk was seen."""
-    out = bytearray()
-    while True:
-        line = data.find(b"\r\n", at)
-        m = re.match(rb"[0-9a-fA-F]+", data[at:line] if line >= 0 else b"")
-        if not m:
-            return bytes(out), at, False
-        n, at = int(m[0], 16), line + 2
-        if n == 0:
-            end = data.find(b"\r\n\r\n", at - 2)
-            return bytes(out), len(data) if end < 0 else end + 4, True
-        out += data[at : at + n]
-        if at + n > len(data):
-            return bytes(out), len(data), False
-        at += n + 2
-
-
-_START = re.compile(rb"HTTP/1\.[01] (\d{3})")
-_REQUEST = re.compile(rb"^([A-Z]{3,10}) (\S+) HTTP/1\.[01]\r?$", re.M)
-
-
-def http_objects(requests: bytes, responses: bytes, name: str) -> list[Carved]:
-    """Bodies of the responses in order; the i-th response answers the i-th request."""
-    asked = []
-    for m in _REQUEST.finditer(requests):
-        end = requests.find(b"\r\n\r\n", m.end())
-        head = requests[m.end() : len(requests) if end < 0 else end]
-        asked.append((m[1].decode(), m[2].decode("latin-1"), header(head, "Host")))
-        if len(asked) >= MOST_REQUESTS:
-            break
-    out, at, i = [], 0, 0
-    while m := _START.search(responses, at):
-        end = responses.find(b"\r\n\r\n", m.start())
-        if end < 0:
-            break
-        head, at = responses[m.start() : end], end + 4
-        method, uri, host = asked[i] if i < len(asked) else ("", "", "")
-        status = int(m[1])
-        if status >= 200:
-            i += 1
-        if method == "HEAD" or status < 200 or status in (204, 304):
-            continue
-        size = header(head, "Content-Length")
-        if "chunked" in header(head, "Transfer-Encoding").lower():
-            body, at, complete = dechunked(responses, at)
-        elif size.isdigit():
-            body = responses[at : at + int(size)]
-            complete = len(body) == int(size)
-            at += len(body)
-        else:
-            following = _START.search(responses, at)
-            stop = following.start() if following else len(responses)
-            body, complete, at = responses[at:stop], True, stop
-        if not body:
-            continue
-        given = re.search(r'filename="?([^";]+)', header(head, "Content-Disposition"))
-        base = uri.split("?")[0].rstrip("/").rsplit("/", 1)[-1]
-        out.append(Carved("HTTP", at, host, header(head, "Content-Type"), safe_name(given[1] if given else base or f"{host or 'object'}-{name}"), body, complete))
-    return out
-
-
 def _smb_messages(stream: bytes) -> Iterator[tuple[int, bytes]]:
     """(offset after it, message) of every SMB2 message in NetBIOS frames, compounds taken apart."""
     at = 0
@@ -154,53 +84,123 @@ def smb_objects(client: bytes, server: bytes) -> list[Carved]:
     return out
 
 
-def extract_objects(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
-    """OBJECTS: every file that a conversation carried; frame is the one that brought its last byte.
+def extract_objects(frames: DataFrame, hold: int | None = None, cap: int | None = None, protocols: tuple[str, ...] = ("HTTP", "SMB")) -> DataFrame:
+    """OBJECTS: every file that a conversation carried; frame is the one that brought its last byte. With a column file in frames, the objects have it too."""
+    found = [f for p, f in (("HTTP", lambda: http_files(frames, hold, cap)), ("SMB", lambda: smb_files(frames, cap))) if p in protocols]
+    out = found[0]()
+    for f in found[1:]:
+        out = out.unionByName(f())
+    return out
+
 
-    Segments arrive sorted by conversation, so one conversation at a time is in memory, `cap` bytes a direction. With a
-    column file in frames, the objects have it too.
-    """
+def http_files(frames: DataFrame, hold: int | None = None, cap: int | None = None) -> DataFrame:
+    """OBJECTS of HTTP responses. Segments arrive conversation by conversation; one body at a time is in memory."""
     seg = follow_segments(frames, hold, cap)  # its rows come conversation by conversation already
     own = capture_columns(seg)
-    schema = pa.schema([("conv", pa.string()), ("proto", pa.string()), ("frame", pa.int64()), ("hostname", pa.string()), ("content_type", pa.string()), ("filename", pa.string()), ("len", pa.int64()), ("complete", pa.bool_()), ("data", pa.binary())])
-
-    def carve(conv: str, parts: list[tuple[int, bool, bytes]]) -> list[tuple]:
-        halves = {up: b"".join(d for _, u, d in parts if u == up) for up in (True, False)}
-        marks: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
-        total = {True: 0, False: 0}
-        for no, up, d in parts:
-            total[up] += len(d)
-            marks[up].append((total[up], no))
-        back = not any(halves[False].startswith(p) for p in (b"HTTP/1.", b"\0")) and halves[True].startswith(b"HTTP/1.")
-        requests, responses = (halves[False], halves[True]) if back else (halves[True], halves[False])
-        side = back
-        found = http_objects(requests, responses, str(parts[0][0])) if responses.startswith(b"HTTP/1.") else smb_objects(requests, responses) if responses[4:8] == b"\xfeSMB" else []
-        out = []
-        for c in found:
-            no = next((n for end, n in marks[side] if end >= c.at), parts[-1][0])
-            out.append((conv, c.proto, no, c.hostname, c.content_type, c.filename, len(c.data), c.complete, c.data))
-        return out
+    schema = pa.schema([*((c, pa.string()) for c in own), ("conv", pa.string()), ("proto", pa.string()), ("frame", pa.int64()), ("hostname", pa.string()), ("content_type", pa.string()), ("filename", pa.string()), ("len", pa.int64()), ("complete", pa.bool_()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, parts = None, []
+        conv, carver, body = None, HttpCarver(), []
 
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = carve(conv[-1], parts) if parts else []
-            if rows:
-                columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([f] * len(rows), pa.string()) for f in conv[:-1]), *columns], names=[*own, *schema.names])
+        def rows(events: Iterator[Part | Done]) -> Iterator[pa.RecordBatch]:
+            for e in events:
+                if isinstance(e, Part):
+                    body.append(e.data)
+                else:
+                    row = (*conv, "HTTP", e.frame, e.hostname, e.content_type, e.filename, e.size, e.complete, b"".join(body))
+                    body.clear()
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
 
         for b in batches:
             for *k, no, _, up, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != conv:
-                    yield from done()
-                    conv, parts = k, []
-                parts.append((no, up, data))
-        yield from done()
+                    yield from rows(carver.finish())
+                    body.clear()
+                    conv, carver = k, HttpCarver()
+                yield from rows(carver.feed(up, no, data))
+        yield from rows(carver.finish())
 
     return seg.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), OBJECTS]))
 
 
+SMB_MESSAGES = "conv string, to_server boolean, stream int, n bigint, frame_no bigint, command int, status bigint, response boolean, message_id bigint, file_id binary, off bigint, size bigint, name string, data binary"
+
+
+def smb_messages(frames: DataFrame, cap: int | None = None) -> DataFrame:
+    """SMB_MESSAGES (and file, if frames has it): every CREATE and READ, asked or answered, n counting a direction's; a task keeps one unfinished frame."""
+    pieces = delivered_pieces(frames, cap)
+    own = capture_columns(pieces)
+    schema = pa.schema([*((c, pa.string()) for c in own), ("conv", pa.string()), ("to_server", pa.bool_()), ("stream", pa.int32()), ("n", pa.int64()), ("frame_no", pa.int64()), ("command", pa.int32()), ("status", pa.int64()), ("response", pa.bool_()), ("message_id", pa.int64()), ("file_id", pa.binary()), ("off", pa.int64()), ("size", pa.int64()), ("name", pa.string()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, framer, n = None, SmbFramer(), 0
+        for b in batches:
+            out = []
+            for *k, _, no, _, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if k != side:
+                    side, framer, n = k, SmbFramer(), 0
+                for m in framer.feed(data):
+                    out.append((*k, n, no, m.command, m.status, m.response, m.message_id, m.file_id, m.off, m.size, m.name, m.data))
+                    n += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return pieces.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), SMB_MESSAGES]))
+
+
+def _smb_reads(m: DataFrame, key: list[str]) -> DataFrame:
+    """key, file_id, off, n, frame_no, data: every answered READ, the first of each place of a file."""
+    ask, answer = ~F.col("response"), F.col("response") & (F.col("status") == 0)
+    asked = m.where((F.col("command") == 8) & ask).groupBy(*key, "message_id").agg(F.min_by(F.struct("file_id", "off"), "n").alias("q")).select(*key, "message_id", "q.file_id", "q.off")
+    answered = m.where((F.col("command") == 8) & answer & (F.length("data") > 0)).select(*key, "message_id", "n", "frame_no", "data")
+    places = answered.join(asked, [*key, "message_id"]).groupBy(*key, "file_id", "off").agg(F.min_by(F.struct("n", "frame_no", "data"), "n").alias("r"))
+    return places.select(*key, "file_id", "off", "r.n", "r.frame_no", "r.data")
+
+
+def _smb_keys(frames: DataFrame) -> list[str]:
+    return [*capture_columns(frames), "conv"]
+
+
+def smb_parts(frames: DataFrame, cap: int | None = None) -> DataFrame:
+    """file (if frames has it), conv, file_id, off, n, frame_no, data: the parts of files that were read, whatever their size."""
+    return _smb_reads(stored(_plain_file(smb_messages(frames, cap)), "smb"), _smb_keys(frames)).transform(_given_file)
+
+
+def _plain_file(df: DataFrame) -> DataFrame:
+    """A null file as a text, so that joins meet it."""
+    return df.withColumns({c: F.coalesce(F.concat(F.lit("/"), c), F.lit("")) for c in capture_columns(df)})
+
+
+def _given_file(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.when(F.col(c) != "", F.substring(c, 2, 1 << 30)) for c in capture_columns(df)})
+
+
+def smb_files(frames: DataFrame, cap: int | None = None) -> DataFrame:
+    """OBJECTS of SMB2 files that were read: CREATE gives a file's name, size and id, READ its parts, each question joined to its answer by message id.
+
+    Messages are rows, so a connection with any number of files is many tasks' work. Parts are put together in the order of their places,
+    what two of them have in common from the earlier one, holes as zeros; a file that nothing named is called by its id.
+    """
+    key = _smb_keys(frames)
+    m = stored(_plain_file(smb_messages(frames, cap)), "smb")  # read for questions and answers of both kinds
+    named = m.where((F.col("command") == 5) & ~F.col("response")).groupBy(*key, "message_id").agg(F.min_by("name", "n").alias("name"))
+    made = m.where((F.col("command") == 5) & F.col("response") & (F.col("status") == 0)).select(*key, "message_id", "n", "file_id", "size")
+    files = made.join(named, [*key, "message_id"]).groupBy(*key, "file_id").agg(F.min_by(F.struct("name", "size"), "n").alias("f")).select(*key, "file_id", "f.name", F.col("f.size").alias("eof"))
+    end = F.col("off") + F.length("data")
+    order = Window.partitionBy(*key, "file_id").orderBy("off").rowsBetween(Window.unboundedPreceding, -1)
+    parts = _smb_reads(m, key).withColumn("have", F.coalesce(F.max(end).over(order), F.lit(0).cast("bigint")))
+    hole = F.expr(f"cast(repeat(chr(0), cast(greatest(0, least(off - have, {LARGEST_VALUE})) as int)) as binary)")
+    rest = F.when(end > F.col("have"), F.substring("data", F.greatest(F.lit(1), F.col("have") - F.col("off") + 1).cast("int"), F.length("data"))).otherwise(F.lit(b""))
+    fits = F.max(end).over(Window.partitionBy(*key, "file_id")) <= LARGEST_VALUE
+    parts = parts.withColumn("piece", F.when(fits, F.concat(hole, rest)))
+    whole = parts.groupBy(*key, "file_id").agg(F.max(end).alias("len"), F.max("frame_no").alias("frame"), F.expr("listagg(piece) WITHIN GROUP (ORDER BY off)").alias("data"))
+    got = whole.join(files, [*key, "file_id"], "left")
+    name = F.regexp_replace(F.regexp_extract(F.coalesce("name", F.concat(F.lit("file-"), F.lower(F.substring(F.hex("file_id"), 1, 8)))), r"([^\\\\/]*)$", 1), "[^A-Za-z0-9._-]", "_")
+    nothing = F.lit("")
+    out = got.select(*key, F.lit("SMB").alias("proto"), "frame", nothing.alias("hostname"), F.lit("application/octet-stream").alias("content_type"), F.substring(name, 1, 128).alias("filename"), "len", F.coalesce((F.col("eof") > 0) & (F.col("len") >= F.col("eof")), F.lit(False)).alias("complete"), "data")
+    return _given_file(out)
+
+
 def smb_requests_answered(fields: DataFrame) -> DataFrame:
     """SMB2 requests and responses of dissected rows, joined on conversation and message id: conv, message_id, command, request_frame, response_frame."""
     mid = lambda d: F.get(F.filter(f"{d}.fields", lambda x: x["abbrev"] == "smb2.message_id"), F.lit(0))["u"]

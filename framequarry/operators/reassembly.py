@@ -224,8 +224,13 @@ def follow_segments(frames: DataFrame, hold: int | None = None, cap: int | None
     if hold is not None:
         return _held_segments(frames, hold, cap)
     own = capture_columns(frames)
-    pieces = _pieces(frames).sortWithinPartitions(*own, "conv", "to_server", "stream", "off")
-    return _delivered(pieces, own, cap).sortWithinPartitions(*own, "conv", "frame_no", "to_server", "stream", "off").select(*own, "conv", "frame_no", "ts_ns", "to_server", "data")
+    return delivered_pieces(frames, cap).sortWithinPartitions(*own, "conv", "frame_no", "to_server", "stream", "off").select(*own, "conv", "frame_no", "ts_ns", "to_server", "data")
+
+
+def delivered_pieces(frames: DataFrame, cap: int | None = None) -> DataFrame:
+    """file (if frames has it), conv, to_server, stream, off, frame_no, ts_ns, data: delivered bytes direction by direction, in the order of their offsets."""
+    own = capture_columns(frames)
+    return _delivered(_pieces(frames).sortWithinPartitions(*own, "conv", "to_server", "stream", "off"), own, cap)
 
 
 def _own_fields(own: list[str]) -> list[str]:
@@ -344,7 +349,7 @@ def follow_stream(frames: DataFrame, hold: int | None = None, cap: int | None =
     """
     own = capture_columns(frames)
     if hold is None:
-        seg, order = _delivered(_pieces(frames).sortWithinPartitions(*own, "conv", "to_server", "stream", "off"), own, cap), "struct(stream, off)"
+        seg, order = delivered_pieces(frames, cap), "struct(stream, off)"
     else:
         seg, order = _held_segments(frames, hold, cap), "frame_no"
     side = lambda up: F.expr(f"listagg(data) WITHIN GROUP (ORDER BY {order}) FILTER (WHERE {'to_server' if up else 'NOT to_server'})")

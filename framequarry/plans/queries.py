@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from framequarry import synth
 from framequarry.dissect import engine as dissect
 from framequarry.functions.bits import ip_text, printable_line
-from framequarry.operators import analytics, objects, reassembly, select, tcp_state
+from framequarry.operators import analytics, labels, objects, reassembly, select, tcp_state
 from framequarry.operators.headers import payload, verified, with_headers
 from framequarry.plans.filters import STATE_FLAGS, Aliases, compile_filter
 from framequarry.sources import captures
@@ -265,7 +265,7 @@ SELECT host AS hostname, 'text/html' AS content_type, substr(regexp_replace(CASE
 )
 def http_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages as HTTP responses, carved out of their connections."""
-    got = objects.extract_objects(synth.page_frames(table(spark, sf_dir, "pages")))
+    got = objects.http_files(synth.page_frames(table(spark, sf_dir, "pages")))
     return got.select("hostname", "content_type", "filename", "len", "complete", F.sha2("data", 256).alias("digest"))
 
 
@@ -431,3 +431,49 @@ def missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = reassembly.missing_bytes(synth.lossy_text_frames(table(spark, sf_dir, "documents")))
     key = F.conv(F.split_part("conv", F.lit("/"), F.lit(1)), 16, 10).cast("bigint") - 167772160
     return got.select(key.alias("doc_id"), "low", "high")
+
+
+# ---- rules and files by joins ------------------------------------------------------------------------------
+
+
+#: Prefixes for the clients of event_frames(), one of each order: length 16 to 32, somewhere in the first 20,000 addresses of 10.0.0.0.
+_PREFIX_SQL = """
+, p AS (SELECT o_orderkey AS no, CAST(16 + o_orderkey % 17 AS INTEGER) AS bits, (167772160 + o_orderkey * 7919 % 20000) >> (16 - o_orderkey % 17) AS net FROM orders),
+best AS (SELECT bits, net, min(no) AS no FROM p GROUP BY bits, net),
+a AS (SELECT DISTINCT src AS ip FROM g UNION SELECT DISTINCT dst FROM g),
+m AS (SELECT ip, arg_max(best.no, bits) AS no FROM (SELECT ip, unnest(range(16, 33)) AS b FROM a) JOIN best ON bits = b AND net = ip >> (32 - b) GROUP BY ip)
+"""
+
+
+@query(EVENT_SQL + _PREFIX_SQL + "SELECT frame_no, 'order ' || CAST(s.no AS VARCHAR) AS src_label, 'order ' || CAST(d.no AS VARCHAR) AS dst_label FROM g LEFT JOIN m s ON s.ip = src LEFT JOIN m d ON d.ip = dst")
+def longest_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix for every order, of lengths 16 to 32; each frame's addresses by the longest that holds them."""
+    o = F.col("o_orderkey")
+    address = F.lit(167772160) + o * 7919 % 20000
+    dotted = F.concat_ws(".", *[F.shiftright(address, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+    rules = table(spark, sf_dir, "orders").select(F.concat(dotted, F.lit("/"), (16 + o % 17).cast("string")).alias("cidr"), F.concat(F.lit("order "), o.cast("string")).alias("label"), o.alias("no"))
+    return labels.labelled_by_address(event_frames(spark, sf_dir), rules, order_col="no").select("frame_no", "src_label", "dst_label")
+
+
+@query(
+    EVENT_SQL
+    + """, places(o, n) AS (VALUES (0, 4), (1, 3), (2, 2), (0, 2)),
+r AS (SELECT DISTINCT o, n, substr(event_type, o + 1, n) AS sig, event_id % 2 AS odd FROM events, places WHERE event_type <> '' AND strlen(event_type) >= o + n AND event_id % 3 < 2),
+k AS (SELECT o, n, sig, CASE WHEN odd = 1 THEN 17 ELSE 0 END AS proto, CAST(n * 10 + o AS VARCHAR) || sig || CAST(odd AS VARCHAR) AS label FROM r)
+SELECT frame_no, min(label) AS label FROM g JOIN k ON g.n >= k.o + k.n AND substr(pay, k.o + 1, k.n) = sig AND (proto = 0 OR udp) GROUP BY frame_no"""
+)
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of pieces of the event types, every second one for UDP only; the first that a payload has."""
+    events = table(spark, sf_dir, "events").where("event_type <> '' AND event_id % 3 < 2")
+    places = F.array(*[F.struct(F.lit(o).alias("off"), F.lit(n).alias("n")) for o, n in ((0, 4), (1, 3), (2, 2), (0, 2))])
+    cut = events.select("event_type", (F.col("event_id") % 2).alias("odd"), F.explode(places).alias("p")).where(F.length("event_type") >= F.col("p.off") + F.col("p.n"))
+    sig = F.expr("substring(event_type, p.off + 1, p.n)")
+    rules = cut.select("p.off", sig.cast("binary").alias("bytes"), F.when(F.col("odd") == 1, 17).otherwise(0).alias("proto"), F.concat((F.col("p.n") * 10 + F.col("p.off")).cast("string"), sig, F.col("odd").cast("string")).alias("label")).distinct()
+    return labels.signature_labels(event_frames(spark, sf_dir), rules, order_col="label", proto_col="proto")
+
+
+@query("SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, CAST(strlen(text) AS BIGINT) AS len, true AS complete, sha256(text) AS digest FROM documents WHERE strlen(coalesce(text, '')) > 0")
+def smb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file read over one of two SMB2 connections, its parts from the last to the first."""
+    got = objects.smb_files(synth.smb_frames(table(spark, sf_dir, "documents")))
+    return got.select("filename", "len", "complete", F.sha2("data", 256).alias("digest"))

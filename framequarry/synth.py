@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from framequarry.functions.bits import to_bytes
 
@@ -237,3 +238,36 @@ def lossy_text_frames(docs: DataFrame, mss: int = 1400, every: int = 17) -> Data
     place = F.floor((part - 1) / 3)  # swapped pairs go back to their segment
     i = F.when(place % 4 == 2, place + 1).when(place % 4 == 3, place - 1).otherwise(place)
     return kept.where((part == 0) | (((part - 1) % 3 == 0) & (F.pmod(doc * 31 + i, F.lit(every)) != 13)))
+
+
+def smb_frames(docs: DataFrame, size: int = 1000, connections: int = 2) -> DataFrame:
+    """Documents as files read over SMB2, in connections by doc_id: CREATE and its answer, then READs of `size` bytes, the last one first, each with its answer.
+
+    The file of document d is docs\\\\doc-d.txt; its id is d in 16 bytes. A message is a segment; its place in the stream is a running sum over the connection.
+    """
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    d = docs.select("doc_id", body.alias("b")).where(F.length("b") > 0).withColumn("last", F.floor((F.length("b") - 1) / size))
+    each = d.select("doc_id", "b", "last", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("last"))).alias("i"))
+    le = lambda c, n: F.concat(*[to_bytes(F.shiftright(c.cast("bigint"), 8 * k), 1) for k in range(n)])
+    off = (F.col("last") - F.col("i")) * size  # the last part first
+    mid = F.col("doc_id") * 100000 + F.col("i") + 2
+    head = lambda command, answer: F.concat(_x("fe534d42" + "40000000" + "00000000" + f"0{command}00" + "0100" + f"0{int(answer)}000000" + "00000000"), le(mid, 8), _x("00" * 32))
+    name = F.encode(F.concat(F.lit("docs\\doc-"), F.col("doc_id").cast("string"), F.lit(".txt")), "UTF-16LE")
+    fid = F.concat(to_bytes(F.col("doc_id"), 7), _x("00" * 9))
+    zeros = lambda n: _x("00" * n)
+    create = F.concat(zeros(44), le(F.lit(64 + 56), 2), le(F.length(name), 2), zeros(8), name)
+    created = F.concat(zeros(48), le(F.length("b"), 8), zeros(8), fid, zeros(8))
+    piece = F.substring(F.col("b"), (off + 1).cast("int"), F.lit(size))
+    read = F.concat(zeros(8), le(off, 8), fid, zeros(16))
+    answer = F.concat(_x("11005000"), le(F.length(piece), 4), zeros(8), piece)
+    opening = F.col("i") < 0
+    both = each.select("doc_id", "i", F.explode(F.array(F.struct(F.lit(True).alias("up"), F.when(opening, F.concat(head(5, False), create)).otherwise(F.concat(head(8, False), read)).alias("m")), F.struct(F.lit(False).alias("up"), F.when(opening, F.concat(head(5, True), created)).otherwise(F.concat(head(8, True), answer)).alias("m")))).alias("x")).select("doc_id", "i", "x.*")
+    framed = both.withColumn("m", F.concat(_x("00"), to_bytes(F.length("m"), 3), F.col("m"))).withColumn("c", F.col("doc_id") % connections)
+    before = Window.partitionBy("c", "up").orderBy("doc_id", "i").rowsBetween(Window.unboundedPreceding, -1)
+    framed = framed.withColumn("seq", F.lit(1) + F.coalesce(F.sum(F.length("m")).over(before), F.lit(0).cast("bigint")))
+    client, server, up = F.lit(167772160) + F.col("c"), F.lit(3232235521), F.col("up")
+    port, smb = F.lit(50000), F.lit(445)
+    either = lambda a, b: F.when(up, a).otherwise(b)
+    frame = _tcp_ip(either(client, server), either(server, client), either(port, smb), either(smb, port), F.col("seq"), F.lit(1), "18", F.col("m"))
+    rows = framed.select("doc_id", ((F.col("i") + 1) * 2 + F.when(up, 0).otherwise(1)).alias("part"), frame.alias("frame"))
+    return _numbered(rows, "doc_id", "part", 1 << 20)
