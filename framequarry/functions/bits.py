@@ -80,13 +80,26 @@ def ipv4_bytes(text: str) -> bytes:
 
 
 def ones_complement_sum(b: Column | str) -> Column:
-    """The folded 16-bit ones-complement sum of the bytes (an odd last byte counts as its high half)."""
+    """The folded 16-bit ones-complement sum of the bytes (an odd last byte counts as its high half).
+
+    That sum is the bytes as one number, modulo 65535, so three words are added at once. The bytes' hex digits are bound to a name: inside an
+    aggregate an expression is worked out again at every step.
+    """
     b = _col(b)
-    padded = F.when(F.length(b) % 2 == 1, F.concat(b, F.unhex(F.lit("00")))).otherwise(b)
-    words = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 1), F.lit(2))
-    total = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, i: acc + F.coalesce(hex_number(F.hex(padded.substr(i, F.lit(2)))), F.lit(0).cast("bigint")))
-    fold = lambda s: s.bitwiseAND(F.lit(0xFFFF)) + F.shiftright(s, 16)
-    return F.when(F.length(b) == 0, F.lit(0).cast("bigint")).otherwise(fold(fold(fold(total))))
+    zero = F.lit(0).cast("bigint")
+    digits = F.concat(F.hex(b), F.when(F.length(b) % 2 == 1, "00").otherwise(""))
+
+    def step(total: Column, word: Column) -> Column:
+        s = total + word
+        return F.when(s >= 1 << 61, s % 0xFFFF + 0xFFFF).otherwise(s)
+
+    def summed(h: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(h)), F.lit(12))
+        return F.aggregate(places, zero, lambda total, i: step(total, F.coalesce(hex_number(F.substring(h, i, F.lit(12))), zero)))
+
+    total = F.get(F.transform(F.array(digits), summed), F.lit(0))
+    folded = F.transform(F.array(total), lambda t: F.when((t % 0xFFFF == 0) & (t > 0), F.lit(0xFFFF).cast("bigint")).otherwise(t % 0xFFFF))
+    return F.when(b.isNotNull(), F.get(folded, F.lit(0)))
 
 
 def checksum_of(b: Column | str) -> Column:

@@ -198,7 +198,7 @@ class HalfStream:
         return fresh
 
 
-def _stream_rows(frames: DataFrame) -> DataFrame:
+def stream_rows(frames: DataFrame) -> DataFrame:
     df = _ready(frames).where(F.col("sport").isNotNull()).withColumn("k", conversation_key())
     return df.select(
         *capture_columns(df),
@@ -238,7 +238,7 @@ def _own_fields(own: list[str]) -> list[str]:
 
 
 def _by_conversation(frames: DataFrame) -> tuple[DataFrame, list[str]]:
-    rows = _stream_rows(frames)
+    rows = stream_rows(frames)
     own = capture_columns(rows)
     return rows.repartition(*own, "conv").sortWithinPartitions(*own, "conv", "frame_no"), own
 

@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,8 @@ from framequarry.operators import analytics
 from framequarry.operators.headers import with_headers
 from framequarry.operators.tcp_state import stateful_analysis
 from framequarry.plans.filters import compile_filter
-from framequarry.sources import captures
+from framequarry.shared import file_system
+from framequarry.sources import captures, tail
 
 
 def io_graph_stream(frames: DataFrame, series: dict[str, str], width: str = "1 second", late: str = "10 seconds", ts_col: str = "ts") -> DataFrame:
@@ -117,27 +119,58 @@ def defragment_stream(frames: DataFrame, idle: str = "30 seconds") -> DataFrame:
     return rows.groupBy("k").applyInPandasWithState(run, "frame_no bigint, packet binary", "head binary, end bigint, offs string, bodies string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def capture_loop(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], expr: str = "", count: int | None = None, snaplen: int = 0, checkpoint: str | None = None):
+class _Passed:
+    """How many frames each batch of a loop has passed, in the folder of its checkpoint, or in memory where there is none."""
+
+    def __init__(self, checkpoint: str | None):
+        self.counts: dict[int, int] = {}
+        self.fs, self.folder = file_system(f"{checkpoint.rstrip('/')}/passed") if checkpoint else (None, "")
+        if self.fs is not None:
+            self.fs.create_dir(self.folder, recursive=True)
+            for i in self.fs.get_file_info(pafs.FileSelector(self.folder)):
+                batch, _, n = i.base_name.partition("-")
+                if batch.isdigit() and n.isdigit():
+                    self.counts[int(batch)] = int(n)
+
+    def before(self, batch: int) -> int:
+        """A batch that comes again after a failure does not count twice."""
+        return sum(n for b, n in self.counts.items() if b < batch)
+
+    def add(self, batch: int, n: int) -> None:
+        self.counts[batch] = n
+        if self.fs is not None:
+            with self.fs.open_output_stream(f"{self.folder}/{batch}-{n}"):
+                pass
+
+
+def capture_loop(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], None], expr: str = "", count: int | None = None, snaplen: int = 0, checkpoint: str | None = None, growing: bool = False):
     """Follows a folder of capture files: each batch of frames that the filter passes goes to handle(frames, batch number).
 
     Returns the query; query.stop() breaks the loop. With count, the loop ends by itself once so many frames have passed:
-    the batch that reaches it is the last to be handled, and the query stops when it is done.
+    the batch that reaches it is the last to be handled, and the query stops when it is done. With a checkpoint, frames that passed before
+    a restart count. With `growing`, files may still be written to, and each frame comes once it is whole (sources.tail).
     """
-    frames = captures.snapped(captures.read_capture_stream(spark, folder), snaplen)
+    if growing:
+        tail.register(spark)
+        source = spark.readStream.format("capture_tail").load(folder)
+    else:
+        source = captures.read_capture_stream(spark, folder)
+    frames = captures.snapped(source, snaplen)
     passed = filter_stream(frames, expr) if expr else frames
-    seen, enough = [0], threading.Event()
+    seen, enough = _Passed(checkpoint), threading.Event()
 
     def each(batch: DataFrame, n: int) -> None:
         if count is not None:
-            left = count - seen[0]
-            if left <= 0:
-                return
-            batch = batch.orderBy("file", "frame_no").limit(left).persist()
-            seen[0] += batch.count()
+            left = count - seen.before(n)
+            if left > 0:
+                batch = batch.orderBy("file", "frame_no").limit(left).persist()
+                handle(batch, n)
+                seen.add(n, batch.count())
+                batch.unpersist()
+            if left <= 0 or seen.before(n + 1) >= count:
+                enough.set()
+            return
         handle(batch, n)
-        batch.unpersist()
-        if count is not None and seen[0] >= count:
-            enough.set()
 
     def ended(query) -> None:
         enough.wait()
@@ -150,6 +183,8 @@ def capture_loop(spark: SparkSession, folder: str, handle: Callable[[DataFrame,
         w = w.option("checkpointLocation", checkpoint)
     query = w.start()
     if count is not None:
+        if seen.before(1 << 62) >= count:
+            enough.set()  # all have passed before a restart
         threading.Thread(target=ended, args=(query,), daemon=True).start()
     return query
 
