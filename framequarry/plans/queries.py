@@ -477,3 +477,62 @@ def smb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file read over one of two SMB2 connections, its parts from the last to the first."""
     got = objects.smb_files(synth.smb_frames(table(spark, sf_dir, "documents")))
     return got.select("filename", "len", "complete", F.sha2("data", 256).alias("digest"))
+
+
+# ---- other link types, versions and dialects -----------------------------------------------------------------
+
+_SIX_SQL = "WITH g AS (SELECT event_id AS e, event_id + 1 AS frame_no, user_id AS u, event_id % 7 = 3 AS udp, event_type AS pay, strlen(event_type) AS n FROM events)\n"
+
+
+def _six_query(name: str, expr: str, where: str, dialect: str = "display") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return select.display_filter(synth.six_frames(table(spark, sf_dir, "events")), expr, dialect).select("frame_no")
+
+    QUERIES[name] = run
+    ORACLES[name] = _SIX_SQL + f"SELECT frame_no FROM g WHERE {where}"
+
+
+_six_query("six_address", "ipv6.src == 2001:db8::7f and tcp", "NOT udp AND u = 127")
+_six_query("six_prefix", "ipv6.src == 2001:db8::/122 or ipv6.dst == 2001:db8:1::8/125", "u < 64 OR 1 + u % 16 BETWEEN 8 AND 15")
+_six_query("six_hops_and_port", "ip6[7] == 63 and udp.dstport == 443", "e % 3 = 1 AND udp", "capture")
+_filter_query("filter_slice_and_mask", "tcp[13] & 0x18 == 0x18 and ip[8] & 0x3 == 0x2", "NOT udp AND pay <> '' AND ttl & 3 = 2", "capture")
+
+
+@query(_SIX_SQL + "SELECT frame_no, 6 AS ip_v, lpad(lower(hex(u)), 8, '0') AS tail, CAST(64 - e % 3 AS INTEGER) AS ip_ttl, CAST(1024 + u % 50000 AS INTEGER) AS sport, CAST(n AS INTEGER) AS pay_len, pay FROM g")
+def six_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = with_headers(synth.six_frames(table(spark, sf_dir, "events")))
+    return got.select("frame_no", "ip_v", F.lower(F.substring(F.hex("ip_src"), 25, 8)).alias("tail"), "ip_ttl", "sport", "pay_len", F.decode(payload(), "UTF-8").alias("pay"))
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS k, '10.1.' || CAST(s_suppkey // 256 AS VARCHAR) || '.' || CAST(s_suppkey % 256 AS VARCHAR) AS a FROM supplier)
+SELECT k * 2 + 1 AS frame_no, '10.1.0.0' AS src, a AS dst, 'ARP' AS proto, 'Who has ' || a || '? Tell 10.1.0.0' AS info FROM k
+UNION ALL SELECT k * 2 + 2, a, '10.1.0.0', 'ARP', a || ' is at ' || '0200' || lpad(lower(hex(k)), 8, '0') FROM k WHERE k % 2 = 0"""
+)
+def arp_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.summaries(synth.arp_frames(table(spark, sf_dir, "supplier"))).select("frame_no", "src", "dst", "proto", "info")
+
+
+@query(EVENT_SQL + "SELECT frame_no, CAST(CASE e % 4 WHEN 0 THEN 1 WHEN 1 THEN 101 WHEN 2 THEN 0 ELSE 113 END AS INTEGER) AS linktype, 4 AS ip_v, CAST(ttl AS INTEGER) AS ip_ttl, CAST(dport AS INTEGER) AS dport, pay AS line FROM g")
+def link_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ethernet, raw IP, BSD loopback and Linux cooked frames."""
+    got = with_headers(synth.linked_frames(table(spark, sf_dir, "events")))
+    return got.select("frame_no", "linktype", "ip_v", "ip_ttl", "dport", printable_line(payload()).alias("line"))
+
+
+@query(
+    EVENT_SQL
+    + """SELECT 'file-' || CAST(frame_no % 6 AS VARCHAR) AS file, row_number() OVER (PARTITION BY frame_no % 6 ORDER BY frame_no) AS frame_no,
+  CAST(epoch_us(ts) * 1000 AS BIGINT) AS ts_ns, CAST(flen AS BIGINT) AS origlen, CAST(sport AS INTEGER) AS sport FROM g"""
+)
+def classic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classic capture files of both byte orders, in microseconds and nanoseconds."""
+    files = synth.classic_captures(event_frames(spark, sf_dir))
+    return with_headers(captures.packets_of(files)).select("file", "frame_no", "ts_ns", "origlen", "sport")
+
+
+@query(EVENT_SQL + "SELECT frame_no FROM g WHERE (e % 10 > 6 OR u % 100 = 33) AND NOT udp")
+def provider_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a caller's own fields: one a column, one a text looked up by name."""
+    providers = {"my.weight": (F.col("frame_no") - 1) % 10, "my.name": F.concat(F.lit("user-"), (F.conv(F.substring(F.hex(F.least("ip_src", "ip_dst")), 1, 8), 16, 10).cast("bigint") - 167772160) % 100)}
+    return select.display_filter(event_frames(spark, sf_dir), '(my.weight > 6 or upper(my.name) == "USER-33") and tcp', "capture", providers=providers).select("frame_no")

@@ -271,3 +271,45 @@ def smb_frames(docs: DataFrame, size: int = 1000, connections: int = 2) -> DataF
     frame = _tcp_ip(either(client, server), either(server, client), either(port, smb), either(smb, port), F.col("seq"), F.lit(1), "18", F.col("m"))
     rows = framed.select("doc_id", ((F.col("i") + 1) * 2 + F.when(up, 0).otherwise(1)).alias("part"), frame.alias("frame"))
     return _numbered(rows, "doc_id", "part", 1 << 20)
+
+
+def six_frames(events: DataFrame) -> DataFrame:
+    """IPv6 frames of events: TCP, or UDP if event_id % 7 is 3, from 2001:db8::u (u = user_id) to 2001:db8:1::(1 + u % 16); the payload is the event type."""
+    e, u = F.col("event_id"), F.col("user_id")
+    udp = e % 7 == 3
+    pay = F.col("event_type").cast("binary")
+    ports = F.concat(to_bytes(F.lit(1024) + u % 50000, 2), to_bytes(F.lit(443), 2))
+    l4 = F.when(udp, F.concat(ports, to_bytes(F.length(pay) + 8, 2), _x("0000"), pay)).otherwise(F.concat(ports, to_bytes(e + 1, 4), to_bytes(F.lit(1), 4), _x("5018200000000000"), pay))
+    head = F.concat(_x("60000000"), to_bytes(F.length("l4"), 2), F.when(F.col("udp"), _x("11")).otherwise(_x("06")), to_bytes(F.lit(64) - F.col("event_id") % 3, 1))
+    source = F.concat(_x("20010db8" + "00" * 8), to_bytes(F.col("user_id"), 4))
+    target = F.concat(_x("20010db80001" + "00" * 6), to_bytes(F.lit(1) + F.col("user_id") % 16, 4))
+    rows = spread(events.select("event_id", "user_id", "event_type")).select("event_id", "user_id", udp.alias("udp"), l4.alias("l4"))
+    frame = F.concat(_x("020000000001020000000002"), _x("86dd"), head, source, target, "l4")
+    return _numbered(rows.select("event_id", F.lit(0).alias("part"), frame.alias("frame")), "event_id", "part", 1)
+
+
+def arp_frames(suppliers: DataFrame) -> DataFrame:
+    """Who has 10.1.0.0 + k? of every supplier k, and for even ones its answer."""
+    k = F.col("s_suppkey")
+    mac, ask = F.concat(_x("0200"), to_bytes(k, 4)), F.lit(167837696) + k
+    own = F.concat(_x("020000000000"), to_bytes(F.lit(167837696), 4))
+    body = lambda op, a, b: F.concat(_x("00010800060400" + f"{op:02x}"), a, b)
+    question = F.concat(_x("ffffffffffff020000000000" + "0806"), body(1, own, F.concat(_x("00" * 6), to_bytes(ask, 4))))
+    answer = F.concat(_x("020000000000"), mac, _x("0806"), body(2, F.concat(mac, to_bytes(ask, 4)), own))
+    rows = suppliers.select("s_suppkey", F.explode(F.when(k % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part"))
+    return _numbered(rows.withColumn("frame", F.when(F.col("part") == 0, question).otherwise(answer)), "s_suppkey", "part", 2)
+
+
+def classic_captures(frames: DataFrame, files: int = 6) -> DataFrame:
+    """path, content: frames in classic capture files by frame_no % files, in turn little-endian, big-endian, and big-endian with nanoseconds."""
+    kind = F.col("k") % 3
+    word = lambda c: F.when(kind == 0, F.concat(*[to_bytes(F.shiftright(c, 8 * i), 1) for i in range(4)])).otherwise(to_bytes(c, 4))
+    half = lambda c: F.when(kind == 0, F.concat(*[to_bytes(F.shiftright(c, 8 * i), 1) for i in range(2)])).otherwise(to_bytes(c, 2))
+    sub = F.pmod(F.col("ts_ns"), F.lit(1_000_000_000))
+    df = frames.withColumn("k", F.col("frame_no") % files)
+    record = F.concat(word(F.floor(F.col("ts_ns") / 1_000_000_000)), word(F.when(kind == 2, sub).otherwise(F.floor(sub / 1000))), word(F.length("frame").cast("bigint")), word(F.col("origlen")), "frame")
+    whole = df.select("k", "frame_no", record.alias("r")).groupBy("k").agg(F.expr("listagg(r) WITHIN GROUP (ORDER BY frame_no)").alias("body"))
+    magic = F.when(kind == 0, _x("d4c3b2a1")).when(kind == 1, _x("a1b2c3d4")).otherwise(_x("a1b23c4d"))
+    long = lambda n: F.lit(n).cast("bigint")
+    head = F.concat(magic, half(long(2)), half(long(4)), word(long(0)), word(long(0)), word(long(65535)), word(long(1)))
+    return whole.select(F.concat(F.lit("file-"), F.col("k").cast("string")).alias("path"), F.concat(head, "body").alias("content"))
