@@ -1,17 +1,17 @@
 """Main-text extraction from HTML by tag path ratios.
 
-Every text node has a root-to-leaf tag path. Per path, text length and punctuation are summed over its nodes;
+Every text node has a root-to-leaf tag path, of the blocks it stands in. Per path, text length and punctuation are summed over its nodes;
 a path's ratios are those sums over its number of nodes, and its score their product, widened by how much
 the lengths and punctuation counts of its nodes vary (running prose varies, menus do not). Scores are smoothed
 along the page with a Gaussian, so a short paragraph amid long ones keeps their score; the fused score of a node
 is the geometric mean of its own and its smoothed score. Nodes whose fused score reaches SHARE of the page's mean,
 weighted by length, are content, wherever on the page they stand.
 
-Markup only lowers scores: of parts whose tag, class, id or role names them as something else (unless they hold most of
-the page's prose, as a form or a wrapper with a telling name may), and of what stands outside of article and main
-elements that hold most of it. Navigation, scripts, styles and form controls are no text of an article at all.
-Headings and short blocks that stand between content, or in the element that holds nearly all of it, go with it, unless
-they were lowered; three links in a row as list items are a menu even there.
+Markup only lowers scores, and no node is kept or left for its name alone: those of parts whose tag, class, id or role names them as something else (unless they hold most of
+the page's prose, as a form or a wrapper with a telling name may; much less within an article), and of what stands outside of article and main
+elements that hold most of it. A name counts if all of its words are of parts of pages (`share-box`, not `share-price`). Navigation, scripts, styles and form controls are no text of an article at all.
+Headings go with the content right below them, and blocks whose score is too low with the content on both sides, if they are no longer than that
+and were not lowered; three links in a row as list items are a menu even there.
 
 A null or empty page, or one without content, gives an empty text. Every row gives one row; repeated
 rows repeat; a table without rows gives none. Columns other than the id, the url and the page are not read, whatever their
@@ -48,19 +48,21 @@ _NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner navigation nav navbar navbox menu breadcrumb breadcrumbs header masthead footer colophon contentinfo sidebar complementary aside related recommended share sharing social cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register search searchbox form widget pagination pager toolbar toc copyright legal disclaimer hidden skip".split()
 )
 _COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus feedback".split())
+#: Words that say where or how a part stands, not what it is about.
+_PLACES = frozenset("box area section block wrap wrapper container inner outer list item items links link posts post bar top bottom left right main site page content body text header title head row col column panel group thread user reader readers users form module region zone slot unit buttons button icons icon small large global primary secondary first last inline container fluid id js".split())
 #: First and last words that make a name tell of a page's state or layout instead of a part (`has-sidebar`, `search-page`).
 _BEFORE = frozenset("has no with without not is can".split())
 _AFTER = frozenset("fixed mode page layout width free ready enabled disabled open active".split())
+_PARTS = _NAMED | _COMMENTS | _PLACES
 _MAIN = frozenset(["article", "main"])
 _ROOTS = frozenset(["", "html", "body"])
-#: Elements that can hold a whole article.
-_HOLDERS = _MAIN | frozenset("div section form table tbody tr td center".split())
-
+#: Up to a tag's end; a quote begins a value only right after an equals sign.
+_ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
 _RAW = "script|style|noscript|template|svg|iframe|textarea|title"
 _TOKEN = re.compile(
     rf"<!--(?s:.*?)(?:-->|\Z)"
-    rf"|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<raw>{_RAW})\b{_ATTRIBUTES}>(?s:.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{_ATTRIBUTES})>"
     rf"|</?[a-zA-Z!?][^>]*(?:>|\Z)",
     re.I,
 )
@@ -70,8 +72,9 @@ _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[,.;:!?，。；：！？、…]")
 
 #: How wide the smoothing is, in text nodes; the share of the page's mean score that content reaches; the share of the
-#: prose that protects a part from its name; the share of the content that its container holds; what lowered scores keep.
-RADIUS, SHARE, MOST, HOLDS, LOWERED, OUTSIDE = 2, 0.5, 0.5, 0.8, 0.1, 0.25
+#: prose that protects a part from its name; the share of the prose that articles hold where they count; what lowered scores
+#: keep: of parts by name, of those within an article, and of what stands outside of articles.
+RADIUS, SHARE, MOST, HOLDS, LOWERED, NAMED_INSIDE, OUTSIDE = 2, 0.66, 0.5, 0.8, 0.1, 0.85, 0.25
 
 
 def _names(attr: str) -> tuple[bool, bool, bool]:
@@ -84,7 +87,7 @@ def _names(attr: str) -> tuple[bool, bool, bool]:
         elif name in ("class", "id", "role"):
             for token in value.split():
                 words = [w.lower() for w in _WORDS.findall(token)]
-                if not words or words[0] in _BEFORE or words[-1] in _AFTER:
+                if not words or words[0] in _BEFORE or words[-1] in _AFTER or not _PARTS.issuperset(words):
                     continue
                 other |= not _NAMED.isdisjoint(words)
                 comments |= not _COMMENTS.isdisjoint(words)
@@ -144,17 +147,18 @@ class Page:
         flags = self.flags[up] & INHERITED
         hides, other, comments = _names(attr) if attr and tag not in _ROOTS else (False, False, False)
         flags |= LINK * (tag == "a") | ITEM * (tag == "li") | INSIDE * (tag in _MAIN) | NEVER * (tag in _NEVER)
-        flags |= NAMED * (hides or other or tag in _OTHER and not (tag == "header" and flags & INSIDE)) | COMMENTS * comments | HEADING * (tag in _HEADING)
+        flags |= NAMED * other | HIDDEN * (hides or tag in _OTHER and not (tag == "header" and flags & INSIDE)) | COMMENTS * comments | HEADING * (tag in _HEADING)
         self.tag.append(tag)
         self.parent.append(up)
-        self.path.append(self._paths.setdefault((self.path[up], tag), len(self._paths) + 1))
+        # bold words and links are of their block's path
+        self.path.append(self._paths.setdefault((self.path[up], tag), len(self._paths) + 1) if tag in _BLOCK else self.path[up])
         self.flags.append(flags)
         self._at.setdefault(tag, []).append(len(self._open))
         self._open.append(len(self.tag) - 1)
 
 
 #: Flags of elements; the first five hold for all that stands in them.
-LINK, ITEM, INSIDE, NEVER, HEADING, NAMED, COMMENTS = (1 << i for i in range(7))
+LINK, ITEM, INSIDE, NEVER, HEADING, NAMED, COMMENTS, HIDDEN = (1 << i for i in range(8))
 INHERITED = LINK | ITEM | INSIDE | NEVER | HEADING
 
 
@@ -181,21 +185,25 @@ def path_scores(page: Page, size: np.ndarray, marks: np.ndarray, of: np.ndarray)
     return np.sqrt(own * smooth)
 
 
+#: How much an element is lowered: by its name or tag, or as readers' comments and what is hidden.
+SOFT, HARD = 1, 2
+
+
 def _lowered(page: Page, prose: np.ndarray) -> np.ndarray:
-    """Elements that are, or stand in, something else by their name: those that hold less than MOST of the prose; comments also if prose is left beside them."""
+    """Of each element whether it is, or stands in, something else by its name: one that holds less than MOST of the prose, or stands beside the page's articles and title; comments also if prose is left beside them."""
     total = prose[0]
     main = np.array([t in _MAIN or t == "h1" for t in page.tag], float)
     for i in range(len(main) - 1, 0, -1):
         main[page.parent[i]] += main[i]
-    out = [False] * len(page.tag)
+    out = [0] * len(page.tag)
     for i in range(1, len(out)):
         f = page.flags[i]
         if out[page.parent[i]]:
-            out[i] = True
+            out[i] = out[page.parent[i]]
         elif f & COMMENTS and (prose[i] < MOST * total or prose[i] < total and main[i] <= (page.tag[i] in _MAIN)):
-            out[i] = True
-        elif f & NAMED:
-            out[i] = prose[i] < MOST * total or not total
+            out[i] = HARD
+        elif f & (NAMED | HIDDEN) and (prose[i] < MOST * total or not total or main[i] < main[0] and not main[i]):
+            out[i] = HARD if f & HIDDEN else SOFT
     return np.array(out)
 
 
@@ -210,66 +218,49 @@ def extract_main_text(page: str | None) -> str:
     plain = np.where(flags & (LINK | NEVER), 0, length)
     marks = np.array([len(_PUNCT.findall(s)) if n else 0 for (_, _, s), n in zip(p.nodes, plain.tolist(), strict=True)])
     lowered = _lowered(p, _sums(p, plain, of))[of]
-    prose = np.where(lowered, 0, plain)
-    fused = path_scores(p, prose, np.where(lowered, 0, marks), of)
-    fused[lowered] *= LOWERED
     inside = (flags & INSIDE) > 0
+    fused = path_scores(p, plain, marks, of)
+    factor = np.where(lowered == 0, 1.0, np.where((lowered == SOFT) & inside, NAMED_INSIDE, LOWERED))
+    prose = np.where(lowered > 0, 0, plain)
     if prose[inside].sum() >= HOLDS * prose.sum() > 0:
-        fused[~inside] *= OUTSIDE
-    if not prose.any():
+        factor[~inside & (lowered == 0)] *= OUTSIDE
+    fused *= factor
+    if not plain.any():
         return ""
-    content = (fused >= max(1e-9, SHARE * float((fused * prose).sum() / prose.sum()))) & (prose > 0)
-    core = _container(p, _sums(p, np.where(content, prose, 0), of), {b for (_, b, _), c in zip(p.nodes, content.tolist(), strict=True) if c})
-    in_core = [False] * len(p.tag)
-    for i in range(len(p.tag)):
-        in_core[i] = i == core and p.tag[i] not in _ROOTS or i > 0 and in_core[p.parent[i]]
-    return "\n".join(_blocks(p, of, flags, length, content, lowered | ((flags & NEVER) > 0), np.array(in_core)[of]))
-
-
-def _container(p: Page, held: np.ndarray, blocks: set[int]) -> int:
-    """The innermost element that holds nearly all content, and is more than a paragraph; an article or main element around it comes first."""
-    core, inner = 0, 0
-    for i in range(1, len(held)):  # an element comes after the one it stands in, so the last that holds so much is innermost
-        if held[i] >= HOLDS * held[0] and p.parent[i] == inner:
-            inner = i
-            if p.tag[i] in _HOLDERS:
-                core = i
-    if len(blocks) == 1 and p.tag[p.parent[core]] not in _ROOTS:  # one long block: what it stands in
-        core = max(0, p.parent[core])
-    e = core
-    while e > 0:
-        if p.tag[e] in _MAIN:
-            core = e
-        e = p.parent[e]
-    return core
-
-
-def _blocks(p: Page, of: np.ndarray, flags: np.ndarray, length: np.ndarray, content: np.ndarray, out: np.ndarray, in_core: np.ndarray) -> list[str]:
-    """The texts of the blocks with content, and of those that go with them."""
+    weigh = prose if prose.any() else plain
+    content = (fused >= max(1e-9, SHARE * float((fused * weigh).sum() / weigh.sum()))) & (plain > 0)
+    if not content.any():
+        return ""
+    return "\n".join(_blocks(p, of, flags, length, content, (flags & NEVER) > 0, lowered > 0))
+
+
+def _blocks(p: Page, of: np.ndarray, flags: np.ndarray, length: np.ndarray, content: np.ndarray, never: np.ndarray, lowered: np.ndarray) -> list[str]:
+    """The texts of the blocks that were selected, and of those that go with them."""
     block = np.array([b for _, b, _ in p.nodes])
     n = int(block.max()) + 1
     per = lambda w: np.bincount(block, w, minlength=n)
     link = (flags & LINK) > 0
-    plain, linked = per(np.where(out | link, 0, length)), per(np.where(out | ~link, 0, length))
-    chosen, core = per(content) > 0, per(in_core & ~out) > 0
-    heading = per(np.array([(f & HEADING) > 0 for f in p.flags])[of] & ~out) > 0
-    kept = np.flatnonzero(chosen)
-    first, last = int(kept[0]), int(kept[-1])
-    between = (np.arange(n) > first) & (np.arange(n) < last) & (plain > 0)
-    keep = chosen | core | between
-    there = np.flatnonzero(plain + linked > 0)
-    i = int(np.searchsorted(there, first)) - 1
-    while i >= 0 and heading[there[i]]:  # headings right above
-        keep[there[i]] = True
-        i -= 1
-    item = per(((flags & ITEM) > 0) & ~out) > 0
-    run: list[int] = []
-    for b in there.tolist():  # menus
+    plain, linked = per(np.where(never | link, 0, length)), per(np.where(never | ~link, 0, length))
+    keep = per(content) > 0
+    low = per(lowered & ~content & ~never & (length > 0)) > 0
+    heading = per(np.array([(f & HEADING) > 0 for f in p.flags])[of] & ~never) > 0
+    there = np.flatnonzero(plain + linked > 0).tolist()
+    chosen = [i for i, b in enumerate(there) if keep[b]]
+    for i, j in zip(chosen[:-1], chosen[1:], strict=True):  # what stands between two selected blocks
+        run = there[i + 1 : j]
+        if run and not any(low[b] for b in run) and plain[run].sum() + linked[run].sum() <= plain[there[i]] + plain[there[j]]:
+            keep[[b for b in run if plain[b]]] = True
+    for i in reversed(range(len(there) - 1)):  # headings right above
+        if heading[there[i]] and keep[there[i + 1]] and not low[there[i]]:
+            keep[there[i]] = True
+    item = per(((flags & ITEM) > 0) & ~never) > 0
+    run = []
+    for b in there:  # menus
         run = [*run, b] if item[b] and not plain[b] else []
         if len(run) >= 3:
             keep[run[-3:]] = False
     parts: dict[int, list[str]] = {}
-    for (_, b, s), no in zip(p.nodes, out.tolist(), strict=True):
+    for (_, b, s), no in zip(p.nodes, never.tolist(), strict=True):
         if keep[b] and not no:
             parts.setdefault(b, []).append(s)
     texts = (_SPACE.sub(" ", "".join(x)).strip() for _, x in sorted(parts.items()))
