@@ -6,10 +6,12 @@ highest order (how many different bytes a string follows). The lowest two orders
 are taken over every document of the corpus, labelled or not. Rare expressions, such as a stem under an ending never
 seen, back off to the counts of their parts, and where neither class knows better, both back off to the same
 shared counts and the difference is nil. A text's log-likelihoods under both models are compared, normalised by its
-length, and a logistic curve fitted on rows that the models have not counted turns the difference into a probability.
+length, and a logistic curve turns the differences into a probability. It is fitted on a quarter of the rows, by models that have not counted those;
+the models that score have counted all.
 
-Two normalisations enter the curve: the difference per byte, and per square root of bytes (its size in units of the
-chance spread, which stays comparable from short to long texts).
+Enter the curve: the difference per byte; per square root of bytes (its size in units of the chance spread, which stays
+comparable from short to long texts); and those of the words (runs of letters, digits and anything beyond ASCII), as a few words may say it all: the largest word's, and
+the mean of the three largest, beside the logarithm of how many words there are, since more words have larger ones by chance.
 
 Null and empty texts have the difference 0, and the score of a text nothing is known about. Rows are scored one by
 one; repeated rows repeat. Labels that are null, or whose id no document has, are not used; a label row and a document
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD as _FOLD, HashIndex, _U, arrow_map, drop, stash, text_slices
+from .common import ALNUM, FOLD as _FOLD, HashIndex, _U, arrow_map, drop, stash, text_slices, word_spans
 from .ppm import _grams
 
 #: The discount of every count.
 DISCOUNT = 0.75
+#: How many of the largest words count, and columns that enter the curve.
+TOP, N_FEATURES = 3, 6
 #: Bytes of a long text that are worked on at once, and of a bitmap as Spark's bitmap functions have them.
 BLOCK, _BITMAP = 1 << 20, 4096
 
@@ -141,7 +145,35 @@ class Model:
                 self.levels[-1][2][at[at >= 0]] = ratio[at >= 0]
             below = HashIndex(k)
             self.levels.append((below, (np.log(P[:, 1]) - np.log(P[:, 0])).astype(np.float32), np.zeros(len(k), np.float32)))
-        self.curve = np.zeros(3)
+        self.curve = np.zeros(N_FEATURES)
+
+    def features(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """What enters the curve, a row for each text."""
+        n = len(offs) - 1
+        total, words, top = np.zeros(n), np.zeros(n), np.full((n, TOP), -np.inf)
+        long = n == 1 and len(buf) > BLOCK
+        at = 0
+        while at < len(buf):  # one long text in blocks that end between words, with what precedes a block as history
+            end = _between_words(buf, at, at + BLOCK) if long else len(buf)
+            lead = min(at, self.order - 1)
+            own = np.array([0, end - at + lead]) if long else offs
+            r = self._ratios(buf[at - lead : end] if long else buf, own)
+            r[:lead] = 0
+            sums = np.r_[0.0, np.cumsum(r)]
+            total += sums[own[1:]] - sums[own[:-1]]
+            start, stop, row = word_spans(buf[at:end], np.array([0, end - at]) if long else offs, ALNUM)
+            w = sums[stop + lead] - sums[start + lead]
+            words += np.bincount(row, minlength=n)
+            o = np.lexsort((-w, row))
+            place = np.arange(len(o)) - np.searchsorted(row, row)[: len(o)] if len(o) else o
+            best = place < TOP
+            block = np.full((n, TOP), -np.inf)
+            block[row[o][best], place[best]] = w[o][best]
+            top = -np.sort(-np.c_[top, block], axis=1)[:, :TOP]
+            at = end
+        top = np.where(np.isfinite(top), top, 0.0)
+        size = np.maximum(np.diff(offs), 1)
+        return np.c_[total / size, total / np.sqrt(size), top[:, 0], top.sum(1) / np.clip(words, 1, TOP), np.log1p(words), np.ones(n)]
 
     def sums(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The ratio of each row's whole text."""
@@ -177,33 +209,44 @@ class Model:
                 r[at[~hit][known]] += away[c[known]]
         return r
 
-    @staticmethod
-    def normalised(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
-        n = np.maximum(size, 1)
-        return np.c_[sums / n, sums / np.sqrt(n), np.ones(len(n))]
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.curve, -40, 40)))
 
-    def probability(self, sums: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.normalised(sums, size) @ self.curve, -40, 40)))
+
+def _between_words(buf: np.ndarray, at: int, end: int) -> int:
+    """The last place before `end` where no word goes on, or `end` where there is none."""
+    if end >= len(buf):
+        return len(buf)
+    outside = np.flatnonzero(~ALNUM[buf[at:end]])
+    return at + int(outside[-1]) + 1 if len(outside) else end
 
 
 def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients by Newton's method with a small ridge; classes count alike."""
+    """Coefficients by Newton's method with a small ridge and halved steps; classes count alike."""
     scale = np.maximum(1e-9, np.r_[z[:, :-1].std(0), 1.0])
     z = z / scale
     w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     b = np.zeros(z.shape[1])
     ridge = np.diag(np.r_[np.full(len(b) - 1, 1e-2), 1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        return float(w @ np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ b)) + b @ ridge @ b / 2)
+
+    at = loss(b)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
-        b -= np.clip(step, -2, 2)
+        # where classes are far apart a whole step goes too far: it is halved until it gains something
+        while np.abs(step).max() >= 1e-8 and not loss(b - step) < at:
+            step = step / 2
         if np.abs(step).max() < 1e-8:
             break
+        b, at = b - step, loss(b - step)
     return b / scale
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "toxic", per_class: int = 6000, most: int = 4, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Models of three quarters of the sampled rows, their logistic curve from the rest; there, classes weigh alike.
+    """Models of the sampled rows, with a logistic curve that models of three quarters of them earn on the rest; there, classes weigh alike.
 
     per_class and most bound the labelled rows that are used (the rarer class has per_class rows, the commoner most
     times as many), and with them what comes to the driver. The shared orders are counted over all of docs.
@@ -215,32 +258,37 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, label_col: str = "t
         for part in text_slices(batches, text_col, 1 << 20):
             label, half = (np.asarray(part.batch.column(k).to_numpy(zero_copy_only=False)) for k in (1, 2))
             raw = part.raw()
-            for c in (0, 1):
-                texts = [t for t, m in zip(raw, (label == c) & (half < 3), strict=True) if m]
+            for c, last in ((0, False), (1, False), (0, True), (1, True)):
+                texts = [t for t, m in zip(raw, (label == c) & ((half == 3) == last), strict=True) if m]
                 offs = np.cumsum([0, *map(len, texts)])
                 k, n = np.unique(_grams(_FOLD[np.frombuffer(b"".join(texts), np.uint8)], offs, order)[0], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(k.view(np.int64)), "label": pa.array(np.full(len(k), c, np.int32)), "n": pa.array(n.astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k.view(np.int64)), "kind": pa.array(np.full(len(k), c + 2 * last, np.int32)), "n": pa.array(n.astype(np.int64))})
 
-    of = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
-    got = arrow_map(rows, count, "k bigint, label int, n bigint").groupBy("k").agg(of(0).alias("n0"), of(1).alias("n1")).toArrow()
-    n = np.c_[got["n0"].to_numpy(), got["n1"].to_numpy()]
-    if not len(n) or not n.sum(0).all():
+    of = lambda c: F.sum(F.when(F.col("kind") == c, F.col("n")).otherwise(0)).alias(f"n{c}")
+    got = arrow_map(rows, count, "k bigint, kind int, n bigint").groupBy("k").agg(*map(of, range(4))).toArrow()
+    keys, n = got["k"].to_numpy().view(_U), np.c_[*(got[f"n{c}"].to_numpy() for c in range(4))]
+    del got
+    if not len(n) or not (n[:, :2] + n[:, 2:]).sum(0).all():
         drop(rows)
         return None
-    model = Model(got["k"].to_numpy().view(_U), n, order, corpus_strings(docs, text_col))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text_col, 1 << 20):
-            yield pa.RecordBatch.from_pydict({"s": pa.array(held.value.sums(part.buf, part.offs)), "size": pa.array(np.diff(part.offs)), "label": part.batch.column(1)})
-
-    seen = arrow_map(rows.where("part = 3"), measure, "s double, size bigint, label int").toArrow()
+    corpus = corpus_strings(docs, text_col)
+    curve = np.eye(1, N_FEATURES).ravel()
+    if n[:, :2].sum(0).all():
+        first = n[:, :2].any(1)
+        held = docs.sparkSession.sparkContext.broadcast(Model(keys[first], n[first, :2], order, corpus))
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, text_col, 1 << 20):
+                yield pa.RecordBatch.from_pydict({"f": pa.array(held.value.features(part.buf, part.offs).tolist(), pa.list_(pa.float64())), "label": part.batch.column(1)})
+
+        seen = arrow_map(rows.where("part = 3"), measure, "f array<double>, label int").toArrow()
+        y = seen["label"].to_numpy().astype(float)
+        if len(y) and 0 < y.sum() < len(y):
+            curve = _logistic(np.array(seen["f"].to_pylist()), y)
+        held.destroy()
     drop(rows)
-    y = seen["label"].to_numpy().astype(float)
-    if len(y) and 0 < y.sum() < len(y):
-        model.curve = _logistic(Model.normalised(seen["s"].to_numpy(), seen["size"].to_numpy()), y)
-    else:
-        model.curve = np.array([1.0, 0.0, 0.0])
+    model = Model(keys, n[:, :2] + n[:, 2:], order, corpus)
+    model.curve = curve
     return model
 
 
@@ -252,9 +300,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for part in text_slices(batches, text_col, 1 << 20):
-            size = np.diff(part.offs)
-            s = m.sums(part.buf, part.offs) if m else np.zeros(len(part))
-            p = m.probability(s, size) if m else np.zeros(len(part))
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(s / np.maximum(size, 1)), pa.array(p)], names=[id_col, "ratio", "score"])
+            f = m.features(part.buf, part.offs) if m else np.zeros((len(part), N_FEATURES))
+            p = m.probability(f) if m else np.zeros(len(part))
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(f[:, 0]), pa.array(p)], names=[id_col, "ratio", "score"])
 
     return arrow_map(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ratio double, score double")
