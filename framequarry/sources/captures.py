@@ -116,18 +116,22 @@ def _nth(n: int, file: str | None) -> Column:
 def merged(frames: DataFrame) -> DataFrame:
     """The frames of several files as one capture: numbered from 1 by time, then file and number; the columns are file_of and no_in_file instead of file.
 
-    Numbers are counted within seconds, seconds within hours and hours, so only a row for each hour meets in one place.
+    Numbers are counted within milliseconds, those within seconds, seconds within hours and hours, so only a row for each hour meets in one place,
+    and a task's sort is of the frames of a few milliseconds. Frames without a time come first. Nothing is broadcast: what frames are made of says little of their size.
     """
-    second = F.floor(F.col("ts_ns") / 1_000_000_000)
-    df = frames.withColumn("_s", second).withColumn("_h", F.floor(F.col("_s") / 3600))
-    counts = df.groupBy("_h", "_s").agg(F.count("*").alias("_n"))
-    hours = counts.groupBy("_h").agg(F.sum("_n").alias("_hn"))
-    earlier = lambda *by: Window.partitionBy(*by).orderBy
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.withColumn("_h0", F.coalesce(F.sum("_hn").over(before(earlier(F.lit(0))("_h"))), F.lit(0)))
-    seconds = counts.withColumn("_s0", F.coalesce(F.sum("_n").over(before(earlier("_h")("_s"))), F.lit(0))).join(hours, "_h").select("_s", (F.col("_s0") + F.col("_h0")).alias("_first"))
-    place = F.row_number().over(earlier("_s")("ts_ns", "file", "frame_no"))
-    out = df.join(seconds, "_s").withColumn("_no", F.col("_first") + place)
+    df = frames.withColumn("_ms", F.coalesce(F.floor(F.col("ts_ns") / 1_000_000), F.lit(-(1 << 62))))
+    parts = df.groupBy("_ms").agg(F.count("*").alias("_n")).withColumn("_s", F.floor(F.col("_ms") / 1000)).withColumn("_h", F.floor(F.col("_s") / 3600))
+    seconds = parts.groupBy("_h", "_s").agg(F.sum("_n").alias("_sn"))
+    hours = seconds.groupBy("_h").agg(F.sum("_sn").alias("_hn"))
+
+    def before(n: str, by: Column | str, order: str) -> Column:
+        return F.coalesce(F.sum(n).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    hours = hours.select("_h", before("_hn", F.lit(0), "_h").alias("_h0"))
+    seconds = seconds.withColumn("_s0", before("_sn", "_h", "_s")).join(hours.hint("merge"), "_h").select("_s", (F.col("_s0") + F.col("_h0")).alias("_s0"))
+    parts = parts.withColumn("_n0", before("_n", "_s", "_ms")).join(seconds.hint("merge"), "_s").select("_ms", (F.col("_n0") + F.col("_s0")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_ms").orderBy("ts_ns", "file", "frame_no"))
+    out = df.join(parts.hint("merge"), "_ms").withColumn("_no", F.col("_first") + place)
     names = {"file": "file_of", "frame_no": "no_in_file"}
     return out.select(F.col("_no").alias("frame_no"), *(F.col(c).alias(names.get(c, c)) for c in frames.columns))
 
