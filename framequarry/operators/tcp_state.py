@@ -161,7 +161,8 @@ def tcp_analysis_full(frames: DataFrame) -> DataFrame:
     same = F.col("frame_no") == F.col("_frame_no")
     for c in own:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return frames.join(flags, same, "left").drop("_frame_no", *(f"_{c}" for c in own)).fillna(0, _COLUMNS)
+    # merged, not broadcast: what an optimiser knows of the flags' size is no more than that of the table they come from
+    return frames.join(flags.hint("merge"), same, "left").drop("_frame_no", *(f"_{c}" for c in own)).fillna(0, _COLUMNS)
 
 
 def stateful_analysis(frames: DataFrame, idle: str = "1 hour") -> DataFrame:
