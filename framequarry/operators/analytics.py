@@ -126,20 +126,24 @@ def conversations(frames: DataFrame, analysis: bool = True) -> DataFrame:
         df = tcp_analysis(df)
     else:
         df = df.withColumns({c: F.lit(False) for c in ("retransmission", "out_of_order", "dup_ack")})
-    start = F.min_by(F.struct("ip_src", "sport", "ip_dst", "dport"), "frame_no")
     own = capture_columns(df)
+    a, b = F.struct("ip_src", "sport"), F.struct("ip_dst", "dport")
+    # a flag instead of addresses, so that all that is aggregated has a fixed size: that is hashed, not sorted
+    start = F.min_by(a <= b, "frame_no")
     got = (
         df.withColumn("k", conversation_key())
         .groupBy("k", *own)
         .agg(
             F.min("frame_no").alias("id"),
-            start.alias("s"),
+            start.alias("_low"),
             F.count("*").alias("packets"),
             F.sum(F.length("frame").cast("bigint")).alias("bytes"),
             *[F.count_if(F.col(c)).alias(n) for c, n in (("retransmission", "retransmissions"), ("dup_ack", "dup_acks"), ("out_of_order", "out_of_order"))],
         )
     )
-    return got.select(*own, "id", proto_name("k.proto").alias("proto"), ip_text("s.ip_src").alias("addr_a"), F.col("s.sport").alias("port_a"), ip_text("s.ip_dst").alias("addr_b"), F.col("s.dport").alias("port_b"), "packets", "bytes", "retransmissions", "dup_acks", "out_of_order")
+    end = lambda low: F.when(F.col("_low") == low, F.col("k.lo")).otherwise(F.col("k.hi"))
+    a, b = end(True), end(False)
+    return got.select(*own, "id", proto_name("k.proto").alias("proto"), ip_text(a["ip"]).alias("addr_a"), a["port"].alias("port_a"), ip_text(b["ip"]).alias("addr_b"), b["port"].alias("port_b"), "packets", "bytes", "retransmissions", "dup_acks", "out_of_order")
 
 
 def endpoints(frames: DataFrame) -> DataFrame:
