@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from framequarry.functions.bits import checksum_of, ip_text, to_bytes
 from framequarry.operators.analytics import conversation_key, flag_text
 from framequarry.operators.headers import capture_columns, payload, with_headers
+from framequarry.shared import small_batches
 
 
 def _ready(df: DataFrame) -> DataFrame:
@@ -238,6 +239,7 @@ def _own_fields(own: list[str]) -> list[str]:
 
 
 def _by_conversation(frames: DataFrame) -> tuple[DataFrame, list[str]]:
+    small_batches(frames.sparkSession)
     rows = stream_rows(frames)
     own = capture_columns(rows)
     return rows.repartition(*own, "conv").sortWithinPartitions(*own, "conv", "frame_no"), own
