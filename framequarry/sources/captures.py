@@ -188,15 +188,17 @@ def export_captures(frames: DataFrame, picks: DataFrame, folder: str | None = No
         fs, base = file_system(folder)
         name = f"part-{part:05d}-{uuid.uuid4().hex[:12]}.pcapng"  # of this attempt
         for b in batches:
-            for v in b.to_pylist():
-                if sink is None:
-                    fs.create_dir(base, recursive=True)
-                    sink, first = fs.open_output_stream(f"{base}/{name}"), v["ordinal"]
-                    sink.write(w.start())
-                if v["frame"] is not None:
-                    sink.write(_written(w, v))
-                    frames_written += 1
-                last = v["ordinal"]
+            if not b.num_rows:
+                continue
+            rows = b.to_pylist()
+            if sink is None:
+                fs.create_dir(base, recursive=True)
+                sink, first = fs.open_output_stream(f"{base}/{name}"), rows[0]["ordinal"]
+                sink.write(w.start())
+            blocks = [_written(w, v) for v in rows if v["frame"] is not None]
+            sink.write(b"".join(blocks))  # one write for a batch: a stream has no buffer of its own
+            frames_written += len(blocks)
+            last = rows[-1]["ordinal"]
         if sink is not None:
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64()), "n_frames": pa.array([frames_written], pa.int64())})
