@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framequarry.operators.blocks import BLOCK, entered_blocks, frame_at, given_file, mapped, plain_file, stream_blocks
 from framequarry.operators.headers import capture_columns
-from framequarry.operators.messages import Done, HttpCarver, Part, SmbFramer, safe_name
-from framequarry.operators.reassembly import delivered_pieces, follow_segments
+from framequarry.operators.messages import Done, HttpCarver, Part, safe_name, smb_frame, smb_frame_end, smb_jumps
+from framequarry.operators.reassembly import follow_segments
 from framequarry.shared import stored
 
 OBJECTS = "conv string, proto string, frame bigint, hostname string, content_type string, filename string, len bigint, complete boolean, data binary"
@@ -126,34 +127,69 @@ def http_files(frames: DataFrame, hold: int | None = None, cap: int | None = Non
 SMB_MESSAGES = "conv string, to_server boolean, stream int, n bigint, frame_no bigint, command int, status bigint, response boolean, message_id bigint, file_id binary, off bigint, size bigint, name string, data binary"
 
 
-def smb_messages(frames: DataFrame, cap: int | None = None) -> DataFrame:
-    """SMB_MESSAGES (and file, if frames has it): every CREATE and READ, asked or answered, n counting a direction's; a task keeps one unfinished frame."""
-    pieces = delivered_pieces(frames, cap)
-    own = capture_columns(pieces)
-    schema = pa.schema([*((c, pa.string()) for c in own), ("conv", pa.string()), ("to_server", pa.bool_()), ("stream", pa.int32()), ("n", pa.int64()), ("frame_no", pa.int64()), ("command", pa.int32()), ("status", pa.int64()), ("response", pa.bool_()), ("message_id", pa.int64()), ("file_id", pa.binary()), ("off", pa.int64()), ("size", pa.int64()), ("name", pa.string()), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, framer, n = None, SmbFramer(), 0
-        for b in batches:
-            out = []
-            for *k, _, no, _, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != side:
-                    side, framer, n = k, SmbFramer(), 0
-                for m in framer.feed(data):
-                    out.append((*k, n, no, m.command, m.status, m.response, m.message_id, m.file_id, m.off, m.size, m.name, m.data))
-                    n += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return pieces.mapInArrow(run, ", ".join([*(f"`{c}` string" for c in own), SMB_MESSAGES]))
+def smb_messages(frames: DataFrame, cap: int | None = None, block: int = BLOCK) -> DataFrame:
+    """SMB_MESSAGES (and file, if frames has it): every CREATE and READ, asked or answered; n is a message's offset in its stream."""
+    return given_file(_smb_rows(frames, cap, block))
+
+
+def _smb_rows(frames: DataFrame, cap: int | None, block: int) -> DataFrame:
+    """smb_messages(), file as plain_file() has it. Blocks of a stream are read by themselves; a frame that several of them have parts of is put together after that."""
+    own = capture_columns(frames)
+    n = len(own) + 1
+    blocks, clients = stream_blocks(frames, smb_jumps, block)
+    key = [*own, "conv", "lo", "stream", "block"]
+    rows = blocks.join(entered_blocks(blocks, clients, cap, block), key).select(*own, "conv", "to_server", "stream", "block", "given", "entry", "opened", "top", "ends", "nos", "data")
+    place = [*((c, pa.string(), "string") for c in own), ("conv", pa.string(), "string"), ("to_server", pa.bool_(), "boolean"), ("stream", pa.int32(), "int")]
+    fields = [*place, ("n", pa.int64(), "bigint"), ("frame_no", pa.int64(), "bigint"), ("command", pa.int32(), "int"), ("status", pa.int64(), "bigint"), ("response", pa.bool_(), "boolean"), ("message_id", pa.int64(), "bigint"), ("file_id", pa.binary(), "binary"), ("off", pa.int64(), "bigint"), ("size", pa.int64(), "bigint"), ("name", pa.string(), "string"), ("data", pa.binary(), "binary")]
+    parts = [*fields[:-1], ("whole", pa.int64(), "bigint"), ("part", pa.int64(), "bigint"), fields[-1]]  # of frames in several blocks: n and whole say where they begin and end
+
+    def messages(side: list, at: int, no: int, frame: bytes) -> Iterator[tuple]:
+        for i, m in smb_frame(frame):
+            yield (*side, at + 4 + i, no, m.command, m.status, m.response, m.message_id, m.file_id, m.off, m.size, m.name), m.data
+
+    def read(given: Iterator[list]) -> Iterator[tuple]:
+        nothing = (None,) * 8
+        for row in given:
+            side, (b, stop, at, opened, top, ends, nos, data) = row[: n + 2], row[n + 2 :]
+            start = b * block
+            if opened is not None and at > start:
+                end = min(at, stop)
+                yield (*side, opened, frame_at(ends, nos, top, end), *nothing, at, b, data[: end - start])
+            while at < stop:
+                end = smb_frame_end(data, at - start)
+                if end is None:
+                    break
+                end += start
+                if end <= stop:
+                    for m, body in messages(side, at, frame_at(ends, nos, top, end), data[at + 4 - start : end - start]):
+                        yield (*m, None, None, body)
+                elif stop == start + block:
+                    yield (*side, at, frame_at(ends, nos, top, stop), *nothing, end, b, data[at - start : stop - start])
+                at = end
+
+    def join(given: Iterator[list]) -> Iterator[tuple]:
+        for *side, at, no, frame in given:
+            for m, body in messages(side, at, no, frame[4:]):
+                yield (*m, body)
+
+    got = stored(mapped(rows, read, parts), "smb")
+    names = [c for c, *_ in place]
+    cut = got.where("part IS NOT NULL").groupBy(*names, "n", "whole").agg(F.max("frame_no").alias("frame_no"), F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data"))
+    cut = cut.where(F.length("data") == F.col("whole") - F.col("n")).select(*names, "n", "frame_no", "data")
+    return got.where("part IS NULL").drop("whole", "part").unionByName(stored(mapped(cut, join, fields), "smb"))
+
+
+def _sent() -> Column:
+    """The order of a direction's messages."""
+    return F.struct("stream", "n")
 
 
 def _smb_reads(m: DataFrame, key: list[str]) -> DataFrame:
     """key, file_id, off, n, frame_no, data: every answered READ, the first of each place of a file."""
     ask, answer = ~F.col("response"), F.col("response") & (F.col("status") == 0)
-    asked = m.where((F.col("command") == 8) & ask).groupBy(*key, "message_id").agg(F.min_by(F.struct("file_id", "off"), "n").alias("q")).select(*key, "message_id", "q.file_id", "q.off")
-    answered = m.where((F.col("command") == 8) & answer & (F.length("data") > 0)).select(*key, "message_id", "n", "frame_no", "data")
-    places = answered.join(asked, [*key, "message_id"]).groupBy(*key, "file_id", "off").agg(F.min_by(F.struct("n", "frame_no", "data"), "n").alias("r"))
+    asked = m.where((F.col("command") == 8) & ask).groupBy(*key, "message_id").agg(F.min_by(F.struct("file_id", "off"), _sent()).alias("q")).select(*key, "message_id", "q.file_id", "q.off")
+    answered = m.where((F.col("command") == 8) & answer & (F.length("data") > 0)).select(*key, "message_id", "stream", "n", "frame_no", "data")
+    places = answered.join(asked, [*key, "message_id"]).groupBy(*key, "file_id", "off").agg(F.min_by(F.struct("n", "frame_no", "data"), _sent()).alias("r"))
     return places.select(*key, "file_id", "off", "r.n", "r.frame_no", "r.data")
 
 
@@ -161,31 +197,22 @@ def _smb_keys(frames: DataFrame) -> list[str]:
     return [*capture_columns(frames), "conv"]
 
 
-def smb_parts(frames: DataFrame, cap: int | None = None) -> DataFrame:
+def smb_parts(frames: DataFrame, cap: int | None = None, block: int = BLOCK) -> DataFrame:
     """file (if frames has it), conv, file_id, off, n, frame_no, data: the parts of files that were read, whatever their size."""
-    return _smb_reads(stored(_plain_file(smb_messages(frames, cap)), "smb"), _smb_keys(frames)).transform(_given_file)
-
-
-def _plain_file(df: DataFrame) -> DataFrame:
-    """A null file as a text, so that joins meet it."""
-    return df.withColumns({c: F.coalesce(F.concat(F.lit("/"), c), F.lit("")) for c in capture_columns(df)})
-
-
-def _given_file(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.when(F.col(c) != "", F.substring(c, 2, 1 << 30)) for c in capture_columns(df)})
+    return _smb_reads(_smb_rows(frames, cap, block), _smb_keys(frames)).transform(given_file)
 
 
-def smb_files(frames: DataFrame, cap: int | None = None) -> DataFrame:
+def smb_files(frames: DataFrame, cap: int | None = None, block: int = BLOCK) -> DataFrame:
     """OBJECTS of SMB2 files that were read: CREATE gives a file's name, size and id, READ its parts, each question joined to its answer by message id.
 
-    Messages are rows, so a connection with any number of files is many tasks' work. Parts are put together in the order of their places,
+    Streams are read in blocks and messages are rows, so a connection of any size is many tasks' work. Parts are put together in the order of their places,
     what two of them have in common from the earlier one, holes as zeros; a file that nothing named is called by its id.
     """
     key = _smb_keys(frames)
-    m = stored(_plain_file(smb_messages(frames, cap)), "smb")  # read for questions and answers of both kinds
-    named = m.where((F.col("command") == 5) & ~F.col("response")).groupBy(*key, "message_id").agg(F.min_by("name", "n").alias("name"))
-    made = m.where((F.col("command") == 5) & F.col("response") & (F.col("status") == 0)).select(*key, "message_id", "n", "file_id", "size")
-    files = made.join(named, [*key, "message_id"]).groupBy(*key, "file_id").agg(F.min_by(F.struct("name", "size"), "n").alias("f")).select(*key, "file_id", "f.name", F.col("f.size").alias("eof"))
+    m = _smb_rows(frames, cap, block)  # read for questions and answers of both kinds
+    named = m.where((F.col("command") == 5) & ~F.col("response")).groupBy(*key, "message_id").agg(F.min_by("name", _sent()).alias("name"))
+    made = m.where((F.col("command") == 5) & F.col("response") & (F.col("status") == 0)).select(*key, "message_id", "stream", "n", "file_id", "size")
+    files = made.join(named, [*key, "message_id"]).groupBy(*key, "file_id").agg(F.min_by(F.struct("name", "size"), _sent()).alias("f")).select(*key, "file_id", "f.name", F.col("f.size").alias("eof"))
     end = F.col("off") + F.length("data")
     order = Window.partitionBy(*key, "file_id").orderBy("off").rowsBetween(Window.unboundedPreceding, -1)
     parts = _smb_reads(m, key).withColumn("have", F.coalesce(F.max(end).over(order), F.lit(0).cast("bigint")))
@@ -198,7 +225,7 @@ def smb_files(frames: DataFrame, cap: int | None = None) -> DataFrame:
     name = F.regexp_replace(F.regexp_extract(F.coalesce("name", F.concat(F.lit("file-"), F.lower(F.substring(F.hex("file_id"), 1, 8)))), r"([^\\\\/]*)$", 1), "[^A-Za-z0-9._-]", "_")
     nothing = F.lit("")
     out = got.select(*key, F.lit("SMB").alias("proto"), "frame", nothing.alias("hostname"), F.lit("application/octet-stream").alias("content_type"), F.substring(name, 1, 128).alias("filename"), "len", F.coalesce((F.col("eof") > 0) & (F.col("len") >= F.col("eof")), F.lit(False)).alias("complete"), "data")
-    return _given_file(out)
+    return given_file(out)
 
 
 def smb_requests_answered(fields: DataFrame) -> DataFrame:

@@ -114,6 +114,11 @@ class GapIndex:
 
     def add(self, seq: int, size: int, syn: bool) -> tuple[int, list[tuple[int, int]]]:
         """The offset of this segment's first byte, and the ranges of offsets that it is the first to bring."""
+        low = self.place(seq, size, syn)
+        return low, self.fresh(max(0, low), low + size)
+
+    def place(self, seq: int, size: int, syn: bool) -> int:
+        """The offset of this segment's first byte (0 without data)."""
         if syn:
             seq = (seq + 1) % _MOD
             if seq != self.base:
@@ -124,14 +129,15 @@ class GapIndex:
             self.base = seq
             self._clear()
         if not size:
-            return 0, []
+            return 0
         low = self.off + _step(seq, self.seq)
         high = low + size
         if high > self.off:
             self.seq, self.off = (seq + size) % _MOD, high
-        return low, self._fresh(max(0, low), high)
+        return low
 
-    def _fresh(self, low: int, high: int) -> list[tuple[int, int]]:
+    def fresh(self, low: int, high: int) -> list[tuple[int, int]]:
+        """The ranges from low to high that were not seen before."""
         if low >= high:
             return []
         i = bisect_left(self.ends, low)  # the first range that ends at or after low
