@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framequarry.operators.headers import capture_columns
 from framequarry.operators.reassembly import GapIndex, stream_rows
-from framequarry.shared import small_batches, stored
+from framequarry.shared import drop, small_batches, stored
 
 #: Bytes of a stream in a block, and of the next one that a block has besides, so that it sees every head which begins in it.
 BLOCK, AHEAD = 1 << 20, 7
@@ -62,7 +62,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[list]], Iterator[tuple]], fiel
 
 
 def stream_blocks(frames: DataFrame, jumps: Jumps, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, clients) of frames' conversations, file as plain_file() has it.
+    """(blocks, clients) of frames' conversations, file as plain_file() has it; both are stored().
 
     blocks: file (if frames has it), conv, lo (sent by the conversation's lower end), stream, block, size, ends, nos, heads, nexts, data. data are the block's bytes before
     its first gap, with those of the next block that AHEAD says; size counts them without these; the bytes before ends[i] are there after frame nos[i];
@@ -76,7 +76,7 @@ def stream_blocks(frames: DataFrame, jumps: Jumps, block: int = BLOCK) -> tuple[
     syn = F.coalesce(F.col("tcp_flags").bitwiseAND(F.lit(2)) != 0, F.lit(False))
     seg = rows.select(*key, lo.alias("lo"), "frame_no", F.col("tcp_seq").cast("bigint").alias("seq"), syn.alias("syn"), F.coalesce(F.length("data"), F.lit(0)).alias("size"), "data")
     seg = stored(plain_file(seg), "segments")  # its numbers are read without the data
-    clients = seg.groupBy(*key).agg(F.min_by("lo", "frame_no").alias("client"))
+    clients = stored(seg.groupBy(*key).agg(F.min_by("lo", "frame_no").alias("client")), "clients")
     placed = seg.where("size > 0").join(_places(seg, own), [*side, "frame_no"]).withColumn("end", F.col("off") + F.col("size")).where("end > 0")
     first, last = F.floor((F.greatest(F.col("off"), F.lit(0)) - AHEAD) / block), F.floor((F.col("end") - 1) / block)
     dealt = placed.select(*side, "stream", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("bigint")), last)).alias("block"), "frame_no", "off", "data")
@@ -117,7 +117,9 @@ def stream_blocks(frames: DataFrame, jumps: Jumps, block: int = BLOCK) -> tuple[
 
     longs = (pa.list_(pa.int64()), "array<bigint>")
     fields = [*_fields(own), ("stream", pa.int32(), "int"), ("block", pa.int64(), "bigint"), ("size", pa.int32(), "int"), *((c, *longs) for c in ("ends", "nos", "heads", "nexts")), ("data", pa.binary(), "binary")]
-    return stored(mapped(dealt, run, fields), "blocks"), clients
+    blocks = stored(mapped(dealt, run, fields), "blocks")
+    drop(seg)
+    return blocks, clients
 
 
 def _places(seg: DataFrame, own: list[str]) -> DataFrame:

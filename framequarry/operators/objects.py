@@ -15,7 +15,7 @@ from framequarry.operators.blocks import BLOCK, entered_blocks, frame_at, given_
 from framequarry.operators.headers import capture_columns
 from framequarry.operators.messages import Done, HttpCarver, Part, safe_name, smb_frame, smb_frame_end, smb_jumps
 from framequarry.operators.reassembly import follow_segments
-from framequarry.shared import stored
+from framequarry.shared import drop, stored
 
 OBJECTS = "conv string, proto string, frame bigint, hostname string, content_type string, filename string, len bigint, complete boolean, data binary"
 
@@ -138,7 +138,8 @@ def _smb_rows(frames: DataFrame, cap: int | None, block: int) -> DataFrame:
     n = len(own) + 1
     blocks, clients = stream_blocks(frames, smb_jumps, block)
     key = [*own, "conv", "lo", "stream", "block"]
-    rows = blocks.join(entered_blocks(blocks, clients, cap, block), key).select(*own, "conv", "to_server", "stream", "block", "given", "entry", "opened", "top", "ends", "nos", "data")
+    entered = stored(entered_blocks(blocks, clients, cap, block), "entered")  # few numbers for each block: joined without a shuffle of the data where its size on disk allows
+    rows = blocks.join(entered, key).select(*own, "conv", "to_server", "stream", "block", "given", "entry", "opened", "top", "ends", "nos", "data")
     place = [*((c, pa.string(), "string") for c in own), ("conv", pa.string(), "string"), ("to_server", pa.bool_(), "boolean"), ("stream", pa.int32(), "int")]
     fields = [*place, ("n", pa.int64(), "bigint"), ("frame_no", pa.int64(), "bigint"), ("command", pa.int32(), "int"), ("status", pa.int64(), "bigint"), ("response", pa.bool_(), "boolean"), ("message_id", pa.int64(), "bigint"), ("file_id", pa.binary(), "binary"), ("off", pa.int64(), "bigint"), ("size", pa.int64(), "bigint"), ("name", pa.string(), "string"), ("data", pa.binary(), "binary")]
     parts = [*fields[:-1], ("whole", pa.int64(), "bigint"), ("part", pa.int64(), "bigint"), fields[-1]]  # of frames in several blocks: n and whole say where they begin and end
@@ -173,6 +174,7 @@ def _smb_rows(frames: DataFrame, cap: int | None, block: int) -> DataFrame:
                 yield (*m, body)
 
     got = stored(mapped(rows, read, parts), "smb")
+    drop(blocks, clients, entered)
     names = [c for c, *_ in place]
     cut = got.where("part IS NOT NULL").groupBy(*names, "n", "whole").agg(F.max("frame_no").alias("frame_no"), F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data"))
     cut = cut.where(F.length("data") == F.col("whole") - F.col("n")).select(*names, "n", "frame_no", "data")
@@ -184,12 +186,13 @@ def _sent() -> Column:
     return F.struct("stream", "n")
 
 
-def _smb_reads(m: DataFrame, key: list[str]) -> DataFrame:
-    """key, file_id, off, n, frame_no, data: every answered READ, the first of each place of a file."""
+def _smb_reads(m: DataFrame, key: list[str], by_file: bool = False) -> DataFrame:
+    """key, file_id, off, n, frame_no, data: every answered READ, the first of each place of a file. With by_file a file's rows are in one partition."""
     ask, answer = ~F.col("response"), F.col("response") & (F.col("status") == 0)
     asked = m.where((F.col("command") == 8) & ask).groupBy(*key, "message_id").agg(F.min_by(F.struct("file_id", "off"), _sent()).alias("q")).select(*key, "message_id", "q.file_id", "q.off")
     answered = m.where((F.col("command") == 8) & answer & (F.length("data") > 0)).select(*key, "message_id", "stream", "n", "frame_no", "data")
-    places = answered.join(asked, [*key, "message_id"]).groupBy(*key, "file_id", "off").agg(F.min_by(F.struct("n", "frame_no", "data"), _sent()).alias("r"))
+    parts = answered.join(asked, [*key, "message_id"])
+    places = (parts.repartition(*key, "file_id") if by_file else parts).groupBy(*key, "file_id", "off").agg(F.min_by(F.struct("n", "frame_no", "data"), _sent()).alias("r"))
     return places.select(*key, "file_id", "off", "r.n", "r.frame_no", "r.data")
 
 
@@ -215,7 +218,7 @@ def smb_files(frames: DataFrame, cap: int | None = None, block: int = BLOCK) ->
     files = made.join(named, [*key, "message_id"]).groupBy(*key, "file_id").agg(F.min_by(F.struct("name", "size"), _sent()).alias("f")).select(*key, "file_id", "f.name", F.col("f.size").alias("eof"))
     end = F.col("off") + F.length("data")
     order = Window.partitionBy(*key, "file_id").orderBy("off").rowsBetween(Window.unboundedPreceding, -1)
-    parts = _smb_reads(m, key).withColumn("have", F.coalesce(F.max(end).over(order), F.lit(0).cast("bigint")))
+    parts = _smb_reads(m, key, by_file=True).withColumn("have", F.coalesce(F.max(end).over(order), F.lit(0).cast("bigint")))
     hole = F.expr(f"cast(repeat(chr(0), cast(greatest(0, least(off - have, {LARGEST_VALUE})) as int)) as binary)")
     rest = F.when(end > F.col("have"), F.substring("data", F.greatest(F.lit(1), F.col("have") - F.col("off") + 1).cast("int"), F.length("data"))).otherwise(F.lit(b""))
     fits = F.max(end).over(Window.partitionBy(*key, "file_id")) <= LARGEST_VALUE

@@ -34,7 +34,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends here, and a lost executor costs nothing."""
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fq_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing will read again."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._fq_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Bytes of an Arrow batch where rows carry data: a worker holds a batch as Arrow and as objects, both that came and that goes.
